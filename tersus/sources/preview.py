@@ -12,4 +12,5 @@ def preview(df: DataFrame, order_by, n: int = 10) -> DataFrame:
     merged, never by sorting everything."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     top = df.orderBy(*order).limit(n)
-    return top.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row_json"), *order)
+    json = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    return top.select(json.alias("row_json"), *order)

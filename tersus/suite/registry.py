@@ -425,3 +425,7 @@ def x6_upper(spark, sf):
 @query("x7_lower", with_views("SELECT part_id, lower(brand) AS brand_lower FROM parts_dirty", "parts_dirty"))
 def x7_lower(spark, sf):
     return add_derived_column(ctx(spark, sf).parts, "brand_lower", "brand", "lower").select("part_id", "brand_lower")
+
+
+# plan-level and streaming queries register themselves on import
+from tersus.suite import plan_queries  # noqa: E402,F401

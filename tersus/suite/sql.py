@@ -69,10 +69,16 @@ _DEPS = {"orders_dirty": ["orders_dirty_base"], "stream_dirty_days": ["stream_di
 def with_views(body: str, *names: str) -> str:
     """Prefix ``body`` with the CTEs of the dirty views it uses."""
     order = []
+
+    def visit(n):
+        if n in order:
+            return
+        for d in _DEPS.get(n, []):
+            visit(d)
+        order.append(n)
+
     for n in names:
-        for d in _DEPS.get(n, []) + [n]:
-            if d not in order:
-                order.append(d)
+        visit(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     return f"WITH {ctes}\n{body}" if ctes else body
 
