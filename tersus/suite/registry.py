@@ -429,3 +429,4 @@ def x7_lower(spark, sf):
 
 # plan-level and streaming queries register themselves on import
 from tersus.suite import plan_queries  # noqa: E402,F401
+from tersus.suite import stream_queries  # noqa: E402,F401
