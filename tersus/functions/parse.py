@@ -6,6 +6,8 @@ the column's Spark type so that a typed column is not needlessly re-parsed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,16 @@ NULL_MARKERS = ("N/A", "n/a", "null", "NULL", "None", "none", "missing", "", "Na
 # dirty generators write them.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy")
 
-# Strings Spark's cast accepts but a strict numeric parser rejects: a float/double
-# type suffix ("1d", "2.5F") and Java hex floating literals ("0x1p3").
-_JAVA_ONLY_NUMBER = r"([0-9.]\s*[dDfF]\s*$)|(^\s*[+-]?0[xX])"
+# Shape of a number both Spark's cast and a strict numeric parser accept: optional
+# sign, decimal digits with optional fraction and exponent, or inf/infinity/nan,
+# with surrounding white space. It rejects what only Java's parser takes (a type
+# suffix "1d", hex literals "0x1p3") and lets the cast skip hopeless strings.
+_NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+# Pattern letters of a datetime format -> the digits they match (used to test a
+# string's shape before parsing it).
+_FORMAT_TOKENS = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
+                  "ss": r"\d{2}"}
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -65,7 +74,7 @@ def to_double(c, dt) -> Column:
     c = _c(c)
     if is_string(dt):
         v = c.try_cast("double")
-        return F.when(~c.rlike(_JAVA_ONLY_NUMBER) & ~F.isnan(v), v)
+        return F.when(c.rlike(_NUMBER_SHAPE), F.when(~F.isnan(v), v))
     if is_floating(dt):
         v = c.cast("double")
         return F.when(~F.isnan(v), v)
@@ -78,6 +87,25 @@ def _has_time(fmt: str) -> bool:
     return any(ch in fmt for ch in "HhmsSa")
 
 
+def format_shape(fmt: str) -> str | None:
+    """Regex of the strings ``fmt`` can parse, or None when the format uses
+    pattern letters we do not translate (then every string is tried)."""
+    out, i = [], 0
+    while i < len(fmt):
+        for tok, rx in _FORMAT_TOKENS.items():
+            if fmt.startswith(tok, i):
+                out.append(rx)
+                i += len(tok)
+                break
+        else:
+            ch = fmt[i]
+            if ch.isalpha() or ch == "'":
+                return None
+            out.append(re.escape(ch))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
 def to_timestamp(c, dt, formats=DATE_FORMATS) -> Column:
     """K2: timestamp parse over an ordered format list, bad value -> NULL.
 
@@ -94,9 +122,12 @@ def to_timestamp(c, dt, formats=DATE_FORMATS) -> Column:
     for fmt in formats:
         f = F.lit(fmt)
         if _has_time(fmt):
-            parts.append(F.when(F.try_to_timestamp(c, f).isNotNull(), F.to_timestamp_ntz(c, f)))
+            p = F.when(F.try_to_timestamp(c, f).isNotNull(), F.to_timestamp_ntz(c, f))
         else:
-            parts.append(F.try_to_date(c, fmt).cast("timestamp_ntz"))
+            p = F.try_to_date(c, fmt).cast("timestamp_ntz")
+        shape = format_shape(fmt)
+        # only strings of the right shape are parsed: failed parses are costly
+        parts.append(F.when(c.rlike(shape), p) if shape else p)
     return parts[0] if len(parts) == 1 else F.coalesce(*parts)
 
 

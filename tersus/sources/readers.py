@@ -20,12 +20,33 @@ RAW_STREAM_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category
                      "region STRING, event_ts STRING")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> TableSet:
-    return TableSet({n: read_table(spark, sf_dir, n) for n in names
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least ``defaultParallelism`` partitions.
+
+    A small file with one row group is one split, so every expression after the
+    scan would run in one task. Only then is a round-robin repartition added
+    (Catalyst still prunes columns and pushes filters below it); a large input
+    already has more splits than cores and is returned unchanged.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("tersus.spreadSmallScans", "true") != "true":
+        return df
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    mode = spark.conf.get("tersus.spreadMode", "roundrobin")
+    # round robin (Spark sorts before it, so a retried task re-creates the same
+    # split); "hash" spreads on the leading key column instead
+    return df.repartition(want, df.columns[0]) if mode == "hash" else df.repartition(want)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if spread_small else df
+
+
+def load_tables(spark: SparkSession, sf_dir: str, names=TABLES, spread_small: bool = True) -> TableSet:
+    return TableSet({n: read_table(spark, sf_dir, n, spread_small) for n in names
                      if os.path.exists(os.path.join(sf_dir, f"{n}.parquet"))})
 
 
