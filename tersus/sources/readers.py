@@ -45,9 +45,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool =
     return spread(df) if spread_small else df
 
 
+class LazyTableSet(TableSet):
+    """A TableSet whose tables are opened on first use (no listing of unused tables)."""
+
+    def __init__(self, loaders: dict):
+        super().__init__({})
+        self._loaders = loaders
+
+    def __getitem__(self, name):
+        if name not in self._t and name in self._loaders:
+            self._t[name] = self._loaders[name]()
+        return super().__getitem__(name)
+
+    def __iter__(self):
+        return iter(self._loaders)
+
+    def __len__(self):
+        return len(self._loaders)
+
+    def __contains__(self, name):
+        return name in self._loaders
+
+    def bind(self, name, df):
+        return TableSet({**{n: self[n] for n in self._loaders}, name: df})
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES, spread_small: bool = True) -> TableSet:
-    return TableSet({n: read_table(spark, sf_dir, n, spread_small) for n in names
-                     if os.path.exists(os.path.join(sf_dir, f"{n}.parquet"))})
+    names = [n for n in names if os.path.exists(os.path.join(sf_dir, f"{n}.parquet"))]
+    return LazyTableSet({n: (lambda n=n: read_table(spark, sf_dir, n, spread_small)) for n in names})
 
 
 def read_raw(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:

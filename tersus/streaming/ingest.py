@@ -12,15 +12,14 @@ from tersus.session import scratch_dir
 
 
 def stage_batches(df: DataFrame, spark: SparkSession, batch_col: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as one file per ``batch_col`` value (a partition folder each),
-    so a file stream with ``maxFilesPerTrigger=1`` sees one batch per value.
-
-    Used to turn a table into a replayable stream source (tests and the suite);
-    the folder lives under the cluster's checkpoint folder. Files are consumed in
-    modification-time order, so batch order is not the value order.
+    """Write ``df`` as a folder of files partitioned by ``batch_col`` (e.g. the
+    arrival day), a replayable file-stream source for tests and the suite. Each
+    task writes its own files, so no value is funnelled through one task; a
+    stream then takes ``maxFilesPerTrigger`` files per micro-batch, in
+    modification-time order. The folder lives under the checkpoint folder.
     """
     path = scratch_dir(spark, "stage")
-    df.repartition(batch_col).write.partitionBy(batch_col).format(fmt).save(path)
+    df.write.partitionBy(batch_col).format(fmt).save(path)
     return path
 
 

@@ -5,9 +5,9 @@
 * ST4 running score: each micro-batch is cleaned and appended to the sink, then
   the scorecard is recomputed over everything accumulated so far (exact, like
   the reference's re-score after every step). ``score_every`` thins this out.
-* ST6 drift: per-batch null / unparseable shares per arrival day against a
-  baseline fitted on history; flags columns whose share moved by more than a
-  tolerance.
+* ST6 drift: per-batch counts of null / unparseable values per arrival day
+  (additive, so a day may span batches) against a baseline fitted on history;
+  flags columns whose share moved by more than a tolerance.
 
 All sinks are written under the checkpoint folder, one sub-folder per batch id
 with overwrite, so a retried micro-batch replaces its own output (idempotent).
@@ -30,32 +30,43 @@ def _write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(root, f"batch_id={batch_id}"))
 
 
-def drift_metrics(df: DataFrame, amount: str = "amount", ts: str = "event_ts", nullable=("category", "region"),
-                  formats=DATE_FORMATS):
-    """Aggregate expressions of the shares ST6 watches."""
+def drift_counts(df: DataFrame, amount: str = "amount", ts: str = "event_ts", nullable=("category", "region"),
+                 formats=DATE_FORMATS) -> dict:
+    """Additive counts ST6 watches: {metric: (numerator expression)}; shares are
+    numerator / row count, so per-batch counts can be summed across batches."""
     num = to_double(amount, df.schema[amount].dataType)
-    out = {f"{amount}_null_share": F.avg(num.isNull().cast("double")),
-           f"{ts}_unparseable_share": F.avg(to_timestamp(ts, df.schema[ts].dataType, formats).isNull().cast("double"))}
+    out = {f"{amount}_null": num.isNull(),
+           f"{ts}_unparseable": to_timestamp(ts, df.schema[ts].dataType, formats).isNull()}
     for c in nullable:
-        out[f"{c}_null_share"] = F.avg(F.col(c).isNull().cast("double"))
+        out[f"{c}_null"] = F.col(c).isNull()
     return out
 
 
 def fit_drift_baseline(history: DataFrame, **kw) -> dict:
-    m = drift_metrics(history, **kw)
-    row = history.agg(*[v.alias(k) for k, v in m.items()]).first()
+    """Baseline shares of the watched counts over a history table (one aggregation)."""
+    m = drift_counts(history, **kw)
+    row = history.agg(*[F.avg(v.cast("double")).alias(k) for k, v in m.items()]).first()
     return {k: row[k] for k in m}
 
 
-def drift_report(batch: DataFrame, baseline: dict, by: str = "arrival_day", tolerance: float = 0.05, **kw):
-    """Shares per ``by`` value with a drift flag per metric (|share - baseline| > tolerance)."""
-    m = drift_metrics(batch, **kw)
-    agg = batch.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), *[v.alias(k) for k, v in m.items()])
+def drift_batch_counts(batch: DataFrame, by: str = "arrival_day", **kw) -> DataFrame:
+    """Per micro-batch: row and offending-value counts per ``by`` value."""
+    m = drift_counts(batch, **kw)
+    return batch.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"),
+                                 *[F.count_if(v).alias(f"n_{k}") for k, v in m.items()])
+
+
+def drift_report(counts: DataFrame, baseline: dict, by: str = "arrival_day", tolerance: float = 0.05) -> DataFrame:
+    """Sum per-batch counts per ``by`` value (a value may span batches), turn them
+    into shares and flag |share - baseline| > tolerance."""
+    keys = list(baseline)
+    tot = counts.groupBy(by).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in keys])
     cols = [by, "n_rows"]
-    for k in m:
-        cols.append(F.round(F.col(k), 6).alias(k))
-        cols.append((F.abs(F.col(k) - F.lit(baseline[k])) > F.lit(tolerance)).alias(k.replace("_share", "_drift")))
-    return agg.select(*cols)
+    for k in keys:
+        share = F.col(f"n_{k}") / F.col("n_rows")
+        cols.append(F.round(share, 6).alias(f"{k}_share"))
+        cols.append((F.abs(share - F.lit(baseline[k])) > F.lit(tolerance)).alias(f"{k}_drift"))
+    return tot.select(*cols)
 
 
 def running_profile(stream: DataFrame, sink: str, checkpoint: str, columns=None) -> str:
@@ -95,11 +106,11 @@ def clean_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str) -> s
     return sink
 
 
-def drift_to_sink(stream: DataFrame, baseline: dict, sink: str, checkpoint: str, by: str = "arrival_day",
-                  tolerance: float = 0.05, **kw) -> str:
-    """ST6: per-batch drift rows appended to ``sink``."""
+def drift_to_sink(stream: DataFrame, sink: str, checkpoint: str, by: str = "arrival_day", **kw) -> str:
+    """ST6: per-batch drift counts appended to ``sink``; read them with
+    ``drift_report(spark.read.parquet(sink), baseline)``."""
     run_to_end(stream.writeStream.foreachBatch(
-        lambda df, bid: _write_batch(drift_report(df, baseline, by, tolerance, **kw), sink, bid)), checkpoint)
+        lambda df, bid: _write_batch(drift_batch_counts(df, by, **kw), sink, bid)), checkpoint)
     return sink
 
 

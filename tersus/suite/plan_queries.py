@@ -556,3 +556,36 @@ def q13_mostly_parseable(spark, sf):
 def q15_quality_delta(spark, sf):
     s = ctx(spark, sf).stream
     return ql.quality_delta(ql.scorecard_stream(rc.r4_stream(s)), ql.scorecard_stream(s))
+
+
+# ---------------------------------------------------------------- S2/S3, approx options
+@query("s2_raw_json_ingest", with_views("SELECT * FROM stream_dirty", "stream_dirty"))
+def s2_raw_json_ingest(spark, sf):
+    """Dirty rows written as JSON and read back with the declared raw (all-string) schema."""
+    from tersus.session import scratch_dir
+    from tersus.sources.readers import RAW_STREAM_SCHEMA, read_raw
+    path = scratch_dir(spark, "json")
+    ctx(spark, sf).stream.write.json(path)
+    return read_raw(spark, path, RAW_STREAM_SCHEMA, "json")
+
+
+@query("s3_bind_output_table", with_views(
+    "SELECT s.*, c.name, c.age, c.country, upper(c.country) AS country_upper FROM stream_dirty s "
+    "JOIN customers_dirty c ON s.customer_id IS NOT DISTINCT FROM c.customer_id",
+    "stream_dirty", "customers_dirty"))
+def s3_bind_output_table(spark, sf):
+    c = ctx(spark, sf)
+    out = rc.apply_steps({"stream": c.stream, "customers": c.customers}, [
+        {"operation": "merge_tables", "left_table": "stream", "right_table": "customers", "on": "customer_id",
+         "output_table": "enriched"},
+        {"operation": "add_derived_column", "table_name": "enriched", "column_name": "country_upper",
+         "source_column": "country", "transform": "upper"},
+    ])
+    return out["enriched"]
+
+
+@query("o1_iqr_approx")
+def o1_iqr_approx(spark, sf):
+    """O1 with percentile_approx bounds (the option for columns too large for exact
+    quantiles to be worth their extra passes); no exact oracle by design."""
+    return filter_outliers(ctx(spark, sf).orders_base, "amount", "iqr", 1.5, approx=True)

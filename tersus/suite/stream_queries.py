@@ -13,7 +13,8 @@ import os
 from pyspark.sql import functions as F
 
 from tersus.plans import recipes as rc
-from tersus.streaming import (clean_to_sink, dedup_stream, drift_to_sink, fit_drift_baseline, fit_recipe,
+from tersus.streaming import (clean_to_sink, dedup_stream, drift_report, drift_to_sink, fit_drift_baseline,
+                              fit_recipe,
                               read_stream, running_profile, running_score, stage_batches)
 from tersus.streaming.monitor import new_paths
 from tersus.suite import sql as S
@@ -32,7 +33,7 @@ def _staged(spark, sf) -> str:
     return c._staged_path
 
 
-def _stream(spark, sf, path=None, files_per_batch=5):
+def _stream(spark, sf, path=None, files_per_batch=24):
     return read_stream(spark, path or _staged(spark, sf), RAW_DAYS_SCHEMA, max_files_per_trigger=files_per_batch)
 
 
@@ -63,9 +64,8 @@ def st3_stream_dedup(spark, sf):
     days = c.stream_days
     # the source delivers every day once, then the last day again (an at-least-once replay)
     last = days.agg(F.max("arrival_day")).first()[0]
-    days.repartition("arrival_day").write.partitionBy("arrival_day").parquet(src)
-    days.where(F.col("arrival_day") == F.lit(last)).repartition("arrival_day").write.mode("append") \
-        .partitionBy("arrival_day").parquet(src)
+    days.write.partitionBy("arrival_day").parquet(src)
+    days.where(F.col("arrival_day") == F.lit(last)).write.mode("append").partitionBy("arrival_day").parquet(src)
     sink, ck = new_paths(spark, "sink", "ckpt")
     deduped = dedup_stream(_stream(spark, sf, src), ["txn_id"], "event_ts", "3 days")
     clean_to_sink(deduped, lambda df: df, sink, ck)
@@ -76,7 +76,7 @@ def st3_stream_dedup(spark, sf):
 def st4_running_score(spark, sf):
     fitted = fit_recipe(ctx(spark, sf).stream, rc.R4_STREAM)
     sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
-    stream = _stream(spark, sf, files_per_batch=5)
+    stream = _stream(spark, sf, files_per_batch=48)
     running_score(stream.drop("arrival_day"), fitted, sink, scores, ck)
     return spark.read.parquet(scores)
 
@@ -99,11 +99,12 @@ def _share(expr):
 
 _DRIFT = {"amount_null_share": f"{k1('amount')} IS NULL", "event_ts_unparseable_share": f"{k2('event_ts')} IS NULL",
           "category_null_share": "category IS NULL", "region_null_share": "region IS NULL"}
+# shares are counts / rows on both sides (Spark sums per-batch counts)
 _DRIFT_SQL = with_views(
     "SELECT d.arrival_day, d.n_rows, " + ", ".join(
         f"round(d.{k}, 6) AS {k}, abs(d.{k} - b.{k}) > 0.05 AS {k.replace('_share', '_drift')}" for k in _DRIFT)
     + " FROM (SELECT arrival_day, count(*) AS n_rows, "
-    + ", ".join(f"{_share(v)} AS {k}" for k, v in _DRIFT.items())
+    + ", ".join(f"CAST(count(*) FILTER (WHERE {v}) AS DOUBLE) / count(*) AS {k}" for k, v in _DRIFT.items())
     + " FROM stream_dirty_days GROUP BY arrival_day) d, (SELECT "
     + ", ".join(f"{_share(v)} AS {k}" for k, v in _DRIFT.items()) + " FROM stream_dirty) b",
     "stream_dirty_days")
@@ -113,8 +114,8 @@ _DRIFT_SQL = with_views(
 def st6_drift_detection(spark, sf):
     baseline = fit_drift_baseline(ctx(spark, sf).stream)
     sink, ck = new_paths(spark, "drift", "ckpt")
-    drift_to_sink(_stream(spark, sf), baseline, sink, ck)
-    return _read_sink(spark, sink)
+    drift_to_sink(_stream(spark, sf), sink, ck)
+    return drift_report(spark.read.parquet(sink), baseline)
 
 
 assert S  # views are shared with the plan queries
