@@ -23,7 +23,7 @@ HOWS = ("inner", "left", "right", "outer")
 
 def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner", *,
                  null_keys_match: bool = True, suffixes=("_x", "_y"),
-                 left_name: str = "left", right_name: str = "right") -> DataFrame:
+                 left_name: str = "left", right_name: str = "right", skew_safe_outer: bool = True) -> DataFrame:
     how = how or "inner"
     if how not in HOWS:
         raise CleaningError(f"Unknown join type '{how}'; use one of {HOWS}")
@@ -38,6 +38,25 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     l2 = left.select(*[F.col(c).alias(lk if c == on else lnames[c]) for c in left.columns])
     r2 = right.select(*[F.col(c).alias(rk if c == on else rnames[c]) for c in right.columns])
     cond = l2[lk].eqNullSafe(r2[rk]) if null_keys_match else (l2[lk] == r2[rk])
+    rcols = [rnames[c] for c in right.columns if c != on]
+    lcols = [lnames[c] for c in left.columns if c != on]
+
+    def out(df, key):
+        cols = [key.alias(on) if c == on else F.col(lnames[c]) for c in left.columns]
+        return df.select(*cols, *[F.col(c) for c in rcols])
+
+    if how == "outer" and skew_safe_outer:
+        # full outer = matches + left-only + right-only. AQE splits skewed keys for
+        # inner and anti joins but not for a full outer join; both sides are
+        # shuffled once on the key and the exchanges are reused by all three.
+        matched = out(l2.join(r2, cond, "inner"), F.col(lk))
+        left_only = out(l2.join(r2, cond, "left_anti").select(
+            *l2.columns, *[F.lit(None).cast(r2.schema[c].dataType).alias(c) for c in rcols]), F.col(lk))
+        right_only = r2.join(l2, r2[rk].eqNullSafe(l2[lk]) if null_keys_match else (r2[rk] == l2[lk]),
+                             "left_anti")
+        right_only = right_only.select(F.col(rk).alias(on), *[F.lit(None).cast(l2.schema[c].dataType).alias(c)
+                                                             for c in lcols], *rcols)
+        return matched.unionByName(left_only).unionByName(right_only.select(*matched.columns))
     joined = l2.join(r2, cond, "full_outer" if how == "outer" else how)
     if how == "right":
         key = F.col(rk)
@@ -45,6 +64,4 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
         key = F.coalesce(F.col(lk), F.col(rk))
     else:
         key = F.col(lk)
-    cols = [key.alias(on) if c == on else F.col(lnames[c]) for c in left.columns]
-    cols += [F.col(rnames[c]) for c in right.columns if c != on]
-    return joined.select(*cols)
+    return out(joined, key)

@@ -24,12 +24,27 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster reading ~100 TB: big scan splits, many initial
+# shuffle partitions that AQE coalesces to ~256 MB each, and skew splitting of
+# any shuffle partition 5x the median and above 512 MB.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "tersus", extra: dict | None = None) -> SparkSession:
+              app: str = "tersus", extra: dict | None = None, cluster: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
