@@ -16,15 +16,27 @@ def _k(c, m):
     return F.col(c) % F.lit(m)
 
 
+def _ymd(d, sep="-", day_first=False):
+    """Date text of a timestamp_ntz from its fields (no session time zone involved)."""
+    if day_first:
+        return F.format_string(f"%02d{sep}%02d{sep}%04d", F.dayofmonth(d), F.month(d), F.year(d))
+    return F.format_string(f"%04d{sep}%02d{sep}%02d", F.year(d), F.month(d), F.dayofmonth(d))
+
+
+def _ymd_hms(d):
+    return F.format_string("%04d-%02d-%02d %02d:%02d:%02d", F.year(d), F.month(d), F.dayofmonth(d),
+                           F.hour(d), F.minute(d), F.second(d))
+
+
 def orders_dirty_base(orders: DataFrame) -> DataFrame:
     k, price, d = "o_orderkey", F.col("o_totalprice"), F.col("o_orderdate")
     amount_num = (F.when(_k(k, 101) == 5, price * 16).when(_k(k, 101) == 6, -price).otherwise(price))
     amount = (F.when(_k(k, 17) == 0, F.lit(None).cast("string"))
               .when(_k(k, 17) == 1, "N/A").when(_k(k, 17) == 2, "missing").when(_k(k, 17) == 3, "")
               .otherwise(amount_num.cast("string")))
-    order_date = (F.when(_k(k, 3) == 0, F.date_format(d, "dd/MM/yyyy"))
-                  .when(_k(k, 7) == 1, F.date_format(d, "yyyy/MM/dd"))
-                  .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    order_date = (F.when(_k(k, 3) == 0, _ymd(d, "/", day_first=True))
+                  .when(_k(k, 7) == 1, _ymd(d, "/"))
+                  .otherwise(_ymd(d)))
     pri = F.col("o_orderpriority")
     priority = (F.when(_k(k, 4) == 0, F.lower(pri)).when(_k(k, 4) == 1, F.concat(F.lit("  "), pri))
                 .otherwise(pri))
@@ -58,9 +70,9 @@ def stream_dirty(events: DataFrame, with_day: bool = False) -> DataFrame:
     u = F.col("user_id") % 5
     region = F.when(_k(k, 10) != 0, F.when(u == 0, "North").when(u == 1, "South").when(u == 2, "East")
                     .when(u == 3, "West").otherwise("Central"))
-    event_ts = (F.when(_k(k, 5) == 0, F.date_format(ts, "yyyy/MM/dd"))
-                .when(_k(k, 9) == 1, F.date_format(ts, "dd/MM/yyyy"))
-                .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")))
+    event_ts = (F.when(_k(k, 5) == 0, _ymd(ts, "/"))
+                .when(_k(k, 9) == 1, _ymd(ts, "/", day_first=True))
+                .otherwise(_ymd_hms(ts)))
     cols = [F.concat(F.lit("TXN_"), F.col(k).cast("string")).alias("txn_id"),
             F.col("user_id").alias("customer_id"), amount.alias("amount"),
             category.alias("category"), region.alias("region"), event_ts.alias("event_ts")]
