@@ -64,8 +64,10 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jdir.get() if jdir.isDefined() else None
+        try:
+            base = spark.sparkContext.getCheckpointDir()
+        except Exception:
+            base = None
     if not base:
         base = tempfile.mkdtemp(prefix="tersus-ckpt-")
         spark.sparkContext.setCheckpointDir(base)

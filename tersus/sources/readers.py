@@ -31,8 +31,11 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("tersus.spreadSmallScans", "true") != "true":
         return df
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan alone
         return df
     mode = spark.conf.get("tersus.spreadMode", "roundrobin")
     # round robin (Spark sorts before it, so a retried task re-creates the same

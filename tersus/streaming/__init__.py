@@ -1,8 +1,8 @@
 from tersus.streaming.clean import FittedRecipe, dedup_stream, fit_recipe
 from tersus.streaming.ingest import read_stream, run_to_end, stage_batches
-from tersus.streaming.monitor import (clean_to_sink, drift_batch_counts, drift_report, drift_to_sink,
+from tersus.streaming.monitor import (clean_to_sink, clean_with_refit, drift_batch_counts, drift_report, drift_to_sink,
                                       fit_drift_baseline, running_profile, running_score)
 
 __all__ = ["FittedRecipe", "dedup_stream", "fit_recipe", "read_stream", "run_to_end", "stage_batches",
-           "clean_to_sink", "drift_batch_counts", "drift_report", "drift_to_sink", "fit_drift_baseline", "running_profile",
+           "clean_to_sink", "clean_with_refit", "drift_batch_counts", "drift_report", "drift_to_sink", "fit_drift_baseline", "running_profile",
            "running_score"]

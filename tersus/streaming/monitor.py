@@ -94,7 +94,7 @@ def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, chec
             acc = spark.read.parquet(sink).drop("batch_id")
             card = scorecard_stream(acc, **score_kw)
             n = acc.count()
-            _write_batch(card.select(F.lit(n).alias("n_rows"), "score"), scores, batch_id)
+            _write_batch(card.select(F.lit(n).cast("bigint").alias("n_rows"), "score"), scores, batch_id)
 
     run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
     return scores
@@ -106,6 +106,36 @@ def clean_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str) -> s
     return sink
 
 
+def clean_with_refit(stream: DataFrame, steps, history: DataFrame, sink: str, raw_sink: str, checkpoint: str,
+                     refit_every: int) -> str:
+    """ST2 with an explicit re-fit policy (H8).
+
+    Micro-batch ``b`` is cleaned with statistics fitted on ``history`` plus every
+    raw batch before ``cut = (b // refit_every) * refit_every``. The raw batches
+    are kept under ``raw_sink`` (one folder per batch id), so after a restart the
+    same statistics are re-derived: the result does not depend on which process
+    ran which batch, only on ``refit_every``.
+    """
+    from tersus.streaming.clean import fit_recipe
+
+    spark = stream.sparkSession
+    state = {"cut": None, "fitted": None}
+
+    def handle(batch: DataFrame, batch_id: int):
+        _write_batch(batch, raw_sink, batch_id)
+        cut = (batch_id // refit_every) * refit_every if refit_every else 0
+        if state["cut"] != cut:
+            seen = history
+            if cut > 0:
+                raw = spark.read.parquet(raw_sink).where(F.col("batch_id") < cut).drop("batch_id")
+                seen = history.unionByName(raw.select(*history.columns))
+            state["fitted"], state["cut"] = fit_recipe(seen, steps), cut
+        _write_batch(state["fitted"].apply(batch), sink, batch_id)
+
+    run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
+    return sink
+
+
 def drift_to_sink(stream: DataFrame, sink: str, checkpoint: str, by: str = "arrival_day", **kw) -> str:
     """ST6: per-batch drift counts appended to ``sink``; read them with
     ``drift_report(spark.read.parquet(sink), baseline)``."""

@@ -245,9 +245,9 @@ def r7_golden_null_fix(spark, sf):
     f"SELECT txn_id, customer_id, amount, category, region, event_ts FROM stream_dirty "
     f"WHERE amount IS NOT NULL", "stream_dirty"))
 def r0_step_spec(spark, sf):
-    """R0 with non-fitting steps only: a JSON-like step list compiled to one plan."""
-    steps = [{"operation": "drop_nulls", "column": "amount", "table_name": "stream"},
-             {"operation": "submit"}]
+    """R0: a JSON step list compiled to one plan."""
+    steps = rc.load_steps('[{"operation": "drop_nulls", "column": "amount", "table_name": "stream"}, '
+                          '{"operation": "submit"}]')
     return rc.apply_steps({"stream": ctx(spark, sf).stream}, steps, default_table="stream")["stream"]
 
 

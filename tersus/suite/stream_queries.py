@@ -33,7 +33,7 @@ def _staged(spark, sf) -> str:
     return c._staged_path
 
 
-def _stream(spark, sf, path=None, files_per_batch=24):
+def _stream(spark, sf, path=None, files_per_batch=60):
     return read_stream(spark, path or _staged(spark, sf), RAW_DAYS_SCHEMA, max_files_per_trigger=files_per_batch)
 
 
@@ -119,3 +119,19 @@ def st6_drift_detection(spark, sf):
 
 
 assert S  # views are shared with the plan queries
+
+
+def _g4_final_sql():
+    from tersus.suite.plan_queries import _g4_sql
+    return with_views(f"SELECT (SELECT count(*) FROM r4) AS n_rows, g.score FROM ({_g4_sql('r4', True)}) g", "r4")
+
+
+@query("st4_running_score_final", _g4_final_sql())
+def st4_running_score_final(spark, sf):
+    """The running score after the last micro-batch (a top-1 report over the
+    score sink): every batch has then been cleaned and accumulated, so it equals
+    the batch scorecard of the cleaned table."""
+    fitted = fit_recipe(ctx(spark, sf).stream, rc.R4_STREAM)
+    sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
+    running_score(_stream(spark, sf, files_per_batch=48).drop("arrival_day"), fitted, sink, scores, ck)
+    return spark.read.parquet(scores).orderBy(F.col("batch_id").desc()).limit(1).select("n_rows", "score")
