@@ -20,11 +20,27 @@ RAW_STREAM_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category
                      "region STRING, event_ts STRING")
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files behind a scan when they are local files, else None."""
+    total = 0
+    for f in df.inputFiles():
+        path = f[len("file:"):] if f.startswith("file:") else f
+        if "://" in path or not os.path.exists(path):
+            return None
+        total += os.path.getsize(path)
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least ``defaultParallelism`` partitions.
 
     A small file with one row group is one split, so every expression after the
-    scan would run in one task. Only then is a round-robin repartition added
+    scan would run in one task. Only then (and when the input is at least
+    ``SPREAD_MIN_BYTES``, below which a shuffle costs more than it saves) is a
+    round-robin repartition added
     (Catalyst still prunes columns and pushes filters below it); a large input
     already has more splits than cores and is returned unchanged.
     """
@@ -35,6 +51,9 @@ def spread(df: DataFrame) -> DataFrame:
         want = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= want:
             return df
+        size = _input_bytes(df)
+        if size is not None and size < SPREAD_MIN_BYTES:
+            return df  # too small for parallel work to pay for a shuffle
     except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan alone
         return df
     mode = spark.conf.get("tersus.spreadMode", "roundrobin")
