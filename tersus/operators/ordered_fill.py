@@ -104,9 +104,11 @@ def ordered_fill(df: DataFrame, column: str, order_by, partition_by, direction:
     else:
         ws = Window.partitionBy(*keys).orderBy(b).rowsBetween(1, Window.unboundedFollowing)
         carried = F.first("__edge", ignorenulls=True).over(ws)
-    summary = summary.select(*grp, carried.alias("__carry"))
+    summary = summary.select(*[F.col(g).alias(f"__s{i}") for i, g in enumerate(grp)], carried.alias("__carry"))
     if not keys:
         summary = F.broadcast(summary)  # at most `buckets` rows: bound proven by construction
-    out = (data.withColumn(column, local).join(summary, grp, "left")
+    # null-safe: a NULL group key is one group for the window, so it must match here too
+    cond = [data[g].eqNullSafe(summary[f"__s{i}"]) for i, g in enumerate(grp)]
+    out = (data.withColumn(column, local).join(summary, cond, "left")
            .withColumn(column, F.coalesce(F.col(column), F.col("__carry"))))
     return out.select(*df.columns)

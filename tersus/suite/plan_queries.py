@@ -589,3 +589,18 @@ def o1_iqr_approx(spark, sf):
     """O1 with percentile_approx bounds (the option for columns too large for exact
     quantiles to be worth their extra passes); no exact oracle by design."""
     return filter_outliers(ctx(spark, sf).orders_base, "amount", "iqr", 1.5, approx=True)
+
+
+# ---------------------------------------------------------------- all recipes at once
+_G_SQL = {"null_fix": G1_SQL, "normalise": G2_SQL, "etl": G3_SQL, "stream": with_views(_g4_sql("r4", True), "r4")}
+
+
+@query("r_all_recipe_scores", " UNION ALL ".join(
+    f"SELECT '{k}' AS scenario, score FROM ({v})" for k, v in _G_SQL.items()))
+def r_all_recipe_scores(spark, sf):
+    """Every scenario's recipe and its scorecard, one row per scenario (the
+    reference's run-all-recipes entry point; its mean is the headline score)."""
+    cards = {"null_fix": g1_scorecard_null_fix, "normalise": g2_scorecard_normalise, "etl": g3_scorecard_etl,
+             "stream": g4_scorecard_stream}
+    parts = [fn(spark, sf).select(F.lit(k).alias("scenario"), "score") for k, fn in cards.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

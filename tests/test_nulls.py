@@ -70,7 +70,8 @@ def test_round_and_integral_options(spark):
 ])
 @pytest.mark.parametrize("keys", [[], ["g"]])
 def test_ordered_fill_bucketed_equals_window(spark, strategy, fn, frame, keys):
-    data = [(i, i % 3, None if (i % 7 in (0, 1, 2) or 40 <= i < 80) else f"v{i}") for i in range(300)]
+    data = [(i, None if i % 4 == 0 else i % 3, None if (i % 7 in (0, 1, 2) or 40 <= i < 80) else f"v{i}")
+            for i in range(300)]
     df = spark.createDataFrame(data, "o long, g long, v string")
     got = fill_nulls(df, "v", strategy, order_by="o", partition_by=keys, buckets=7)
     w = Window.partitionBy(*keys).orderBy("o").rowsBetween(*frame)
