@@ -69,3 +69,13 @@ def test_preview_and_append(spark):
     batch = spark.createDataFrame([("9", "z", "extra")], "k string, v string, w string")
     out = append(df, batch)
     assert out.count() == 4 and out.schema["k"].dataType.typeName() == "long"
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from tersus.sources import write_table, write_tables
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "k long, v string, p string")
+    write_table(df, str(tmp_path / "t"), partition_by="p")
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted((r["k"], r["v"], r["p"]) for r in back.collect()) == [(1, "a", "x"), (2, None, "y")]
+    paths = write_tables(TableSet({"a": df, "b": df.limit(1)}), str(tmp_path / "set"), fmt="json")
+    assert spark.read.json(paths["b"]).count() == 1
