@@ -18,8 +18,21 @@ from tersus.functions.parse import (DATE_FORMATS, is_floating, is_integral, is_n
 from tersus.functions.stats import FitBatch
 from tersus.plans.profile import duplicate_count
 
-# Score clamp and the scorecard weights/tiers of the reference graders.
+# Clamp, tiers, weights and bands of the four reference scorecards, in
+# scorecard order. (full, partial) pairs are tiered weights; bands are (lo, hi, weight).
 SCORE_FLOOR, SCORE_CEIL = 0.05, 0.98
+NULL_TIER_MAX = 3          # at most this many nulls earns the partial weight
+DUP_TIER_MAX = 5           # fewer duplicates than this earns the partial weight
+FENCE = 1.5                # IQR fence multiplier of the outlier metric
+G1_W = {"age_nulls": (0.30, 0.15), "age_type": (0.25, 0.12), "age_median": (0.20, 0.10),
+        "median_close": (1, 5), "salary_nulls": (0.15, 0.07), "salary_type": 0.10}
+G2_W = {"duplicates": (0.25, 0.12), "upper_case": 0.25, "date_type": 0.20, "date_parse_factor": 0.5,
+        "amount_nulls": (0.15, 0.07), "row_count": [(0.85, 1.15, 0.15), (0.5, 1.5, 0.07)]}
+G3_W = {"merged": 0.25, "outlier_cuts": (0.02, 0.10), "outliers": (0.25, 0.12), "age_nulls": (0.20, 0.10),
+        "order_year": 0.15, "year_range": (2020, 2030), "row_count": [(0.80, 1.20, 0.15), (0.5, 1.5, 0.07)]}
+G4_W = {"amount_nulls": 0.25, "amount_type": 0.20, "amount_parse": 0.10, "amount_parse_max_nulls": 0.10,
+        "outlier_cuts": (0.03, 0.15), "outliers": (0.20, 0.10), "category_nulls": 0.15, "region_nulls": 0.10,
+        "ts_type": 0.10, "null_penalty": 3}
 
 
 # ----------------------------------------------------------------- helpers
@@ -43,14 +56,14 @@ def null_fraction(df: DataFrame, c: str) -> Column:
     return F.avg(missing(df, c).cast("double"))
 
 
-def completeness_tier(nulls: Column, full: float, partial: float, partial_max: int = 3) -> Column:
+def completeness_tier(nulls: Column, full: float, partial: float, partial_max: int = NULL_TIER_MAX) -> Column:
     """Q1: full weight at 0 nulls, partial weight at <= partial_max nulls."""
     return F.when(nulls == 0, F.lit(full)).when(nulls <= partial_max, F.lit(partial)).otherwise(F.lit(0.0))
 
 
 def completeness_prop(frac: Column, weight: float) -> Column:
     """Q2: weight * max(0, 1 - 3 * null fraction)."""
-    return F.lit(weight) * F.greatest(F.lit(0.0), F.lit(1.0) - frac * 3)
+    return F.lit(weight) * F.greatest(F.lit(0.0), F.lit(1.0) - frac * G4_W["null_penalty"])
 
 
 def type_kind(df: DataFrame, c: str) -> dict:
@@ -71,12 +84,13 @@ def median_drift_score(actual, expected, full: float, half: float) -> float:
     if actual is None or expected is None:
         return 0.0
     d = abs(actual - expected)
-    return full if d < 1 else (half if d < 5 else 0.0)
+    near, far = G1_W["median_close"]
+    return full if d < near else (half if d < far else 0.0)
 
 
 def duplicate_tier(dups, full: float, partial: float) -> float:
     """Q6: 0 duplicates full weight, < 5 partial."""
-    return full if dups == 0 else (partial if dups < 5 else 0.0)
+    return full if dups == 0 else (partial if dups < DUP_TIER_MAX else 0.0)
 
 
 def upper_fraction(c: str) -> Column:
@@ -102,7 +116,7 @@ def row_ratio_score(n: Column, n_expected: int, bands) -> Column:
     return expr
 
 
-def iqr_bounds(q, t: float = 1.5):
+def iqr_bounds(q, t: float = FENCE):
     if q is None or q[0] is None:
         return None
     q1, q3 = q
@@ -157,26 +171,27 @@ def scorecard_null_fixing(df: DataFrame, expected: DataFrame, age: str = "age",
                           salary: str = "salary") -> DataFrame:
     """G1: age nulls .30/.15; age integer .25 (or all-integral values .12); median
     against golden .20/.10; salary nulls .15/.07; salary float .10."""
+    w = G1_W
     parts = {}
     if age in df.columns:
-        parts["age_nulls"] = completeness_tier(null_count(df, age), 0.30, 0.15)
+        parts["age_nulls"] = completeness_tier(null_count(df, age), *w["age_nulls"])
         if type_kind(df, age)["integer"]:
-            parts["age_type"] = F.lit(0.25)
+            parts["age_type"] = F.lit(w["age_type"][0])
         else:
-            parts["age_type"] = F.when(integral_values(df, age), F.lit(0.12)).otherwise(F.lit(0.0))
+            parts["age_type"] = F.when(integral_values(df, age), F.lit(w["age_type"][1])).otherwise(F.lit(0.0))
         med = None
         if age in expected.columns:
             b = FitBatch(df)
             b.quantile("m", to_double(age, df.schema[age].dataType), [0.5])
             e = FitBatch(expected)
             e.quantile("m", to_double(age, expected.schema[age].dataType), [0.5])
-            med = median_drift_score(b.run()["m"][0], e.run()["m"][0], 0.20, 0.10)
+            med = median_drift_score(b.run()["m"][0], e.run()["m"][0], *w["age_median"])
         parts["age_median"] = F.lit(med or 0.0)
     else:
         parts["age_nulls"] = F.lit(0.0)
     if salary in df.columns:
-        parts["salary_nulls"] = completeness_tier(null_count(df, salary), 0.15, 0.07)
-        parts["salary_type"] = F.lit(0.10 if type_kind(df, salary)["float"] else 0.0)
+        parts["salary_nulls"] = completeness_tier(null_count(df, salary), *w["salary_nulls"])
+        parts["salary_type"] = F.lit(w["salary_type"] if type_kind(df, salary)["float"] else 0.0)
     else:
         parts["salary_nulls"] = F.lit(0.0)
     return _card(df, parts)
@@ -189,22 +204,23 @@ def scorecard_normalisation(df: DataFrame, expected: DataFrame, dirty: DataFrame
     share x.20x.5; amount nulls .15/.07; row ratio [.85,1.15] .15, [.5,1.5] .07."""
     dups = duplicate_count(df, "t", dup_method).first()["duplicate_count"]
     n_exp = expected.count()
-    parts = {"duplicates": F.lit(duplicate_tier(dups, 0.25, 0.12))}
+    w = G2_W
+    parts = {"duplicates": F.lit(duplicate_tier(dups, *w["duplicates"]))}
     if country in df.columns:
-        parts["upper_case"] = F.lit(0.25) * F.coalesce(upper_fraction(country), F.lit(0.0))
+        parts["upper_case"] = F.lit(w["upper_case"]) * F.coalesce(upper_fraction(country), F.lit(0.0))
     if date in df.columns:
         if type_kind(df, date)["datetime"]:
-            parts["date_type"] = F.lit(0.20)
+            parts["date_type"] = F.lit(w["date_type"])
         else:
-            parts["date_type"] = F.lit(0.20 * 0.5) * parseable_ts_fraction(df, date)
+            parts["date_type"] = F.lit(w["date_type"] * w["date_parse_factor"]) * parseable_ts_fraction(df, date)
     if amount in df.columns:
-        parts["amount_nulls"] = completeness_tier(null_count(df, amount), 0.15, 0.07)
-    parts["row_count"] = row_ratio_score(F.count(F.lit(1)), n_exp, [(0.85, 1.15, 0.15), (0.5, 1.5, 0.07)])
+        parts["amount_nulls"] = completeness_tier(null_count(df, amount), *w["amount_nulls"])
+    parts["row_count"] = row_ratio_score(F.count(F.lit(1)), n_exp, w["row_count"])
     return _card(df, parts)
 
 
 def scorecard_etl(tables, expected: DataFrame, dirty=None, amount: str = "amount", age: str = "age",
-                  year: str = "order_year", year_range=(2020, 2030), approx: bool = False) -> DataFrame:
+                  year: str = "order_year", year_range=G3_W["year_range"], approx: bool = False) -> DataFrame:
     """G3: merged table present .25; residual IQR outliers <.02 .25, <.10 .12; age
     nulls .20/.10; year validity share x.15; row ratio [.8,1.2] .15, [.5,1.5] .07."""
     key = next((k for k in ("merged", "main") if k in tables), None)
@@ -212,17 +228,18 @@ def scorecard_etl(tables, expected: DataFrame, dirty=None, amount: str = "amount
         return expected.agg(F.lit(SCORE_FLOOR).alias("score"))
     m = tables[key]
     n_exp = expected.count()
-    parts = {"merged": F.lit(0.25)}
+    w = G3_W
+    parts = {"merged": F.lit(w["merged"])}
     if amount in m.columns:
         num = to_double(amount, m.schema[amount].dataType)
         bounds = iqr_bounds(_quantiles(m, num, approx))
-        parts["outliers"] = outlier_tier(outlier_fraction(num, bounds), (0.02, 0.10), (0.25, 0.12))
+        parts["outliers"] = outlier_tier(outlier_fraction(num, bounds), w["outlier_cuts"], w["outliers"])
     if age in m.columns:
-        parts["age_nulls"] = completeness_tier(null_count(m, age), 0.20, 0.10)
+        parts["age_nulls"] = completeness_tier(null_count(m, age), *w["age_nulls"])
     if year in m.columns:
         yr = to_double(year, m.schema[year].dataType)
-        parts["order_year"] = F.lit(0.15) * range_validity(yr, *year_range)
-    parts["row_count"] = row_ratio_score(F.count(F.lit(1)), n_exp, [(0.80, 1.20, 0.15), (0.5, 1.5, 0.07)])
+        parts["order_year"] = F.lit(w["order_year"]) * range_validity(yr, *year_range)
+    parts["row_count"] = row_ratio_score(F.count(F.lit(1)), n_exp, w["row_count"])
     return _card(m, parts)
 
 
@@ -231,26 +248,28 @@ def scorecard_stream(df: DataFrame, amount: str = "amount", category: str = "cat
     """G4: amount completeness x.25; numeric type .20 (or null share <.10: .10);
     IQR outliers <.03 .20, <.15 .10; category x.15 and region x.10 completeness;
     timestamp typed .10 or parseable share x.10. Empty table: 0.05."""
+    w = G4_W
     parts = {}
     if amount in df.columns:
         num = to_double(amount, df.schema[amount].dataType)
         frac = F.avg(num.isNull().cast("double"))
-        parts["amount_nulls"] = completeness_prop(frac, 0.25)
+        parts["amount_nulls"] = completeness_prop(frac, w["amount_nulls"])
         if type_kind(df, amount)["numeric"]:
-            parts["amount_type"] = F.lit(0.20)
+            parts["amount_type"] = F.lit(w["amount_type"])
         else:
-            parts["amount_type"] = F.when(frac < 0.10, F.lit(0.10)).otherwise(F.lit(0.0))
+            parts["amount_type"] = F.when(frac < w["amount_parse_max_nulls"], F.lit(w["amount_parse"])) \
+                .otherwise(F.lit(0.0))
         bounds = iqr_bounds(_quantiles(df, num, approx))
-        parts["outliers"] = outlier_tier(outlier_fraction(num, bounds), (0.03, 0.15), (0.20, 0.10))
+        parts["outliers"] = outlier_tier(outlier_fraction(num, bounds), w["outlier_cuts"], w["outliers"])
     if category in df.columns:
-        parts["category_nulls"] = completeness_prop(null_fraction(df, category), 0.15)
+        parts["category_nulls"] = completeness_prop(null_fraction(df, category), w["category_nulls"])
     if region in df.columns:
-        parts["region_nulls"] = completeness_prop(null_fraction(df, region), 0.10)
+        parts["region_nulls"] = completeness_prop(null_fraction(df, region), w["region_nulls"])
     if ts in df.columns:
         if type_kind(df, ts)["datetime"]:
-            parts["ts_type"] = F.lit(0.10)
+            parts["ts_type"] = F.lit(w["ts_type"])
         else:
-            parts["ts_type"] = F.lit(0.10) * parseable_ts_fraction(df, ts)
+            parts["ts_type"] = F.lit(w["ts_type"]) * parseable_ts_fraction(df, ts)
     parts = {k: F.coalesce(v, F.lit(0.0)) for k, v in parts.items()}
     card = _card(df, parts, {"n_rows": F.count(F.lit(1))})
     # empty table scores the floor

@@ -368,7 +368,7 @@ def q1_completeness_tier(spark, sf):
         n = ql.null_count(df, "salary")
         out.append(df.agg(n.alias("null_count")).select(
             F.lit(stage).alias("stage"), F.lit("salary").alias("column_name"), "null_count",
-            r6(ql.completeness_tier(F.col("null_count"), 0.15, 0.07)).alias("score")))
+            r6(ql.completeness_tier(F.col("null_count"), *ql.G1_W["salary_nulls"])).alias("score")))
     return out[0].unionByName(out[1])
 
 
@@ -382,7 +382,7 @@ def q1_completeness_tier(spark, sf):
 def q2_completeness_prop(spark, sf):
     s = ctx(spark, sf).stream
     out = []
-    for c, w in (("category", 0.15), ("region", 0.10)):
+    for c, w in (("category", ql.G4_W["category_nulls"]), ("region", ql.G4_W["region_nulls"])):
         f = ql.null_fraction(s, c)
         out.append(s.agg(f.alias("f")).select(F.lit(c).alias("column_name"), r6("f").alias("null_fraction"),
                                                r6(ql.completeness_prop(F.col("f"), w)).alias("score")))
@@ -420,7 +420,8 @@ def q4_integral_values(spark, sf):
     num = to_double("age", df.schema["age"].dataType)
     return df.agg((F.count(num) == F.count(F.lit(1))).alias("all_parse"),
                   (F.count_if(num % 1 != 0) == 0).alias("all_integral")) \
-        .withColumn("score", F.when(F.col("all_parse") & F.col("all_integral"), F.lit(0.12)).otherwise(F.lit(0.0)))
+        .withColumn("score", F.when(F.col("all_parse") & F.col("all_integral"), F.lit(ql.G1_W["age_type"][1]))
+                    .otherwise(F.lit(0.0)))
 
 
 @query("q5_median_drift", with_views(
@@ -437,7 +438,7 @@ def q5_median_drift(spark, sf):
     fe.quantile("m", F.col("age").cast("double"), [0.5])
     ma, me = fa.run()["m"][0], fe.run()["m"][0]
     return a.agg(F.lit(ma).cast("double").alias("median_actual"), F.lit(me).cast("double").alias("median_expected"),
-                 F.lit(ql.median_drift_score(ma, me, 0.20, 0.10)).alias("score"))
+                 F.lit(ql.median_drift_score(ma, me, *ql.G1_W["age_median"])).alias("score"))
 
 
 @query("q6_duplicate_tier", with_views(
@@ -452,8 +453,9 @@ def q6_duplicate_tier(spark, sf):
     for stage, df in (("dirty", o), ("deduplicated", remove_duplicates(o))):
         d = prof.duplicate_count(df, stage)
         out.append(d.select(F.col("table_name").alias("stage"), "duplicate_count",
-                            F.when(F.col("duplicate_count") == 0, F.lit(0.25))
-                            .when(F.col("duplicate_count") < 5, F.lit(0.12)).otherwise(F.lit(0.0)).alias("score")))
+                            F.when(F.col("duplicate_count") == 0, F.lit(ql.G2_W["duplicates"][0]))
+                            .when(F.col("duplicate_count") < ql.DUP_TIER_MAX, F.lit(ql.G2_W["duplicates"][1]))
+                            .otherwise(F.lit(0.0)).alias("score")))
     return out[0].unionByName(out[1])
 
 
@@ -468,7 +470,8 @@ def q7_upper_fraction(spark, sf):
     out = []
     for stage, df in (("dirty", o), ("normalised", normalize_values(o, "priority", "upper"))):
         out.append(df.agg(ql.upper_fraction("priority").alias("f")).select(
-            F.lit(stage).alias("stage"), r6("f").alias("upper_fraction"), r6(F.col("f") * 0.25).alias("score")))
+            F.lit(stage).alias("stage"), r6("f").alias("upper_fraction"),
+            r6(F.col("f") * ql.G2_W["upper_case"]).alias("score")))
     return out[0].unionByName(out[1])
 
 
@@ -501,7 +504,7 @@ def q9_row_ratio(spark, sf):
     for stage, df in (("dirty", c.orders), ("deduplicated", remove_duplicates(c.orders))):
         n = F.count(F.lit(1))
         out.append(df.agg(n.alias("n_rows"), r6(n / F.lit(float(n_exp))).alias("ratio"),
-                          r6(ql.row_ratio_score(n, n_exp, [(0.85, 1.15, 0.15), (0.5, 1.5, 0.07)])).alias("score"))
+                          r6(ql.row_ratio_score(n, n_exp, ql.G2_W["row_count"])).alias("score"))
                    .select(F.lit(stage).alias("stage"), "n_rows", "ratio", "score"))
     return out[0].unionByName(out[1])
 
@@ -525,7 +528,7 @@ def q10_outlier_fraction(spark, sf):
         frac = ql.outlier_fraction(num, ql.iqr_bounds(ql._quantiles(df, num)))
         out.append(df.agg(frac.alias("f")).select(
             F.lit(stage).alias("stage"), r6("f").alias("outlier_fraction"),
-            r6(ql.outlier_tier(F.col("f"), (0.03, 0.15), (0.20, 0.10))).alias("score")))
+            r6(ql.outlier_tier(F.col("f"), ql.G4_W["outlier_cuts"], ql.G4_W["outliers"])).alias("score")))
     return out[0].unionByName(out[1])
 
 
@@ -536,8 +539,9 @@ def q10_outlier_fraction(spark, sf):
 def q11_range_validity(spark, sf):
     c = ctx(spark, sf)
     df = rc.r3_etl(c.orders_base, c.customers)
-    v = ql.range_validity(F.col("order_year").cast("double"), 2020, 2030)
-    return df.agg(v.alias("v")).select(r6("v").alias("year_validity"), r6(F.col("v") * 0.15).alias("score"))
+    v = ql.range_validity(F.col("order_year").cast("double"), *ql.G3_W["year_range"])
+    return df.agg(v.alias("v")).select(r6("v").alias("year_validity"),
+                                       r6(F.col("v") * ql.G3_W["order_year"]).alias("score"))
 
 
 @query("q13_mostly_parseable", with_views(
@@ -547,7 +551,9 @@ def q13_mostly_parseable(spark, sf):
     s = ctx(spark, sf).stream
     num = to_double("amount", s.schema["amount"].dataType)
     return s.agg(F.avg(num.isNull().cast("double")).alias("f")).select(
-        r6("f").alias("null_fraction"), F.when(F.col("f") < 0.10, F.lit(0.10)).otherwise(F.lit(0.0)).alias("score"))
+        r6("f").alias("null_fraction"),
+        F.when(F.col("f") < ql.G4_W["amount_parse_max_nulls"], F.lit(ql.G4_W["amount_parse"])).otherwise(F.lit(0.0))
+        .alias("score"))
 
 
 @query("q15_quality_delta", with_views(
