@@ -141,6 +141,16 @@ def range_validity(num: Column, lo: float, hi: float) -> Column:
     return F.avg(F.coalesce(num.between(F.lit(lo), F.lit(hi)), F.lit(False)).cast("double"))
 
 
+def _tagged(**named) -> DataFrame:
+    """Union of one numeric column from several DataFrames, tagged by name, so
+    their statistics come from one FitBatch instead of one per DataFrame."""
+    parts = [df.select(F.lit(tag).alias("__t"), col.cast("double").alias("__v")) for tag, (df, col) in named.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _quantiles(df: DataFrame, num: Column, approx: bool = False):
     b = FitBatch(df)
     b.quantile("q", num, [0.25, 0.75], approx=approx)
@@ -181,11 +191,14 @@ def scorecard_null_fixing(df: DataFrame, expected: DataFrame, age: str = "age",
             parts["age_type"] = F.when(integral_values(df, age), F.lit(w["age_type"][1])).otherwise(F.lit(0.0))
         med = None
         if age in expected.columns:
-            b = FitBatch(df)
-            b.quantile("m", to_double(age, df.schema[age].dataType), [0.5])
-            e = FitBatch(expected)
-            e.quantile("m", to_double(age, expected.schema[age].dataType), [0.5])
-            med = median_drift_score(b.run()["m"][0], e.run()["m"][0], *w["age_median"])
+            both = _tagged(a=(df, to_double(age, df.schema[age].dataType)),
+                           e=(expected, to_double(age, expected.schema[age].dataType)))
+            b = FitBatch(both)
+            v, t = F.col("__v"), F.col("__t")
+            b.quantile("a", F.when(t == "a", v), [0.5])
+            b.quantile("e", F.when(t == "e", v), [0.5])
+            res = b.run()
+            med = median_drift_score(res["a"][0], res["e"][0], *w["age_median"])
         parts["age_median"] = F.lit(med or 0.0)
     else:
         parts["age_nulls"] = F.lit(0.0)
@@ -227,12 +240,20 @@ def scorecard_etl(tables, expected: DataFrame, dirty=None, amount: str = "amount
     if key is None:
         return expected.agg(F.lit(SCORE_FLOOR).alias("score"))
     m = tables[key]
-    n_exp = expected.count()
     w = G3_W
     parts = {"merged": F.lit(w["merged"])}
-    if amount in m.columns:
-        num = to_double(amount, m.schema[amount].dataType)
-        bounds = iqr_bounds(_quantiles(m, num, approx))
+    has_amount = amount in m.columns
+    num = to_double(amount, m.schema[amount].dataType) if has_amount else F.lit(None).cast("double")
+    # the golden row count and the amount quartiles in one batch of fit jobs
+    both = _tagged(m=(m, num), e=(expected, F.lit(None)))
+    b = FitBatch(both)
+    b.agg("n_exp", F.count_if(F.col("__t") == "e"))
+    if has_amount:
+        b.quantile("q", F.when(F.col("__t") == "m", F.col("__v")), [0.25, 0.75], approx=approx)
+    res = b.run()
+    n_exp = res["n_exp"]
+    if has_amount:
+        bounds = iqr_bounds(res["q"])
         parts["outliers"] = outlier_tier(outlier_fraction(num, bounds), w["outlier_cuts"], w["outliers"])
     if age in m.columns:
         parts["age_nulls"] = completeness_tier(null_count(m, age), *w["age_nulls"])

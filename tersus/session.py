@@ -70,7 +70,10 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
             base = None
     if not base:
         base = tempfile.mkdtemp(prefix="tersus-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.sparkContext.setCheckpointDir(base)
+        except Exception:  # sessions without a SparkContext handle: the folder is still usable
+            pass
     path = os.path.join(base, *parts, uuid.uuid4().hex[:12]) if parts else os.path.join(base, uuid.uuid4().hex[:12])
     return path
 
