@@ -33,8 +33,13 @@ def _staged(spark, sf) -> str:
     return c._staged_path
 
 
-def _stream(spark, sf, path=None, files_per_batch=60):
-    return read_stream(spark, path or _staged(spark, sf), RAW_DAYS_SCHEMA, max_files_per_trigger=files_per_batch)
+def _stream(spark, sf, path=None, batches=5):
+    """A file stream over the staged folder cut into about ``batches`` micro-batches."""
+    import math
+    path = path or _staged(spark, sf)
+    n_files = len(spark.read.schema(RAW_DAYS_SCHEMA).parquet(path).inputFiles())
+    per = max(1, math.ceil(n_files / batches))
+    return read_stream(spark, path, RAW_DAYS_SCHEMA, max_files_per_trigger=per)
 
 
 def _read_sink(spark, sink):
@@ -76,7 +81,7 @@ def st3_stream_dedup(spark, sf):
 def st4_running_score(spark, sf):
     fitted = fit_recipe(ctx(spark, sf).stream, rc.R4_STREAM)
     sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
-    stream = _stream(spark, sf, files_per_batch=48)
+    stream = _stream(spark, sf)
     running_score(stream.drop("arrival_day"), fitted, sink, scores, ck)
     return spark.read.parquet(scores)
 
@@ -133,5 +138,5 @@ def st4_running_score_final(spark, sf):
     the batch scorecard of the cleaned table."""
     fitted = fit_recipe(ctx(spark, sf).stream, rc.R4_STREAM)
     sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
-    running_score(_stream(spark, sf, files_per_batch=48).drop("arrival_day"), fitted, sink, scores, ck)
+    running_score(_stream(spark, sf).drop("arrival_day"), fitted, sink, scores, ck)
     return spark.read.parquet(scores).orderBy(F.col("batch_id").desc()).limit(1).select("n_rows", "score")
