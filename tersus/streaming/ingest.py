@@ -11,15 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from tersus.session import scratch_dir
 
 
-def stage_batches(df: DataFrame, spark: SparkSession, batch_col: str, fmt: str = "parquet") -> str:
+def stage_batches(df: DataFrame, spark: SparkSession, batch_col: str, fmt: str = "parquet",
+                  ordered: bool = False, path: str | None = None) -> str:
     """Write ``df`` as a folder of files partitioned by ``batch_col`` (e.g. the
     arrival day), a replayable file-stream source for tests and the suite. Each
     task writes its own files, so no value is funnelled through one task; a
     stream then takes ``maxFilesPerTrigger`` files per micro-batch, in
     modification-time order. The folder lives under the checkpoint folder.
+
+    With ``ordered=True`` the values are written one after another in value
+    order (one distributed write per value), so files arrive in that order: what
+    an event-time watermark over an arrival-ordered source assumes.
     """
-    path = scratch_dir(spark, "stage")
-    df.write.partitionBy(batch_col).format(fmt).save(path)
+    path = path or scratch_dir(spark, "stage")
+    if not ordered:
+        df.write.partitionBy(batch_col).format(fmt).save(path)
+        return path
+    values = [r[0] for r in df.select(batch_col).distinct().orderBy(batch_col).collect()]
+    for v in values:  # bounded by the number of batch values (days), not by rows
+        df.where(df[batch_col] == v).write.mode("append").partitionBy(batch_col).format(fmt).save(path)
     return path
 
 

@@ -79,9 +79,9 @@ def test_stream_result_equals_batch_result(spark):
 def test_stream_dedup_drops_replayed_rows(spark):
     base, fx = _dirty(spark)
     days = fx.stream_dirty(base["events"], with_day=True)
+    from tersus.streaming import stage_batches
     root = tempfile.mkdtemp(prefix="tersus-test-")
-    src = os.path.join(root, "src")
-    days.repartition("arrival_day").write.partitionBy("arrival_day").parquet(src)
+    src = stage_batches(days, spark, "arrival_day", ordered=True, path=os.path.join(root, "src"))
     days.where(F.dayofmonth("arrival_day") >= 25).repartition("arrival_day").write.mode("append") \
         .partitionBy("arrival_day").parquet(src)
     schema = ("txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, "
