@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tersus.errors import require_column
 from tersus.functions.parse import is_numeric, is_temporal
 
-ROWS_PER_BUCKET = 4_000_000
+ROWS_PER_BUCKET = 4_000_000      # upper bound of rows one in-bucket window sorts
+MIN_ROWS_PER_BUCKET = 10_000     # below this, another bucket costs more than it parallelises
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 64
 
@@ -71,7 +72,11 @@ def ordered_fill(df: DataFrame, column: str, order_by, partition_by, direction:
     n = None
     if buckets is None:
         n = df.count()
-        buckets = max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
+        # enough buckets to bound each window's rows, and at least one per core when
+        # each still gets MIN_ROWS_PER_BUCKET rows
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        buckets = max(math.ceil(n / ROWS_PER_BUCKET), min(cores, n // MIN_ROWS_PER_BUCKET))
+        buckets = max(1, min(MAX_BUCKETS, buckets))
     bounds = []
     if buckets > 1:
         bounds = _boundaries(df, order_cols[0], buckets, n)
