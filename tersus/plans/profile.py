@@ -79,9 +79,10 @@ def profile_all(tables, dup_method: str = "exact") -> DataFrame:
     """P6: profiles of every table of a set, plus a table-level duplicate count."""
     parts = []
     for i, (name, df) in enumerate(tables.items()):
-        p = profile(df, name).withColumn("table_ordinal", F.lit(i))
-        d = duplicate_count(df, name, dup_method)
-        parts.append(p.join(F.broadcast(d), "table_name"))  # d is one row
+        # the duplicate count is one number: fetch it as a literal instead of joining a one-row table
+        dups = duplicate_count(df, name, dup_method).first()["duplicate_count"]
+        parts.append(profile(df, name).withColumn("table_ordinal", F.lit(i))
+                     .withColumn("duplicate_count", F.lit(dups).cast("bigint")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
