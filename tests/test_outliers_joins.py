@@ -70,3 +70,27 @@ def test_join_argument_checks(spark):
         merge_tables(left, left, "zz")
     with pytest.raises(CleaningError):
         merge_tables(left, left, "k", "cross")
+
+
+@pytest.mark.parametrize("vals", [
+    [5.0] * 40,                                  # all equal
+    [7.0],                                       # one value
+    [1.0, 2.0],                                  # two values
+    [float(i % 4) for i in range(101)],          # heavy ties
+    [float(i) for i in range(1, 60)] + [1e9],    # far outlier
+])
+def test_exact_quantile_edges_match_numpy(spark, vals):
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    want = [float(np.quantile(vals, p)) for p in probs]
+    for limits in ({}, {"distinct_limit": 0, "collect_limit": 3}):
+        b = FitBatch(df, **limits)
+        b.quantile("q", F.col("x"), probs)
+        assert np.allclose(b.run()["q"], want, rtol=0, atol=1e-9), limits
+
+
+def test_quantile_of_empty_column_is_none(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    b = FitBatch(df)
+    b.quantile("q", F.col("x"), [0.5])
+    assert b.run()["q"] == [None]
