@@ -62,3 +62,10 @@ def python_replacement_to_java(repl: str) -> str:
             out.append(ch)
         i += 1
     return "".join(out)
+
+
+def python_pattern_to_java(pattern: str) -> str:
+    """Translate Python-only regex syntax to Java's: named groups ``(?P<n>...)`` and
+    back-references ``(?P=n)``. Everything else both engines read the same way."""
+    pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)

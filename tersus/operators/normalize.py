@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersus.errors import CleaningError, require_column
-from tersus.functions.text import python_replacement_to_java, strip_ws, title_case
+from tersus.functions.text import python_pattern_to_java, python_replacement_to_java, strip_ws, title_case
 
 METHODS = ("upper", "lower", "strip", "title", "regex", "replace")
 
@@ -27,7 +27,8 @@ def normalize_expr(c, method: str, pattern=None, replacement=None):
             raise CleaningError(f"method='{m}' requires 'pattern'")
         repl = replacement or ""
         if m == "regex":
-            return F.regexp_replace(s, F.lit(pattern), F.lit(python_replacement_to_java(repl)))
+            return F.regexp_replace(s, F.lit(python_pattern_to_java(pattern)),
+                                    F.lit(python_replacement_to_java(repl)))
         return F.replace(s, F.lit(pattern), F.lit(repl))
     raise CleaningError(f"Unknown normalize method '{m}'")
 

@@ -79,3 +79,13 @@ def test_literal_replace_and_pattern_required(spark):
     assert normalize_values(df, "s", "replace", ".", "-").first()["s"] == "a-b-c"
     with pytest.raises(CleaningError):
         normalize_values(df, "s", "regex")
+
+
+def test_python_named_groups_translate(spark):
+    import re as _re
+    from tersus.functions.text import python_pattern_to_java
+    pat, repl = r"(?P<num>\d)-(?P<word>\w+)", r"\g<word>:\g<num>"
+    assert python_pattern_to_java(r"(?P<a>x)(?P=a)") == r"(?<a>x)\k<a>"
+    df = spark.createDataFrame([("1-URGENT",), ("none",)], "s string")
+    got = [r["s"] for r in normalize_values(df, "s", "regex", pat, repl).collect()]
+    assert got == [_re.sub(pat, repl, "1-URGENT"), "none"]
