@@ -42,10 +42,17 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return reader.load(path)
 
 
-def run_to_end(stream_writer, checkpoint: str, timeout_s: int = 600):
-    """Start a ``DataStreamWriter`` with ``availableNow`` and wait until it has
-    consumed everything; returns the finished query."""
-    q = stream_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream_writer, checkpoint: str, timeout_s: int = 600, trigger: dict | None = None):
+    """Start a ``DataStreamWriter`` and wait for it.
+
+    The default trigger ``{"availableNow": True}`` consumes everything available
+    and stops (batch-like catch-up runs, tests). A long-running query passes e.g.
+    ``{"processingTime": "1 minute"}`` and ``timeout_s=None`` to return the
+    running query instead of waiting.
+    """
+    q = stream_writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    if timeout_s is None:
+        return q
     if not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("stream did not finish")

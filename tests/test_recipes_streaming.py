@@ -131,3 +131,20 @@ def test_checkpoint_materialization_gives_same_result(spark):
         spark.conf.set("tersus.materialize", "persist")
     b = rc.apply_steps({"orders": o, "customers": c}, rc.R3_ETL)["merged"]
     assert ra == _rounded(b)
+
+
+def test_processing_time_trigger_returns_running_query(spark):
+    from tersus.streaming import run_to_end
+    base, fx = _dirty(spark)
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    src = os.path.join(root, "src")
+    fx.stream_dirty(base["events"]).write.parquet(src)
+    schema = "txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, event_ts STRING"
+    sink = os.path.join(root, "sink")
+    q = run_to_end(read_stream(spark, src, schema).writeStream.format("parquet").option("path", sink),
+                   os.path.join(root, "ck"), timeout_s=None, trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+        assert spark.read.parquet(sink).count() == fx.stream_dirty(base["events"]).count()
+    finally:
+        q.stop()
