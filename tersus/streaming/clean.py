@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from tersus.errors import CleaningError
 from tersus.functions.parse import DATE_FORMATS, to_timestamp
-from tersus.functions.stats import FitBatch
 from tersus.operators.casts import cast_column
 from tersus.operators.derive import add_derived_column
 from tersus.operators.normalize import normalize_values
-from tersus.operators.nulls import FillFitter, drop_nulls
-from tersus.operators.outliers import OutlierFitter, filter_range
+from tersus.operators.nulls import drop_nulls
+from tersus.operators.outliers import filter_range
 
 STREAM_SAFE = {"fill_nulls", "cast_column", "normalize_values", "filter_outliers", "add_derived_column",
                "drop_nulls", "filter_range"}
@@ -59,57 +58,23 @@ def _plain(df: DataFrame, st: dict) -> DataFrame:
 
 
 def fit_recipe(history: DataFrame, steps) -> FittedRecipe:
-    """Fit a single-table step list on ``history``; fits are sequential, each on
-    the output of the previous steps, with independent consecutive fits batched."""
+    """Fit a single-table step list on ``history`` exactly as the batch recipe
+    runner does (same sequential fits, same batching of independent fits) and
+    keep the fitted steps for replay on micro-batches."""
     steps = [s for s in steps if s.get("operation") != "submit"]
-    fitted = FittedRecipe()
-    df = history
-    i = 0
-    while i < len(steps):
-        st = steps[i]
+    for st in steps:
         op = st["operation"]
         if op not in STREAM_SAFE:
             raise CleaningError(f"operation '{op}' is not allowed in a streaming recipe")
         if op == "fill_nulls" and (st.get("strategy") or "mean").lower() in ("forward_fill", "ffill",
                                                                              "backward_fill", "bfill"):
             raise CleaningError("order-based fills need a total order and cannot run per micro-batch")
-        if op not in ("fill_nulls", "filter_outliers"):
-            fitted.steps.append(st)
-            df = _plain(df, st)
-            i += 1
-            continue
-        # batch this fit with following fills that read unchanged inputs (a filter
-        # changes the rows, so it always fits alone)
-        group, touched = [i], {st.get("column")}
-        if op != "filter_outliers":
-            for j in range(i + 1, len(steps)):
-                nx = steps[j]
-                if nx["operation"] == "fill_nulls" and nx.get("column") not in touched and \
-                        (nx.get("strategy") or "mean").lower() in ("mean", "median", "mode", "constant"):
-                    group.append(j)
-                elif nx["operation"] not in ("cast_column", "normalize_values", "add_derived_column"):
-                    break
-                touched.add(nx.get("column") or nx.get("column_name"))
-        b = FitBatch(df)
-        fitters = {}
-        for k in group:
-            s2 = steps[k]
-            if s2["operation"] == "fill_nulls":
-                f = FillFitter(df, s2["column"], s2.get("strategy"), s2.get("value"), round_to=s2.get("round_to"),
-                               integral=bool(s2.get("integral")), approx=bool(s2.get("approx")))
-            else:
-                thr = s2["threshold"] if "threshold" in s2 else 3.0
-                f = OutlierFitter(df, s2["column"], s2.get("method"), thr, approx=bool(s2.get("approx")))
-            f.request(b)
-            fitters[k] = f
-        res = b.run()
-        for k in range(i, group[-1] + 1):
-            s2 = steps[k]
-            step_obj = fitters[k].finish(res) if k in fitters else s2
-            fitted.steps.append(step_obj)
-            df = step_obj.apply(df) if k in fitters else _plain(df, s2)
-        i = group[-1] + 1
-    return fitted
+    from tersus.plans.recipes import apply_steps
+
+    record: dict = {}
+    apply_steps({"history": history}, [dict(st, table_name="history") for st in steps],
+                default_table="history", record=record)
+    return FittedRecipe(record.get("history", []))
 
 
 def dedup_stream(stream: DataFrame, keys, event_time: str, delay: str, formats=DATE_FORMATS) -> DataFrame:
