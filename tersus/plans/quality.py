@@ -172,10 +172,6 @@ def _card(df: DataFrame, parts: dict, extra: dict | None = None) -> DataFrame:
                                 F.round(clamp(_total({k: F.col(k) for k in parts})), 6).alias("score"))
 
 
-def _const(df: DataFrame, value: float, name="score") -> DataFrame:
-    return df.agg(F.lit(value).alias(name))
-
-
 # -------------------------------------------------------------- scorecards
 def scorecard_null_fixing(df: DataFrame, expected: DataFrame, age: str = "age",
                           salary: str = "salary") -> DataFrame:

@@ -8,8 +8,6 @@ returns the sink read back as a batch DataFrame.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from tersus.plans import recipes as rc
@@ -17,7 +15,6 @@ from tersus.streaming import (clean_to_sink, dedup_stream, drift_report, drift_t
                               fit_recipe,
                               read_stream, running_profile, running_score, stage_batches)
 from tersus.streaming.monitor import new_paths
-from tersus.suite import sql as S
 from tersus.suite.registry import ctx, query, r6
 from tersus.suite.sql import k1, k2, with_views
 
@@ -123,8 +120,6 @@ def st6_drift_detection(spark, sf):
     return drift_report(spark.read.parquet(sink), baseline)
 
 
-assert S  # views are shared with the plan queries
-
 
 def _g4_final_sql():
     from tersus.suite.plan_queries import _g4_sql
