@@ -100,6 +100,68 @@ def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, chec
     return scores
 
 
+def frozen_fences(history_clean: DataFrame, amount: str = "amount", t: float = 1.5):
+    """IQR fences of the cleaned history, fitted once (exact quantiles)."""
+    from tersus.functions.stats import FitBatch
+
+    b = FitBatch(history_clean)
+    b.quantile("q", to_double(amount, history_clean.schema[amount].dataType), [0.25, 0.75])
+    q1, q3 = b.run()["q"]
+    if q1 is None:
+        return None
+    return q1 - t * (q3 - q1), q3 + t * (q3 - q1)
+
+
+def score_counts(df: DataFrame, fences, amount: str = "amount", category: str = "category",
+                 region: str = "region", ts: str = "event_ts") -> DataFrame:
+    """Additive counts behind the stream scorecard for one batch (one row)."""
+    num = to_double(amount, df.schema[amount].dataType)
+    outside = F.lit(False) if fences is None else (num < F.lit(fences[0])) | (num > F.lit(fences[1]))
+    parsed = to_timestamp(ts, df.schema[ts].dataType)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(num.isNull()).alias("amount_nulls"),
+                  F.count(num).alias("amount_values"), F.count_if(num.isNotNull() & outside).alias("outside"),
+                  F.count_if(F.col(category).isNull()).alias("category_nulls"),
+                  F.count_if(F.col(region).isNull()).alias("region_nulls"),
+                  F.count(parsed).alias("ts_parsed"))
+
+
+def running_score_frozen(stream: DataFrame, fitted_recipe, fences, sink: str, checkpoint: str,
+                         amount_numeric: bool = True, ts_typed: bool = True) -> str:
+    """ST4 in O(batch): each cleaned micro-batch contributes additive counts; the
+    outlier share is measured against IQR fences frozen at fit time instead of
+    fences re-derived from everything accumulated (the exact ``running_score``)."""
+    run_to_end(stream.writeStream.foreachBatch(
+        lambda df, bid: _write_batch(score_counts(fitted_recipe.apply(df), fences), sink, bid)), checkpoint)
+    return sink
+
+
+def running_score_table(counts: DataFrame, amount_numeric: bool = True, ts_typed: bool = True) -> DataFrame:
+    """Cumulative stream scorecard per batch from per-batch counts. The window
+    runs over one row per batch, not over data rows."""
+    from pyspark.sql import Window
+
+    from tersus.plans.quality import G4_W, clamp, completeness_prop, outlier_tier
+
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    cols = ["n", "amount_nulls", "amount_values", "outside", "category_nulls", "region_nulls", "ts_parsed"]
+    c = counts.select("batch_id", *[F.sum(x).over(w).alias(x) for x in cols])
+    n = F.col("n").cast("double")
+    amount_type = F.lit(G4_W["amount_type"]) if amount_numeric else \
+        F.when(F.col("amount_nulls") / n < G4_W["amount_parse_max_nulls"], F.lit(G4_W["amount_parse"])) \
+        .otherwise(F.lit(0.0))
+    frac = F.when(F.col("amount_values") > 0, F.col("outside") / F.col("amount_values"))
+    parts = [completeness_prop(F.col("amount_nulls") / n, G4_W["amount_nulls"]), amount_type,
+             outlier_tier(frac, G4_W["outlier_cuts"], G4_W["outliers"]),
+             completeness_prop(F.col("category_nulls") / n, G4_W["category_nulls"]),
+             completeness_prop(F.col("region_nulls") / n, G4_W["region_nulls"]),
+             F.lit(G4_W["ts_type"]) if ts_typed else F.lit(G4_W["ts_type"]) * F.col("ts_parsed") / n]
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + part
+    score = F.when(F.col("n") == 0, F.lit(0.05)).otherwise(F.round(clamp(total), 6))
+    return c.select("batch_id", F.col("n").alias("n_rows"), score.alias("score"))
+
+
 def clean_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str) -> str:
     """ST2: apply a fitted recipe per micro-batch and append the result."""
     run_to_end(stream.writeStream.foreachBatch(lambda df, bid: _write_batch(transform(df), sink, bid)), checkpoint)

@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tersus.plans import recipes as rc
@@ -148,3 +150,33 @@ def test_processing_time_trigger_returns_running_query(spark):
         assert spark.read.parquet(sink).count() == fx.stream_dirty(base["events"]).count()
     finally:
         q.stop()
+
+
+def test_frozen_fence_running_score_matches_batch_counts(spark):
+    from tersus.plans.quality import G4_W
+    from tersus.streaming import frozen_fences, running_score_frozen, running_score_table, stage_batches
+    from tersus.streaming.monitor import score_counts
+    base, fx = _dirty(spark)
+    days = fx.stream_dirty(base["events"], with_day=True)
+    hist = fx.stream_dirty(base["events"])
+    fitted = fit_recipe(hist, rc.R4_STREAM)
+    fences = frozen_fences(fitted.apply(hist))
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    src = stage_batches(days, spark, "arrival_day", path=os.path.join(root, "src"))
+    schema = ("txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, "
+              "event_ts STRING, arrival_day DATE")
+    sink = os.path.join(root, "counts")
+    running_score_frozen(read_stream(spark, src, schema, max_files_per_trigger=7).drop("arrival_day"),
+                         fitted, fences, sink, os.path.join(root, "ck"))
+    table = running_score_table(spark.read.parquet(sink)).orderBy("batch_id").collect()
+    assert len(table) >= 4 and table[-1]["n_rows"] == fitted.apply(hist).count()
+    # the last cumulative row equals the same formula over the whole cleaned table at once
+    whole = score_counts(fitted.apply(hist), fences).first()
+    n = whole["n"]
+    frac = whole["outside"] / whole["amount_values"]
+    tier = G4_W["outliers"][0] if frac < G4_W["outlier_cuts"][0] else (
+        G4_W["outliers"][1] if frac < G4_W["outlier_cuts"][1] else 0.0)
+    want = (0.25 * max(0, 1 - 3 * whole["amount_nulls"] / n) + 0.20 + tier
+            + 0.15 * max(0, 1 - 3 * whole["category_nulls"] / n) + 0.10 * max(0, 1 - 3 * whole["region_nulls"] / n)
+            + 0.10)
+    assert table[-1]["score"] == pytest.approx(max(0.05, min(0.98, want)), abs=1e-6)
