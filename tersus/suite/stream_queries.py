@@ -135,3 +135,18 @@ def st4_running_score_final(spark, sf):
     sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
     running_score(_stream(spark, sf).drop("arrival_day"), fitted, sink, scores, ck)
     return spark.read.parquet(scores).orderBy(F.col("batch_id").desc()).limit(1).select("n_rows", "score")
+
+
+@query("st4_running_score_frozen_final", _g4_final_sql())
+def st4_running_score_frozen_final(spark, sf):
+    """The O(batch) running score (per-batch counts, IQR fences frozen from the
+    cleaned history) after the last micro-batch. With the whole table as history
+    the fences are those of the cleaned table, so it equals the batch scorecard."""
+    from tersus.streaming import frozen_fences, running_score_frozen, running_score_table
+    stream_hist = ctx(spark, sf).stream
+    fitted = fit_recipe(stream_hist, rc.R4_STREAM)
+    fences = frozen_fences(fitted.apply(stream_hist))
+    sink, ck = new_paths(spark, "counts", "ckpt")
+    running_score_frozen(_stream(spark, sf).drop("arrival_day"), fitted, fences, sink, ck)
+    table = running_score_table(spark.read.parquet(sink))
+    return table.orderBy(F.col("batch_id").desc()).limit(1).select("n_rows", "score")
