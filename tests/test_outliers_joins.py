@@ -94,3 +94,16 @@ def test_quantile_of_empty_column_is_none(spark):
     b = FitBatch(df)
     b.quantile("q", F.col("x"), [0.5])
     assert b.run()["q"] == [None]
+
+
+def test_approx_iqr_differs_from_exact_only_near_the_fences(spark):
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(1000, 200, 20000), rng.uniform(20000, 90000, 300)]).round(2)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    exact = {r[0] for r in filter_outliers(df, "x", "iqr", 1.5).collect()}
+    approx = {r[0] for r in filter_outliers(df, "x", "iqr", 1.5, approx=True).collect()}
+    q1, q3 = np.quantile(vals, [0.25, 0.75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    for v in exact ^ approx:
+        assert min(abs(v - lo), abs(v - hi)) < 0.01 * (q3 - q1)
+    assert len(exact ^ approx) <= 20
