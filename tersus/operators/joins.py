@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersus.errors import CleaningError
+from tersus.functions.parse import is_numeric, is_string
 
 HOWS = ("inner", "left", "right", "outer")
 
@@ -31,6 +32,11 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
         raise CleaningError(f"Key '{on}' not in '{left_name}'. Available: {list(left.columns)}")
     if on not in right.columns:
         raise CleaningError(f"Key '{on}' not in '{right_name}'. Available: {list(right.columns)}")
+    lt, rt = left.schema[on].dataType, right.schema[on].dataType
+    if is_string(lt) != is_string(rt) or is_numeric(lt) != is_numeric(rt):
+        # a text key against a numeric key would be cast row by row and fail at run time
+        raise CleaningError(f"Key '{on}' has type {lt.simpleString()} in '{left_name}' but "
+                            f"{rt.simpleString()} in '{right_name}'; cast one side first")
     overlap = [c for c in left.columns if c != on and c in right.columns]
     lnames = {c: (c + suffixes[0] if c in overlap else c) for c in left.columns}
     rnames = {c: (c + suffixes[1] if c in overlap else c) for c in right.columns if c != on}

@@ -107,3 +107,12 @@ def test_approx_iqr_differs_from_exact_only_near_the_fences(spark):
     for v in exact ^ approx:
         assert min(abs(v - lo), abs(v - hi)) < 0.01 * (q3 - q1)
     assert len(exact ^ approx) <= 20
+
+
+def test_join_rejects_text_against_numeric_key(spark):
+    left = spark.createDataFrame([("1",)], "k string")
+    right = spark.createDataFrame([(1,)], "k long")
+    with pytest.raises(CleaningError, match="cast one side"):
+        merge_tables(left, right, "k")
+    ints = spark.createDataFrame([(1,)], "k int")
+    assert merge_tables(ints, right, "k").count() == 1  # int vs bigint widens
