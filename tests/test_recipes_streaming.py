@@ -180,3 +180,16 @@ def test_frozen_fence_running_score_matches_batch_counts(spark):
             + 0.15 * max(0, 1 - 3 * whole["category_nulls"] / n) + 0.10 * max(0, 1 - 3 * whole["region_nulls"] / n)
             + 0.10)
     assert table[-1]["score"] == pytest.approx(max(0.05, min(0.98, want)), abs=1e-6)
+
+
+def test_r2_and_r3_raise_their_scorecards(spark):
+    from tersus.plans import quality as ql
+    base, fx = _dirty(spark)
+    orders, base_orders = fx.orders_dirty(base["orders"]), fx.orders_dirty_base(base["orders"])
+    before = ql.scorecard_normalisation(orders, base_orders, country="priority").first()["score"]
+    after = ql.scorecard_normalisation(rc.r2_normalise(orders), base_orders, country="priority").first()["score"]
+    assert after > before
+    customers = fx.customers_dirty(base["customer"], base["nation"])
+    golden = rc.r5_golden_etl(base_orders, customers)
+    assert ql.scorecard_etl({"orders": base_orders}, golden).first()["score"] == 0.05  # nothing merged yet
+    assert ql.scorecard_etl({"merged": rc.r3_etl(base_orders, customers)}, golden).first()["score"] > 0.05
