@@ -79,3 +79,19 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted((r["k"], r["v"], r["p"]) for r in back.collect()) == [(1, "a", "x"), (2, None, "y")]
     paths = write_tables(TableSet({"a": df, "b": df.limit(1)}), str(tmp_path / "set"), fmt="json")
     assert spark.read.json(paths["b"]).count() == 1
+
+
+def test_operators_on_an_empty_table(spark):
+    from tersus.errors import CleaningError
+    from tersus.operators import fill_nulls, filter_outliers, remove_duplicates
+    empty = spark.createDataFrame([], "o long, a string, k long")
+    assert remove_duplicates(empty).count() == 0
+    assert remove_duplicates(empty, ["k"], order_by="o").count() == 0
+    assert filter_outliers(empty, "a", "iqr", 1.5).count() == 0
+    assert filter_outliers(empty, "a", "zscore", 3.0).count() == 0
+    assert fill_nulls(empty, "a", "ffill", order_by="o").count() == 0
+    rows = prof.null_counts(empty, "e").collect()
+    assert {(r["column_name"], r["null_count"], r["row_count"]) for r in rows} == {("o", 0, 0), ("a", 0, 0), ("k", 0, 0)}
+    assert prof.duplicate_count(empty, "e").first()["duplicate_count"] == 0
+    with pytest.raises(CleaningError):
+        fill_nulls(empty, "a", "mean")  # nothing to fit: refused, not invented
