@@ -59,8 +59,8 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext checkpoint dir). If
-    neither is set, a local one is created and registered -- only valid for
-    local mode, which is the only place it can be unset in our runs.
+    neither is set, a local master gets a folder of its own; any other master
+    raises, because executors would not see a folder made on the driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -69,6 +69,8 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
         except Exception:
             base = None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tersus-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(base)

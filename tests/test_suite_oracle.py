@@ -9,10 +9,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from tersus.suite.registry import ORACLE  # noqa: E402
 from oracle_check import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in entry.oracle_sql() if not n.startswith("st")]
+NAMES = [n for n in ORACLE if not n.startswith("st")]
 
 
 @pytest.fixture(scope="module")
