@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import round_trip
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .repair import token_files
 from .simhash import simhash_components
 
 QUERIES: dict = {}
@@ -29,6 +31,12 @@ def op1_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN)
 
 
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          capacity=2048, end_id=0)
+
+
 @query("op4_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -37,6 +45,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@query("op9_repair_token_files")
+def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
