@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import round_trip
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .ngram_lm import held_out_scores
 from .packing import pack_documents
+from .quality import quality_scores
 from .repair import token_files
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -45,6 +48,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_discriminant")
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", threshold=0.3)
+
+
+@query("op7_kneser_ney_lm")
+def op7_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(read_table(spark, sf_dir, "documents"), order=2, folds=7, held_out_fold=2)
+
+
+@query("op8_toxicity_ngrams")
+def op8_toxicity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", threshold=0.5)
+
+
 @query("op9_repair_token_files")
 def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
