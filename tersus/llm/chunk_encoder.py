@@ -39,6 +39,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+def strings(a: pa.Array, apart: str) -> list[str]:
+    """The array as a list; ``apart`` occurs in none of the strings (one long string converts faster)."""
+    if not len(a):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    return pc.binary_join(one, apart)[0].as_py().split(apart)
+
+
 class ChunkEncoder:
     """``white_space_dropped``: the tokenizer lower-cases and its words never hold white space, so texts are cut
     at every space and line feed. Otherwise a word may begin with one space: texts are cut before each single
@@ -116,7 +124,7 @@ class ChunkEncoder:
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = cut.flatten().dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        distinct, which = strings(coded.dictionary, "\n" if self.dropped else CUT), coded.indices.to_numpy(zero_copy_only=False)
         whole = np.zeros(0, np.int64)
         if self.dropped:
             distinct = [c.lower() if c.isascii() else c for c in distinct]
@@ -149,7 +157,7 @@ def chunk_encoder(path: str, end_id: int, white_space_dropped: bool) -> ChunkEnc
     return ChunkEncoder(path, end_id, white_space_dropped)
 
 
-def by_size(batches, text_column: str = "text", max_bytes: int = 4 << 20):
+def by_size(batches, text_column: str = "text", max_bytes: int = 8 << 20):
     """Slices of the batches of about ``max_bytes`` of text; one longer text is a slice of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -228,7 +228,7 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_pieces(cut: DataFrame, capacity: int = 2048, groups: int = 120, rank_rows: int = 4096) -> DataFrame:
+def pack_pieces(cut: DataFrame, capacity: int = 2048, groups: int = 120, rank_rows: int = 1024) -> DataFrame:
     """``cut`` (a written table) with sequence_id and offset. ``rank_rows``: about how many pieces of one length
     are ranked together; a frequent length is dealt over as many buckets as that needs."""
     spark = cut.sparkSession

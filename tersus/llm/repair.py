@@ -148,7 +148,7 @@ def shard_bytes(doc_ids: np.ndarray, null_id: np.ndarray, ids: np.ndarray, lengt
     return b"".join([MAGIC, struct.pack("<I", len(text)), text, *(a.tobytes() for a in arrays.values())])
 
 
-def write_shards(df: DataFrame, tokenizer_file: str, end_id: int, folder: str, shard_tokens: int = 4_000_000,
+def write_shards(df: DataFrame, tokenizer_file: str, end_id: int, folder: str, shard_tokens: int = 2_000_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write all documents in ascending id order; one row per shard: part, shard, path, tokens.
 
@@ -208,7 +208,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(df: DataFrame, tokenizer_file: str, end_id: int, shard_tokens: int = 4_000_000,
+def token_files(df: DataFrame, tokenizer_file: str, end_id: int, shard_tokens: int = 2_000_000,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents' ids and read them back: doc_id, start, n_tokens, ids_crc32.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .bpe_codec import round_trip
 from .common import read_table
 from .exact_dedup import exact_dedup
@@ -53,6 +54,11 @@ def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", threshold=0.3)
 
 
+@query("op6_adaptive_ann")
+def op6_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 @query("op7_kneser_ney_lm")
 def op7_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(read_table(spark, sf_dir, "documents"), order=2, folds=7, held_out_fold=2)
