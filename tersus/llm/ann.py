@@ -53,7 +53,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """Of each row of ``query`` with the same row of ``x``, in double precision."""
+    return (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum(axis=1)))
 
 
 def fit_index(rows: DataFrame, total: int, lists: int | None, sample_rows: int, rounds: int = 12, seed: int = 7) -> Index:
@@ -111,57 +112,74 @@ def probes(queries: DataFrame, index: Index, sizes: np.ndarray, probe_share: flo
     return queries.mapInArrow(run, "vec_id long, vector array<double>, list int, near boolean")
 
 
-def adaptive_scan(query: np.ndarray, blocks: list[np.ndarray], top: int, bound: float, looseness: float) -> np.ndarray:
-    """Places of the ``top`` candidates (or more, on ties) nearest to the rotated ``query``, among those that are not
-    abandoned. ``blocks``: the candidates' rotated coordinates in blocks of rows, one row a dimension.
+def adaptive_scan(queries: np.ndarray, blocks: list[np.ndarray], bounds: np.ndarray,
+                  looseness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, squared distance) of the pairs that are not abandoned. ``queries``: rotated, one a row;
+    ``blocks``: the candidates' rotated coordinates in blocks of columns, stored one dimension a row.
 
-    After d of D dimensions a candidate goes if its partial squared distance, times D / d, is over
-    ``bound`` * (1 + looseness / sqrt(d)) ** 2: the test's error falls with both d and ``looseness``.
+    After d of D dimensions a pair goes if its partial squared distance, times D / d, is over the query's
+    bound * (1 + looseness / sqrt(d)) ** 2: the test's error falls with both d and ``looseness``.
     """
-    total, done = len(query), 0
-    alive, partial = np.arange(blocks[0].shape[1]), np.zeros(blocks[0].shape[1])
-    for block in blocks:
-        part = block if len(alive) == block.shape[1] else block[:, alive]
-        difference = part - query[done:done + len(block), None]
-        partial = partial + (difference * difference).sum(axis=0)
-        done += len(block)
-        if done < total and np.isfinite(bound):
-            keep = partial * (total / done) <= bound * (1 + looseness / done ** 0.5) ** 2
-            alive, partial = alive[keep], partial[keep]
-            if not len(alive):
-                return alive
-    if len(alive) > top:
-        worst = np.partition(partial, top - 1)[top - 1]
-        alive = alive[partial <= worst * (1 + 1e-9) + 1e-12]
-    return alive
-
-
-def scan(candidates: DataFrame, queries: DataFrame, index: Index, top: int, block: int, looseness: float) -> DataFrame:
-    """query_id, vec_id, score: for each query and chunk, the nearest candidates that the scan finds."""
+    total, done = queries.shape[1], 0
+    query = candidate = partial = None
+    for x in blocks:
+        z = queries[:, done:done + len(x)]
+        done += len(x)
+        if query is None or len(query) > 0.2 * len(z) * x.shape[1]:  # most pairs live: whole matrix products
+            part = (z * z).sum(axis=1)[:, None] + (x * x).sum(axis=0) - 2 * (z @ x)
+            if query is None:
+                query, candidate = (i.ravel() for i in np.indices(part.shape))
+                partial = part.ravel()
+            else:
+                partial = partial + part[query, candidate]
+        else:
+            difference = x[:, candidate] - z.T[:, query]
+            partial = partial + (difference * difference).sum(axis=0)
+        if done < total:
+            live = partial * (total / done) <= bounds[query] * (1 + looseness / done ** 0.5) ** 2
+            query, candidate, partial = query[live], candidate[live], partial[live]
+    return query, candidate, partial
+
+
+def _first_of_each(group: np.ndarray, top: int) -> np.ndarray:
+    """Which places hold one of the first ``top`` entries of their group; ``group`` ascends."""
+    start = np.searchsorted(group, group)
+    return np.arange(len(group)) - start < top
+
+
+def scan(candidates: DataFrame, queries: DataFrame, index: Index, top: int, block: int, looseness: float,
+         pairs: int = 200_000) -> DataFrame:
+    """query_id, vec_id, score: for each query and chunk, the nearest candidates that the scan finds. ``pairs``: about
+    how many are in memory at once."""
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids = left.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = as_matrix(left.column("vector").combine_chunks())[order]
+        x = as_matrix(left.column("vector").combine_chunks())
         rotated = np.ascontiguousarray((unit(x) @ index.rotation).T)
         blocks = [rotated[a:a + block] for a in range(0, len(rotated), block)]
+        askers = right.column("vec_id").to_numpy()
         wanted = as_matrix(right.column("vector").combine_chunks())
         turned = unit(wanted) @ index.rotation
+        bounds = right.column("bound").combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False).copy()
+        unknown = np.flatnonzero(np.isinf(bounds))
+        if len(unknown) and len(ids) > 4 * top:  # a first bound from a few candidates
+            d = 2 - 2 * turned[unknown] @ rotated[:, :4 * top]
+            bounds[unknown] = np.partition(d, top - 1, axis=1)[:, top - 1] + 1e-9
         out = [], [], []
-        first = [b[:, :4 * top] for b in blocks]  # a first bound where none is known
-        for q, original, z, known in zip(right.column("vec_id").to_pylist(), wanted, turned, right.column("bound").to_pylist()):
-            bound = np.inf if known is None else known
-            if not np.isfinite(bound) and len(ids) > 4 * top:
-                d = sum(((b - z[i * block:i * block + len(b), None]) ** 2).sum(axis=0) for i, b in enumerate(first))
-                bound = np.partition(d, top - 1)[top - 1]
-            at = adaptive_scan(z, blocks, top, bound, looseness)
-            score = cosines(original, x[at])
-            best = np.lexsort((ids[at], -score))[:top]
-            out[0].append(np.full(len(best), q))
-            out[1].append(ids[at][best])
-            out[2].append(score[best])
+        step = max(1, pairs // len(ids))
+        for a in range(0, len(askers), step):
+            q, c, distance = adaptive_scan(turned[a:a + step], blocks, bounds[a:a + step], looseness)
+            order = np.lexsort((distance, q))
+            q, c, distance = q[order], c[order], distance[order]
+            last = np.minimum(np.searchsorted(q, q) + top, np.searchsorted(q, q, "right")) - 1
+            near = distance <= distance[last] + 1e-9  # whoever could tie is kept for the exact score
+            q, c = q[near], c[near]
+            score = cosines(wanted[a + q], x[c])
+            order = np.lexsort((ids[c], -score, q))
+            order = order[_first_of_each(q[order], top)]
+            for column, values in zip(out, (askers[a + q[order]], ids[c[order]], score[order])):
+                column.append(values)
         return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), out)})
     keys = ["list", "chunk", "part"]
     return candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
@@ -173,12 +191,13 @@ def nearest_of(found: DataFrame, top: int) -> DataFrame:
 
 
 def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int | None = None, sample_rows: int = 20_000,
-                       probe_share: float = 0.25, block: int = 16, looseness: float = 2.1, chunk_rows: int = 4096,
-                       id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                       probe_share: float = 0.6, block: int = 16, looseness: float = 1.5, chunk_rows: int = 4096,
+                       least_candidates: int = 1000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row whose id ``every`` divides.
 
     ``lists``: inverted lists, the square root of the rows if not given. ``sample_rows``: bound of the k-means
-    sample; every row is indexed. ``probe_share``: share of the lists that a query scans. ``looseness``: of
+    sample; every row is indexed. ``probe_share``: share of the lists that a query scans, more
+    if they hold fewer than ``least_candidates`` rows. ``looseness``: of
     the test that abandons candidates. Ties go to smaller ids. Null, zero, ragged and non-finite vectors and
     null ids take no part. Rows that repeat an id with other vectors are rows of their own, but no row with a
     query's id is its neighbour. With fewer than ``k`` other rows, all are returned; an empty table gives no
@@ -200,7 +219,7 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int |
     asked = written(rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
                     .withColumn("same_as", F.min("vec_id").over(Window.partitionBy("vector"))), "ann-queries")
     distinct = asked.filter("vec_id = same_as").select("vec_id", "vector")
-    probed = written(probes(distinct, index, sizes, probe_share, 20 * (k + 1)), "ann-probes")
+    probed = written(probes(distinct, index, sizes, probe_share, least_candidates), "ann-probes")
 
     def cut(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates and queries dealt to (list, chunk, part), each of bounded size."""
