@@ -130,6 +130,26 @@ def labelled(rows: DataFrame, labels: DataFrame, label_col: str, folds: int = 5,
     return rows.join(known, "doc_id").filter(fold("doc_id", folds) != 0)
 
 
+def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5) -> Discriminant:
+    """The model of the labelled training rows of ``rows`` (a statistics table)."""
+    return fit_discriminant(class_moments(labelled(rows, labels, label_col, folds), len(STATISTICS)))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, folds: int = 5,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score at least ``threshold``, all columns unchanged. Only labelled training rows are
+    read to fit; each row is then scored by its own text, so repeated and null ids need no care."""
+    known = labels.select(col(id_col).cast("long").alias("doc_id")).distinct()
+    model = fit(written(statistics_table(texts(df, id_col, text_col).join(known, "doc_id", "left_semi")), "quality-training"),
+                labels, label_col, folds)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        x = np.array([statistics(t or "") for t in text.to_pylist()]).reshape(-1, len(STATISTICS))
+        return pa.array(model.scores(x))
+    return df.filter(score(col(text_col).cast("string")) >= threshold)
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3,
                    folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, held_out, score (posterior of label 1), predicted (score >= threshold).
@@ -139,7 +159,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, label_col: str = "quality",
     repeat; an empty table gives no rows; other columns of either table are not read.
     """
     rows = written(statistics_table(df, id_col, text_col), "quality-statistics")
-    model = fit_discriminant(class_moments(labelled(rows, labels, label_col, folds), len(STATISTICS)))
+    model = fit(rows, labels, label_col, folds)
 
     def run(batches):
         for batch in batches:

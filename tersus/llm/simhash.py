@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import col, texts, written
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,12 +51,14 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row."""
+    """doc_id, text_hash and fp, the fingerprint as a signed long, for every row."""
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "text_hash", "fp"])
+    rows = texts(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_masks(blocks: int, bits: int = 64) -> list[int]:
@@ -128,6 +130,15 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _components(rows: DataFrame, max_bits: int, blocks: int, pairs_up_to: int) -> DataFrame:
+    """fp, root, component_id for every distinct fingerprint of ``rows``, written."""
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    roots = connected_components(fingerprint_links(fps, max_bits, blocks, pairs_up_to))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-roots")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                        max_bits: int = 2, blocks: int = 5, pairs_up_to: int = 32) -> DataFrame:
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id.
@@ -138,10 +149,18 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     result. An empty table gives no rows. Other columns are not read.
     """
     rows = written(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = connected_components(fingerprint_links(fps, max_bits, blocks, pairs_up_to))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-roots")
-    return (rows.join(of_fp, "fp")
+    return (rows.join(_components(rows, max_bits, blocks, pairs_up_to), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                     max_bits: int = 2, blocks: int = 5, pairs_up_to: int = 32) -> DataFrame:
+    """``df`` with one document of each component, all columns unchanged: the smallest id, then the smallest text
+    hash; null ids come last. Rows that repeat both id and text are one document and stay together."""
+    rows = written(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
+    rooted = rows.join(_components(rows, max_bits, blocks, pairs_up_to), "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    best = written(rooted.groupBy("root").agg(F.min(place).alias("best")).select(
+        F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash")), "simhash-kept")
+    text_hash = F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))
+    return df.join(best, col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")

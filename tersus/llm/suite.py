@@ -9,6 +9,7 @@ from .ann import nearest_neighbours
 from .bpe_codec import round_trip
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .license_scan import scan_licenses
 from .ngram_lm import held_out_scores
 from .packing import pack_documents
 from .quality import quality_scores
@@ -41,6 +42,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           capacity=2048, end_id=0)
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"), least=0.8)
+
+
 @query("op4_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

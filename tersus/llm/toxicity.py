@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_encoder import by_size, ragged
-from .common import fold, texts, written
+from .common import col, fold, texts, written
 from .quality import labelled
 
 SIZES = (3, 4, 5, 6, 7)
@@ -199,18 +199,35 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documen
     return LinearModel(ngrams, w[:-1] * ratio, float(w[-1] + shift))
 
 
+def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, rows_per_class: int = 8000,
+        features: int = 20_000, least_documents: int = 4, least_ratio: float = 20.0, penalty: float = 1e-3, steps: int = 300,
+        id_col: str = "doc_id", text_col: str = "text") -> LinearModel:
+    """The model of at most about ``rows_per_class`` labelled training documents of each class."""
+    sample, sizes = training_sample(df, labels, label_col, folds, rows_per_class, id_col, text_col)
+    return train(written(sample, "toxicity-sample"), sizes, features, least_documents, least_ratio, penalty, steps)
+
+
+def keep_clean(df: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, folds: int = 5,
+               id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+    """The rows of ``df`` that score under ``threshold``, all columns unchanged; each is scored by its own text."""
+    model = fit(df, labels, label_col, folds, id_col=id_col, text_col=text_col, **training)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
+        return pa.array(np.concatenate([model.scores(x.column("text")) for x in by_size([batch])] or [np.zeros(0)]))
+    return df.filter(score(col(text_col).cast("string")) < threshold)
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, folds: int = 5,
-                    rows_per_class: int = 8000, features: int = 20_000, least_documents: int = 4,
-                    least_ratio: float = 20.0, penalty: float = 1e-3, steps: int = 300,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """One row for each input row: doc_id, held_out, score (0 to 1, of label 1), predicted (score >= threshold).
 
-    Trained on at most about ``rows_per_class`` labelled documents of each class outside fold 0. Null texts
+    ``training``: the parameters of ``fit``, which learns from a bounded sample of labelled documents outside fold 0. Null texts
     count as empty and score by the bias alone. Repeated rows repeat; null ids count as the empty text in the
     fold; an empty table gives no rows; other columns of either table are not read.
     """
-    sample, sizes = training_sample(df, labels, label_col, folds, rows_per_class, id_col, text_col)
-    model = train(written(sample, "toxicity-sample"), sizes, features, least_documents, least_ratio, penalty, steps)
+    model = fit(df, labels, label_col, folds, id_col=id_col, text_col=text_col, **training)
 
     def run(batches):
         for batch in by_size(batches):
