@@ -13,12 +13,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Follows each chunk where white space is dropped; chunks that hold it are encoded on their own.
-MARK = "\u2122"
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
+#: How vocabularies without spaces mark the end of a word.
+WORD_END = "</w>"
+#: The first character after the Latin letters that have one composed form and one lower case.
+BEYOND_LATIN = "\u0180"
 
 #: Marks cuts inside texts where spaces count; texts that hold it are encoded as a whole.
 CUT = "\x1f"
@@ -59,11 +61,15 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id, self.dropped, self.max_chunks = end_id, white_space_dropped, max_chunks
-        one = self._ids([MARK])[0]
-        self.mark = one[0] if len(one) == 1 else None
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        # for words of plain letters the whole normalising and splitting is to cut at line feeds
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin (or, without spaces, end) a word
         for token, i in self.tokenizer.get_vocab().items():
-            self.begins[i] = token.startswith(SPACE)
+            self.edge[i] = token.endswith(WORD_END) if white_space_dropped else token.startswith(SPACE)
         self._clear()
 
     def _clear(self):
@@ -74,30 +80,27 @@ class ChunkEncoder:
     def _ids(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks in one array, and how many each has; one call for all of them.
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words in one array, and how many each has; one call for all of them."""
+        ids = np.array(self.plain.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        edges = np.flatnonzero(self.edge[ids])
+        return ids, np.diff(edges, prepend=-1) if self.dropped else np.diff(edges, append=len(ids))
 
-        A chunk's first id is known by its token, which begins with the chunk's space; where white space is
-        dropped, a mark with one id of its own follows each chunk instead.
-        """
-        joined = (f" {MARK} ".join(chunks) + f" {MARK}") if self.dropped else "".join(chunks)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-        if self.dropped:
-            ends = np.flatnonzero(ids == self.mark)
-            return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
-        return ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
-
-    def _can_join(self, chunk: str) -> bool:
-        if self.dropped:
-            return self.mark is not None and MARK not in chunk
-        return chunk[:1] == " " and not _odd(chunk)
+    def _is_plain(self, chunk: str) -> bool:
+        """Whether the chunk is a word of Latin letters (after a space, where spaces count) that normalising leaves."""
+        word = chunk if self.dropped else chunk[1:]
+        if not word.isalpha() or not (self.dropped or chunk[0] == " "):
+            return False
+        return word.isascii() or max(word) < BEYOND_LATIN and (not self.dropped or word == word.lower())
 
     def _entries(self, chunks: list[str]) -> np.ndarray:
         index = self.index
         new = [c for c in dict.fromkeys(chunks) if c not in index]
         if new:
-            new.sort(key=self._can_join)
-            alone = next((i for i, c in enumerate(new) if self._can_join(c)), len(new))
+            plain, other = [], []
+            for c in new:
+                (plain if self._is_plain(c) else other).append(c)
+            new, alone = other + plain, len(other)
             rows = self._ids(new[:alone])
             ids, lengths = self._joined(new[alone:]) if alone < len(new) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             if len(lengths) != len(new) - alone:

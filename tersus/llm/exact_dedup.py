@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, shuffle_partitions, texts, written
+from .common import col, shuffle_partitions, texts, unused, written
 
 
 def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,18 +60,17 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows that repeat both id and text leave one row, the smallest by the other columns' hash; that choice
     needs a shuffle of these rows only.
     """
-    digest, row_hash = "__digest", "__hash"
+    digest, row_hash, key, sha, copies = unused(df, "digest", "row_hash", "key", "sha", "copies")
     kept = (exact_dedup(df, id_col, text_col, salts).filter("kept")
-            .groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies")))
-    kept = written(kept, "dedup-kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "copies")
+            .groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(copies)))
+    kept = written(kept, "dedup-kept")
     tagged = df.withColumn(digest, F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256))
-    same = col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__sha"))
-    once = tagged.join(kept.filter("copies = 1"), same, "left_semi").drop(digest)
-    repeated = kept.filter("copies > 1")
+    same = col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(sha))
+    once = tagged.join(kept.filter(F.col(copies) == 1), same, "left_semi").drop(digest)
+    repeated = kept.filter(F.col(copies) > 1)
     if repeated.isEmpty():
         return once
-    rows = tagged.join(repeated, same, "left_semi").withColumn(
-        row_hash, F.xxhash64(*[F.to_json(F.struct(col(c))) for c in df.columns]))
-    columns = [F.min_by(F.struct(*[col(c) for c in df.columns]), F.col(row_hash)).alias("row")]
-    best = rows.groupBy(col(id_col).alias("__id"), F.col(digest)).agg(*columns)
+    whole = F.struct(*[col(c) for c in df.columns])
+    rows = tagged.join(repeated, same, "left_semi").withColumn(row_hash, F.xxhash64(F.to_json(whole)))
+    best = rows.groupBy(col(id_col).alias(key), F.col(digest)).agg(F.min_by(whole, F.col(row_hash)).alias("row"))
     return once.unionByName(best.select(*[F.col("row").getField(c).alias(c) for c in df.columns]))

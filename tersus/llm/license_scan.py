@@ -84,14 +84,18 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(template: list[str], text: list[str]) -> list[tuple[int, int]]:
-    """Aligned places (template, text), ascending in both."""
-    out, todo = [], [(0, len(template), 0, len(text))]
+    """Aligned places (template, text), ascending in both.
+
+    Equal words are matched from a gap's ends inwards, but not from the outer ends of the text, which is wider
+    than the passage -- unless it has no anchor at all.
+    """
+    out, todo = [], [(0, len(template), 0, len(text), False, False)]
     while todo:
-        a, b, c, d = todo.pop()
-        while a < b and c < d and template[a] == text[c]:
+        a, b, c, d, left, right = todo.pop()  # left, right: whether that end touches a match
+        while left and a < b and c < d and template[a] == text[c]:
             out.append((a, c))
             a, c = a + 1, c + 1
-        while a < b and c < d and template[b - 1] == text[d - 1]:
+        while right and a < b and c < d and template[b - 1] == text[d - 1]:
             b, d = b - 1, d - 1
             out.append((b, d))
         if a == b or c == d:
@@ -99,12 +103,14 @@ def patience(template: list[str], text: list[str]) -> list[tuple[int, int]]:
         ours, theirs = Counter(template[a:b]), Counter(text[c:d])
         place = {w: c + i for i, w in enumerate(text[c:d]) if theirs[w] == 1}
         anchors = longest_increasing([(i, place[w]) for i, w in enumerate(template[a:b], a) if ours[w] == 1 and w in place])
-        for i, j in anchors:
+        if not anchors and not left and not right:
+            todo.append((a, b, c, d, True, True))
+        for n, (i, j) in enumerate(anchors):
             out.append((i, j))
-            todo.append((a, i, c, j))
+            todo.append((a, i, c, j, left or n > 0, True))
             a, c = i + 1, j + 1
         if anchors:
-            todo.append((a, b, c, d))
+            todo.append((a, b, c, d, True, right))
     return sorted(out)
 
 

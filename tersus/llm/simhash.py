@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, texts, written
+from .common import col, texts, unused, written
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -160,7 +160,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
     rooted = rows.join(_components(rows, max_bits, blocks, pairs_up_to), "fp")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    key, own_hash = unused(df, "key", "own_hash")
     best = written(rooted.groupBy("root").agg(F.min(place).alias("best")).select(
-        F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash")), "simhash-kept")
+        F.col("best.doc_id").alias(key), F.col("best.text_hash").alias(own_hash)), "simhash-kept")
     text_hash = F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))
-    return df.join(best, col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
+    return df.join(best, col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(own_hash)), "left_semi")
