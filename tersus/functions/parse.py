@@ -17,8 +17,12 @@ from pyspark.sql import types as T
 NULL_MARKERS = ("N/A", "n/a", "null", "NULL", "None", "none", "missing", "", "NaN", "nan")
 
 # Ordered timestamp formats tried by K2. Day-first for slashed dates, as the
-# dirty generators write them.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy")
+# dirty generators write them. The later ones are the other ISO 8601 forms; any of
+# them may end in an offset (``Z``, ``+02:00``), which moves the result to UTC.
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "yyyy-MM-dd'T'HH:mm:ss",
+                "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+_OFFSET = r"(?<=:\d{2}|\.\d{1,6})(Z|[+-]\d{2}(:?\d{2})?)$"
 
 # Shape of a number both Spark's cast and a strict numeric parser accept: optional
 # sign, decimal digits with optional fraction and exponent, or inf/infinity/nan,
@@ -29,7 +33,7 @@ _NUMBER_SHAPE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\
 # Pattern letters of a datetime format -> the digits they match (used to test a
 # string's shape before parsing it).
 _FORMAT_TOKENS = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
-                  "ss": r"\d{2}"}
+                  "ss": r"\d{2}", "SSSSSS": r"\d{1,6}", "'T'": "T"}
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -55,8 +59,19 @@ def is_temporal(dt) -> bool:
     return isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, dots and spaces included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return col(c) if isinstance(c, str) else c
+
+
+def missing(df, name: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    c = col(name)
+    return c.isNull() | F.isnan(c) if is_floating(df.schema[name].dataType) else c.isNull()
 
 
 def std_nulls(c, dt) -> Column:
@@ -118,6 +133,12 @@ def to_timestamp(c, dt, formats=DATE_FORMATS) -> Column:
         return c.cast("timestamp_ntz")
     if not is_string(dt):
         return F.lit(None).cast("timestamp_ntz")
+    # the offset of a time, in minutes; "" (no offset) and "Z" are none
+    offset = F.regexp_extract(c, _OFFSET, 1)
+    digits = F.rpad(F.regexp_replace(offset, r"\D", ""), 4, "0").try_cast("int")
+    minutes = F.when(F.length(offset) > 1, (F.floor(digits / 100) * 60 + digits % 100)
+                     * F.when(offset.startswith("-"), -1).otherwise(1)).otherwise(0)
+    c = F.regexp_replace(c, _OFFSET, "")
     parts = []
     for fmt in formats:
         f = F.lit(fmt)
@@ -128,7 +149,23 @@ def to_timestamp(c, dt, formats=DATE_FORMATS) -> Column:
         shape = format_shape(fmt)
         # only strings of the right shape are parsed: failed parses are costly
         parts.append(F.when(c.rlike(shape), p) if shape else p)
-    return parts[0] if len(parts) == 1 else F.coalesce(*parts)
+    local = parts[0] if len(parts) == 1 else F.coalesce(*parts)
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"), F.lit(0))
+
+
+def to_bigint(c, dt) -> Column:
+    """Whole numbers exactly, fractions truncated, anything else (or out of range) NULL. Integers
+    and strings of integer shape never pass through a double, which is exact only to 2^53."""
+    c = _c(c)
+    if is_integral(dt) or isinstance(dt, (T.BooleanType, T.DecimalType)):
+        return c.try_cast("bigint")
+    num = to_double(c, dt)
+    # 2^63 as a double: the first value beyond the range
+    fraction = F.when((num >= F.lit(-2.0 ** 63)) & (num < F.lit(2.0 ** 63)), num.cast("bigint"))
+    if is_string(dt):
+        whole = F.regexp_replace(c, r"^\s*\+?|\s+$", "").try_cast("bigint")
+        return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), whole).otherwise(fraction)
+    return fraction
 
 
 def is_mostly_numeric(numeric_count, non_null_count) -> bool:

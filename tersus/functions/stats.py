@@ -2,17 +2,16 @@
 
 ``FitBatch`` gathers the aggregate expressions of several fits over one
 DataFrame and runs them as ONE aggregation (one scan, map-side partial
-aggregation, a one-row result). Two statistics cannot be a plain global
-aggregate at scale and get their own bounded jobs:
-
-* exact quantiles. Spark's exact ``percentile`` keeps a value->count map that
-  the single final-merge task must hold whole, so it is used only when the
-  column's distinct count (estimated in the first pass) is below
-  ``DISTINCT_LIMIT``. Above that, ``percentile_approx`` brackets each needed
-  rank and an exact count/grouping inside the bracket resolves it; brackets are
-  narrowed until the values inside are few enough to fetch.
-* modes. A ``groupBy(value).count()`` (partial aggregation collapses hot values
-  map-side) followed by a top-1 per request; no task ever holds all values.
+aggregation, a one-row result). Two statistics are not a plain global aggregate
+and get a grouped job each, shared by all requests of the batch:
+
+* exact quantiles: ``groupBy(value).count()`` (a hot value collapses map-side),
+  range-partitioned by value and written to the scratch folder with its
+  partition number. The partitions' sums say in which of them each rank lies;
+  only those are read again, and a running count inside them finds the value.
+  The same steps run at every size.
+* modes: ``groupBy(value).count()`` followed by a top-1 per request; no task
+  ever holds all values.
 """
 
 from __future__ import annotations
@@ -20,13 +19,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 1_000_000     # distinct values the exact-percentile merge task may hold
-COLLECT_LIMIT = 200_000        # distinct (value, count) pairs fetched for one bracket
-APPROX_ACCURACY = 10_000       # percentile_approx accuracy used for brackets / approx fits
-MAX_BRACKET_ROUNDS = 12
+from tersus.session import scratch_dir
+
+APPROX_ACCURACY = 10_000       # percentile_approx accuracy of approximate fits
 
 
 @dataclass
@@ -43,6 +41,7 @@ class _Mode:
     key: str
     num: Column | None
     txt: Column | None
+    form: object = None   # (results so far) -> "num" or "txt": the only form worth counting
 
 
 @dataclass
@@ -51,8 +50,6 @@ class FitBatch:
     aggs: dict = field(default_factory=dict)
     quantiles: list = field(default_factory=list)
     modes: list = field(default_factory=list)
-    distinct_limit: int = DISTINCT_LIMIT
-    collect_limit: int = COLLECT_LIMIT
 
     def agg(self, key: str, expr: Column) -> str:
         self.aggs[key] = expr
@@ -63,153 +60,103 @@ class FitBatch:
         self.quantiles.append(_Quantile(key, expr, tuple(float(p) for p in probs), approx, accuracy))
         return key
 
-    def mode(self, key: str, num: Column | None = None, txt: Column | None = None) -> str:
-        """Most frequent value, smallest on ties; numeric and text forms are separate
-        requests (``key + '.num'`` / ``key + '.txt'``) resolved in the same job."""
-        self.modes.append(_Mode(key, num, txt))
+    def mode(self, key: str, num: Column | None = None, txt: Column | None = None, form=None) -> str:
+        """Most frequent value, smallest on ties: ``key + '.num'`` and / or ``key + '.txt'``. ``form``
+        picks one of the two from the batch's aggregates, so the other is not counted at all."""
+        self.modes.append(_Mode(key, num, txt, form))
         return key
 
     # ------------------------------------------------------------------ run
     def run(self) -> dict:
         res: dict = {}
-        first = [e.alias(f"a{i}") for i, e in enumerate(self.aggs.values())]
-        qcols = []
-        for j, q in enumerate(self.quantiles):
-            qcols.append(F.count(q.expr).alias(f"qn{j}"))
-            if q.approx:
-                qcols.append(F.percentile_approx(q.expr, list(q.probs), q.accuracy).alias(f"qa{j}"))
-            else:
-                qcols.append(F.approx_count_distinct(q.expr, 0.02).alias(f"qd{j}"))
-        if first or qcols:
-            row = self.df.agg(*(first + qcols)).first()
-            for i, k in enumerate(self.aggs):
-                res[k] = row[f"a{i}"]
-        exact_small, exact_large = [], []
-        for j, q in enumerate(self.quantiles):
-            n = row[f"qn{j}"]
-            if n == 0:
-                res[q.key] = [None] * len(q.probs)
-            elif q.approx:
-                res[q.key] = [float(v) for v in row[f"qa{j}"]]
-            elif row[f"qd{j}"] <= self.distinct_limit:
-                exact_small.append(q)
-            else:
-                exact_large.append((q, n))
-        if exact_small:
-            row2 = self.df.agg(*[F.percentile(q.expr, F.array(*[F.lit(p) for p in q.probs])).alias(f"p{j}")
-                                 for j, q in enumerate(exact_small)]).first()
-            for j, q in enumerate(exact_small):
-                res[q.key] = [float(v) for v in row2[f"p{j}"]]
-        for q, n in exact_large:
-            res[q.key] = exact_quantiles_bracketed(self.df, q.expr, n, q.probs,
-                                                   collect_limit=self.collect_limit, accuracy=q.accuracy)
+        approx = [q for q in self.quantiles if q.approx]
+        exact = [q for q in self.quantiles if not q.approx]
+        cols = [e.alias(f"a{i}") for i, e in enumerate(self.aggs.values())]
+        cols += [F.percentile_approx(q.expr, list(q.probs), q.accuracy).alias(f"q{j}") for j, q in enumerate(approx)]
+        if cols:
+            row = self.df.agg(*cols).first()
+            res.update({k: row[f"a{i}"] for i, k in enumerate(self.aggs)})
+            for j, q in enumerate(approx):
+                res[q.key] = [None] * len(q.probs) if row[f"q{j}"] is None else [float(v) for v in row[f"q{j}"]]
+        if exact:
+            found = exact_quantiles(self.df, [(q.expr, q.probs) for q in exact])
+            res.update({q.key: v for q, v in zip(exact, found)})
         if self.modes:
-            res.update(_run_modes(self.df, self.modes))
+            res.update(_run_modes(self.df, self.modes, res))
         return res
 
 
-def _run_modes(df: DataFrame, modes) -> dict:
+def _run_modes(df: DataFrame, modes, known: dict) -> dict:
     """All mode requests in one grouped job: explode (request, value) pairs,
     count per pair with partial aggregation, keep the top pair per request."""
     items = []
     names = []
+    out = {}
     for m in modes:
-        for suffix, num, txt in ((".num", m.num, None), (".txt", None, m.txt)):
-            expr = num if suffix == ".num" else txt
-            if expr is None:
+        only = m.form(known) if m.form else None
+        for suffix, expr in ((".num", m.num), (".txt", m.txt)):
+            out[m.key + suffix] = None
+            if expr is None or only not in (None, suffix[1:]):
                 continue
-            idx = len(names)
+            items.append(F.struct(F.lit(len(names)).alias("k"),
+                                  (expr if suffix == ".num" else F.lit(None).cast("double")).alias("d"),
+                                  (expr if suffix == ".txt" else F.lit(None).cast("string")).alias("s")))
             names.append(m.key + suffix)
-            items.append(F.struct(F.lit(idx).alias("k"),
-                                  (num if num is not None else F.lit(None).cast("double")).alias("d"),
-                                  (txt if txt is not None else F.lit(None).cast("string")).alias("s")))
+    if not items:
+        return out
     pairs = (df.select(F.explode(F.array(*items)).alias("it")).select("it.*")
              .where(F.col("d").isNotNull() | F.col("s").isNotNull()))
     counts = pairs.groupBy("k", "d", "s").count()
     best = counts.groupBy("k").agg(
         F.min_by(F.struct("d", "s"), F.struct((-F.col("count")).alias("nc"), "d", "s")).alias("b"))
-    out = {n: None for n in names}
     for r in best.collect():  # at most one row per request
         name = names[r["k"]]
         out[name] = r["b"]["d"] if name.endswith(".num") else r["b"]["s"]
     return out
 
 
-def _interpolate(sorted_vals_at, n: int, p: float) -> float:
+def _interpolate(value_at: dict, n: int, p: float) -> float:
     pos = (n - 1) * p
     lo, hi = math.floor(pos), math.ceil(pos)
-    lv, hv = sorted_vals_at[lo], sorted_vals_at[hi]
+    lv, hv = value_at[lo], value_at[hi]
     if lo == hi:
         return float(lv)
     return (hi - pos) * lv + (pos - lo) * hv
 
 
-def exact_quantiles_bracketed(df: DataFrame, x: Column, n: int, probs, collect_limit: int = COLLECT_LIMIT,
-                              accuracy: int = APPROX_ACCURACY) -> list:
-    """Exact linear-interpolated quantiles without a single task holding all values.
-
-    Each needed 0-based rank r is bracketed by approximate quantiles [L, U] of the
-    current interval; one aggregation counts exactly how many values fall below L
-    and inside [L, U]. When a bracket holds at most ``collect_limit`` distinct
-    values they are fetched as (value, count) pairs and the rank is read off;
-    otherwise the bracket becomes the interval of the next round.
-    """
-    v = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    col = F.col("v")
-    ranks = sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
-    # interval per rank: (lo, hi) inclusive value bounds (None = open), below = #values < lo, size = #values in it
-    state = {r: {"lo": None, "hi": None, "below": 0, "size": n} for r in ranks}
-    found: dict = {}
-    delta = 2.0 / accuracy
-    for _ in range(MAX_BRACKET_ROUNDS):
-        todo = [r for r in ranks if r not in found]
-        if not todo:
-            break
-
-        def inside(st):
-            cond = F.lit(True)
-            if st["lo"] is not None:
-                cond = cond & (col >= F.lit(st["lo"]))
-            if st["hi"] is not None:
-                cond = cond & (col <= F.lit(st["hi"]))
-            return cond
-
-        # small intervals: fetch directly
-        small = [r for r in todo if state[r]["size"] <= collect_limit]
-        big = [r for r in todo if r not in small]
-        if big:
-            exprs = []
-            for i, r in enumerate(big):
-                st = state[r]
-                f = (r - st["below"]) / max(st["size"] - 1, 1)
-                lo_p, hi_p = max(0.0, f - delta), min(1.0, f + delta)
-                exprs.append(F.percentile_approx(F.when(inside(st), col), [lo_p, hi_p], accuracy).alias(f"b{i}"))
-            brow = v.agg(*exprs).first()
-            cexprs = []
-            for i, r in enumerate(big):
-                lo_v, hi_v = (float(t) for t in brow[f"b{i}"])
-                cexprs += [F.count_if(col < F.lit(lo_v)).alias(f"l{i}"),
-                           F.count_if(col.between(F.lit(lo_v), F.lit(hi_v))).alias(f"m{i}")]
-                state[r]["cand"] = (lo_v, hi_v)
-            crow = v.agg(*cexprs).first()
-            for i, r in enumerate(big):
-                below, size = crow[f"l{i}"], crow[f"m{i}"]
-                lo_v, hi_v = state[r].pop("cand")
-                if below <= r < below + size:
-                    state[r].update(lo=lo_v, hi=hi_v, below=below, size=size)
-                    if lo_v == hi_v:
-                        found[r] = lo_v
-                # else: approximation missed; keep the interval and retry wider
-            delta *= 2
-        for r in small:
-            st = state[r]
-            pairs = (v.where(inside(st)).groupBy("v").count().orderBy("v").limit(collect_limit + 1).collect())
-            acc = st["below"]
-            for p in pairs:
-                if acc + p["count"] > r:
-                    found[r] = p["v"]
-                    break
-                acc += p["count"]
-    if len(found) < len(ranks):
-        raise RuntimeError("exact quantile did not converge")
-    return [_interpolate(found, n, p) for p in probs]
+def exact_quantiles(df: DataFrame, requests, weight: Column | None = None) -> list:
+    """Exact linear-interpolated quantiles (as pandas and ``quantile_cont``) of several
+    expressions: ``requests`` is a list of (expression, probabilities); an expression without
+    values gives a None for each probability. ``weight``: how many times each row counts."""
+    spark = df.sparkSession
+    items = F.array(*[F.struct(F.lit(k).alias("k"), e.cast("double").alias("v")) for k, (e, _) in enumerate(requests)])
+    times = F.lit(1) if weight is None else weight
+    counts = (df.select(F.explode(items).alias("it"), times.cast("long").alias("n")).select("it.k", "it.v", "n")
+              .where("v IS NOT NULL").groupBy("k", "v").agg(F.sum("n").alias("n")))
+    path = scratch_dir(spark, "quantiles")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts.repartitionByRange(parts, "k", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    table = spark.read.schema("k int, v double, n long, part int").parquet(path)
+    # one row per request and range partition
+    sums = sorted((r["k"], r["part"], r["n"]) for r in table.groupBy("k", "part").agg(F.sum("n").alias("n")).collect())
+    total: dict = {}
+    for k, _, n in sums:
+        total[k] = total.get(k, 0) + n
+    wanted = {(k, r) for k, (_, probs) in enumerate(requests) if k in total
+              for p in probs for r in (math.floor((total[k] - 1) * p), math.ceil((total[k] - 1) * p))}
+    here, below = [], {}
+    for k, part, n in sums:
+        start = below.get(k, 0)
+        here += [(k, part, start, r) for kk, r in sorted(wanted) if kk == k and start <= r < start + n]
+        below[k] = start + n
+    value: dict = {k: {} for k in total}
+    if here:
+        ranks = spark.createDataFrame(here, "k int, part int, start long, r long")  # two per probability
+        chosen = table.where(F.concat_ws(":", "k", "part").isin(sorted({f"{k}:{part}" for k, part, _, _ in here})))
+        upto = F.sum("n").over(Window.partitionBy("k", "part").orderBy("v"))
+        running = chosen.withColumn("upto", upto).join(F.broadcast(ranks), ["k", "part"])
+        hit = (F.col("r") < F.col("start") + F.col("upto")) & (F.col("r") >= F.col("start") + F.col("upto") - F.col("n"))
+        for row in running.where(hit).select("k", "r", "v").collect():  # one row per rank
+            value[row["k"]][row["r"]] = row["v"]
+    return [[_interpolate(value[k], total[k], p) for p in probs] if k in total else [None] * len(probs)
+            for k, (_, probs) in enumerate(requests)]

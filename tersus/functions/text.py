@@ -30,6 +30,10 @@ def title_case(c: Column) -> Column:
         ""))
 
 
+#: Escapes of a Python replacement that stand for one character.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b"}
+
+
 def python_replacement_to_java(repl: str) -> str:
     """Translate a Python ``re.sub`` replacement (\\1, \\g<1>, \\g<name>) to Java's ($1, ${name})."""
     out = []
@@ -55,6 +59,9 @@ def python_replacement_to_java(repl: str) -> str:
             elif nxt == "\\":
                 out.append("\\\\")
                 i += 1
+            elif nxt in _ESCAPES:
+                out.append(_ESCAPES[nxt])
+                i += 1
             else:
                 out.append(nxt)
                 i += 1
@@ -65,7 +72,9 @@ def python_replacement_to_java(repl: str) -> str:
 
 
 def python_pattern_to_java(pattern: str) -> str:
-    """Translate Python-only regex syntax to Java's: named groups ``(?P<n>...)`` and
-    back-references ``(?P=n)``. Everything else both engines read the same way."""
+    """Translate Python-only regex syntax to Java's: named groups ``(?P<n>...)``, back-references ``(?P=n)``, the
+    end of text ``\\Z``, and Unicode classes (``\\w`` matches any letter). Both read the rest the same way."""
     pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
+    pattern = re.sub(r"((?:^|[^\\])(?:\\\\)*)\\Z", r"\1\\z", pattern)
+    return "(?U)" + pattern

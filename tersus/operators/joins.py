@@ -8,7 +8,8 @@ lets Catalyst push ``IsNotNull`` into both scans.
 No join strategy is forced: the broadcast decision is Spark's, made against
 ``spark.sql.autoBroadcastJoinThreshold`` from plan statistics and again by AQE
 from the measured shuffle size; a skewed key is split by AQE skew-join
-handling (inner/left/right).
+handling (inner/left/right). A full outer join is Spark's own, one shuffle a
+side; AQE does not split its skewed keys.
 """
 
 from __future__ import annotations
@@ -17,21 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersus.errors import CleaningError
-from tersus.functions.parse import is_numeric, is_string
+from tersus.functions.parse import col, is_numeric, is_string
 
 HOWS = ("inner", "left", "right", "outer")
 
 
 def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner", *,
                  null_keys_match: bool = True, suffixes=("_x", "_y"),
-                 left_name: str = "left", right_name: str = "right", skew_safe_outer: bool = True) -> DataFrame:
+                 left_name: str = "left", right_name: str = "right") -> DataFrame:
+    """``null_keys_match`` (the default, as in pandas) joins every row without a key to every other one: with
+    many of them on both sides that is their product, so drop or fill such keys first, or pass False."""
     how = how or "inner"
     if how not in HOWS:
-        raise CleaningError(f"Unknown join type '{how}'; use one of {HOWS}")
+        raise CleaningError(f"join type {how!r} is not one of {HOWS}")
     if on not in left.columns:
-        raise CleaningError(f"Key '{on}' not in '{left_name}'. Available: {list(left.columns)}")
+        raise CleaningError(f"the left table {left_name!r} has no key column {on!r}, only {left.columns}")
     if on not in right.columns:
-        raise CleaningError(f"Key '{on}' not in '{right_name}'. Available: {list(right.columns)}")
+        raise CleaningError(f"the right table {right_name!r} has no key column {on!r}, only {right.columns}")
     lt, rt = left.schema[on].dataType, right.schema[on].dataType
     if is_string(lt) != is_string(rt) or is_numeric(lt) != is_numeric(rt):
         # a text key against a numeric key would be cast row by row and fail at run time
@@ -41,28 +44,9 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     lnames = {c: (c + suffixes[0] if c in overlap else c) for c in left.columns}
     rnames = {c: (c + suffixes[1] if c in overlap else c) for c in right.columns if c != on}
     lk, rk = "__lk", "__rk"
-    l2 = left.select(*[F.col(c).alias(lk if c == on else lnames[c]) for c in left.columns])
-    r2 = right.select(*[F.col(c).alias(rk if c == on else rnames[c]) for c in right.columns])
+    l2 = left.select(*[col(c).alias(lk if c == on else lnames[c]) for c in left.columns])
+    r2 = right.select(*[col(c).alias(rk if c == on else rnames[c]) for c in right.columns])
     cond = l2[lk].eqNullSafe(r2[rk]) if null_keys_match else (l2[lk] == r2[rk])
-    rcols = [rnames[c] for c in right.columns if c != on]
-    lcols = [lnames[c] for c in left.columns if c != on]
-
-    def out(df, key):
-        cols = [key.alias(on) if c == on else F.col(lnames[c]) for c in left.columns]
-        return df.select(*cols, *[F.col(c) for c in rcols])
-
-    if how == "outer" and skew_safe_outer:
-        # full outer = matches + left-only + right-only. AQE splits skewed keys for
-        # inner and anti joins but not for a full outer join; both sides are
-        # shuffled once on the key and the exchanges are reused by all three.
-        matched = out(l2.join(r2, cond, "inner"), F.col(lk))
-        left_only = out(l2.join(r2, cond, "left_anti").select(
-            *l2.columns, *[F.lit(None).cast(r2.schema[c].dataType).alias(c) for c in rcols]), F.col(lk))
-        right_only = r2.join(l2, r2[rk].eqNullSafe(l2[lk]) if null_keys_match else (r2[rk] == l2[lk]),
-                             "left_anti")
-        right_only = right_only.select(F.col(rk).alias(on), *[F.lit(None).cast(l2.schema[c].dataType).alias(c)
-                                                             for c in lcols], *rcols)
-        return matched.unionByName(left_only).unionByName(right_only.select(*matched.columns))
     joined = l2.join(r2, cond, "full_outer" if how == "outer" else how)
     if how == "right":
         key = F.col(rk)
@@ -70,4 +54,5 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
         key = F.coalesce(F.col(lk), F.col(rk))
     else:
         key = F.col(lk)
-    return out(joined, key)
+    cols = [key.alias(on) if c == on else col(lnames[c]) for c in left.columns]
+    return joined.select(*cols, *[col(rnames[c]) for c in right.columns if c != on])

@@ -2,118 +2,65 @@
 
 A window with no ``partitionBy`` moves every row into one task. Instead:
 
-1. approximate quantiles of the order key give bucket boundaries (literals), so
-   consecutive order ranges become buckets of bounded size;
+1. rows are range-partitioned by the whole order key into buckets and written to the
+   scratch folder with their bucket number, so every later step sees the same buckets;
 2. one small aggregate per (group, bucket) keeps the last (first) non-null value;
 3. a window over that small summary carries values across buckets;
 4. the carried value is joined back on (group, bucket) and coalesced with an
    in-bucket window partitioned by (group, bucket).
 
-Buckets are derived from data values, never from partition ids, so a retried
-task computes the same thing. The order key must be unique within a group.
+The result does not depend on the number of buckets. NULL order keys come first, in
+the buckets as in the windows. The order key must be unique within a group.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersus.errors import require_column
-from tersus.functions.parse import is_numeric, is_temporal
-
-ROWS_PER_BUCKET = 4_000_000      # upper bound of rows one in-bucket window sorts
-MIN_ROWS_PER_BUCKET = 10_000     # below this, another bucket costs more than it parallelises
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 64
-
-
-def _bucket_expr(o, bounds, lo=0, hi=None):
-    """Number of boundaries <= ``o`` (0..len(bounds)), as a balanced binary search
-    of CASE expressions (depth log2(buckets)); bounds sorted."""
-    if hi is None:
-        hi = len(bounds)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(o < F.lit(bounds[mid]), _bucket_expr(o, bounds, lo, mid)) \
-        .otherwise(_bucket_expr(o, bounds, mid + 1, hi))
-
-
-def _boundaries(df: DataFrame, order_col: str, buckets: int, n: int | None):
-    """Sorted, distinct bucket boundaries of the order key (literals)."""
-    o = F.col(order_col)
-    dt = df.schema[order_col].dataType
-    if is_numeric(dt) or is_temporal(dt):
-        probs = [i / buckets for i in range(1, buckets)]
-        approx = df.agg(F.percentile_approx(o, probs, max(10_000, 20 * buckets)).alias("b")).first()["b"]
-        vals = approx or []
-    else:
-        # other orderable types: boundaries from a seeded sample of bounded size
-        n = df.count() if n is None else n
-        want = SAMPLE_PER_BUCKET * buckets
-        frac = min(1.0, want / max(n, 1))
-        sample = [r[0] for r in df.select(o).where(o.isNotNull()).sample(False, frac, seed=17)
-                  .orderBy(o).limit(2 * want).collect()]
-        vals = [sample[(i * len(sample)) // buckets] for i in range(1, buckets)] if sample else []
-    return sorted(set(v for v in vals if v is not None))
+from tersus.functions.parse import col
+from tersus.session import scratch_dir
 
 
 def ordered_fill(df: DataFrame, column: str, order_by, partition_by, direction: str = "forward",
                  buckets: int | None = None) -> DataFrame:
+    """``buckets``: the session's shuffle partitions if not given; size them so that one bucket's rows
+    can be sorted by one task."""
+    spark = df.sparkSession
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by)
     keys = list(partition_by)
     for c in order_cols + keys + [column]:
         require_column(df, c)
-    o = F.col(order_cols[0])
     fwd = direction == "forward"
-
-    n = None
-    if buckets is None:
-        n = df.count()
-        # enough buckets to bound each window's rows, and at least one per core when
-        # each still gets MIN_ROWS_PER_BUCKET rows
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        buckets = max(math.ceil(n / ROWS_PER_BUCKET), min(cores, n // MIN_ROWS_PER_BUCKET))
-        buckets = max(1, min(MAX_BUCKETS, buckets))
-    bounds = []
-    if buckets > 1:
-        bounds = _boundaries(df, order_cols[0], buckets, n)
-
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     b = "__bucket"
-    data = df.withColumn(b, _bucket_expr(o, bounds))
-    grp = keys + [b]
-    order_spec = [F.col(c) for c in order_cols]
-
-    # in-bucket fill
+    order = [col(c).asc_nulls_first() for c in order_cols]
+    path = scratch_dir(spark, "ordered-fill")
+    bucketed = df.repartitionByRange(buckets, *order).withColumn(b, F.spark_partition_id())
+    bucketed.write.parquet(path)
+    data = spark.read.schema(bucketed.schema).parquet(path)
+    group = [*keys, b]
+
+    in_bucket = Window.partitionBy(*[col(c) for c in group]).orderBy(*order)
     if fwd:
-        w = Window.partitionBy(*grp).orderBy(*order_spec).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.last(column, ignorenulls=True).over(w)
+        local = F.last(col(column), ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
     else:
-        w = Window.partitionBy(*grp).orderBy(*order_spec).rowsBetween(0, Window.unboundedFollowing)
-        local = F.first(column, ignorenulls=True).over(w)
-    if not bounds:
-        return data.withColumn(column, local).select(*df.columns)
+        local = F.first(col(column), ignorenulls=True).over(in_bucket.rowsBetween(0, Window.unboundedFollowing))
 
-    # per (group, bucket): edge non-null value, then carried across buckets
-    sortkey = F.struct(*order_spec)
+    # one row per (group, bucket), also for buckets holding only nulls: the edge value nearest to
+    # the next (previous) bucket. Struct order puts NULL fields first, as the windows do.
+    place = F.when(col(column).isNotNull(), F.struct(F.lit(0), *[col(c) for c in order_cols]))
     pick = F.max_by if fwd else F.min_by
-    # one row per (group, bucket), also for buckets holding only nulls (ordering is
-    # NULL there, which max_by/min_by skip)
-    summary = data.groupBy(*grp).agg(
-        pick(F.col(column), F.when(F.col(column).isNotNull(), sortkey)).alias("__edge"))
+    summary = data.groupBy(*[col(c) for c in group]).agg(pick(col(column), place).alias("__edge"))
+    across = Window.partitionBy(*[col(c) for c in keys]).orderBy(b)
     if fwd:
-        ws = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        carried = F.last("__edge", ignorenulls=True).over(ws)
+        carried = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        ws = Window.partitionBy(*keys).orderBy(b).rowsBetween(1, Window.unboundedFollowing)
-        carried = F.first("__edge", ignorenulls=True).over(ws)
-    summary = summary.select(*[F.col(g).alias(f"__s{i}") for i, g in enumerate(grp)], carried.alias("__carry"))
-    if not keys:
-        summary = F.broadcast(summary)  # at most `buckets` rows: bound proven by construction
+        carried = F.first("__edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    summary = summary.select(*[col(c).alias(f"__s{i}") for i, c in enumerate(group)], carried.alias("__carry"))
+    filled = data.withColumn(column, local)
     # null-safe: a NULL group key is one group for the window, so it must match here too
-    cond = [data[g].eqNullSafe(summary[f"__s{i}"]) for i, g in enumerate(grp)]
-    out = (data.withColumn(column, local).join(summary, cond, "left")
-           .withColumn(column, F.coalesce(F.col(column), F.col("__carry"))))
-    return out.select(*df.columns)
+    same = [col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(group)]
+    return filled.join(summary, same, "left").select(
+        *[(F.coalesce(col(c), F.col("__carry")).alias(c) if c == column else col(c)) for c in df.columns])

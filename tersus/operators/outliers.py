@@ -51,7 +51,7 @@ class OutlierFitter:
         self.column = column
         self.method = (method or "iqr").lower()
         if self.method not in METHODS:
-            raise CleaningError(f"Unknown outlier method '{self.method}'")
+            raise CleaningError(f"no outlier method {self.method!r}; choose one of {METHODS}")
         self.threshold = 1.5 if threshold is None else float(threshold)
         self.approx = approx
         self.dt = df.schema[column].dataType

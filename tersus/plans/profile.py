@@ -1,9 +1,8 @@
 """Profiling P2-P6: what a caller sees after each cleaning step, as DataFrames.
 
 * null counts and the row count of a table come from ONE aggregation, unpivoted;
-* the duplicate count is exact by default but does not shuffle whole rows: a
-  64-bit row hash (with null flags, so NULL position matters) is counted first;
-  only rows whose hash occurs more than once are grouped by all columns.
+* the duplicate count is the rows less the distinct ones: one scan and one
+  exchange, with copies collapsed on the map side.
 """
 
 from __future__ import annotations
@@ -13,23 +12,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersus.functions.parse import is_floating
+from tersus.functions.parse import col, missing
 
 MAX_ISSUES = 12
 
 
-def _is_missing(df: DataFrame, c: str):
-    col = F.col(c)
-    if is_floating(df.schema[c].dataType):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
-
-
 def null_counts(df: DataFrame, table: str = "t") -> DataFrame:
     """P2 + P4: (table_name, ordinal, column_name, null_count, row_count)."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__rows")] + \
-        [F.count_if(_is_missing(df, c)).alias(f"__n{i}") for i, c in enumerate(cols)]
+        [F.count_if(missing(df, c)).alias(f"__n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     pairs = ", ".join(f"{i}, '{c.replace(chr(39), chr(39) * 2)}', __n{i}" for i, c in enumerate(cols))
     return one.selectExpr(f"'{table}' AS table_name", "__rows AS row_count",
@@ -38,36 +30,14 @@ def null_counts(df: DataFrame, table: str = "t") -> DataFrame:
                 "null_count", "row_count")
 
 
-def row_hash(df: DataFrame):
-    """64-bit hash of a whole row; null flags make (1, NULL) and (NULL, 1) differ."""
-    cols = [F.col(c) for c in df.columns]
-    flags = F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in cols])
-    return F.xxhash64(*cols, flags)
-
-
-def duplicate_count(df: DataFrame, table: str = "t", method: str = "exact") -> DataFrame:
-    """P3: rows after the first copy, as (table_name, duplicate_count).
-
-    ``exact`` (default): hash pre-count, then an exact group-by over candidate rows only.
-    ``grouped``: one group-by over all columns (shuffles every distinct row).
-    ``hash``: count by hash only (collisions are possible but negligible).
-    """
-    if method == "grouped":
-        dup = df.groupBy(*df.columns).count().agg(F.sum(F.col("count") - 1).alias("d"))
-    else:
-        h = df.withColumn("__h", row_hash(df))
-        per_hash = h.groupBy("__h").count()
-        if method == "hash":
-            dup = per_hash.agg(F.sum(F.col("count") - 1).alias("d"))
-        else:
-            cand = per_hash.where(F.col("count") > 1).select("__h")
-            dup = (h.join(cand, "__h", "left_semi").groupBy("__h", *df.columns).count()
-                   .agg(F.sum(F.col("count") - 1).alias("d")))
+def duplicate_count(df: DataFrame, table: str = "t") -> DataFrame:
+    """P3: rows after the first copy, as (table_name, duplicate_count)."""
+    dup = df.groupBy(*[col(c) for c in df.columns]).count().agg(F.sum(F.col("count") - 1).alias("d"))
     return dup.select(F.lit(table).alias("table_name"),
                       F.coalesce(F.col("d"), F.lit(0)).cast("bigint").alias("duplicate_count"))
 
 
-def profile(df: DataFrame, table: str = "t", dup_method: str = "exact") -> DataFrame:
+def profile(df: DataFrame, table: str = "t") -> DataFrame:
     """Per-column profile: (table_name, ordinal, column_name, dtype, null_count, row_count)."""
     dtypes = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))]) if df.columns \
         else F.create_map()
@@ -75,18 +45,18 @@ def profile(df: DataFrame, table: str = "t", dup_method: str = "exact") -> DataF
         .select("table_name", "ordinal", "column_name", "dtype", "null_count", "row_count")
 
 
-def profile_all(tables, dup_method: str = "exact") -> DataFrame:
+def profile_all(tables) -> DataFrame:
     """P6: profiles of every table of a set, plus a table-level duplicate count."""
     parts = []
     for i, (name, df) in enumerate(tables.items()):
         # the duplicate count is one number: fetch it as a literal instead of joining a one-row table
-        dups = duplicate_count(df, name, dup_method).first()["duplicate_count"]
+        dups = duplicate_count(df, name).first()["duplicate_count"]
         parts.append(profile(df, name).withColumn("table_ordinal", F.lit(i))
                      .withColumn("duplicate_count", F.lit(dups).cast("bigint")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def issue_list(tables, limit: int = MAX_ISSUES, dup_method: str = "exact") -> DataFrame:
+def issue_list(tables, limit: int = MAX_ISSUES) -> DataFrame:
     """P5: "t.c: n nulls" per column, then "t: n duplicates", in table then column
     order, first ``limit`` issues: (rank, issue)."""
     parts = []
@@ -95,7 +65,7 @@ def issue_list(tables, limit: int = MAX_ISSUES, dup_method: str = "exact") -> Da
             F.lit(i).alias("t"), F.col("ordinal").alias("o"),
             F.format_string("%s.%s: %d nulls", F.col("table_name"), F.col("column_name"),
                             F.col("null_count")).alias("issue"))
-        dc = duplicate_count(df, name, dup_method).where(F.col("duplicate_count") > 0).select(
+        dc = duplicate_count(df, name).where(F.col("duplicate_count") > 0).select(
             F.lit(i).alias("t"), F.lit(len(df.columns)).alias("o"),
             F.format_string("%s: %d duplicates", F.col("table_name"), F.col("duplicate_count")).alias("issue"))
         parts += [nc, dc]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tersus.functions.parse import (DATE_FORMATS, is_floating, is_integral, is_numeric, to_double,
+from tersus.functions.parse import (DATE_FORMATS, col, is_floating, is_integral, is_numeric, missing, to_double,
                                     to_timestamp)
 from tersus.functions.stats import FitBatch
 from tersus.plans.profile import duplicate_count
@@ -37,17 +37,12 @@ G4_W = {"amount_nulls": 0.25, "amount_type": 0.20, "amount_parse": 0.10, "amount
 
 # ----------------------------------------------------------------- helpers
 def clamp(x: Column) -> Column:
-    """Q14 clamp to [0.05, 0.98]."""
+    """Q14 clamp to [0.05, 0.98]. ``least`` and ``greatest`` skip NULL, so a score that cannot be computed is
+    made 0 (the floor) first."""
+    x = F.coalesce(x, F.lit(0.0))
     return F.greatest(F.lit(SCORE_FLOOR), F.least(F.lit(SCORE_CEIL), x))
 
 
-def missing(df: DataFrame, c: str) -> Column:
-    col = F.col(c)
-    if is_floating(df.schema[c].dataType):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
-
-
 def null_count(df: DataFrame, c: str) -> Column:
     return F.count_if(missing(df, c))
 
@@ -95,7 +90,7 @@ def duplicate_tier(dups, full: float, partial: float) -> float:
 
 def upper_fraction(c: str) -> Column:
     """Q7: share of non-null values already upper case."""
-    s = F.col(c).cast("string")
+    s = col(c).cast("string")
     return F.avg((s == F.upper(s)).cast("double"))
 
 
@@ -165,7 +160,7 @@ def _total(parts: dict) -> Column:
 
 
 def _card(df: DataFrame, parts: dict, extra: dict | None = None) -> DataFrame:
-    cols = [v.alias(k) for k, v in parts.items()]
+    cols = [F.coalesce(v, F.lit(0.0)).alias(k) for k, v in parts.items()]  # no rows: nothing earned
     cols += [v.alias(k) for k, v in (extra or {}).items()]
     return df.agg(*cols).select(*[F.round(F.col(k), 6).alias(k) for k in parts],
                                 *(extra or {}).keys(),
@@ -208,10 +203,10 @@ def scorecard_null_fixing(df: DataFrame, expected: DataFrame, age: str = "age",
 
 def scorecard_normalisation(df: DataFrame, expected: DataFrame, dirty: DataFrame | None = None,
                             country: str = "country", date: str = "order_date",
-                            amount: str = "amount", dup_method: str = "exact") -> DataFrame:
+                            amount: str = "amount") -> DataFrame:
     """G2: duplicates .25/.12; upper-case share x.25; date typed .20 or parseable
     share x.20x.5; amount nulls .15/.07; row ratio [.85,1.15] .15, [.5,1.5] .07."""
-    dups = duplicate_count(df, "t", dup_method).first()["duplicate_count"]
+    dups = duplicate_count(df, "t").first()["duplicate_count"]
     n_exp = expected.count()
     w = G2_W
     parts = {"duplicates": F.lit(duplicate_tier(dups, *w["duplicates"]))}
@@ -257,7 +252,11 @@ def scorecard_etl(tables, expected: DataFrame, dirty=None, amount: str = "amount
         yr = to_double(year, m.schema[year].dataType)
         parts["order_year"] = F.lit(w["order_year"]) * range_validity(yr, *year_range)
     parts["row_count"] = row_ratio_score(F.count(F.lit(1)), n_exp, w["row_count"])
-    return _card(m, parts)
+    return _floor_if_empty(_card(m, parts, {"n_rows": F.count(F.lit(1))}))
+
+
+def _floor_if_empty(card: DataFrame) -> DataFrame:
+    return card.withColumn("score", F.when(F.col("n_rows") == 0, F.lit(SCORE_FLOOR)).otherwise(F.col("score"))).drop("n_rows")
 
 
 def scorecard_stream(df: DataFrame, amount: str = "amount", category: str = "category",
@@ -287,11 +286,7 @@ def scorecard_stream(df: DataFrame, amount: str = "amount", category: str = "cat
             parts["ts_type"] = F.lit(w["ts_type"])
         else:
             parts["ts_type"] = F.lit(w["ts_type"]) * parseable_ts_fraction(df, ts)
-    parts = {k: F.coalesce(v, F.lit(0.0)) for k, v in parts.items()}
-    card = _card(df, parts, {"n_rows": F.count(F.lit(1))})
-    # empty table scores the floor
-    return card.withColumn("score", F.when(F.col("n_rows") == 0, F.lit(SCORE_FLOOR)).otherwise(F.col("score"))) \
-        .drop("n_rows")
+    return _floor_if_empty(_card(df, parts, {"n_rows": F.count(F.lit(1))}))
 
 
 def quality_delta(after: DataFrame, before: DataFrame) -> DataFrame:

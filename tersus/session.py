@@ -78,22 +78,3 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
             pass
     path = os.path.join(base, *parts, uuid.uuid4().hex[:12]) if parts else os.path.join(base, uuid.uuid4().hex[:12])
     return path
-
-
-def materialize(df, how: str | None = None):
-    """Compute ``df`` once for several later jobs (fits, then the output).
-
-    ``persist`` (default) caches in executor memory/disk; a lost executor's
-    blocks are recomputed from lineage. ``checkpoint`` writes the rows to the
-    cluster's checkpoint folder and cuts the lineage (reliable, more I/O).
-    ``none`` leaves the plan alone. Set per session with ``tersus.materialize``.
-    """
-    from pyspark import StorageLevel
-
-    how = how or df.sparkSession.conf.get("tersus.materialize", "persist")
-    if how == "none":
-        return df
-    if how == "checkpoint":
-        scratch_dir(df.sparkSession)  # ensures a checkpoint folder exists
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

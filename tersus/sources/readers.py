@@ -6,8 +6,6 @@ Spark has no mixed-type column, and a declared schema avoids inference scans.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tersus.sources.catalog import TableSet
@@ -20,51 +18,8 @@ RAW_STREAM_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category
                      "region STRING, event_ts STRING")
 
 
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _input_bytes(df: DataFrame) -> int | None:
-    """Total size of the files behind a scan when they are local files, else None."""
-    total = 0
-    for f in df.inputFiles():
-        path = f[len("file:"):] if f.startswith("file:") else f
-        if "://" in path or not os.path.exists(path):
-            return None
-        total += os.path.getsize(path)
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least ``defaultParallelism`` partitions.
-
-    A small file with one row group is one split, so every expression after the
-    scan would run in one task. Only then (and when the input is at least
-    ``SPREAD_MIN_BYTES``, below which a shuffle costs more than it saves) is a
-    round-robin repartition added
-    (Catalyst still prunes columns and pushes filters below it); a large input
-    already has more splits than cores and is returned unchanged.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("tersus.spreadSmallScans", "true") != "true":
-        return df
-    try:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
-            return df
-        size = _input_bytes(df)
-        if size is not None and size < SPREAD_MIN_BYTES:
-            return df  # too small for parallel work to pay for a shuffle
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan alone
-        return df
-    mode = spark.conf.get("tersus.spreadMode", "roundrobin")
-    # round robin (Spark sorts before it, so a retried task re-creates the same
-    # split); "hash" spreads on the leading key column instead
-    return df.repartition(want, df.columns[0]) if mode == "hash" else df.repartition(want)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if spread_small else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class LazyTableSet(TableSet):
@@ -92,9 +47,10 @@ class LazyTableSet(TableSet):
         return TableSet({**{n: self[n] for n in self._loaders}, name: df})
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names=TABLES, spread_small: bool = True) -> TableSet:
-    names = [n for n in names if os.path.exists(os.path.join(sf_dir, f"{n}.parquet"))]
-    return LazyTableSet({n: (lambda n=n: read_table(spark, sf_dir, n, spread_small)) for n in names})
+def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> TableSet:
+    """The tables of a folder, each opened (and found missing) only on first use: nothing is listed here, so
+    any path that Spark can read will do."""
+    return LazyTableSet({n: (lambda n=n: read_table(spark, sf_dir, n)) for n in names})
 
 
 def read_raw(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:

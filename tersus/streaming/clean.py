@@ -12,16 +12,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from tersus.errors import CleaningError
-from tersus.functions.parse import DATE_FORMATS, to_timestamp
+from tersus.functions.parse import DATE_FORMATS, col, to_timestamp
 from tersus.operators.casts import cast_column
 from tersus.operators.derive import add_derived_column
 from tersus.operators.normalize import normalize_values
 from tersus.operators.nulls import drop_nulls
 from tersus.operators.outliers import filter_range
+from tersus.streaming.ingest import run_stream
 
 STREAM_SAFE = {"fill_nulls", "cast_column", "normalize_values", "filter_outliers", "add_derived_column",
                "drop_nulls", "filter_range"}
@@ -45,11 +47,12 @@ class FittedRecipe:
 def _plain(df: DataFrame, st: dict) -> DataFrame:
     op = st["operation"]
     if op == "cast_column":
-        return cast_column(df, st["column"], st.get("dtype"), check="lazy")
+        return cast_column(df, st["column"], st.get("dtype"), check="lazy", formats=st.get("formats") or DATE_FORMATS)
     if op == "normalize_values":
         return normalize_values(df, st["column"], st.get("method"), st.get("pattern"), st.get("replacement"))
     if op == "add_derived_column":
-        return add_derived_column(df, st["column_name"], st["source_column"], st.get("transform"))
+        return add_derived_column(df, st["column_name"], st["source_column"], st.get("transform"),
+                                  formats=st.get("formats") or DATE_FORMATS)
     if op == "drop_nulls":
         return drop_nulls(df, st.get("subset") or [st["column"]])
     if op == "filter_range":
@@ -77,16 +80,36 @@ def fit_recipe(history: DataFrame, steps) -> FittedRecipe:
     return FittedRecipe(record.get("history", []))
 
 
-def dedup_stream(stream: DataFrame, keys, event_time: str, delay: str, formats=DATE_FORMATS) -> DataFrame:
-    """ST3: drop repeated keys on an unbounded stream. State per key is kept until
-    the watermark (max event time - ``delay``) passes it, so state stays bounded;
-    copies arriving within ``delay`` of the first are dropped. Rows whose event
-    time does not parse cannot be placed against the watermark; they are passed
-    through unchanged rather than dropped."""
-    dt = stream.schema[event_time].dataType
-    ts = "__event_time"
-    s = stream.withColumn(ts, to_timestamp(event_time, dt, formats).cast("timestamp"))
-    timed = s.where(F.col(ts).isNotNull()).withWatermark(ts, delay)
-    deduped = timed.dropDuplicatesWithinWatermark(list(keys)).drop(ts)
-    untimed = s.where(F.col(ts).isNull()).drop(ts)
-    return deduped.unionByName(untimed)
+def dedup_to_sink(stream: DataFrame, keys, sink: str, checkpoint: str, event_time: str, formats=DATE_FORMATS,
+                  trigger: dict | None = None):
+    """ST3: append to ``sink`` the rows whose keys it does not hold yet, however late they arrive.
+
+    Each micro-batch keeps one row per key, then drops the keys that earlier batches wrote. Copies of a row
+    have its event time, so the sink is partitioned by event day and only the days between the batch's first
+    and last are read again; rows whose time does not parse share the day NULL and are deduplicated there.
+    No state is held in memory, nothing is dropped for being late, and a retried batch replaces its output.
+    """
+    spark, keys = stream.sparkSession, list(keys)
+    day = "__event_day"
+    typed = StructType([*stream.schema, StructField(day, DateType()), StructField("batch_id", LongType())])
+
+    def handle(batch: DataFrame, batch_id: int):
+        times = to_timestamp(event_time, batch.schema[event_time].dataType, formats)
+        rows = batch.withColumn(day, times.cast("date")).dropDuplicates([*keys, day])
+        if batch_id > 0:
+            span = rows.agg(F.min(day), F.max(day)).first()  # one row
+            seen = spark.read.schema(typed).parquet(sink).where(F.col("batch_id") < batch_id)
+            near = F.col(day).isNull()
+            if span[0] is not None:
+                near = near | F.col(day).between(F.lit(span[0]), F.lit(span[1]))
+            seen = seen.where(near).select(*[col(k).alias(f"__k{i}") for i, k in enumerate([*keys, day])])
+            same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, day])]
+            rows = rows.join(seen, same, "left_anti")
+        rows.write.mode("overwrite").partitionBy(day).parquet(f"{sink}/batch_id={batch_id}")
+
+    return run_stream(stream.writeStream.foreachBatch(handle), checkpoint, trigger)
+
+
+def read_deduplicated(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """The rows that ``dedup_to_sink`` has written so far."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(sink)

@@ -8,30 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tersus.session import scratch_dir
-
-
-def stage_batches(df: DataFrame, spark: SparkSession, batch_col: str, fmt: str = "parquet",
-                  ordered: bool = False, path: str | None = None) -> str:
-    """Write ``df`` as a folder of files partitioned by ``batch_col`` (e.g. the
-    arrival day), a replayable file-stream source for tests and the suite. Each
-    task writes its own files, so no value is funnelled through one task; a
-    stream then takes ``maxFilesPerTrigger`` files per micro-batch, in
-    modification-time order. The folder lives under the checkpoint folder.
-
-    With ``ordered=True`` the values are written one after another in value
-    order (one distributed write per value), so files arrive in that order: what
-    an event-time watermark over an arrival-ordered source assumes.
-    """
-    path = path or scratch_dir(spark, "stage")
-    if not ordered:
-        df.write.partitionBy(batch_col).format(fmt).save(path)
-        return path
-    values = [r[0] for r in df.select(batch_col).distinct().orderBy(batch_col).collect()]
-    for v in values:  # bounded by the number of batch values (days), not by rows
-        df.where(df[batch_col] == v).write.mode("append").partitionBy(batch_col).format(fmt).save(path)
-    return path
-
 
 def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
                 max_files_per_trigger: int | None = 1) -> DataFrame:
@@ -42,20 +18,15 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return reader.load(path)
 
 
-def run_to_end(stream_writer, checkpoint: str, timeout_s: int = 600, trigger: dict | None = None):
-    """Start a ``DataStreamWriter`` and wait for it.
+def run_stream(stream_writer, checkpoint: str, trigger: dict | None = None):
+    """Start a ``DataStreamWriter``.
 
-    The default trigger ``{"availableNow": True}`` consumes everything available
-    and stops (batch-like catch-up runs, tests). A long-running query passes e.g.
-    ``{"processingTime": "1 minute"}`` and ``timeout_s=None`` to return the
-    running query instead of waiting.
+    The default trigger ``{"availableNow": True}`` consumes everything available, however long that takes,
+    and returns when the query has ended. Any other trigger, e.g. ``{"processingTime": "1 minute"}``, runs
+    on: the running query is returned at once, for the caller to watch and stop.
     """
-    q = stream_writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    if timeout_s is None:
-        return q
-    if not q.awaitTermination(timeout_s):
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    trigger = trigger or {"availableNow": True}
+    q = stream_writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    if trigger.get("availableNow") or trigger.get("once"):
+        q.awaitTermination()  # raises what made the query fail
     return q

@@ -2,9 +2,10 @@
 
 * ST5 running profile: additive counts kept by a streaming aggregation
   (``complete`` mode, one state row), so state does not grow with the stream.
-* ST4 running score: each micro-batch is cleaned and appended to the sink, then
-  the scorecard is recomputed over everything accumulated so far (exact, like
-  the reference's re-score after every step). ``score_every`` thins this out.
+* ST4 running score: each micro-batch is cleaned, appended to the sink and counted.
+  The score of everything accumulated comes from sums of those counts and, for the
+  outlier fences, from a value -> count table of the amounts that each batch brings
+  up to date; accumulated rows are not read again.
 * ST6 drift: per-batch counts of null / unparseable values per arrival day
   (additive, so a day may span batches) against a baseline fitted on history;
   flags columns whose share moved by more than a tolerance.
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersus.functions.parse import DATE_FORMATS, to_double, to_timestamp
-from tersus.plans.quality import scorecard_stream
+from tersus.functions.parse import DATE_FORMATS, col, is_numeric, is_temporal, to_double, to_timestamp
+from tersus.functions.stats import FitBatch, exact_quantiles
+from tersus.plans.quality import G4_W, SCORE_FLOOR, clamp, completeness_prop, iqr_bounds, outlier_tier
 from tersus.session import scratch_dir
-from tersus.streaming.ingest import run_to_end
+from tersus.streaming.ingest import run_stream
 
 
 def _write_batch(df: DataFrame, root: str, batch_id: int) -> None:
@@ -38,7 +40,7 @@ def drift_counts(df: DataFrame, amount: str = "amount", ts: str = "event_ts", nu
     out = {f"{amount}_null": num.isNull(),
            f"{ts}_unparseable": to_timestamp(ts, df.schema[ts].dataType, formats).isNull()}
     for c in nullable:
-        out[f"{c}_null"] = F.col(c).isNull()
+        out[f"{c}_null"] = col(c).isNull()
     return out
 
 
@@ -69,41 +71,58 @@ def drift_report(counts: DataFrame, baseline: dict, by: str = "arrival_day", tol
     return tot.select(*cols)
 
 
-def running_profile(stream: DataFrame, sink: str, checkpoint: str, columns=None) -> str:
+def running_profile(stream: DataFrame, sink: str, checkpoint: str, columns=None, trigger: dict | None = None) -> str:
     """ST5: streaming aggregation of row and null counts; each trigger's totals
     are written under the batch id. Returns the sink folder."""
     columns = columns or [c for c in stream.columns]
     aggs = [F.count(F.lit(1)).alias("n_rows")] + \
-        [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns]
+        [F.count_if(col(c).isNull()).alias(f"{c}_nulls") for c in columns]
     totals = stream.agg(*aggs)
     writer = totals.writeStream.outputMode("complete").foreachBatch(
         lambda df, bid: _write_batch(df.withColumn("batch_seq", F.lit(bid)), sink, bid))
-    run_to_end(writer, checkpoint)
+    run_stream(writer, checkpoint, trigger)
     return sink
 
 
 def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, checkpoint: str,
-                  score_every: int = 1, **score_kw) -> str:
-    """ST4: clean each micro-batch with a fitted recipe, append it to ``sink``, and
-    score the accumulated table after every ``score_every`` batches."""
+                  score_every: int = 1, amount: str = "amount", trigger: dict | None = None) -> str:
+    """ST4: clean each micro-batch with a fitted recipe, append it to ``sink``, and after every
+    ``score_every`` batches write the exact score of all batches so far to ``scores``.
+
+    Beside the scores lie the per-batch counts and, per batch, the amounts' value -> count table up to it."""
     spark = stream.sparkSession
+    counts_path, values_path = scores + "-counts", scores + "-values"
 
     def handle(batch: DataFrame, batch_id: int):
-        _write_batch(fitted_recipe.apply(batch), sink, batch_id)
-        if batch_id % score_every == 0:
-            acc = spark.read.parquet(sink).drop("batch_id")
-            card = scorecard_stream(acc, **score_kw)
-            n = acc.count()
-            _write_batch(card.select(F.lit(n).cast("bigint").alias("n_rows"), "score"), scores, batch_id)
-
-    run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
+        clean = fitted_recipe.apply(batch)
+        _write_batch(clean, sink, batch_id)
+        clean = spark.read.schema(clean.schema).parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        _write_batch(score_counts(clean, None, amount), counts_path, batch_id)
+        num = to_double(amount, clean.schema[amount].dataType)
+        values = clean.select(num.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+        if batch_id > 0:
+            before = spark.read.schema("v double, n long").parquet(os.path.join(values_path, f"batch_id={batch_id - 1}"))
+            values = values.unionByName(before).groupBy("v").agg(F.sum("n").alias("n"))
+        _write_batch(values, values_path, batch_id)
+        if batch_id % score_every:
+            return
+        values = spark.read.schema("v double, n long").parquet(os.path.join(values_path, f"batch_id={batch_id}"))
+        bounds = iqr_bounds(exact_quantiles(values, [(F.col("v"), [0.25, 0.75])], weight=F.col("n"))[0])
+        outside = 0
+        if bounds:
+            far = (F.col("v") < F.lit(bounds[0])) | (F.col("v") > F.lit(bounds[1]))
+            outside = values.agg(F.sum(F.when(far, F.col("n")).otherwise(0))).first()[0] or 0
+        counts = spark.read.parquet(counts_path).where(F.col("batch_id") <= batch_id)
+        total = counts.agg(*[F.sum(c).alias(c) for c in SCORE_COUNTS]).withColumn("outside", F.lit(outside))
+        numeric, typed = is_numeric(clean.schema[amount].dataType), is_temporal(clean.schema["event_ts"].dataType)
+        _write_batch(total.select(F.col("n").alias("n_rows"), stream_score(numeric, typed).alias("score")), scores, batch_id)
+
+    run_stream(stream.writeStream.foreachBatch(handle), checkpoint, trigger)
     return scores
 
 
 def frozen_fences(history_clean: DataFrame, amount: str = "amount", t: float = 1.5):
     """IQR fences of the cleaned history, fitted once (exact quantiles)."""
-    from tersus.functions.stats import FitBatch
-
     b = FitBatch(history_clean)
     b.quantile("q", to_double(amount, history_clean.schema[amount].dataType), [0.25, 0.75])
     q1, q3 = b.run()["q"]
@@ -126,25 +145,20 @@ def score_counts(df: DataFrame, fences, amount: str = "amount", category: str =
 
 
 def running_score_frozen(stream: DataFrame, fitted_recipe, fences, sink: str, checkpoint: str,
-                         amount_numeric: bool = True, ts_typed: bool = True) -> str:
+                         trigger: dict | None = None) -> str:
     """ST4 in O(batch): each cleaned micro-batch contributes additive counts; the
     outlier share is measured against IQR fences frozen at fit time instead of
     fences re-derived from everything accumulated (the exact ``running_score``)."""
-    run_to_end(stream.writeStream.foreachBatch(
-        lambda df, bid: _write_batch(score_counts(fitted_recipe.apply(df), fences), sink, bid)), checkpoint)
+    run_stream(stream.writeStream.foreachBatch(
+        lambda df, bid: _write_batch(score_counts(fitted_recipe.apply(df), fences), sink, bid)), checkpoint, trigger)
     return sink
 
 
-def running_score_table(counts: DataFrame, amount_numeric: bool = True, ts_typed: bool = True) -> DataFrame:
-    """Cumulative stream scorecard per batch from per-batch counts. The window
-    runs over one row per batch, not over data rows."""
-    from pyspark.sql import Window
+SCORE_COUNTS = ("n", "amount_nulls", "amount_values", "outside", "category_nulls", "region_nulls", "ts_parsed")
 
-    from tersus.plans.quality import G4_W, clamp, completeness_prop, outlier_tier
 
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    cols = ["n", "amount_nulls", "amount_values", "outside", "category_nulls", "region_nulls", "ts_parsed"]
-    c = counts.select("batch_id", *[F.sum(x).over(w).alias(x) for x in cols])
+def stream_score(amount_numeric: bool, ts_typed: bool):
+    """The stream scorecard as an expression of its summed counts (``SCORE_COUNTS``)."""
     n = F.col("n").cast("double")
     amount_type = F.lit(G4_W["amount_type"]) if amount_numeric else \
         F.when(F.col("amount_nulls") / n < G4_W["amount_parse_max_nulls"], F.lit(G4_W["amount_parse"])) \
@@ -158,18 +172,25 @@ def running_score_table(counts: DataFrame, amount_numeric: bool = True, ts_typed
     total = F.lit(0.0)
     for part in parts:
         total = total + part
-    score = F.when(F.col("n") == 0, F.lit(0.05)).otherwise(F.round(clamp(total), 6))
-    return c.select("batch_id", F.col("n").alias("n_rows"), score.alias("score"))
+    return F.when(F.col("n") == 0, F.lit(SCORE_FLOOR)).otherwise(F.round(clamp(total), 6))
+
+
+def running_score_table(counts: DataFrame, amount_numeric: bool = True, ts_typed: bool = True) -> DataFrame:
+    """Cumulative stream scorecard per batch from per-batch counts. The window
+    runs over one row per batch, not over data rows."""
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.select("batch_id", *[F.sum(x).over(w).alias(x) for x in SCORE_COUNTS])
+    return c.select("batch_id", F.col("n").alias("n_rows"), stream_score(amount_numeric, ts_typed).alias("score"))
 
 
-def clean_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str) -> str:
+def clean_to_sink(stream: DataFrame, transform, sink: str, checkpoint: str, trigger: dict | None = None) -> str:
     """ST2: apply a fitted recipe per micro-batch and append the result."""
-    run_to_end(stream.writeStream.foreachBatch(lambda df, bid: _write_batch(transform(df), sink, bid)), checkpoint)
+    run_stream(stream.writeStream.foreachBatch(lambda df, bid: _write_batch(transform(df), sink, bid)), checkpoint, trigger)
     return sink
 
 
 def clean_with_refit(stream: DataFrame, steps, history: DataFrame, sink: str, raw_sink: str, checkpoint: str,
-                     refit_every: int) -> str:
+                     refit_every: int, trigger: dict | None = None) -> str:
     """ST2 with an explicit re-fit policy (H8).
 
     Micro-batch ``b`` is cleaned with statistics fitted on ``history`` plus every
@@ -194,15 +215,16 @@ def clean_with_refit(stream: DataFrame, steps, history: DataFrame, sink: str, ra
             state["fitted"], state["cut"] = fit_recipe(seen, steps), cut
         _write_batch(state["fitted"].apply(batch), sink, batch_id)
 
-    run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
+    run_stream(stream.writeStream.foreachBatch(handle), checkpoint, trigger)
     return sink
 
 
-def drift_to_sink(stream: DataFrame, sink: str, checkpoint: str, by: str = "arrival_day", **kw) -> str:
+def drift_to_sink(stream: DataFrame, sink: str, checkpoint: str, by: str = "arrival_day", trigger: dict | None = None,
+                  **kw) -> str:
     """ST6: per-batch drift counts appended to ``sink``; read them with
     ``drift_report(spark.read.parquet(sink), baseline)``."""
-    run_to_end(stream.writeStream.foreachBatch(
-        lambda df, bid: _write_batch(drift_batch_counts(df, by, **kw), sink, bid)), checkpoint)
+    run_stream(stream.writeStream.foreachBatch(
+        lambda df, bid: _write_batch(drift_batch_counts(df, by, **kw), sink, bid)), checkpoint, trigger)
     return sink
 
 

@@ -590,13 +590,6 @@ def s3_bind_output_table(spark, sf):
     return out["enriched"]
 
 
-@query("o1_iqr_approx")
-def o1_iqr_approx(spark, sf):
-    """O1 with percentile_approx bounds (the option for columns too large for exact
-    quantiles to be worth their extra passes); no exact oracle by design."""
-    return filter_outliers(ctx(spark, sf).orders_base, "amount", "iqr", 1.5, approx=True)
-
-
 # ---------------------------------------------------------------- all recipes at once
 _G_SQL = {"null_fix": G1_SQL, "normalise": G2_SQL, "etl": G3_SQL, "stream": with_views(_g4_sql("r4", True), "r4")}
 

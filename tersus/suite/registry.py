@@ -72,14 +72,9 @@ class Ctx:
         return fx.parts_dirty(self.base["part"])
 
 
-_CTX: dict = {}
-
-
 def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
-    key = (id(spark), sf_dir)
-    if key not in _CTX:
-        _CTX[key] = Ctx(spark, sf_dir)
-    return _CTX[key]
+    """A fresh set of lazy tables: no query sees what an earlier one read or staged."""
+    return Ctx(spark, sf_dir)
 
 
 def r6(c):
@@ -430,3 +425,4 @@ def x7_lower(spark, sf):
 # plan-level and streaming queries register themselves on import
 from tersus.suite import plan_queries  # noqa: E402,F401
 from tersus.suite import stream_queries  # noqa: E402,F401
+from tersus.suite import hard_queries  # noqa: E402,F401

@@ -1,9 +1,8 @@
 """Suite queries for Structured Streaming (ST1-ST6).
 
-The dirty stream view is staged as one folder of files per arrival day under the
-session's checkpoint folder; each query runs a real streaming query over it
-(``availableNow``, one file per trigger) into a sink under the same folder and
-returns the sink read back as a batch DataFrame.
+The dirty stream view is staged as files under the session's checkpoint folder; each
+query runs a real streaming query over it (``availableNow``, one file per trigger)
+into a sink under the same folder and returns the sink read back as a batch DataFrame.
 """
 
 from __future__ import annotations
@@ -11,32 +10,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tersus.plans import recipes as rc
-from tersus.streaming import (clean_to_sink, dedup_stream, drift_report, drift_to_sink, fit_drift_baseline,
-                              fit_recipe,
-                              read_stream, running_profile, running_score, stage_batches)
+from tersus.streaming import (clean_to_sink, dedup_to_sink, drift_report, drift_to_sink, fit_drift_baseline,
+                              fit_recipe, read_deduplicated, read_stream, running_profile, running_score)
 from tersus.streaming.monitor import new_paths
 from tersus.suite.registry import ctx, query, r6
 from tersus.suite.sql import k1, k2, with_views
+from tersus.suite.staging import stage_batches, stage_in_order
 
 RAW_DAYS_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, "
                    "event_ts STRING, arrival_day DATE")
 STREAM_COLS = ["txn_id", "customer_id", "amount", "category", "region", "event_ts"]
 
 
-def _staged(spark, sf) -> str:
-    c = ctx(spark, sf)
-    if getattr(c, "_staged_path", None) is None:
-        c._staged_path = stage_batches(c.stream_days, spark, "arrival_day")
-    return c._staged_path
-
-
-def _stream(spark, sf, path=None, batches=5):
-    """A file stream over the staged folder cut into about ``batches`` micro-batches."""
-    import math
-    path = path or _staged(spark, sf)
-    n_files = len(spark.read.schema(RAW_DAYS_SCHEMA).parquet(path).inputFiles())
-    per = max(1, math.ceil(n_files / batches))
-    return read_stream(spark, path, RAW_DAYS_SCHEMA, max_files_per_trigger=per)
+def _stream(spark, sf, path=None):
+    """A file stream over the staged table, one file (a fifth of it) a micro-batch."""
+    path = path or stage_batches(ctx(spark, sf).stream_days, spark, "arrival_day")
+    return read_stream(spark, path, RAW_DAYS_SCHEMA, max_files_per_trigger=1)
 
 
 def _read_sink(spark, sink):
@@ -59,27 +48,47 @@ def st2_stream_clean(spark, sf):
     return _read_sink(spark, sink).withColumn("amount", r6("amount"))
 
 
-@query("st3_stream_dedup", with_views("SELECT * FROM stream_dirty_days", "stream_dirty_days"))
+_UNTIMED = "CAST(substr(txn_id, 5) AS BIGINT) % 11 = 3"
+
+
+@query("st3_stream_dedup", with_views(
+    f"SELECT * REPLACE (CASE WHEN {_UNTIMED} THEN 'unknown' ELSE event_ts END AS event_ts) FROM stream_dirty_days",
+    "stream_dirty_days"))
 def st3_stream_dedup(spark, sf):
-    c = ctx(spark, sf)
-    days = c.stream_days
-    # the source delivers the days in order, then the last day again (an at-least-once
-    # replay); lateness stays within a day, so a 3-day watermark never drops a row
-    src = stage_batches(days, spark, "arrival_day", ordered=True)
-    last = days.agg(F.max("arrival_day")).first()[0]
-    days.where(F.col("arrival_day") == F.lit(last)).write.mode("append").partitionBy("arrival_day").parquet(src)
+    """The source delivers the days in no order (so most rows are late), some rows without a time that parses,
+    and every third row a second time after all others."""
+    days = ctx(spark, sf).stream_days
+    days = days.withColumn("event_ts", F.when(F.expr(_UNTIMED), "unknown").otherwise(F.col("event_ts")))
+    src = stage_batches(days, spark, "arrival_day")
+    days.where(F.expr("CAST(substr(txn_id, 5) AS BIGINT) % 3 = 0")).repartition(2).write.mode("append").parquet(src)
     sink, ck = new_paths(spark, "sink", "ckpt")
-    deduped = dedup_stream(_stream(spark, sf, src), ["txn_id"], "event_ts", "3 days")
-    clean_to_sink(deduped, lambda df: df, sink, ck)
-    return _read_sink(spark, sink)
+    stream = _stream(spark, sf, src)
+    dedup_to_sink(stream, ["txn_id"], sink, ck, "event_ts")
+    return read_deduplicated(spark, sink, stream.schema)
+
 
+_PART = "CAST(substr(txn_id, 5) AS BIGINT) % 5"
 
-@query("st4_running_score")
+
+def _running_sql():
+    from tersus.suite import sql as S
+    from tersus.suite.plan_queries import _g4_sql
+    for i in range(5):
+        S.VIEWS[f"r4_upto{i}"] = f"SELECT * FROM r4 WHERE {_PART} <= {i}"
+        S._DEPS[f"r4_upto{i}"] = ["r4"]
+    return with_views(" UNION ALL ".join(
+        f"SELECT {i} AS batch_id, (SELECT count(*) FROM r4_upto{i}) AS n_rows, g.score FROM ({_g4_sql(f'r4_upto{i}', True)}) g"
+        for i in range(5)), *[f"r4_upto{i}" for i in range(5)])
+
+
+@query("st4_running_score", _running_sql())
 def st4_running_score(spark, sf):
-    fitted = fit_recipe(ctx(spark, sf).stream, rc.R4_STREAM)
+    """The score after each of five micro-batches of known rows."""
+    history = ctx(spark, sf).stream_days
+    fitted = fit_recipe(history.drop("arrival_day"), rc.R4_STREAM)
+    src = stage_in_order(history, spark, F.expr(_PART), 5)
     sink, scores, ck = new_paths(spark, "sink", "scores", "ckpt")
-    stream = _stream(spark, sf)
-    running_score(stream.drop("arrival_day"), fitted, sink, scores, ck)
+    running_score(_stream(spark, sf, src).drop("arrival_day"), fitted, sink, scores, ck)
     return spark.read.parquet(scores)
 
 
