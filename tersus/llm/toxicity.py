@@ -21,29 +21,43 @@ from .common import col, fold, texts, written
 from .quality import labelled
 
 SIZES = (3, 4, 5, 6, 7)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Texts of about this size are in memory at once, with all their n-grams.
+SLICE = 2 << 20
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
+def _place(h: np.ndarray) -> np.ndarray:
+    """20 well-mixed bits of a rolling hash."""
+    return ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(44)).astype(np.int64)
 
 
-def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character n-grams of the padded words, and the word each is from."""
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    joined = "\0".join([f" {w} " for w in words]) + "\0"
+def _characters(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the padded words, one after the other: characters, the word each is from, how many are left in it."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    joined = " " + pc.binary_join(one, " \0 ")[0].as_py() + " \0"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     stops = np.flatnonzero(code == 0)
     word = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=-1))
-    room = stops[word] - np.arange(len(code))  # characters left in the word
-    hashes, whose, h = [], [], np.zeros(len(code), np.uint64)
+    return code, word, stops[word] - np.arange(len(code))
+
+
+def _rolling(code: np.ndarray):
+    """(size, hash of the n-gram at each place) for every size of ``SIZES``."""
+    h = np.zeros(len(code), np.uint64)
     for size in range(1, max(SIZES) + 1):
-        n = len(code) - size + 1
-        h = h[:n] * np.uint64(0x9E3779B97F4A7C15) + code[size - 1:] + np.uint64(1)
+        h = h[:len(code) - size + 1] * MULTIPLIER + code[size - 1:] + np.uint64(1)
         if size in SIZES:
-            inside = np.flatnonzero(room[:n] >= size)
-            hashes.append(_mix(h[inside]))
+            yield size, h
+
+
+def word_ngrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all character n-grams of the padded words, and the word each is from."""
+    hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if len(words):
+        code, word, room = _characters(words)
+        for size, h in _rolling(code):
+            inside = np.flatnonzero(room[:len(h)] >= size)
+            hashes.append(h[inside])
             whose.append(word[inside])
     return np.concatenate(hashes), np.concatenate(whose)
 
@@ -54,7 +68,7 @@ def _documents(batch_texts: pa.Array):
     offsets = cut.offsets.to_numpy().astype(np.int64)
     coded = cut.flatten().dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return coded.dictionary.to_pylist(), which, offsets - offsets[0]
+    return coded.dictionary, which, offsets - offsets[0]
 
 
 def _distinct(features: np.ndarray, whose: np.ndarray, words: int, which: np.ndarray, offsets: np.ndarray):
@@ -64,6 +78,8 @@ def _distinct(features: np.ndarray, whose: np.ndarray, words: int, which: np.nda
     counts = np.bincount(whose, minlength=words)
     starts = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    some = counts[which] > 0
+    doc, which = doc[some], which[some]
     pair = np.unique(doc * words + which)  # each word of a document once
     doc, word = pair // words if words else pair, pair % words if words else pair
     doc, features = np.repeat(doc, counts[word]), features[ragged(starts[word], counts[word])]
@@ -87,23 +103,23 @@ class LinearModel:
     bias: float
 
     def __post_init__(self):
-        # one bit for each value of the top 20 bits tells most unselected n-grams apart without a search
+        # one bit for each value of 20 bits tells most unselected n-grams apart without a search
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.ngrams >> np.uint64(44)).astype(np.int64)] = True
-
-    def selected(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``hashes`` of selected n-grams, and their indexes."""
-        at = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.ngrams, hashes[at]), max(len(self.ngrams) - 1, 0))
-        hit = self.ngrams[i] == hashes[at] if len(self.ngrams) else np.zeros(len(at), bool)
-        return at[hit], i[hit]
+        self.seen[_place(self.ngrams)] = True
 
     def features(self, batch_texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, feature index) pairs of the texts."""
         words, which, offsets = _documents(batch_texts)
-        hashes, whose = word_ngrams(words)
-        at, index = self.selected(hashes)
-        return _distinct(index, whose[at], len(words), which, offsets)
+        index, whose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(words) and len(self.ngrams):
+            code, word, room = _characters(words)
+            for size, h in _rolling(code):
+                at = np.flatnonzero(self.seen[_place(h)] & (room[:len(h)] >= size))
+                i = np.minimum(np.searchsorted(self.ngrams, h[at]), len(self.ngrams) - 1)
+                hit = self.ngrams[i] == h[at]
+                index.append(i[hit])
+                whose.append(word[at[hit]])
+        return _distinct(np.concatenate(index), np.concatenate(whose), len(words), which, offsets)
 
     def scores(self, batch_texts: pa.Array) -> np.ndarray:
         doc, index = self.features(batch_texts)
@@ -115,21 +131,21 @@ def training_sample(df: DataFrame, labels: DataFrame, label_col: str, folds: int
                     id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
     """Labelled training rows (doc_id, text, label), about ``rows_per_class`` of each class at most, chosen by a
     hash of the id; and how many of each class there are."""
-    rows = labelled(texts(df, id_col, text_col), labels, label_col, folds)
-    known = labelled(texts(df, id_col, text_col).select("doc_id"), labels, label_col, folds)
+    rows = texts(df, id_col, text_col)
+    known = labelled(rows.select("doc_id").distinct(), labels, label_col, folds)
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two classes
-    share = {c: min(1.0, rows_per_class / n) for c, n in sizes.items()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     chosen = F.lit(False)
-    for c, s in share.items():
-        chosen = chosen | ((F.col("label") == c) & (place < s))
-    return rows.filter(chosen), sizes
+    for c, n in sizes.items():
+        chosen = chosen | ((F.col("label") == c) & (place < min(1.0, rows_per_class / n)))
+    # about 2 * rows_per_class ids whatever the tables, so texts need not be shuffled to meet them
+    return rows.join(F.broadcast(known.filter(chosen)), "doc_id"), sizes
 
 
 def ngram_counts(sample: DataFrame) -> DataFrame:
     """ngram (hash as a signed long), toxic, clean: in how many sampled documents of each class it occurs."""
     def run(batches):
-        for batch in by_size(batches):
+        for batch in by_size(batches, max_bytes=SLICE):
             words, which, offsets = _documents(batch.column("text"))
             hashes, whose = word_ngrams(words)
             doc, grams = _distinct(hashes, whose, len(words), which, offsets)
@@ -173,7 +189,7 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documen
     model = LinearModel(ngrams, ratio, 0.0)
 
     def run(batches):
-        for batch in by_size(batches):
+        for batch in by_size(batches, max_bytes=SLICE):
             doc, index = model.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), _dealt_out(doc, index.astype(np.int32), batch.num_rows, pa.int32())], ["label", "index"])
@@ -200,7 +216,7 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documen
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, rows_per_class: int = 8000,
-        features: int = 20_000, least_documents: int = 4, least_ratio: float = 20.0, penalty: float = 1e-3, steps: int = 300,
+        features: int = 3000, least_documents: int = 4, least_ratio: float = 20.0, penalty: float = 1e-4, steps: int = 400,
         id_col: str = "doc_id", text_col: str = "text") -> LinearModel:
     """The model of at most about ``rows_per_class`` labelled training documents of each class."""
     sample, sizes = training_sample(df, labels, label_col, folds, rows_per_class, id_col, text_col)
@@ -215,7 +231,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
-        return pa.array(np.concatenate([model.scores(x.column("text")) for x in by_size([batch])] or [np.zeros(0)]))
+        return pa.array(np.concatenate([model.scores(x.column("text")) for x in by_size([batch], max_bytes=SLICE)] or [np.zeros(0)]))
     return df.filter(score(col(text_col).cast("string")) < threshold)
 
 
@@ -230,7 +246,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, label_col: str = "toxic",
     model = fit(df, labels, label_col, folds, id_col=id_col, text_col=text_col, **training)
 
     def run(batches):
-        for batch in by_size(batches):
+        for batch in by_size(batches, max_bytes=SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text")))],
                                              ["doc_id", "score"])
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, score double").select(
