@@ -7,7 +7,7 @@ from tersus.functions.text import python_replacement_to_java
 
 def test_cast_int_refuses_nulls_with_count(spark):
     df = spark.createDataFrame([("1",), ("N/A",), ("x",)], "a string")
-    with pytest.raises(CleaningError, match="2 null"):
+    with pytest.raises(CleaningError, match="^2 value"):
         cast_column(df, "a", "int")
 
 
@@ -85,7 +85,30 @@ def test_python_named_groups_translate(spark):
     import re as _re
     from tersus.functions.text import python_pattern_to_java
     pat, repl = r"(?P<num>\d)-(?P<word>\w+)", r"\g<word>:\g<num>"
-    assert python_pattern_to_java(r"(?P<a>x)(?P=a)") == r"(?<a>x)\k<a>"
+    assert python_pattern_to_java(r"(?P<a>x)(?P=a)") == r"(?U)(?<a>x)\k<a>"
     df = spark.createDataFrame([("1-URGENT",), ("none",)], "s string")
     got = [r["s"] for r in normalize_values(df, "s", "regex", pat, repl).collect()]
     assert got == [_re.sub(pat, repl, "1-URGENT"), "none"]
+
+
+def test_int_cast_is_exact_over_the_whole_long_range(spark):
+    vals = [str(2 ** 53 + 1), str(2 ** 63 - 1), str(-2 ** 63), " +7 ", "1e3", "2.9", "-2.9"]
+    df = spark.createDataFrame([(v,) for v in vals], "a string")
+    assert [r["a"] for r in cast_column(df, "a", "int").collect()] == [2 ** 53 + 1, 2 ** 63 - 1, -2 ** 63, 7, 1000, 2, -2]
+    for bad in (str(2 ** 63), "1e19", "inf", "x"):
+        with pytest.raises(CleaningError, match="^1 value"):
+            cast_column(spark.createDataFrame([(bad,)], "a string"), "a", "int")
+
+
+def test_keep_first_needs_an_order_and_any_does_not(spark):
+    df = spark.createDataFrame([("k", 1), ("k", 2)], "k string, o long")
+    with pytest.raises(CleaningError, match="order_by"):
+        remove_duplicates(df, ["k"], "last")
+    assert remove_duplicates(df, ["k"], "any").count() == 1
+
+
+def test_regex_escapes_and_unicode(spark):
+    import re as _re
+    for pat, repl, text in [(r"(\w+) (\w+)", r"\2\n\1", "été ok"), (r"\d+\Z", "#", "a1 22"), (r"\s", r"\t", "a\u00a0b c"), (r"\\Z", "z", "\\Z")]:
+        df = spark.createDataFrame([(text,)], "s string")
+        assert normalize_values(df, "s", "regex", pat, repl).first()["s"] == _re.sub(pat, repl, text)

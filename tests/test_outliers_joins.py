@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tersus.errors import CleaningError
-from tersus.functions.stats import FitBatch, exact_quantiles_bracketed
+from tersus.functions.stats import FitBatch
 from tersus.operators import filter_outliers, filter_range, merge_tables
 from pyspark.sql import functions as F
 
@@ -33,20 +33,45 @@ def test_fixed_range(spark):
     assert sorted(r["a"] or "" for r in filter_range(df, "a", 0, 10000).collect()) == ["", "5"]
 
 
-def test_exact_quantiles_match_numpy_on_both_paths(spark):
+def quantiles(df, probs, x=None):
+    b = FitBatch(df)
+    b.quantile("q", F.col("x") if x is None else x, probs)
+    return b.run()["q"]
+
+
+@pytest.mark.parametrize("hot", [1.0, 42.0, 100.0, 1e6])
+def test_exact_quantiles_match_numpy_next_to_a_hot_value(spark, hot):
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(100, 30, 3000).round(3), np.full(1500, 42.0)])  # a hot value
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    probs = [0.25, 0.5, 0.75]
-    want = [float(np.quantile(vals, p)) for p in probs]
-    small = FitBatch(df)
-    small.quantile("q", F.col("x"), probs)
-    assert np.allclose(small.run()["q"], want, rtol=0, atol=1e-9)
-    got = exact_quantiles_bracketed(df, F.col("x"), len(vals), probs, collect_limit=50, accuracy=200)
-    assert np.allclose(got, want, rtol=0, atol=1e-9)
-    big = FitBatch(df, distinct_limit=10, collect_limit=64)
-    big.quantile("q", F.col("x"), probs)
-    assert np.allclose(big.run()["q"], want, rtol=0, atol=1e-9)
+    vals = np.concatenate([rng.normal(100, 30, 3000).round(3), np.full(1500, hot)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(3)
+    probs = [0.25, 0.5, 2 / 3, 0.75]
+    assert np.allclose(quantiles(df, probs), [float(np.quantile(vals, p)) for p in probs], rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("at", [0.25, 0.5, 0.75])
+def test_hot_value_that_begins_at_the_quantile_itself(spark, at):
+    n = 4001
+    first = int(at * (n - 1))
+    vals = [float(i) if i < first else (float(first) if i < first + n // 5 else float(i)) for i in range(n)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert quantiles(df, [0.25, 0.5, 0.75]) == [float(np.quantile(vals, p)) for p in (0.25, 0.5, 0.75)]
+
+
+def test_median_of_millions_of_distinct_values_next_to_a_hot_one(spark):
+    n = 8_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") / 2 - n / 4 + 0.25).alias("x"))
+    # odd ids give n/2 distinct values, symmetric about zero; even ids give zero
+    assert quantiles(df, [0.5]) == [0.0]
+    half = df.where("x != 0").groupBy().agg(F.min("x"), F.max("x")).first()
+    low, high = quantiles(df, [0.0, 1.0])
+    assert (low, high) == (half[0], half[1])
+
+
+def test_several_weighted_quantiles_in_one_batch(spark):
+    from tersus.functions.stats import exact_quantiles
+    df = spark.createDataFrame([(1.0, 3, None), (2.0, 1, 5.0), (4.0, 2, 6.0)], "x double, n long, y double")
+    got = exact_quantiles(df, [(F.col("x"), [0.5]), (F.col("y"), [0.0, 1.0]), (F.lit(None), [0.5])], weight=F.col("n"))
+    assert got == [[float(np.median([1, 1, 1, 2, 4, 4]))], [5.0, 6.0], [None]]
 
 
 def test_join_null_keys_match_and_suffixes(spark):
@@ -83,10 +108,7 @@ def test_exact_quantile_edges_match_numpy(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     want = [float(np.quantile(vals, p)) for p in probs]
-    for limits in ({}, {"distinct_limit": 0, "collect_limit": 3}):
-        b = FitBatch(df, **limits)
-        b.quantile("q", F.col("x"), probs)
-        assert np.allclose(b.run()["q"], want, rtol=0, atol=1e-9), limits
+    assert np.allclose(quantiles(df, probs), want, rtol=0, atol=1e-9)
 
 
 def test_quantile_of_empty_column_is_none(spark):

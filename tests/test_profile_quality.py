@@ -6,16 +6,12 @@ from tersus.plans import quality as ql
 from tersus.sources import TableSet, append, preview
 
 
-def test_duplicate_count_methods_agree(spark):
+def test_duplicate_count(spark):
     data = [(1, None), (1, None), (None, 1), (1, None), (2, "x"), (2, "x"), (3, "y")]
-    df = spark.createDataFrame(data, "a long, b string")
-    for m in ("exact", "grouped", "hash"):
-        assert prof.duplicate_count(df, "t", m).first()["duplicate_count"] == 3
-
-
-def test_null_hash_flags_distinguish_positions(spark):
-    df = spark.createDataFrame([(1, None), (None, 1)], "a long, b long")
-    assert prof.duplicate_count(df, "t", "hash").first()["duplicate_count"] == 0
+    df = spark.createDataFrame(data, "`a.b` long, b string")
+    assert prof.duplicate_count(df, "t").first()["duplicate_count"] == 3
+    flipped = spark.createDataFrame([(1, None), (None, 1)], "a long, b long")
+    assert prof.duplicate_count(flipped, "t").first()["duplicate_count"] == 0
 
 
 def test_null_counts_and_issue_list(spark):
@@ -95,3 +91,14 @@ def test_operators_on_an_empty_table(spark):
     assert prof.duplicate_count(empty, "e").first()["duplicate_count"] == 0
     with pytest.raises(CleaningError):
         fill_nulls(empty, "a", "mean")  # nothing to fit: refused, not invented
+
+
+def test_append_keeps_new_columns(spark):
+    out = append(spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([("2", "new")], "k string, `e.x` string"))
+    assert out.columns == ["k", "v", "e.x"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", None), (2, None, "new")]
+
+
+def test_empty_merged_table_scores_the_floor(spark):
+    some = spark.createDataFrame([("1", "30", 2024)], "amount string, age string, order_year int")
+    assert ql.scorecard_etl({"merged": some.limit(0)}, some).first()["score"] == 0.05

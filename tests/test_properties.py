@@ -56,3 +56,23 @@ def test_fitted_recipe_is_independent_of_batch_split(spark, k, seed):
     split = reduce(lambda a, b: a.unionByName(b), parts)
     whole = fitted.apply(s)
     assert sorted(split.collect(), key=str) == sorted(whole.collect(), key=str)
+
+
+def filled(rows, forward):
+    """Plain ordered fill of (key, second key, value) rows; None keys first."""
+    order = sorted(range(len(rows)), key=lambda i: tuple((x is not None, x or 0) for x in rows[i][:2]))
+    out, last = [None] * len(rows), None
+    for i in order if forward else order[::-1]:
+        last = rows[i][2] if rows[i][2] is not None else last
+        out[i] = last
+    return out
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(0, 40)),
+                          st.one_of(st.none(), st.sampled_from("abc"))), min_size=1, max_size=25,
+                unique_by=lambda r: r[:2]), st.sampled_from([1, 2, 5]), st.booleans())
+def test_ordered_fill_is_the_same_for_any_bucket_count(spark, rows, buckets, forward):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, day int, seq int, v string")
+    out = fill_nulls(df, "v", "ffill" if forward else "bfill", order_by=["day", "seq"], buckets=buckets)
+    assert [r["v"] for r in out.orderBy("i").collect()] == filled(rows, forward)
