@@ -216,8 +216,9 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int |
     for r in placed.groupBy("list").count().collect():  # one row for each list
         sizes[r["list"]] = r["count"]
 
-    asked = written(rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
-                    .withColumn("same_as", F.min("vec_id").over(Window.partitionBy("vector"))), "ann-queries")
+    queries = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
+    first = queries.groupBy("vector").agg(F.min("vec_id").alias("same_as"))
+    asked = written(queries.join(first, "vector"), "ann-queries")
     distinct = asked.filter("vec_id = same_as").select("vec_id", "vector")
     probed = written(probes(distinct, index, sizes, probe_share, least_candidates), "ann-probes")
 

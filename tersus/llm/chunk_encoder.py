@@ -95,8 +95,9 @@ class ChunkEncoder:
 
     def _entries(self, chunks: list[str]) -> np.ndarray:
         index = self.index
-        new = [c for c in dict.fromkeys(chunks) if c not in index]
-        if new:
+        known = list(map(index.get, chunks))
+        if None in known:
+            new = dict.fromkeys(c for c, i in zip(chunks, known) if i is None)
             plain, other = [], []
             for c in new:
                 (plain if self._is_plain(c) else other).append(c)
@@ -111,7 +112,8 @@ class ChunkEncoder:
             index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
             self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+            known = map(index.__getitem__, chunks)
+        return np.fromiter(known, np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it."""

@@ -233,7 +233,8 @@ def in_shards(blocks: DataFrame, merge, schema: str) -> DataFrame:
 class Model:
     folder: str
     order: int
-    shards: int
+    shards: int  # of the word arrays
+    parts: int  # of the n-gram and context arrays
     words: int  # distinct training tokens (V)
     total: int  # training tokens (N)
     documents: int  # training texts
@@ -244,8 +245,8 @@ class Model:
 
     def __post_init__(self):
         self.word_arrays = HashArrays(self.folder, "words", self.shards)
-        self.ngram_arrays = {k: HashArrays(self.folder, f"ngrams{k}", self.shards) for k in range(2, self.order + 1)}
-        self.context_arrays = {k: HashArrays(self.folder, f"contexts{k}", self.shards) for k in range(2, self.order + 1)}
+        self.ngram_arrays = {k: HashArrays(self.folder, f"ngrams{k}", self.parts) for k in range(2, self.order + 1)}
+        self.context_arrays = {k: HashArrays(self.folder, f"contexts{k}", self.parts) for k in range(2, self.order + 1)}
 
     @property
     def start(self) -> int:
@@ -290,7 +291,7 @@ class Model:
                 view, view2 = sums[part], rest[part]
                 view[found] = arrays.array(s, "sum", np.float64)[at[found]]
                 view2[found] = arrays.array(s, "rest", np.float32)[at[found]]
-            keys = ngram_keys(own, salts(last_counts, own[-1], self.total, self.shards))
+            keys = ngram_keys(own, salts(last_counts, own[-1], self.total, self.parts))
             keys, at = np.unique(keys, return_inverse=True)
             counts = self.ngram_arrays[k].counts(keys)[at]
             total = sums[back]
@@ -327,7 +328,7 @@ def _task_blocks(batches, count, send):
         yield block_batch(lot())
 
 
-def count_words(rows: DataFrame, folder: str, order: int, shards: int) -> Model:
+def count_words(rows: DataFrame, folder: str, order: int, shards: int, part_tokens: int) -> Model:
     def run(batches):
         def count(batch):
             used, token, _, sizes = tokens(batch.column("text"))
@@ -348,12 +349,13 @@ def count_words(rows: DataFrame, folder: str, order: int, shards: int) -> Model:
     for r in sizes:
         number[r["shard"] + 1] = r["words"]
     bases = np.cumsum(number)
-    return Model(folder, order, shards, int(bases[-1]), sum(r["total"] for r in sizes), 0, bases)
+    total = sum(r["total"] for r in sizes)
+    return Model(folder, order, shards, max(shards, -(-total // part_tokens)), int(bases[-1]), total, 0, bases)
 
 
 def count_ngrams(rows: DataFrame, model: Model) -> None:
     """Write the arrays of all orders, the highest first, and fill in the model's discounts."""
-    order, shards, total, start, folder = model.order, model.shards, model.total, model.start, model.folder
+    order, shards, total, start, folder = model.order, model.parts, model.total, model.start, model.folder
 
     def ngram_blocks(columns, weights, salt):
         shard = shard_of(ngram_keys(columns, salt), shards).astype(np.int64)
@@ -440,13 +442,15 @@ def count_ngrams(rows: DataFrame, model: Model) -> None:
         model.unigram_rest = (d[0] * n[0] + d[1] * n[1] + d[2] * sum(r["more"] for r in rows)) / model.unigram_total
 
 
-def train(df: DataFrame, order: int = 2, shards: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Count all texts of ``df`` (null texts count as empty). Needs order 2 or more."""
+def train(df: DataFrame, order: int = 2, shards: int | None = None, part_tokens: int = 8_000_000,
+          text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Count all texts of ``df`` (null texts count as empty). Needs order 2 or more. Words lie in ``shards`` arrays
+    (the session's shuffle partitions if not given), n-grams in as many or one for each ``part_tokens`` tokens."""
     if order < 2:
         raise ValueError("order must be 2 or more")
     rows = texts(df, id_col, text_col)
     folder = scratch_dir(df.sparkSession, "llm", "ngram-model")
-    model = count_words(rows, folder, order, shards or shuffle_partitions(df.sparkSession))
+    model = count_words(rows, folder, order, shards or shuffle_partitions(df.sparkSession), part_tokens)
     model.documents = rows.count()
     if model.total:
         count_ngrams(rows, model)

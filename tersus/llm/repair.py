@@ -34,8 +34,14 @@ TABLE = 1 << 18
 def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_round: int = 4000,
              least_count: int = 16, least_gain: float = 0.04, rounds: int = 12):
     """(left, right, expansion, sequence, symbols of each document). Stops when a round saves less than
-    ``least_gain`` of the sequence, or after ``rounds``."""
-    seq = ids.astype(np.int32)
+    ``least_gain`` of the sequence, or after ``rounds``.
+
+    An alphabet of less than two bytes gets no symbols beyond two bytes, so that pairs are counted as 32-bit
+    numbers; a larger one is not limited."""
+    small = alphabet < 0xFFFF
+    kind, shift, limit = (np.uint32, 16, 0xFFFF) if small else (np.uint64, 32, 0xFFFFFFFF)
+    none = np.iinfo(kind).max  # no pair: the highest symbol is never given
+    seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_lengths)[doc_lengths > 0] - 1] = True
     left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -43,38 +49,41 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        code[last[:-1]] = -1
+        code = (seq[:-1] << kind(shift)) | seq[1:]
+        code[last[:-1]] = none
         ordered = np.sort(code)
-        ordered = ordered[np.searchsorted(ordered, 0):]
-        edge = np.flatnonzero(np.diff(ordered, prepend=-1))
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.diff(edge, append=len(ordered))
+        if ordered[-1] == none:
+            edge, counts = edge[:-1], counts[:-1]
         frequent = np.flatnonzero(counts >= least_count)
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:min(pairs_a_round, limit - top)]]
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:pairs_a_round]]
         pair = ordered[edge[frequent]]  # most frequent first
         # rank of each position's pair: a table by hash, of which the most frequent pair of a slot is the entry
-        slot = _slot(pair)
         table = np.full(TABLE, len(pair), np.int32)
-        table[slot[::-1]] = np.arange(len(pair) - 1, -1, -1, dtype=np.int32)
+        table[_slot(pair)[::-1]] = np.arange(len(pair) - 1, -1, -1, dtype=np.int32)
         rank = table[_slot(code)]
-        rank[np.append(pair, -2)[rank] != code] = len(pair)
+        rank[np.append(pair, none)[rank] != code] = len(pair)
+        rank[code == none] = len(pair)
         # in a run of one symbol the pair overlaps itself: take every other place
         again = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] < len(pair))) + 1
         if len(again):
             runs = np.flatnonzero(np.diff(again, prepend=-1) > 1)
             nth = np.arange(len(again)) - np.repeat(runs, np.diff(runs, append=len(again)))
             rank[again[nth % 2 == 0]] = len(pair)
-        hit = np.flatnonzero(rank < len(pair))
-        around = np.concatenate([[len(pair)], rank, [len(pair)]])
-        own = rank[hit]
-        at = hit[(own < around[hit]) & (own <= around[hit + 2])]  # never two neighbours
+        before, after = np.append(kind(len(pair)), rank[:-1]), np.append(rank[1:], kind(len(pair)))
+        at = np.flatnonzero((rank < before) & (rank <= after) & (rank < len(pair)))  # never two neighbours
         if len(at) < least_gain * len(seq):
             break
-        used, new = np.unique(rank[at], return_inverse=True)
-        left, right = np.append(left, pair[used] >> 32), np.append(right, pair[used] & 0xFFFFFFFF)
-        seq[at] = top + new.astype(np.int32)
+        chosen = rank[at]
+        used = np.flatnonzero(np.bincount(chosen, minlength=len(pair)))
+        symbol = np.zeros(len(pair), kind)
+        symbol[used] = top + np.arange(len(used))
+        left = np.append(left, (pair[used] >> kind(shift)).astype(np.int64))
+        right = np.append(right, (pair[used] & kind((1 << shift) - 1)).astype(np.int64))
+        seq[at] = symbol[chosen]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -90,7 +99,9 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
-    return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    if code.dtype == np.uint32:
+        return (code * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
 class Shard:

@@ -98,10 +98,11 @@ def test_probabilities_sum_to_one(spark):
 def test_hot_context_over_many_shards(spark):
     rows = [(i, " ".join(f"hot w{i}x{j}" for j in range(200))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = ngram_lm.train(df, 2, shards=1), ngram_lm.train(df, 2, shards=16)
+    few, many = ngram_lm.train(df, 2, shards=1), ngram_lm.train(df, 2, shards=4, part_tokens=-(-12_031 // 16))
     a = {r["doc_id"]: r["score"] for r in ngram_lm.score(df, few).collect()}
     b = {r["doc_id"]: r["score"] for r in ngram_lm.score(df, many).collect()}
     assert a == pytest.approx(b, rel=1e-9)
+    assert (few.parts, many.parts) == (1, 16)
     sizes = [len(many.ngram_arrays[2].array(s, "key", "u8")) for s in range(16)]
     assert max(sizes) < 3 * sum(sizes) / 16  # the context that has a third of all n-grams is spread
 
