@@ -16,8 +16,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of text that Spark hands a Python worker at once (one longer text still goes as a whole).
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session: the JVM and the worker each hold one per running task, and the
+    default of 64 MB a batch leaves small executors little room for the work itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` (long) and ``text`` (null becomes empty); other columns are left behind."""
+    bounded_batches(df.sparkSession)
     return df.select(col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 

@@ -53,7 +53,7 @@ def statistics(text: str) -> list[float]:
 def statistics_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and x, the statistics of every row."""
     def run(batches):
-        for batch in by_size(batches):
+        for batch in by_size(batches, max_bytes=1 << 20):
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
@@ -137,16 +137,16 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", folds: i
 
 def keep_good(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, folds: int = 5,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that score at least ``threshold``, all columns unchanged. Only labelled training rows are
-    read to fit; each row is then scored by its own text, so repeated and null ids need no care."""
-    known = labels.select(col(id_col).cast("long").alias("doc_id")).distinct()
-    model = fit(written(statistics_table(texts(df, id_col, text_col).join(known, "doc_id", "left_semi")), "quality-training"),
-                labels, label_col, folds)
+    """The rows of ``df`` that score at least ``threshold``, all columns unchanged. The labels meet the statistics,
+    not the texts; each row is then scored by its own text, so repeated and null ids need no care."""
+    rows = written(statistics_table(df, id_col, text_col), "quality-statistics")
+    model = fit(rows, labels, label_col, folds)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        x = np.array([statistics(t or "") for t in text.to_pylist()]).reshape(-1, len(STATISTICS))
-        return pa.array(model.scores(x))
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
+        x = [[statistics(t) for t in part.column("text").to_pylist()] for part in by_size([batch], max_bytes=1 << 20)]
+        return pa.array(np.concatenate([model.scores(np.array(part)) for part in x] or [np.zeros(0)]))
     return df.filter(score(col(text_col).cast("string")) >= threshold)
 
 

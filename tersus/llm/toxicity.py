@@ -145,7 +145,7 @@ def training_sample(df: DataFrame, labels: DataFrame, label_col: str, folds: int
 def ngram_counts(sample: DataFrame) -> DataFrame:
     """ngram (hash as a signed long), toxic, clean: in how many sampled documents of each class it occurs."""
     def run(batches):
-        for batch in by_size(batches, max_bytes=SLICE):
+        for batch in by_size(batches, max_bytes=SLICE // 8):  # every n-gram of every document is held
             words, which, offsets = _documents(batch.column("text"))
             hashes, whose = word_ngrams(words)
             doc, grams = _distinct(hashes, whose, len(words), which, offsets)
@@ -216,7 +216,7 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documen
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, rows_per_class: int = 8000,
-        features: int = 3000, least_documents: int = 4, least_ratio: float = 20.0, penalty: float = 1e-4, steps: int = 400,
+        features: int = 3000, least_documents: int = 2, least_ratio: float = 6.0, penalty: float = 1e-4, steps: int = 400,
         id_col: str = "doc_id", text_col: str = "text") -> LinearModel:
     """The model of at most about ``rows_per_class`` labelled training documents of each class."""
     sample, sizes = training_sample(df, labels, label_col, folds, rows_per_class, id_col, text_col)
