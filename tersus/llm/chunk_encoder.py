@@ -1,7 +1,7 @@
 """Whole-text encoding with the tokenizers library, each distinct chunk encoded once per worker.
 
 Texts are cut into chunks that the tokenizer treats independently: at spaces, single line feeds, and before
-a full stop or comma that ends a word. A dictionary from chunk to ids is kept in the worker and refilled
+the marks that end a word. A dictionary from chunk to ids is kept in the worker and refilled
 when it holds ``max_chunks`` entries, so memory is bounded. Ids of texts are then gathered from flat arrays.
 """
 
@@ -15,13 +15,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
+from .common import keep_freed_memory
+
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 #: How vocabularies without spaces mark the end of a word.
 WORD_END = "</w>"
-#: The first character after the Latin letters that have one composed form and one lower case.
-BEYOND_LATIN = "\u0180"
-
+#: Words of Latin letters that have one composed form, with a leading space or not.
+LATIN = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]+$"
+#: A letter, then marks other than letters, digits and combining ones to the end of the chunk.
+TAIL = r"(\pL)([^\s\pL\pN\pM]+)( |\n|$)"
 #: Marks cuts inside texts where spaces count; texts that hold it are encoded as a whole.
 CUT = "\x1f"
 
@@ -41,14 +44,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
-def strings(a: pa.Array, apart: str) -> list[str]:
-    """The array as a list; ``apart`` occurs in none of the strings (one long string converts faster)."""
-    if not len(a):
-        return []
-    one = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    return pc.binary_join(one, apart)[0].as_py().split(apart)
-
-
 class ChunkEncoder:
     """``white_space_dropped``: the tokenizer lower-cases and its words never hold white space, so texts are cut
     at every space and line feed. Otherwise a word may begin with one space: texts are cut before each single
@@ -73,68 +68,68 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end id
+        # entry 0 is the end id, under a name that no chunk has
+        self.known = pa.array([CUT + CUT], pa.string())
+        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([self.end_id], np.int32)
 
     def _ids(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words in one array, and how many each has; one call for all of them."""
-        ids = np.array(self.plain.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        ids = np.array(self.plain.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.int32)
         edges = np.flatnonzero(self.edge[ids])
         return ids, np.diff(edges, prepend=-1) if self.dropped else np.diff(edges, append=len(ids))
 
-    def _is_plain(self, chunk: str) -> bool:
-        """Whether the chunk is a word of Latin letters (after a space, where spaces count) that normalising leaves."""
-        word = chunk if self.dropped else chunk[1:]
-        if not word.isalpha() or not (self.dropped or chunk[0] == " "):
-            return False
-        return word.isascii() or max(word) < BEYOND_LATIN and (not self.dropped or word == word.lower())
-
-    def _entries(self, chunks: list[str]) -> np.ndarray:
-        index = self.index
-        known = list(map(index.get, chunks))
-        if None in known:
-            new = dict.fromkeys(c for c, i in zip(chunks, known) if i is None)
-            plain, other = [], []
-            for c in new:
-                (plain if self._is_plain(c) else other).append(c)
-            new, alone = other + plain, len(other)
-            rows = self._ids(new[:alone])
-            ids, lengths = self._joined(new[alone:]) if alone < len(new) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            if len(lengths) != len(new) - alone:
+    def _is_plain(self, chunks: pa.Array) -> pa.Array:
+        """Which chunks are words of Latin letters (after a space, where spaces count) that normalising leaves."""
+        latin = pc.match_substring_regex(chunks, LATIN)
+        if self.dropped:
+            return pc.and_(latin, pc.equal(chunks, pc.utf8_lower(chunks)))
+        return pc.and_(latin, pc.starts_with(chunks, " "))
+
+    def _entries(self, chunks: pa.Array) -> np.ndarray:
+        """The entry of each chunk; new ones are encoded."""
+        place = pc.index_in(chunks, value_set=self.known)
+        if place.null_count:
+            new = pc.unique(chunks.filter(pc.is_null(place)))
+            plain = self._is_plain(new)
+            other, words = new.filter(pc.invert(plain)), new.filter(plain)
+            rows = self._ids(other.to_pylist())
+            ids, lengths = self._joined(words) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            if len(lengths) != len(words):
                 raise AssertionError("the tokenizer does not keep chunks apart")
             ids = np.concatenate([np.array([x for row in rows for x in row], np.int32), ids])
             lengths = np.concatenate([np.fromiter(map(len, rows), np.int64, len(rows)), lengths])
             starts = len(self.ids) + np.cumsum(lengths) - lengths
-            index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+            self.known = pa.concat_arrays([self.known, other, words])
             self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-            known = map(index.__getitem__, chunks)
-        return np.fromiter(known, np.int64, len(chunks))
+            place = pc.index_in(chunks, value_set=self.known)
+        return place.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it."""
-        if len(self.index) > self.max_chunks:
+        if len(self.known) > self.max_chunks:
             self._clear()
         if self.dropped:
-            spaced = pc.replace_substring_regex(texts, r"(\pL)([.,])( |\n|$)", r"\1 \2\3")
+            spaced = pc.replace_substring_regex(texts, TAIL, r"\1 \2\3")
             cut = pc.split_pattern(pc.replace_substring(spaced, "\n", " "), " ")
         else:
-            marked = pc.replace_substring_regex(texts, r"(\pL)([.,])( |\n|$)", "\\1" + CUT + "\\2\\3")
+            marked = pc.replace_substring_regex(texts, TAIL, "\\1" + CUT + "\\2\\3")
             marked = pc.replace_substring_regex(marked, r"([^\s])\n([^\s])", "\\1" + CUT + "\n" + CUT + "\\2")
             cut = pc.split_pattern(pc.replace_substring(marked, " ", CUT + " "), CUT)
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = cut.flatten().dictionary_encode()
-        distinct, which = strings(coded.dictionary, "\n" if self.dropped else CUT), coded.indices.to_numpy(zero_copy_only=False)
+        distinct, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         whole = np.zeros(0, np.int64)
         if self.dropped:
-            distinct = [c.lower() if c.isascii() else c for c in distinct]
+            distinct = pc.if_else(pc.string_is_ascii(distinct), pc.ascii_lower(distinct), distinct)
         elif len(which):
-            odd = np.fromiter(map(_odd, distinct), bool, len(distinct))[which]
+            odd = np.fromiter(map(_odd, distinct.to_pylist()), bool, len(distinct))[which]
             odd = np.add.reduceat(odd, offsets[:-1]) > 0
             whole = np.flatnonzero(odd | pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False))
         entries = self._entries(distinct)[which]
@@ -159,6 +154,7 @@ class ChunkEncoder:
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str, end_id: int, white_space_dropped: bool) -> ChunkEncoder:
     """One encoder for each worker process, kept from task to task."""
+    keep_freed_memory()
     return ChunkEncoder(path, end_id, white_space_dropped)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tersus.session import scratch_dir
 
 from .chunk_encoder import by_size
-from .common import fold, mounted, shuffle_partitions, texts, write_atomically, written
+from .common import fold, keep_freed_memory, mounted, shuffle_partitions, texts, write_atomically, written
 
 #: A word cannot hold a line feed, so this stands for the end of a text.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -312,6 +312,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def _task_blocks(batches, count, send):
     """Feed ``count(batch)`` results, (columns, weights), to ``send`` in distinct lots of bounded size."""
+    keep_freed_memory()
     held, size = [], 0
 
     def lot():
@@ -462,6 +463,7 @@ def train(df: DataFrame, order: int = 2, shards: int | None = None, part_tokens:
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10 probability) of every row."""
     def run(batches):
+        keep_freed_memory()
         for batch in by_size(batches):
             if not batch.num_rows:
                 continue

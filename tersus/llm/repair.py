@@ -31,8 +31,8 @@ ARRAYS = ("doc_ids", "doc_tokens", "doc_symbols", "left", "right", "expansion",
 TABLE = 1 << 18
 
 
-def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_round: int = 4000,
-             least_count: int = 16, least_gain: float = 0.04, rounds: int = 12):
+def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_round: int = 8000,
+             least_count: int = 16, least_gain: float = 0.05, rounds: int = 12):
     """(left, right, expansion, sequence, symbols of each document). Stops when a round saves less than
     ``least_gain`` of the sequence, or after ``rounds``.
 
