@@ -23,8 +23,9 @@ SPACE = "\u0120"
 WORD_END = "</w>"
 #: Words of Latin letters that have one composed form, with a leading space or not.
 LATIN = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]+$"
-#: A letter, then marks other than letters, digits and combining ones to the end of the chunk.
-TAIL = r"(\pL)([^\s\pL\pN\pM]+)( |\n|$)"
+#: A Latin letter, then marks other than letters, digits and combining ones to the end of the chunk. (The
+#: letter left out, U+0130, ends in a combining mark once it is lower case.)
+TAIL = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([^\s\pL\pN\pM]+)( |\n|$)"
 #: Marks cuts inside texts where spaces count; texts that hold it are encoded as a whole.
 CUT = "\x1f"
 
