@@ -70,7 +70,7 @@ class ChunkEncoder:
 
     def _clear(self):
         # entry 0 is the end id, under a name that no chunk has
-        self.known = pa.array([CUT + CUT], pa.string())
+        self.known = pa.array(["\n" if self.dropped else CUT], pa.string())
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([self.end_id], np.int32)
 

@@ -12,7 +12,7 @@ PIECES = ["a", "word", "Word.", "'ll", "'", " ", "  ", "\n", "\n\n", "12", "é",
 
 
 @pytest.mark.parametrize("encoder", [BYTE, WORD])
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(texts=st.lists(st.lists(st.sampled_from(PIECES), max_size=15).map("".join), max_size=6))
 def test_ids_equal_the_whole_texts(encoder, texts):
     ids, at = encoder.encode(pa.array(texts, pa.string()))
