@@ -82,7 +82,7 @@ def write_atomically(path: str, data: bytes) -> None:
     os.replace(temporary, path)
 
 
-def keep_freed_memory(large: int = 64 << 20, kept: int = 192 << 20) -> None:
+def keep_freed_memory(large: int = 64 << 20, kept: int = 96 << 20) -> None:
     """In a worker: let the C library reuse freed arrays of up to ``large`` bytes, keeping at most about ``kept``
     free, instead of returning each to the system and having it zeroed again for the next. glibc only."""
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
