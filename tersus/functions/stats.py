@@ -134,8 +134,7 @@ def exact_quantiles(df: DataFrame, requests, weight: Column | None = None) -> li
     counts = (df.select(F.explode(items).alias("it"), times.cast("long").alias("n")).select("it.k", "it.v", "n")
               .where("v IS NOT NULL").groupBy("k", "v").agg(F.sum("n").alias("n")))
     path = scratch_dir(spark, "quantiles")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts.repartitionByRange(parts, "k", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
     table = spark.read.schema("k int, v double, n long, part int").parquet(path)
     # one row per request and range partition
     sums = sorted((r["k"], r["part"], r["n"]) for r in table.groupBy("k", "part").agg(F.sum("n").alias("n")).collect())

@@ -25,19 +25,19 @@ from tersus.session import scratch_dir
 
 def ordered_fill(df: DataFrame, column: str, order_by, partition_by, direction: str = "forward",
                  buckets: int | None = None) -> DataFrame:
-    """``buckets``: the session's shuffle partitions if not given; size them so that one bucket's rows
-    can be sorted by one task."""
+    """``buckets``: the session's shuffle partitions if not given, small ones merged by AQE; one bucket's
+    rows are sorted by one task."""
     spark = df.sparkSession
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by)
     keys = list(partition_by)
     for c in order_cols + keys + [column]:
         require_column(df, c)
     fwd = direction == "forward"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     b = "__bucket"
     order = [col(c).asc_nulls_first() for c in order_cols]
     path = scratch_dir(spark, "ordered-fill")
-    bucketed = df.repartitionByRange(buckets, *order).withColumn(b, F.spark_partition_id())
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    bucketed = ranged.withColumn(b, F.spark_partition_id())
     bucketed.write.parquet(path)
     data = spark.read.schema(bucketed.schema).parquet(path)
     group = [*keys, b]
