@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, prepare_workers, written
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -204,6 +204,7 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int |
     rows. Other columns are not read.
     """
     spark = df.sparkSession
+    prepare_workers(spark)
     rows = usable(df, id_col, vector_col).distinct()
     same = Window.partitionBy("vector").orderBy("vec_id")
     smallest = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth")

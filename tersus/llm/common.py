@@ -21,15 +21,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session: the JVM and the worker each hold one per running task, and the
-    default of 64 MB a batch leaves small executors little room for the work itself."""
+#: The folder that holds the package, for workers that run on the driver's machine.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session (the JVM and the worker each hold one per running task, and the
+    default of 64 MB leaves small executors little room), and let workers import this package from where the
+    driver did. On a cluster the package is installed, or sent with ``--py-files``, as usual."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` (long) and ``text`` (null becomes empty); other columns are left behind."""
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     return df.select(col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
