@@ -11,7 +11,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import prepare_workers, texts
 
 #: A text is cut only before a single space between two visible characters. The pre-splitting pattern never
 #: matches across such a place: a space starts a match there, and no alternative holds a space after a
@@ -72,6 +72,7 @@ def decode_table(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "id
                 rows = batch.slice(at, 256)
                 data = [None if ids is None else decode(enc, ids) for ids in rows.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "bytes"])
+    prepare_workers(df.sparkSession)
     return df.selectExpr("doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
