@@ -1,9 +1,9 @@
 """Token ids on disk, compressed by Re-Pair grammars with random access.
 
 A shard holds whole documents in order. Frequent pairs of adjacent symbols, never across documents, are
-replaced by new symbols (nonterminals) again and again; the shard stores the rules, the expansion length of
-every symbol and the remaining sequence. Each round replaces a batch of the most frequent pairs at once:
-where occurrences overlap, the more frequent pair wins.
+replaced by new symbols (nonterminals) again and again until no pair occurs twice; the shard stores the rules,
+the expansion length of every symbol and the remaining sequence. Each round replaces a batch of the most
+frequent pairs at once: where occurrences overlap, the more frequent pair wins.
 
 File: ``MAGIC``, the header's length (4 bytes), the header (JSON: counts and array types), then the arrays in
 ``ARRAYS`` order, little-endian.
@@ -28,80 +28,92 @@ from .common import mounted, shuffle_partitions, texts, write_atomically
 
 MAGIC = b"TRPG0001"
 ARRAYS = ("doc_ids", "doc_tokens", "doc_symbols", "left", "right", "expansion", "sequence")
-TABLE = 1 << 18
 
 
 def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_round: int = 8000,
-             least_count: int = 16, least_gain: float = 0.05, rounds: int = 12):
-    """(left, right, expansion, sequence, symbols of each document). Stops when a round saves less than
-    ``least_gain`` of the sequence, or after ``rounds``.
-
-    An alphabet of less than two bytes gets no symbols beyond two bytes, so that pairs are counted as 32-bit
-    numbers; a larger one is not limited."""
-    small = alphabet < 0xFFFF
-    kind, shift, limit = (np.uint32, 16, 0xFFFF) if small else (np.uint64, 32, 0xFFFFFFFF)
-    none = np.iinfo(kind).max  # no pair: the highest symbol is never given
+             least_count: int = 2, least_gain: float = 0.0, rounds: int | None = None):
+    """(left, right, expansion, sequence, symbols of each document). Goes on until no pair occurs ``least_count``
+    times (2 or more). ``least_gain`` (share of the sequence that a round must save) and ``rounds`` stop it earlier.
+
+    A round replaces ``pairs_a_round`` pairs, or all that are at least half as frequent as the first if those are
+    more. Pairs are counted as 32-bit numbers while symbols fit two bytes, then as 64-bit numbers."""
+    least_count = max(2, least_count)
+    kind, shift, limit = np.uint32, 16, 0xFFFF
     seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_lengths)[doc_lengths > 0] - 1] = True
-    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = alphabet
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = (seq[:-1] << kind(shift)) | seq[1:]
-        code[last[:-1]] = none
+    alive = np.ones(len(seq), bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    expansion = np.ones(alphabet, np.int64)
+    top, done = alphabet, 0
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        done += 1
+        if shift == 16 and top + pairs_a_round > limit:
+            kind, shift, limit = np.uint64, 32, 0xFFFFFFFF
+            seq = seq.astype(kind)
+        none = np.iinfo(kind).max  # no pair: the highest symbol is never given
+        live = np.flatnonzero(alive[:-1] & ~last[:-1])
+        code = (seq[live] << kind(shift)) | seq[live + 1]
+        # a pair of old symbols never gets more frequent: one that is alone by hash is not looked at again
+        slot = _slot(code, max(10, len(live).bit_length() + 1))
+        some = np.bincount(slot)[slot] > 1
+        alive[live[~some]] = False
+        live, code = live[some], code[some]
+        # in a run of one symbol the pair overlaps itself: take every other place
+        again = np.flatnonzero((code[1:] == code[:-1]) & (live[1:] == live[:-1] + 1)) + 1
+        if len(again):
+            runs = np.flatnonzero(np.diff(again, prepend=-1) > 1)
+            nth = np.arange(len(again)) - np.repeat(runs, np.diff(runs, append=len(again)))
+            code[again[nth % 2 == 0]] = none
         ordered = np.sort(code)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
         counts = np.diff(edge, append=len(ordered))
-        if ordered[-1] == none:
+        if len(ordered) and ordered[-1] == none:
             edge, counts = edge[:-1], counts[:-1]
         frequent = np.flatnonzero(counts >= least_count)
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:min(pairs_a_round, limit - top)]]
         if not len(frequent):
             break
-        pair = ordered[edge[frequent]]  # most frequent first
-        # rank of each position's pair: a table by hash, of which the most frequent pair of a slot is the entry
-        table = np.full(TABLE, len(pair), np.int32)
-        table[_slot(pair)[::-1]] = np.arange(len(pair) - 1, -1, -1, dtype=np.int32)
-        rank = table[_slot(code)]
-        rank[np.append(pair, none)[rank] != code] = len(pair)
-        rank[code == none] = len(pair)
-        # in a run of one symbol the pair overlaps itself: take every other place
-        again = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] < len(pair))) + 1
-        if len(again):
-            runs = np.flatnonzero(np.diff(again, prepend=-1) > 1)
-            nth = np.arange(len(again)) - np.repeat(runs, np.diff(runs, append=len(again)))
-            rank[again[nth % 2 == 0]] = len(pair)
-        before, after = np.append(kind(len(pair)), rank[:-1]), np.append(rank[1:], kind(len(pair)))
-        at = np.flatnonzero((rank < before) & (rank <= after) & (rank < len(pair)))  # never two neighbours
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+        batch = max(pairs_a_round, int((2 * counts[frequent] >= counts[frequent[0]]).sum()))
+        pair = ordered[edge[frequent[:min(batch, limit - top)]]]  # most frequent first
+        # rank of each live pair: a table by hash, of which the most frequent pair of a slot is the entry
+        bits = max(18, len(pair).bit_length() + 2)
+        table = np.full(1 << bits, len(pair), np.int32)
+        table[_slot(pair, bits)[::-1]] = np.arange(len(pair) - 1, -1, -1, dtype=np.int32)
+        own = table[_slot(code, bits)]
+        own[(np.append(pair, none)[own] != code) | (code == none)] = len(pair)
+        rank = np.full(len(seq) + 1, len(pair), np.int32)  # the last place stands for none, also before the first
+        rank[live] = own
+        at = live[(own < rank[live - 1]) & (own <= rank[live + 1]) & (own < len(pair))]  # never two neighbours
+        uses = np.bincount(rank[at], minlength=len(pair))
+        at = at[uses[rank[at]] > 1]  # never empty: the most frequent pair has all its places
         if len(at) < least_gain * len(seq):
             break
         chosen = rank[at]
-        used = np.flatnonzero(np.bincount(chosen, minlength=len(pair)))
+        used = np.flatnonzero(uses > 1)
         symbol = np.zeros(len(pair), kind)
         symbol[used] = top + np.arange(len(used))
-        left = np.append(left, (pair[used] >> kind(shift)).astype(np.int64))
-        right = np.append(right, (pair[used] & kind((1 << shift) - 1)).astype(np.int64))
+        left.append((pair[used] >> kind(shift)).astype(np.int64))
+        right.append((pair[used] & kind((1 << shift) - 1)).astype(np.int64))
+        expansion = np.append(expansion, expansion[left[-1]] + expansion[right[-1]])
         seq[at] = symbol[chosen]
         last[at] = last[at + 1]
+        alive[at] = True  # new pairs: after a new symbol and before it
+        alive[at[at > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, alive = seq[keep], last[keep], alive[keep]
         top += len(used)
-    expansion = np.ones(top, np.int64)
-    for a in range(alphabet, top):
-        expansion[a] = expansion[left[a - alphabet]] + expansion[right[a - alphabet]]
     ends = np.flatnonzero(last) + 1
     symbols = np.zeros(len(doc_lengths), np.int64)
     symbols[doc_lengths > 0] = np.diff(ends, prepend=0)
-    return left, right, expansion[alphabet:], seq, symbols
+    return np.concatenate(left), np.concatenate(right), expansion[alphabet:], seq, symbols
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
+def _slot(code: np.ndarray, bits: int) -> np.ndarray:
     if code.dtype == np.uint32:
-        return (code * np.uint32(0x9E3779B1)) >> np.uint32(14)
-    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+        return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 class Shard:
@@ -123,10 +135,15 @@ class Shard:
         self.starts = np.cumsum(lengths) - lengths
         table = np.zeros(int(lengths.sum()), np.int32)
         table[:self.alphabet] = np.arange(self.alphabet)
-        for symbol, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist()), self.alphabet):
-            at, middle = self.starts[symbol], self.starts[symbol] + lengths[a]
-            table[at:middle] = table[self.starts[a]:self.starts[a] + lengths[a]]
-            table[middle:middle + lengths[b]] = table[self.starts[b]:self.starts[b] + lengths[b]]
+        a, b = self.left.astype(np.int64), self.right.astype(np.int64)
+        parts, part_lengths = (np.stack([x[a], x[b]], 1).ravel() for x in (self.starts, lengths))
+        newest, at = np.maximum(a, b), 0
+        while at < len(a):  # rules that need only symbols before them, at once
+            later = newest[at:] >= self.alphabet + at
+            end = at + int(later.argmax()) if later.any() else len(a)
+            first, stop = self.starts[self.alphabet + at], self.starts[self.alphabet + end - 1] + lengths[self.alphabet + end - 1]
+            table[first:stop] = table[ragged(parts[2 * at:2 * end], part_lengths[2 * at:2 * end])]
+            at = end
         self.table, self.lengths = table, lengths
         self.doc_at = np.cumsum(self.doc_symbols) - self.doc_symbols
 

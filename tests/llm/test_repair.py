@@ -44,6 +44,30 @@ def test_frequent_pairs_shorten_the_sequence():
     assert len(seq) < len(ids) / 8
 
 
+def test_repair_goes_on_until_no_pair_occurs_twice():
+    r = np.random.default_rng(5)
+    phrases = [r.integers(0, 49_408, 40) for _ in range(900)]  # 35,100 pairs and more: symbols pass two bytes
+    docs = [np.concatenate([phrases[i] for i in r.integers(0, 900, 20)]) for _ in range(400)]
+    ids, lengths = np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs], np.int64)
+    _, _, expansion, seq, symbols = repair.compress(ids, lengths, 49_408)
+    ends = np.cumsum(symbols)
+    inside = np.ones(len(seq), bool)
+    inside[ends - 1] = False
+    pairs = np.stack([seq[:-1], seq[1:]], 1)[inside[:-1]]
+    found, count = np.unique(pairs, axis=0, return_counts=True)
+    assert all(a == b for a, b in found[count > 1])  # only in a run may a pair overlap itself
+    assert 49_408 + len(expansion) > 0xFFFF and expansion.max() >= 40 and len(seq) < len(ids) / 30
+    data = repair.shard_bytes(np.arange(400), np.zeros(400, bool), ids, lengths, 49_408)
+    shard = repair.Shard(data)
+    assert (shard.decode() == ids).all() and (shard.document(7, 30, 500) == docs[7][30:500]).all()
+
+
+def test_rare_pairs_are_replaced():
+    ids = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8], np.int32)
+    left, _, _, seq, _ = repair.compress(ids, np.array([10]), 10)
+    assert len(left) == 3 and len(seq) == 4
+
+
 def plain(docs):
     out, start = [], 0
     for i, t in docs:
