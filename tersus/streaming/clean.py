@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tersus.errors import CleaningError
 from tersus.functions.parse import DATE_FORMATS, col, to_timestamp
@@ -28,6 +28,9 @@ from tersus.streaming.ingest import run_stream
 STREAM_SAFE = {"fill_nulls", "cast_column", "normalize_values", "filter_outliers", "add_derived_column",
                "drop_nulls", "filter_range"}
 
+#: Parts by key hash of a deduplicated sink.
+KEY_PARTS = 64
+
 
 @dataclass
 class FittedRecipe:
@@ -84,28 +87,27 @@ def dedup_to_sink(stream: DataFrame, keys, sink: str, checkpoint: str, event_tim
                   trigger: dict | None = None):
     """ST3: append to ``sink`` the rows whose keys it does not hold yet, however late they arrive.
 
-    Each micro-batch keeps one row per key, then drops the keys that earlier batches wrote. Copies of a row
-    have its event time, so the sink is partitioned by event day and only the days between the batch's first
-    and last are read again; rows whose time does not parse share the day NULL and are deduplicated there.
-    No state is held in memory, nothing is dropped for being late, and a retried batch replaces its output.
+    Each micro-batch keeps one row per key, the earliest by ``event_time`` (a time that does not parse comes
+    last), then drops the keys that earlier batches wrote, whatever their time. The sink is partitioned by a hash
+    of the keys: of earlier batches only the key columns are read again, in the parts that the batch's keys
+    fall into. No state is held in memory, nothing is dropped for being late, and a retried batch replaces its output.
     """
     spark, keys = stream.sparkSession, list(keys)
-    day = "__event_day"
-    typed = StructType([*stream.schema, StructField(day, DateType()), StructField("batch_id", LongType())])
+    part, place = "__key_part", "__place"
+    typed = StructType([*stream.schema, StructField(part, IntegerType()), StructField("batch_id", LongType())])
+    order = Window.partitionBy(*[col(k) for k in keys]).orderBy(
+        to_timestamp(event_time, stream.schema[event_time].dataType, formats).asc_nulls_last())
 
     def handle(batch: DataFrame, batch_id: int):
-        times = to_timestamp(event_time, batch.schema[event_time].dataType, formats)
-        rows = batch.withColumn(day, times.cast("date")).dropDuplicates([*keys, day])
+        rows = (batch.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+                .withColumn(part, F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(KEY_PARTS)).cast("int")))
         if batch_id > 0:
-            span = rows.agg(F.min(day), F.max(day)).first()  # one row
-            seen = spark.read.schema(typed).parquet(sink).where(F.col("batch_id") < batch_id)
-            near = F.col(day).isNull()
-            if span[0] is not None:
-                near = near | F.col(day).between(F.lit(span[0]), F.lit(span[1]))
-            seen = seen.where(near).select(*[col(k).alias(f"__k{i}") for i, k in enumerate([*keys, day])])
-            same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, day])]
+            parts = [r[part] for r in rows.select(part).distinct().collect()]  # at most KEY_PARTS rows
+            seen = spark.read.schema(typed).parquet(sink).where((F.col("batch_id") < batch_id) & F.col(part).isin(parts))
+            seen = seen.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+            same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
             rows = rows.join(seen, same, "left_anti")
-        rows.write.mode("overwrite").partitionBy(day).parquet(f"{sink}/batch_id={batch_id}")
+        rows.repartition(part).write.mode("overwrite").partitionBy(part).parquet(f"{sink}/batch_id={batch_id}")
 
     return run_stream(stream.writeStream.foreachBatch(handle), checkpoint, trigger)
 

@@ -56,11 +56,14 @@ _UNTIMED = "CAST(substr(txn_id, 5) AS BIGINT) % 11 = 3"
     "stream_dirty_days"))
 def st3_stream_dedup(spark, sf):
     """The source delivers the days in no order (so most rows are late), some rows without a time that parses,
-    and every third row a second time after all others."""
+    and every third row a second time after all others: as it was, on another day, or without a time that parses."""
     days = ctx(spark, sf).stream_days
     days = days.withColumn("event_ts", F.when(F.expr(_UNTIMED), "unknown").otherwise(F.col("event_ts")))
     src = stage_batches(days, spark, "arrival_day")
-    days.where(F.expr("CAST(substr(txn_id, 5) AS BIGINT) % 3 = 0")).repartition(2).write.mode("append").parquet(src)
+    number = F.expr("CAST(substr(txn_id, 5) AS BIGINT)")
+    again = F.when(number % 9 == 3, "1999-12-31 00:00:00").when(number % 9 == 6, "unknown").otherwise(F.col("event_ts"))
+    copies = days.where(number % 3 == 0).withColumn("event_ts", again)
+    copies.repartition(2).write.mode("append").parquet(src)
     sink, ck = new_paths(spark, "sink", "ckpt")
     stream = _stream(spark, sf, src)
     dedup_to_sink(stream, ["txn_id"], sink, ck, "event_ts")

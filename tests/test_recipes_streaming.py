@@ -94,6 +94,22 @@ def test_stream_dedup_keeps_late_and_untimed_rows_once(spark):
     assert sorted((str(r["k"]), r["part"]) for r in got) == sorted([("a", 0), ("b", 0), ("u", 0), ("late", 1), ("None", 1), ("c", 2)])
 
 
+def test_stream_dedup_compares_keys_whatever_the_event_day(spark):
+    from tersus.streaming import dedup_to_sink, read_deduplicated
+    from tersus.suite.staging import stage_in_order
+    rows = [("a", "2024-01-20 23:59:00", 0), ("a", "2024-01-21 00:01:00", 0), ("b", "never", 0), ("b", "2024-01-20", 0),
+            ("c", "2024-01-20", 0), ("a", "2024-01-22", 1), ("b", "2024-03-01", 1), ("c", "never", 1), (None, "2024-01-01", 1),
+            ("d", "never", 1), ("d", "2024-01-02", 2), (None, "never", 2), ("c", "2023-01-01", 2)]
+    df = spark.createDataFrame(rows, "k string, at string, part int")
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    src = stage_in_order(df, spark, F.col("part"), 3, os.path.join(root, "src"))
+    stream = read_stream(spark, src, "k STRING, at STRING, part INT")
+    dedup_to_sink(stream, ["k"], os.path.join(root, "sink"), os.path.join(root, "ck"), "at")
+    got = read_deduplicated(spark, os.path.join(root, "sink"), stream.schema).collect()
+    assert sorted((str(r["k"]), r["at"]) for r in got) == [
+        ("None", "2024-01-01"), ("a", "2024-01-20 23:59:00"), ("b", "2024-01-20"), ("c", "2024-01-20"), ("d", "never")]
+
+
 def test_refit_policy_is_deterministic(spark):
     from tersus.streaming import clean_with_refit
     base, fx = _dirty(spark)
