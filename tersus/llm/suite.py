@@ -67,7 +67,7 @@ def op6_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_kneser_ney_lm")
 def op7_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held_out_scores(read_table(spark, sf_dir, "documents"), order=2, folds=7, held_out_fold=2)
+    return held_out_scores(read_table(spark, sf_dir, "documents"), order=3, folds=7, held_out_fold=2)
 
 
 @query("op8_toxicity_ngrams")

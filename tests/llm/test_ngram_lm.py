@@ -128,3 +128,11 @@ def test_query_on_small_tables(spark):
     held = [r for r in rows if r["held_out"]]
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_query_uses_the_trigram_model(spark):
+    sf = "/root/testdata/sf0.001"
+    def scores(rows):
+        return sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in rows.collect())
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    assert scores(QUERIES["op7_kneser_ney_lm"](spark, sf)) == scores(ngram_lm.held_out_scores(documents, order=3))
