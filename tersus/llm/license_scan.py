@@ -58,6 +58,20 @@ TEMPLATES = {
         Software.""",
 }
 
+#: What sets a template apart from its neighbours: each phrase must be matched as a whole, with no word between.
+PHRASES = {
+    "Apache-2.0-line": ("apache license version 2 0",),
+    "Apache-2.0-header": ("apache license", "2 0"),
+    "CC-BY-4.0-line": ("cc by 4 0",),
+    "CC-BY-NC-4.0-line": ("cc by nc 4 0",),
+    "CC-BY-SA-4.0-line": ("cc by sa 4 0",),
+    "GPL-3.0-line": ("gnu general public license version 3",),
+    "GPL-3.0-header": ("gnu general public license", "version 3 of the license"),
+    "MIT-line": ("mit license",),
+}
+#: A template of fewer words must be matched whole: a share of it would let its only telling word go.
+SHORT = 10
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -121,11 +135,22 @@ class Match:
     last_word: int
 
 
-def best_match(template: list[str], text: list[str], places: dict[str, list[int]], least: float) -> Match | None:
-    """The best passage of ``text`` (by words matched, then the first), if it covers ``least`` of the template.
-    ``places``: where in the text each word lies."""
+def holds(template: list[str], pairs: list[tuple[int, int]], phrase: list[str]) -> bool:
+    """Whether the alignment matches ``phrase``, at any of its places in the template, word next to word."""
+    at, n = dict(pairs), len(phrase)
+    return any(i in at and all(at.get(i + d) == at[i] + d for d in range(n))
+               for i in range(len(template) - n + 1) if template[i:i + n] == phrase)
+
+
+def best_match(template: list[str], text: list[str], places: dict[str, list[int]], least: float,
+               phrases: tuple[str, ...] = ()) -> Match | None:
+    """The best passage of ``text`` (by words matched, then the first), if it covers ``least`` of the template (all
+    of a short one) and holds its ``phrases``. ``places``: where in the text each word lies."""
     size, count = len(template), Counter(template)
-    need = least * size - 1e-9
+    need = (least if size >= SHORT else 1.0) * size - 1e-9
+    cut = [words_of(x) for x in phrases]
+    if any(w not in places for phrase in cut for w in phrase):
+        return None
     if sum(min(n, len(places.get(w, ()))) for w, n in count.items()) < need:
         return None  # not even without regard to order
     marks, spare = [], 0
@@ -143,7 +168,7 @@ def best_match(template: list[str], text: list[str], places: dict[str, list[int]
         if sum((Counter(part) & count).values()) < need:
             continue
         pairs = patience(template, part)
-        if len(pairs) >= need and (best is None or len(pairs) > best.matched):
+        if len(pairs) >= need and (best is None or len(pairs) > best.matched) and all(holds(template, pairs, x) for x in cut):
             best = Match(len(pairs), a + pairs[0][1], a + pairs[-1][1])
             if len(pairs) == size:
                 break
@@ -158,7 +183,7 @@ def scan_text(text: str, templates: dict[str, list[str]], vocabulary: set[str],
     for i, w in enumerate(words):
         if w in vocabulary:
             places.setdefault(w, []).append(i)
-    found = [(name, m) for name, t in templates.items() if (m := best_match(t, words, places, least))]
+    found = [(name, m) for name, t in templates.items() if (m := best_match(t, words, places, least, PHRASES.get(name, ())))]
     out: list[tuple[str, Match]] = []  # of passages that overlap, the one with more words matched
     for name, m in sorted(found, key=lambda x: (-x[1].matched, -x[1].matched / len(templates[x[0]]), x[0])):
         if all(m.last_word < o.first_word or m.first_word > o.last_word for _, o in out):
@@ -170,7 +195,9 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, least:
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and template that it holds with a coverage of at least ``least``: doc_id, license,
     coverage, matched_words, template_words, first_word, last_word (places of the best passage, from 0).
-    Where the passages of two templates overlap, the one with more words matched is reported.
+    Where the passages of two templates overlap, the one with more words matched is reported. Templates of fewer
+    than ``SHORT`` words must be covered whole, and the ``PHRASES`` of a template (by its name) must be among the
+    matched words.
 
     Null and empty texts hold nothing. Ties between passages go to the first. Repeated rows repeat, null ids
     stay null; an empty table, or no template, gives no rows. Other columns are not read.

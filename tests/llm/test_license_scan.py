@@ -50,6 +50,19 @@ def test_every_template_is_found_in_context():
             assert name not in found(" ".join(noise + words[:len(words) // 2]))
 
 
+def test_neighbouring_licenses_are_not_taken_for_a_template():
+    for text, name in [("Released under the BSD License.", "MIT-line"), ("Released under the Apache License.", "MIT-line"),
+                       ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-4.0-line"), ("Licensed under CC BY-ND 4.0.", "CC-BY-4.0-line"),
+                       ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-SA-4.0-line"), ("Licensed under the Apache License, Version 1.1.", "Apache-2.0-line"),
+                       ("This work is licensed under the GNU General Public License, version 2.", "GPL-3.0-line"),
+                       ("This work is licensed under the GNU Lesser General Public License, version 3.", "GPL-3.0-line"),
+                       (scan.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"), "GPL-3.0-header"),
+                       (scan.TEMPLATES["GPL-3.0-header"].replace("GNU\n        General", "GNU Lesser General"), "GPL-3.0-header"),
+                       (scan.TEMPLATES["GPL-3.0-header"].replace("GNU\n        General", "GNU Affero General"), "GPL-3.0-header")]:
+        assert name not in found(text), text
+    assert set(found("Released under the terms of the MIT License.")) == {"MIT-line"}
+
+
 def test_table_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "Released under the MIT License. " * 3), (1, "Released under the MIT License. " * 3), (2, None), (3, ""),
             (None, "licensed under cc by-nc 4.0"), (5, "mit license released the under"), (6, "the " * 50_000 + "Released under the MIT License.")]
