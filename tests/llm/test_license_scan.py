@@ -63,6 +63,15 @@ def test_neighbouring_licenses_are_not_taken_for_a_template():
     assert set(found("Released under the terms of the MIT License.")) == {"MIT-line"}
 
 
+def test_each_template_is_reported_as_itself_only():
+    for name, template in scan.TEMPLATES.items():
+        assert {n: m.matched for n, m in found(template).items()} == {name: len(scan.words_of(template))}
+    assert {"BSD-3-Clause", "GPL-2.0-header", "AGPL-3.0-header", "LGPL-3.0-header", "LGPL-2.1-header", "MPL-2.0-header"} <= set(scan.TEMPLATES)
+    assert "shall the authors or copyright holders be liable" in " ".join(scan.words_of(scan.TEMPLATES["MIT"]))
+    grant = scan.TEMPLATES["MIT"][:scan.TEMPLATES["MIT"].index("THE SOFTWARE IS")]
+    assert "MIT" not in found(grant)  # the license without its disclaimer is not whole
+
+
 def test_table_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "Released under the MIT License. " * 3), (1, "Released under the MIT License. " * 3), (2, None), (3, ""),
             (None, "licensed under cc by-nc 4.0"), (5, "mit license released the under"), (6, "the " * 50_000 + "Released under the MIT License.")]
