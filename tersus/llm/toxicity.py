@@ -159,9 +159,10 @@ def ngram_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("ngram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def select_ngrams(counts: DataFrame, documents: dict[int, int], features: int, least_documents: int,
+def select_ngrams(counts: DataFrame, documents: dict[int, int], features: int | None, least_documents: int,
                   least_ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """The (at most ``features``) most telling n-grams, sorted, and their log-count ratios."""
+    """The n-grams that tell at least ``least_ratio`` (the best ``features`` of them, if given), sorted, and their
+    log-count ratios. They are bounded by the sample."""
     n1, n0 = documents[1], documents[0]
     def term(k, n, share):
         return F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
@@ -173,13 +174,16 @@ def select_ngrams(counts: DataFrame, documents: dict[int, int], features: int, l
     best = (counts.filter((toxic + clean >= least_documents) & (toxic + clean < n1 + n0))
             .select("ngram", telling.alias("telling"),
                     F.log(((toxic + 1) / float(n1 + 2)) / ((clean + 1) / float(n0 + 2))).alias("ratio"))
-            .filter(F.col("telling") >= least_ratio).orderBy(F.desc("telling"), "ngram").limit(features).collect())
+            .filter(F.col("telling") >= least_ratio))
+    if features is not None:
+        best = best.orderBy(F.desc("telling"), "ngram").limit(features)
+    best = best.collect()
     ngrams = np.array([r["ngram"] for r in best], np.int64).view(np.uint64)
     order = np.argsort(ngrams)
     return ngrams[order], np.array([r["ratio"] for r in best], float)[order]
 
 
-def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documents: int, least_ratio: float,
+def train(sample: DataFrame, sizes: dict[int, int], features: int | None, least_documents: int, least_ratio: float,
           penalty: float, steps: int) -> LinearModel:
     empty = np.zeros(0, np.uint64)
     used = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two classes
@@ -216,7 +220,7 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int, least_documen
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, rows_per_class: int = 8000,
-        features: int = 3000, least_documents: int = 2, least_ratio: float = 6.0, penalty: float = 1e-4, steps: int = 400,
+        features: int | None = None, least_documents: int = 2, least_ratio: float = 6.0, penalty: float = 1e-4, steps: int = 400,
         id_col: str = "doc_id", text_col: str = "text") -> LinearModel:
     """The model of at most about ``rows_per_class`` labelled training documents of each class."""
     sample, sizes = training_sample(df, labels, label_col, folds, rows_per_class, id_col, text_col)

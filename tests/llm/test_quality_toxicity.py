@@ -107,6 +107,21 @@ def test_counts_features_and_scores(spark):
     assert 0 < few.count() < 80
 
 
+def test_every_telling_word_of_a_large_vocabulary_counts(spark):
+    import random
+    r = random.Random(9)
+    marked = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(500)]
+    toxic = [(i, "some plain words " + " ".join(marked[(7 * i + j) % 500] for j in range(20))) for i in range(400)]
+    clean = [(1000 + i, f"some plain words number {i}") for i in range(400)]
+    df = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in toxic + clean], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert len(model.ngrams) > 3000
+    telling = [sum(hash_of(g) in set(model.ngrams.tolist()) for g in plain_ngrams(w)) for w in marked[:40]]
+    assert min(telling) > 10
+    assert (model.scores(pa.array([f"some plain words {w}" for w in marked])) > model.scores(pa.array(["some plain words"]))).all()
+
+
 def test_toxicity_edge_cases(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (3, "")], "doc_id long, text string")
     one = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, toxic int")
