@@ -14,6 +14,7 @@ Scores are computed in double precision on the original vectors.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,11 @@ class Index:
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, vector (array of double) of the rows that take part: no null id, vector or component, all finite,
-    not zero, and as long as most vectors are."""
+    not zero."""
     vector = col(vector_col).cast("array<double>")
-    rows = df.select(col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter(
+    return df.select(col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter(
         "vec_id IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) "
         "AND abs(x) < double('Infinity')) AND exists(vector, x -> x != 0)")
-    size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("vector") == (size["n"] if size else 0))
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
@@ -198,19 +197,31 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int |
     ``lists``: inverted lists, the square root of the rows if not given. ``sample_rows``: bound of the k-means
     sample; every row is indexed. ``probe_share``: share of the lists that a query scans, more
     if they hold fewer than ``least_candidates`` rows. ``looseness``: of
-    the test that abandons candidates. Ties go to smaller ids. Null, zero, ragged and non-finite vectors and
-    null ids take no part. Rows that repeat an id with other vectors are rows of their own, but no row with a
+    the test that abandons candidates. Ties go to smaller ids. Null, zero and non-finite vectors and
+    null ids take no part. Vectors of each length are searched among themselves, one length after the other. Rows that repeat an id with other vectors are rows of their own, but no row with a
     query's id is its neighbour. With fewer than ``k`` other rows, all are returned; an empty table gives no
     rows. Other columns are not read.
     """
     spark = df.sparkSession
     prepare_workers(spark)
     rows = usable(df, id_col, vector_col).distinct()
+    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()  # one row for each length
+    if not lengths:
+        return spark.createDataFrame([], RESULT)
+    found = [_of_one_length(rows.filter(F.size("vector") == r["n"]), r["count"], every, k, lists, sample_rows, probe_share,
+                            block, looseness, chunk_rows, least_candidates) for r in lengths]
+    answers = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:  # rows of several lengths may share a query's id
+        answers = nearest_of(answers.drop("rank"), k)
+    return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _of_one_length(rows: DataFrame, total: int, every: int, k: int, lists: int | None, sample_rows: int, probe_share: float,
+                   block: int, looseness: float, chunk_rows: int, least_candidates: int) -> DataFrame:
+    """``nearest_neighbours`` of distinct usable ``rows`` whose vectors have one length."""
+    spark = rows.sparkSession
     same = Window.partitionBy("vector").orderBy("vec_id")
     smallest = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth")
-    total = rows.count()
-    if not total:
-        return spark.createDataFrame([], RESULT)
     index = fit_index(rows, total, lists, sample_rows)
     placed = written(assigned(smallest, index), "ann-lists")
     sizes = np.zeros(len(index.centroids), np.int64)
@@ -246,5 +257,4 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, lists: int |
 
     answers = asked.select(F.col("vec_id").alias("asker"), "same_as").join(
         best.withColumnRenamed("query_id", "same_as"), "same_as").filter("asker != vec_id")
-    return nearest_of(answers.select(F.col("asker").alias("query_id"), "vec_id", "score"), k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return nearest_of(answers.select(F.col("asker").alias("query_id"), "vec_id", "score"), k)

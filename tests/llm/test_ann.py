@@ -40,6 +40,17 @@ def test_whole_scan_equals_brute_force(spark):
     assert all(a[1] == pytest.approx(b[1], rel=1e-12) for q in got for a, b in zip(got[q], expected[q]))
 
 
+def test_each_length_is_searched_within_itself(spark):
+    r = np.random.default_rng(8)
+    long, short = ([(start + i, [float(x) for x in r.standard_normal(n)]) for i in range(count)] for start, n, count in ((0, 8, 120), (500, 5, 60)))
+    df = spark.createDataFrame(long + short, "vec_id long, embedding array<double>")
+    got = result(ann.nearest_neighbours(df, every=50, k=3, probe_share=1.0, looseness=50.0))
+    def near(rows):
+        good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+        return {q: [j for _, j in sorted((-float(good[q] @ u), j) for j, u in good.items() if j != q)[:3]] for q in good if q % 50 == 0}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == near(long) | near(short) and 500 in got
+
+
 def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [i for i, _ in result(ann.nearest_neighbours(df))[0]] == [1, 2]
