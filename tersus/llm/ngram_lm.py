@@ -2,14 +2,18 @@
 folder, memory-mapped by the workers that score texts.
 
 Counting. Each task counts the words (then the n-grams) of its training texts and sends, for every shard, one
-compressed block of sorted arrays; a shard's task merges its blocks and writes its arrays. N-grams are dealt
-by their context, so a context's totals are summed where its n-grams are; a context whose last word is
-frequent is dealt over several shards and its partial totals are merged afterwards. Words are numbered by
-their place in the sorted hash arrays, so n-grams travel as numbers. Lower orders count distinct left
+compressed block of sorted arrays; a shard's task merges its blocks and writes its arrays. N-grams are dealt by their
+context, so a context's totals are summed where its n-grams are, then sent with the lower order's n-grams to where
+the context itself is one of them: its arrays hold them beside its own count. A context whose last word is frequent
+is dealt over several shards; its partial totals meet there too. One job counts all orders, the highest first. Words are
+numbered by their place in the sorted hash arrays, so n-grams travel as numbers. Lower orders count distinct left
 neighbours (raw counts after the start of a text), as the method asks.
 
+An n-gram's hash in a shard's sorted array is stored without its leading bits: an index by them tells where each of
+their values begins. Counts and totals take a byte, and larger ones a place in a short list.
+
 Scoring. A batch's distinct words and n-grams are looked up in hash order, so reads of a mapped array move
-forward. Two words whose 64-bit hashes agree would count as one; n-grams likewise (with 40 bits in a context).
+forward. Two words whose 64-bit hashes agree would count as one; n-grams likewise (with 44 bits in a shard).
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .common import fold, keep_freed_memory, mounted, shuffle_partitions, texts,
 #: A word cannot hold a line feed, so this stands for the end of a text.
 END = xxhash.xxh64_intdigest(b"\n")
 BLOCK = "kind string, shard int, block binary"
+#: Of the n-grams that go on from a context: the sum of their counts, and how many have the count 1, 2, 3 or more.
+TOTALS = ["sum", "n1", "n2", "n3"]
 HELD = 6_000_000  # n-grams or words that a task holds before it sends blocks
 
 
@@ -70,16 +76,23 @@ def write_array(folder: str, name: str, shard: int, column: str, a: np.ndarray)
     write_atomically(mounted(f"{folder}/{name}-{shard:06d}.{column}"), np.ascontiguousarray(a).tobytes())
 
 
-def write_counts(folder: str, name: str, shard: int, counts: np.ndarray) -> None:
+def write_counts(folder: str, name: str, shard: int, column: str, counts: np.ndarray) -> None:
     """One byte for each count; 255 refers to a short list of larger ones."""
-    write_array(folder, name, shard, "count", np.minimum(counts, 255).astype(np.uint8))
+    write_array(folder, name, shard, column, np.minimum(counts, 255).astype(np.uint8))
     large = np.flatnonzero(counts >= 255)
-    write_array(folder, name, shard, "large", np.concatenate([large.astype(np.uint64), counts[large].astype(np.uint64)]))
+    if len(large):
+        write_array(folder, name, shard, column + "-large", np.concatenate([large.astype(np.uint64), counts[large].astype(np.uint64)]))
+
+
+#: An n-gram's key in its shard, and the part of it that is stored.
+KEY_BITS, STORED_BITS = 44, 32
+#: Bits of a context's hash that, moved on by the salt, choose the shard.
+SHARD_BITS = 20
 
 
 @dataclass
 class HashArrays:
-    """Sorted hash arrays ``name`` of ``folder``, mapped on first use. Pickled without the maps."""
+    """Arrays ``name`` of ``folder``, mapped on first use. Pickled without the maps."""
     folder: str
     name: str
     shards: int
@@ -95,6 +108,19 @@ class HashArrays:
             self.maps[shard, column] = np.zeros(0, kind) if empty else np.memmap(path, kind, "r")
         return self.maps[shard, column]
 
+    def counts(self, shard: int, column: str, places: np.ndarray) -> np.ndarray:
+        """The counts at these places of a shard's column."""
+        out = self.array(shard, column, np.uint8)[places].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            large = self.array(shard, column + "-large", np.uint64)
+            out[big] = large[len(large) // 2:][np.searchsorted(large[:len(large) // 2], places[big].astype(np.uint64))]
+        return out
+
+
+class WordArrays(HashArrays):
+    """64-bit hashes in ascending order; a word's shard is told by its hash."""
+
     def find(self, keys: np.ndarray):
         """For ascending ``keys``: (slice of the keys, shard, places, found), shard by shard."""
         edges = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
@@ -106,18 +132,42 @@ class HashArrays:
             found[found] = own[at[found]] == keys[part][found]
             yield part, int(s), at, found
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending ``keys``; 0 for unknown ones."""
-        out = np.zeros(len(keys), np.int64)
-        for part, s, at, found in self.find(keys):
-            small = self.array(s, "count", np.uint8)[at[found]].astype(np.int64)
-            if (small == 255).any():
-                large = self.array(s, "large", np.uint64)
-                place, value = large[:len(large) // 2], large[len(large) // 2:]
-                big = small == 255
-                small[big] = value[np.searchsorted(place, at[found][big].astype(np.uint64))]
-            view = out[part]
-            view[found] = small
+
+class NgramArrays(HashArrays):
+    """Keys of ``ngram_keys``: the shard, then ``KEY_BITS`` bits."""
+
+    @staticmethod
+    def write(folder: str, name: str, shard: int, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        """Ascending distinct keys of one shard, without the shard, and their counts by column."""
+        bits = max(KEY_BITS - STORED_BITS, len(keys).bit_length() - 4)  # about a dozen keys for each value
+        rest = np.uint64(KEY_BITS - bits)
+        write_array(folder, name, shard, "index", np.searchsorted(keys >> rest, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32))
+        write_array(folder, name, shard, "low", (keys & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.uint32))
+        for column, counts in columns.items():
+            write_counts(folder, name, shard, column, counts)
+
+    def look_up(self, keys: np.ndarray, columns: list[str]) -> list[np.ndarray]:
+        """Of ascending ``keys``: their counts in each column, 0 for unknown ones."""
+        out = [np.zeros(len(keys), np.int64) for _ in columns]
+        edges = np.searchsorted(keys >> np.uint64(KEY_BITS), np.arange(self.shards + 1, dtype=np.uint64))
+        for s in np.flatnonzero(np.diff(edges)):
+            index, low = self.array(int(s), "index", np.uint32), self.array(int(s), "low", np.uint32)
+            if not len(low):
+                continue
+            bits = (len(index) - 1).bit_length() - 1
+            own = keys[edges[s]:edges[s + 1]] & np.uint64((1 << KEY_BITS) - 1)
+            rest = np.uint64(KEY_BITS - bits)
+            first, wanted = (own >> rest).astype(np.int64), (own & ((np.uint64(1) << rest) - np.uint64(1))).astype(np.uint32)
+            at, end = index[first].astype(np.int64), index[first + 1].astype(np.int64)
+            size = int((end - at).max())
+            while size > 0:  # halve all ranges at once
+                half = (size + 1) // 2
+                probe = at + half - 1
+                ahead = (probe < end) & (low[np.minimum(probe, len(low) - 1)] < wanted)
+                at, size = np.where(ahead, probe + 1, at), size // 2
+            found = np.flatnonzero((at < end) & (low[np.minimum(at, len(low) - 1)] == wanted))
+            for o, column in zip(out, columns):
+                o[edges[s] + found] = self.counts(int(s), column, at[found])
         return out
 
 
@@ -134,22 +184,39 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _distinct(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns in ascending order, with summed weights."""
-    if len(columns) == 2 and (not len(columns[1]) or int(columns[1].max()) < 1 << 32 > int(columns[0].max())):
-        joined = (columns[0] << np.uint64(32)) | columns[1]
-        order = np.argsort(joined)
-        joined = joined[order]
-        new = np.ones(len(joined), bool)
-        new[1:] = joined[1:] != joined[:-1]
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[order][1:] != c[order][:-1]
-    first = np.flatnonzero(new)
-    return [c[order[first]] for c in columns], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of the rows by their columns, in one sort where they fit 64 bits and in a sort of 64 and one of 16
+    where they fit 80."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 80:
+        return np.lexsort(columns[::-1])
+    spare = max(0, sum(bits) - 64)
+    if spare > bits[-1]:
+        return np.lexsort(columns[::-1])
+    joined = np.zeros(len(columns[0]), np.uint64)
+    for c, b in zip(columns[:-1], bits):
+        joined = (joined << np.uint64(b)) | c
+    joined = (joined << np.uint64(bits[-1] - spare)) | (columns[-1] >> np.uint64(spare))
+    if not spare:
+        return np.argsort(joined)
+    return np.lexsort(((columns[-1] & np.uint64((1 << spare) - 1)).astype(np.uint16), joined))
+
+
+def _distinct(columns: list[np.ndarray], *weights: np.ndarray) -> tuple[list[np.ndarray], ...]:
+    """Distinct rows of the columns in ascending order, then each of the weights summed."""
+    order = _order(columns)
+    columns = [c[order] for c in columns]
+    first = _starts(columns)
+    return [c[first] for c in columns], *[np.add.reduceat(w[order], first) if len(first) else w[:0] for w in weights]
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 # ------------------------------------------------------------------ tokens
@@ -188,22 +255,23 @@ def ngrams(token: np.ndarray, doc: np.ndarray, sizes: np.ndarray, order: int, st
     return [*columns, token]
 
 
-def ngram_keys(columns: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
-    """24 bits of the context, moved on by ``salt``, then 40 bits of the whole n-gram."""
-    context = ((_hash(columns[:-1]) >> np.uint64(40)) + salt) & np.uint64((1 << 24) - 1)
-    return (context << np.uint64(40)) | (_hash(columns) >> np.uint64(24))
+def ngram_keys(columns: list[np.ndarray], salt: np.ndarray, shards: int) -> np.ndarray:
+    """The shard, told by the context's hash moved on by ``salt``, then ``KEY_BITS`` bits of the whole n-gram's."""
+    context = ((_hash(columns[:-1]) >> np.uint64(64 - SHARD_BITS)) + salt) & np.uint64((1 << SHARD_BITS) - 1)
+    shard = (context * np.uint64(shards)) >> np.uint64(SHARD_BITS)
+    return (shard << np.uint64(KEY_BITS)) | (_hash(columns) >> np.uint64(64 - KEY_BITS))
 
 
 def salts(last_count: np.ndarray, word: np.ndarray, total: int, shards: int) -> np.ndarray:
     """In which of its context's places an n-gram lies: a context whose last word has ``last_count`` uses has one
     for each shard's load, at equal steps round the range of hashes."""
     places = 1 + (last_count.astype(np.uint64) * np.uint64(shards)) // np.uint64(max(total, 1))
-    return (_mix(word.astype(np.uint64) + np.uint64(7)) % places) * (np.uint64(1 << 24) // places)
+    return (_mix(word.astype(np.uint64) + np.uint64(7)) % places) * (np.uint64(1 << SHARD_BITS) // places)
 
 
 def blocks_by_shard(kind: str, shard: np.ndarray, columns: list[np.ndarray]):
     """One block row for each shard, its rows in the order given."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     shard = shard[order]
     edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
     for a, b in zip(edges, edges[1:]):
@@ -243,10 +311,11 @@ class Model:
     unigram_total: int = 0
     unigram_rest: float = 1.0  # probability that order 1 leaves to all words alike
 
+    start_totals: tuple = (0, 0, 0, 0)  # totals of the start of a text as a context
+
     def __post_init__(self):
-        self.word_arrays = HashArrays(self.folder, "words", self.shards)
-        self.ngram_arrays = {k: HashArrays(self.folder, f"ngrams{k}", self.parts) for k in range(2, self.order + 1)}
-        self.context_arrays = {k: HashArrays(self.folder, f"contexts{k}", self.parts) for k in range(2, self.order + 1)}
+        self.word_arrays = WordArrays(self.folder, "words", self.shards)
+        self.ngram_arrays = {k: NgramArrays(self.folder, f"ngrams{k}", self.parts) for k in range(2, self.order + 1)}
 
     @property
     def start(self) -> int:
@@ -258,44 +327,60 @@ class Model:
 
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of words given by ascending hashes; unknown words have the number ``unknown``."""
-        ids, counts = np.full(len(hashes), self.unknown, np.uint64), self.word_arrays.counts(hashes)
+        ids, counts = np.full(len(hashes), self.unknown, np.uint64), np.zeros(len(hashes), np.int64)
         for part, s, at, found in self.word_arrays.find(hashes):
-            view = ids[part]
-            view[found] = (at[found] + self.bases[s]).astype(np.uint64)
+            ids[part][found] = (at[found] + self.bases[s]).astype(np.uint64)
+            counts[part][found] = self.word_arrays.counts(s, "count", at[found])
         return ids, counts
 
+    def of_words(self, ids: np.ndarray, columns: list[str]) -> list[np.ndarray]:
+        """What the word arrays hold of each number; 0 for numbers that are no words."""
+        used, back = np.unique(ids, return_inverse=True)
+        out = [np.zeros(len(used), np.int64) for _ in columns]
+        edges = np.searchsorted(used, np.append(self.bases, self.words).astype(np.uint64))
+        for s in range(self.shards):
+            part = slice(edges[s], edges[s + 1])
+            if edges[s] < edges[s + 1]:
+                places = used[part].astype(np.int64) - self.bases[s]
+                for o, column in zip(out, columns):
+                    o[part] = self.word_arrays.counts(s, column, places)
+        return [o[back] for o in out]
+
+    def word_counts(self, ids: np.ndarray) -> np.ndarray:
+        """Uses of each word in the training texts; the start of a text has one for each."""
+        return np.where(ids == self.start, self.documents, self.of_words(ids, ["count"])[0])
+
+    def keys(self, columns: list[np.ndarray], last_counts: np.ndarray) -> np.ndarray:
+        """Keys of n-grams; ``last_counts``: uses of the context's last word."""
+        return ngram_keys(columns, salts(last_counts, columns[-1], self.total, self.parts), self.parts)
+
+    def context_totals(self, columns: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Sum of the counts of the n-grams that go on from each context, and how many were seen once, twice, more often."""
+        if len(columns) == 1:
+            at_start = columns[0] == self.start
+            return [np.where(at_start, t, x) for t, x in zip(self.start_totals, self.of_words(columns[0], TOTALS))]
+        keys, back = np.unique(self.keys(columns, counts[-2]), return_inverse=True)
+        return [x[back] for x in self.ngram_arrays[len(columns)].look_up(keys, TOTALS)]
+
     def unigrams(self, ids: np.ndarray) -> np.ndarray:
         """Probability of order 1 for each word number."""
-        out = np.zeros(len(ids))
-        shard = np.searchsorted(self.bases, ids, "right") - 1
-        known = ids < self.words
-        for s in np.unique(shard[known]):
-            here = np.flatnonzero(known & (shard == s))
-            seen = self.word_arrays.array(int(s), "left", np.uint32)[ids[here].astype(np.int64) - self.bases[s]].astype(np.int64)
-            out[here] = self.discounted(1, seen) / max(self.unigram_total, 1)
-        return out + self.unigram_rest / (self.words + 1)
+        left = self.of_words(ids, ["left"])[0]
+        return self.discounted(1, left) / max(self.unigram_total, 1) + self.unigram_rest / (self.words + 1)
 
     def discounted(self, order: int, counts: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.discounts[order]])
         return np.maximum(counts - d[np.minimum(counts, 3)], 0)
 
-    def probabilities(self, columns: list[np.ndarray], last_counts: np.ndarray) -> np.ndarray:
-        """Probability of each n-gram's last word given the others. ``last_counts``: counts of the word before."""
+    def probabilities(self, columns: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Probability of each n-gram's last word given the others. ``counts``: uses of the words of each column."""
         p = self.unigrams(columns[-1])
         for k in range(2, self.order + 1):
             own = columns[-k:]
-            hashes, back = np.unique(_hash(own[:-1]), return_inverse=True)
-            sums, rest = np.zeros(len(hashes)), np.zeros(len(hashes))
-            arrays = self.context_arrays[k]
-            for part, s, at, found in arrays.find(hashes):
-                view, view2 = sums[part], rest[part]
-                view[found] = arrays.array(s, "sum", np.float64)[at[found]]
-                view2[found] = arrays.array(s, "rest", np.float32)[at[found]]
-            keys = ngram_keys(own, salts(last_counts, own[-1], self.total, self.parts))
-            keys, at = np.unique(keys, return_inverse=True)
-            counts = self.ngram_arrays[k].counts(keys)[at]
-            total = sums[back]
-            p = np.where(total > 0, self.discounted(k, counts) / np.maximum(total, 1) + rest[back] * p, p)
+            total, *n = self.context_totals(own[:-1], counts[-k:-1])
+            keys, back = np.unique(self.keys(own, counts[-2]), return_inverse=True)
+            seen = self.ngram_arrays[k].look_up(keys, ["count"])[0][back]
+            rest = sum(d * x for d, x in zip(self.discounts[k], n))
+            p = np.where(total > 0, (self.discounted(k, seen) + rest * p) / np.maximum(total, 1), p)
         return p
 
 
@@ -317,14 +402,16 @@ def _task_blocks(batches, count, send):
 
     def lot():
         columns = [np.concatenate(x) for x in zip(*[h[0] for h in held])]
-        return send(*_distinct(columns, np.concatenate([h[1] for h in held])))
+        weights = np.concatenate([h[1] for h in held])
+        held.clear()
+        return send(*_distinct(columns, weights))
     for batch in by_size(batches):
         columns, weights = count(batch)
         held.append(_distinct(columns, weights))
         size += len(held[-1][1])
         if size >= HELD:
             yield block_batch(lot())
-            held, size = [], 0
+            size = 0
     if size:
         yield block_batch(lot())
 
@@ -340,9 +427,10 @@ def count_words(rows: DataFrame, folder: str, order: int, shards: int, part_toke
         yield from _task_blocks(batches, count, send)
 
     def merge(shard, blocks):
-        (keys,), counts = _distinct(*(lambda k, c: ([k], c))(*merged(blocks)))
+        keys, counts = merged(blocks)
+        (keys,), counts = _distinct([keys], counts)
         write_array(folder, "words", shard, "key", keys)
-        write_counts(folder, "words", shard, counts.astype(np.int64))
+        write_counts(folder, "words", shard, "count", counts)
         yield shard, len(keys), int(counts.sum())
     sizes = written(in_shards(rows.select("text").mapInArrow(run, BLOCK), merge, "shard int, words long, total long"),
                     "lm-words").collect()  # one row for each shard
@@ -355,92 +443,91 @@ def count_words(rows: DataFrame, folder: str, order: int, shards: int, part_toke
 
 
 def count_ngrams(rows: DataFrame, model: Model) -> None:
-    """Write the arrays of all orders, the highest first, and fill in the model's discounts."""
-    order, shards, total, start, folder = model.order, model.parts, model.total, model.start, model.folder
-
-    def ngram_blocks(columns, weights, salt):
-        shard = shard_of(ngram_keys(columns, salt), shards).astype(np.int64)
-        return blocks_by_shard("ngram", shard, [*columns, salt, weights])
-
-    def last_counts(columns):
-        """Counts of the context's last words, by number."""
-        ids, back = np.unique(columns[-2], return_inverse=True)
-        counts = np.full(len(ids), model.documents, np.int64)
-        shard = np.searchsorted(model.bases, ids, "right") - 1
-        known = ids < model.words
-        for s in np.unique(shard[known]):
-            here = np.flatnonzero(known & (shard == s))
-            keys = model.word_arrays.array(int(s), "key", np.uint64)[ids[here].astype(np.int64) - model.bases[s]]
-            counts[here] = model.word_arrays.counts(np.asarray(keys))
-        return counts[back]
+    """Write the arrays of all orders, the highest first, and fill in the model's discounts.
+
+    A block's columns are the n-gram's words, its count, and its ``TOTALS`` as a context. Shards below 0 are no
+    shards: -k collects what order k has for the model."""
+    order, shards, start, folder = model.order, model.parts, model.start, model.folder
+
+    def blocks(columns, values):
+        """Blocks for the shards that hold these n-grams (words, for one column)."""
+        if len(columns) > 1:
+            shard = (model.keys(columns, model.word_counts(columns[-2])) >> np.uint64(KEY_BITS)).astype(np.int64)
+        else:
+            shard = np.searchsorted(model.bases[1:], columns[0].astype(np.int64), "right")
+            shard[columns[0] == start] = model.shards  # the start is no word
+        return blocks_by_shard("ngram", shard, [*columns, *values])
 
     def run(batches):
         def count(batch):
             used, token, doc, sizes = tokens(batch.column("text"))
             ids, _ = model.number(used)
-            columns = ngrams(ids[token], doc, sizes, order, start)
-            return columns, np.ones(len(token), np.uint64)
+            return ngrams(ids[token], doc, sizes, order, start), np.ones(len(token), np.uint64)
 
         def send(columns, counts):
-            return list(ngram_blocks(columns, counts, salts(last_counts(columns), columns[-1], total, shards)))
+            return list(blocks(columns, [counts, *[np.zeros(len(counts), np.uint64)] * len(TOTALS)]))
         yield from _task_blocks(batches, count, send)
 
-    blocks = rows.select("text").mapInArrow(run, BLOCK)
+    def statistics(k, counts):
+        found = [(counts == n).sum() for n in range(1, 5)] + [(counts > 2).sum(), counts.sum()]
+        return "n", -k, np.array(found, np.int64).tobytes()
+
+    def merge(shard, parts, k):
+        if shard < 0:
+            yield "n", shard, np.sum([np.frombuffer(p, np.int64) for p in parts], axis=0).tobytes()
+            return
+        arrays = merged(parts)
+        columns, counts, *totals = _distinct(arrays[:k], *arrays[k:])
+        keys = model.keys(columns, model.word_counts(columns[-2])) & np.uint64((1 << KEY_BITS) - 1)
+        by_key = np.argsort(keys)
+        first = _starts([keys[by_key]])
+        kept = {"count": counts, **(dict(zip(TOTALS, totals)) if k < order else {})}
+        NgramArrays.write(folder, f"ngrams{k}", shard, keys[by_key][first],
+                          {c: np.add.reduceat(x[by_key], first) if len(first) else x for c, x in kept.items()})
+        some = counts > 0  # others are contexts alone
+        columns, counts = [c[some] for c in columns], counts[some]
+        yield statistics(k, counts)
+        at = _starts(columns[:-1])
+        if not len(at):
+            return
+        none = np.zeros(len(at), np.uint64)
+        yield from blocks([c[at] for c in columns[:-1]], [none, *[np.add.reduceat(w.astype(np.uint64), at)
+                                                               for w in (counts, counts == 1, counts == 2, counts > 2)]])
+        # distinct left neighbours; what starts a text has none and keeps its count
+        seen = np.where(columns[1] == start, counts, np.uint64(1)) if k > 2 else np.ones(len(counts), np.uint64)
+        lower, seen = _distinct(columns[1:], seen)
+        yield from blocks(lower, [seen, *[np.zeros(len(seen), np.uint64)] * len(TOTALS)])
+
+    def merge_words(shard, parts):
+        if shard < 0:
+            yield "n", shard, np.sum([np.frombuffer(p, np.int64) for p in parts], axis=0).tobytes()
+            return
+        (ids,), *values = (lambda a: _distinct(a[:1], *a[1:]))(merged(parts))
+        if shard == model.shards:
+            yield "start", 0, np.array([v.sum() for v in values[1:]], np.int64).tobytes()
+            return
+        size = int(model.bases[shard + 1] - model.bases[shard])
+        for column, v in zip(["left", *TOTALS], values):
+            whole = np.zeros(size, np.uint64)
+            whole[ids.astype(np.int64) - model.bases[shard]] = v
+            write_counts(folder, "words", shard, column, whole)
+        yield statistics(1, values[0])
+
+    counted = rows.select("text").mapInArrow(run, BLOCK)
     for k in range(order, 1, -1):
-        def merge(shard, parts, k=k):
-            *columns, salt, weights = merged(parts)
-            (*columns, salt), counts = _distinct([*columns, salt], weights)
-            keys = ngram_keys(columns, salt)
-            by_key = np.argsort(keys)
-            sorted_keys, sorted_counts = keys[by_key], counts[by_key]
-            first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[:len(sorted_keys)])
-            write_array(folder, f"ngrams{k}", shard, "key", sorted_keys[first])
-            write_counts(folder, f"ngrams{k}", shard, np.add.reduceat(sorted_counts, first).astype(np.int64))
-            for n in range(1, 5):
-                yield "n", n, int((counts == n).sum()).to_bytes(8, "little")
-            contexts, at = np.unique(_hash(columns[:-1]), return_inverse=True)
-            sums = [np.bincount(at, w, minlength=len(contexts)).astype(np.uint64)
-                    for w in (counts, counts == 1, counts == 2, counts >= 3)]
-            yield from blocks_by_shard("context", shard_of(contexts, shards).astype(np.int64), [contexts, *sums])
-            lower = columns[1:]  # distinct left neighbours; what starts a text has none and keeps its count
-            seen = np.where(lower[0] == start, counts, np.uint64(1)) if k > 2 else np.ones(len(counts), np.uint64)
-            lower, seen = _distinct(lower, seen)
-            if k > 2:
-                yield from ngram_blocks(lower, seen, salts(last_counts(lower), lower[-1], total, shards))
-            else:
-                shard_of_word = np.searchsorted(model.bases, lower[0], "right") - 1
-                yield from blocks_by_shard("ngram", shard_of_word, [lower[0], seen])
-        out = written(in_shards(blocks, merge, BLOCK), f"lm-order{k}")
-        n = [0, 0, 0, 0]
-        for r in out.filter("kind = 'n'").groupBy("shard").agg(F.collect_list("block").alias("b")).collect():  # four rows
-            n[r["shard"] - 1] = sum(int.from_bytes(b, "little") for b in r["b"])
-        model.discounts[k] = discounts(n)
-        d1, d2, d3 = model.discounts[k]
-
-        def merge_contexts(shard, parts, k=k, d1=d1, d2=d2, d3=d3):
-            contexts, *sums = merged(parts)
-            keys, at = np.unique(contexts, return_inverse=True)
-            whole, n1, n2, n3 = (np.bincount(at, s.astype(float), minlength=len(keys)) for s in sums)
-            write_array(folder, f"contexts{k}", shard, "key", keys)
-            write_array(folder, f"contexts{k}", shard, "sum", whole)
-            write_array(folder, f"contexts{k}", shard, "rest", ((d1 * n1 + d2 * n2 + d3 * n3) / whole).astype(np.float32))
-            yield shard, len(keys)
-        written(in_shards(out.filter("kind = 'context'"), merge_contexts, "shard int, contexts long"), f"lm-contexts{k}")
-        blocks = out.filter("kind = 'ngram'")
-
-    def merge_unigrams(shard, parts):
-        ids, seen = merged(parts)
-        left = np.bincount(ids.astype(np.int64) - model.bases[shard], seen.astype(float),
-                           minlength=int(model.bases[shard + 1] - model.bases[shard])).astype(np.int64)
-        write_array(folder, "words", shard, "left", np.minimum(left, 0xFFFFFFFF).astype(np.uint32))
-        yield (shard, int(left.sum()), *[int((left == n).sum()) for n in range(1, 5)], int((left >= 3).sum()))
-    rows = written(in_shards(blocks, merge_unigrams, "shard int, total long, n1 long, n2 long, n3 long, n4 long, more long"),
-                   "lm-order1").collect()  # one row for each shard
-    n = [sum(r[c] for r in rows) for c in ("n1", "n2", "n3", "n4")]
-    model.discounts[1] = d = discounts(n)
-    model.unigram_total = sum(r["total"] for r in rows)
+        counted = in_shards(counted, lambda shard, parts, k=k: merge(shard, parts, k), BLOCK)
+    found = {k: np.zeros(6, np.int64) for k in range(1, order + 1)}
+    for r in written(in_shards(counted, merge_words, BLOCK), "lm-statistics").collect():  # one row for each shard of words and order
+        if r["kind"] == "start":
+            model.start_totals = tuple(np.frombuffer(r["block"], np.int64).tolist())
+        else:
+            found[-r["shard"]] = found[-r["shard"]] + np.frombuffer(r["block"], np.int64)
+    for k, n in found.items():
+        model.discounts[k] = discounts(n[:4].tolist())
+    n1, n2, _, _, more, model.unigram_total = found[1].tolist()
     if model.unigram_total:
-        model.unigram_rest = (d[0] * n[0] + d[1] * n[1] + d[2] * sum(r["more"] for r in rows)) / model.unigram_total
+        d = model.discounts[1]
+        model.unigram_rest = (d[0] * n1 + d[1] * n2 + d[2] * more) / model.unigram_total
 
 
 def train(df: DataFrame, order: int = 2, shards: int | None = None, part_tokens: int = 8_000_000,
@@ -471,11 +558,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             ids, counts = model.number(used)
             base = np.log10((counts + 1) / (model.total + model.words + 1))
             columns = ngrams(ids[token], doc, sizes, model.order, model.start)
-            before = np.roll(counts[token], 1)
-            before[np.cumsum(sizes) - sizes] = model.documents
+            uses = ngrams(counts[token], doc, sizes, model.order, model.documents)
             # each distinct n-gram of the batch once
             keys, first, back = np.unique(_hash(columns), return_index=True, return_inverse=True)
-            p = np.log10(model.probabilities([c[first] for c in columns], before[first]))[back]
+            p = np.log10(model.probabilities([c[first] for c in columns], [c[first] for c in uses]))[back]
             def summed(x):
                 return np.bincount(doc, x, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
