@@ -93,13 +93,14 @@ def _members(data):
         return
     at = 0
     while at < len(data):
-        unpack, parts = zlib.decompressobj(31), []
+        unpack, parts, size = zlib.decompressobj(31), [], 1 << 12
         while not unpack.eof:
             if at >= len(data):
                 raise ValueError("the last record is cut off")
-            fed = data[at:at + (1 << 20)]
+            fed = data[at:at + size]
             parts.append(unpack.decompress(fed))
             at += len(fed) - len(unpack.unused_data)
+            size = min(2 * size, 1 << 20)
         yield b"".join(parts)
 
 
@@ -190,9 +191,10 @@ def write_archives(df: DataFrame, key_col: str, uri_col: str | None, payload_col
 
 
 # ------------------------------------------------------------------ reading
-def _spread(manifest: DataFrame) -> DataFrame:
-    """The archives dealt over the tasks."""
-    return manifest.repartition(shuffle_partitions(manifest.sparkSession), "path")
+def _spread(archives: DataFrame) -> DataFrame:
+    """The archives dealt over the tasks, a fixed number of them: to Spark, rows of paths look small enough for one. (By a
+    hash of the path, as a join by the path itself would make the exchange look needless.)"""
+    return archives.repartition(shuffle_partitions(archives.sparkSession), F.xxhash64("path"))
 
 
 def read_headers(manifest: DataFrame, batch_rows: int = 10_000) -> DataFrame:
