@@ -55,6 +55,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+#: The folder that holds the package.
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers on the driver's machine import this package from where the driver did. On a cluster the
+    package is installed, or sent with ``--py-files``, as usual."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
+
+
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 

@@ -12,9 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StructField, StructType
 
 from tersus.errors import CleaningError
 from tersus.functions.parse import DATE_FORMATS, col, to_timestamp
@@ -23,14 +27,12 @@ from tersus.operators.derive import add_derived_column
 from tersus.operators.normalize import normalize_values
 from tersus.operators.nulls import drop_nulls
 from tersus.operators.outliers import filter_range
-from tersus.streaming.ingest import run_stream
+from tersus.session import let_workers_import
+from tersus.streaming.ingest import run_stream, state_on_disk
 
 STREAM_SAFE = {"fill_nulls", "cast_column", "normalize_values", "filter_outliers", "add_derived_column",
                "drop_nulls", "filter_range"}
 
-#: Parts by key hash of a deduplicated sink.
-KEY_PARTS = 64
-
 
 @dataclass
 class FittedRecipe:
@@ -83,33 +85,65 @@ def fit_recipe(history: DataFrame, steps) -> FittedRecipe:
     return FittedRecipe(record.get("history", []))
 
 
+class _FirstOfKey(StatefulProcessor):
+    """State of one key: whether a row of it has been kept. Of the rows that arrive together for a new key the first in
+    the order of their ``places`` (columns of the row, NULL last) is."""
+
+    def __init__(self, places: list[int]):
+        self.places = places
+
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState("kept", "kept boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.kept.exists():
+            return
+        self.kept.update((True,))
+        yield min(rows, key=lambda r: [(r[i] is None, r[i]) for i in self.places])
+
+    def close(self) -> None:
+        pass
+
+
+def _earliest_here(keys: list[str], order: list[str]):
+    """Of the rows of one key in an Arrow batch the first by ``order``: so few rows of a hot key are shuffled."""
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order]))
+            place = "__place"
+            first = rows.append_column(place, pa.array(np.arange(rows.num_rows))).group_by(keys, use_threads=False).aggregate([(place, "min")])
+            yield from rows.take(first.column(place + "_min")).to_batches()
+    return run
+
+
 def dedup_to_sink(stream: DataFrame, keys, sink: str, checkpoint: str, event_time: str, formats=DATE_FORMATS,
                   trigger: dict | None = None):
-    """ST3: append to ``sink`` the rows whose keys it does not hold yet, however late they arrive.
-
-    Each micro-batch keeps one row per key, the earliest by ``event_time`` (a time that does not parse comes
-    last), then drops the keys that earlier batches wrote, whatever their time. The sink is partitioned by a hash
-    of the keys: of earlier batches only the key columns are read again, in the parts that the batch's keys
-    fall into. No state is held in memory, nothing is dropped for being late, and a retried batch replaces its output.
+    """ST3: append to ``sink`` the rows whose keys have not come before, however late they arrive.
+
+    Of the rows of a new key in one micro-batch the earliest by ``event_time`` is kept (a time that does not parse comes
+    last; ties: the smallest by the other columns, as text, NULL last). The keys seen so far are the state of the
+    query: a RocksDB store on the executors' disks, partitioned by key and checkpointed by its changes. A batch looks up
+    its own keys there and nothing that earlier batches wrote is read again, so its cost follows the batch and not
+    the history. A key is kept for good, whatever its time; nothing is dropped for being late; a retried batch starts from
+    the same state and replaces its output. The number of state partitions is the session's shuffle partitions when
+    the query first starts, and stays.
     """
     spark, keys = stream.sparkSession, list(keys)
-    part, place = "__key_part", "__place"
-    typed = StructType([*stream.schema, StructField(part, IntegerType()), StructField("batch_id", LongType())])
-    order = Window.partitionBy(*[col(k) for k in keys]).orderBy(
-        to_timestamp(event_time, stream.schema[event_time].dataType, formats).asc_nulls_last())
-
-    def handle(batch: DataFrame, batch_id: int):
-        rows = (batch.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-                .withColumn(part, F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(KEY_PARTS)).cast("int")))
-        if batch_id > 0:
-            parts = [r[part] for r in rows.select(part).distinct().collect()]  # at most KEY_PARTS rows
-            seen = spark.read.schema(typed).parquet(sink).where((F.col("batch_id") < batch_id) & F.col(part).isin(parts))
-            seen = seen.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-            same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-            rows = rows.join(seen, same, "left_anti")
-        rows.repartition(part).write.mode("overwrite").partitionBy(part).parquet(f"{sink}/batch_id={batch_id}")
-
-    return run_stream(stream.writeStream.foreachBatch(handle), checkpoint, trigger)
+    # what rows are compared by, as columns that compare alike in Python: seconds, then texts
+    others = [c for c in stream.columns if c not in keys]
+    order = [to_timestamp(event_time, stream.schema[event_time].dataType, formats).cast("timestamp").cast("double")]
+    order += [F.to_json(F.struct(col(c).alias("v"))) for c in others]
+    names = [f"__order{i}" for i in range(len(order))]
+    ordered = stream.withColumns(dict(zip(names, order)))
+    places = [ordered.columns.index(n) for n in names]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in ordered.schema])
+    let_workers_import(spark)
+    few = ordered.mapInArrow(_earliest_here(keys, names), schema)
+    first = few.groupBy(*[col(k) for k in keys]).transformWithState(_FirstOfKey(places), schema, "append", "none").drop(*names)
+    with state_on_disk(spark):
+        return run_stream(first.writeStream.outputMode("append").foreachBatch(
+            lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")), checkpoint, trigger)
 
 
 def read_deduplicated(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:

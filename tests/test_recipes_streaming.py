@@ -110,6 +110,52 @@ def test_stream_dedup_compares_keys_whatever_the_event_day(spark):
         ("None", "2024-01-01"), ("a", "2024-01-20 23:59:00"), ("b", "2024-01-20"), ("c", "2024-01-20"), ("d", "never")]
 
 
+def _dedup_stream(spark, rows, parts, root):
+    from tersus.suite.staging import stage_in_order
+    schema = "k STRING, j INT, at STRING, v STRING, part INT"
+    src = stage_in_order(spark.createDataFrame(rows, schema), spark, F.col("part"), parts, os.path.join(root, "src"))
+    return read_stream(spark, src, schema)
+
+
+def test_stream_dedup_does_not_age(spark):
+    """Over 50 batches each looks up its own keys in the state, and reads nothing of what came before."""
+    from tersus.streaming import dedup_to_sink, read_deduplicated
+    rows = [(f"k{(i * 7) % 900}", 1, f"2024-01-{1 + i % 28:02d}", str(i), i // 30) for i in range(1500)]
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    stream = _dedup_stream(spark, rows, 50, root)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        query = dedup_to_sink(stream, ["k", "j"], os.path.join(root, "sink"), os.path.join(root, "ck"), "at")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    assert [p.numInputRows for p in progress] == [30] * 50
+    gets = [p.stateOperators[0].customMetrics["rocksdbGetCount"] for p in progress]
+    read = [p.stateOperators[0].customMetrics["rocksdbTotalBytesRead"] for p in progress]
+    assert max(gets) <= 60 and max(read[40:]) <= 30 * 64
+    assert progress[-1].stateOperators[0].numRowsTotal == 900
+    got = read_deduplicated(spark, os.path.join(root, "sink"), stream.schema).collect()
+    assert sorted(r["k"] for r in got) == sorted(f"k{i}" for i in range(900))
+
+
+def test_stream_dedup_goes_on_after_a_restart_with_ties_and_a_hot_key(spark):
+    from tersus.streaming import dedup_to_sink, read_deduplicated
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    hot = [("hot", 1, "2024-01-02", f"{i:04d}", 0) for i in range(600)]
+    rows = hot + [("tie", 1, "2024-01-01", "b", 0), ("tie", 1, "2024-01-01", "a", 0), ("tie", 2, "2024-01-01", None, 0),
+                  ("tie", 2, "2024-01-01", "z", 0), (None, None, "never", "n", 0)]
+    sink, ck = os.path.join(root, "sink"), os.path.join(root, "ck")
+    stream = _dedup_stream(spark, rows, 1, root)
+    dedup_to_sink(stream, ["k", "j"], sink, ck, "at")
+    more = [("hot", 1, "2023-01-01", "x", 1), ("new", 1, "never", "y", 1), (None, None, "2020-01-01", "x", 1), ("tie", 3, "never", "y", 1)]
+    spark.createDataFrame(more, stream.schema).repartition(1).write.mode("append").parquet(os.path.join(root, "src"))
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    dedup_to_sink(stream, ["k", "j"], sink, ck, "at")
+    got = {(r["k"], r["j"]): r["v"] for r in read_deduplicated(spark, sink, stream.schema).collect()}
+    assert got == {("hot", 1): "0000", ("tie", 1): "a", ("tie", 2): "z", (None, None): "n", ("new", 1): "y", ("tie", 3): "y"}
+
+
 def test_refit_policy_is_deterministic(spark):
     from tersus.streaming import clean_with_refit
     base, fx = _dirty(spark)
