@@ -23,11 +23,10 @@ def null_counts(df: DataFrame, table: str = "t") -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")] + \
         [F.count_if(missing(df, c)).alias(f"__n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
-    pairs = ", ".join(f"{i}, '{c.replace(chr(39), chr(39) * 2)}', __n{i}" for i, c in enumerate(cols))
-    return one.selectExpr(f"'{table}' AS table_name", "__rows AS row_count",
-                          f"stack({len(cols)}, {pairs}) AS (ordinal, column_name, null_count)") \
-        .select("table_name", F.col("ordinal").cast("int").alias("ordinal"), "column_name",
-                "null_count", "row_count")
+    each = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"__n{i}").alias("null_count"))
+                     for i, c in enumerate(cols)])
+    return one.select(F.lit(table).alias("table_name"), F.col("__rows").alias("row_count"), F.explode(each).alias("c")) \
+        .select("table_name", "c.ordinal", "c.column_name", "c.null_count", "row_count")
 
 
 def duplicate_count(df: DataFrame, table: str = "t") -> DataFrame:

@@ -98,9 +98,47 @@ def c1_x4_big_ints(spark, sf):
         F.col("o_orderkey").alias("order_id"), F.concat(F.lit(" "), big.cast("string")).alias("as_text"), big.alias("as_long"),
         (-big).alias("absolute"), F.when(F.col("o_orderkey") % 5 != 0, big).alias("filled"))
     o = cast_column(cast_column(o, "as_text", "int"), "as_long", "int")
-    # a value that is a whole double too: 2^53 + 1 is not, so the fill goes by the column's own type
     o = add_derived_column(o, "absolute", "absolute", "abs")
-    return o.withColumn("filled", F.coalesce("filled", F.lit(_BIG)))
+    return fill_nulls(o, "filled", "constant", _BIG)
+
+
+_ODD = ("SELECT o_orderkey AS order_id, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' WHEN 2 THEN 'inf' WHEN 3 THEN '1e300' "
+        "WHEN 4 THEN 'some' ELSE CAST(o_orderkey AS VARCHAR) END AS v, CASE WHEN o_orderkey % 8 < 5 THEN NULL ELSE o_orderkey END AS w FROM orders")
+
+
+def _odd_numbers(spark, sf):
+    key = F.col("o_orderkey")
+    odd = F.when(key % 8 == 1, "N/A").when(key % 8 == 2, "inf").when(key % 8 == 3, "1e300").when(key % 8 == 4, "some")
+    return ctx(spark, sf).base["orders"].select(key.alias("order_id"), F.when(key % 8 != 0, F.coalesce(odd, key.cast("string"))).alias("v"),
+                                                F.when(key % 8 >= 5, key).alias("w"))
+
+
+@query("r0_odd_numbers", f"SELECT c.name AS column_name, b.name AS way, c.refused FROM (SELECT 'v' AS name, count(*) FILTER (WHERE "
+       f"abs(TRY_CAST(v AS DOUBLE)) >= 9223372036854775808.0) > 0 AS refused FROM ({_ODD}) UNION ALL SELECT 'w', count(*) FILTER (WHERE "
+       f"abs(w) >= 9223372036854775808.0) > 0 FROM ({_ODD})) c, (SELECT unnest(['batched', 'one by one', 'direct']) AS name) b")
+def r0_odd_numbers(spark, sf):
+    """A median fill, then an int cast: infinite and huge values are refused however the steps run, plain ones never."""
+    df, out = _odd_numbers(spark, sf), []
+    for c in ("v", "w"):
+        steps = [{"operation": "fill_nulls", "column": c, "strategy": "median"}, {"operation": "cast_column", "column": c, "dtype": "int"}]
+        ways = {"batched": lambda: rc.apply_steps({"main": df}, steps), "one by one": lambda: rc.apply_steps({"main": df}, steps, batch_fits=False),
+                "direct": lambda: cast_column(fill_nulls(df, c, "median"), c, "int")}
+        for way, run in ways.items():
+            try:
+                run()
+                out.append((c, way, False))
+            except CleaningError:
+                out.append((c, way, True))
+    return spark.createDataFrame(out, "column_name string, way string, refused boolean")
+
+
+@query("n3_mode_of_big_ints", f"WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN {_BIG} - CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END END AS qty "
+       "FROM orders) SELECT o_orderkey AS order_id, coalesce(qty, (SELECT mode(qty) FROM t)) AS qty FROM t")
+def n3_mode_of_big_ints(spark, sf):
+    """Neighbouring integers beyond 2^53, one double both, are counted apart."""
+    key = F.col("o_orderkey")
+    o = ctx(spark, sf).base["orders"].select(key.alias("order_id"), F.when(key % 5 != 0, F.lit(_BIG) - (key % 3 == 0).cast("long")).alias("qty"))
+    return fill_nulls(o, "qty", "mode")
 
 
 @query("n1_fill_whole_column", "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE o_orderkey + "
@@ -175,7 +213,12 @@ def s5_append_new_column(spark, sf):
 
 
 # ------------------------------------------------------------------ metrics between their extremes
-@query("q1_q6_q9_partial_tiers", "SELECT 'nulls' AS metric, 0.07 AS score UNION ALL SELECT 'duplicates', 0.12 UNION ALL SELECT 'rows', 0.07")
+@query("q1_q6_q9_partial_tiers", """
+    WITH c AS (SELECT c_custkey - min(c_custkey) OVER () AS place FROM customer),
+    t AS (SELECT count(*) FILTER (WHERE place < 3) AS nulls, count(*) FILTER (WHERE place < 4) AS dups, count(*) / floor(count(*) * 0.75) AS ratio FROM c)
+    SELECT 'nulls' AS metric, CASE WHEN nulls = 0 THEN 0.15 WHEN nulls <= 3 THEN 0.07 ELSE 0 END AS score FROM t
+    UNION ALL SELECT 'duplicates', CASE WHEN dups = 0 THEN 0.25 WHEN dups < 5 THEN 0.12 ELSE 0 END FROM t
+    UNION ALL SELECT 'rows', CASE WHEN ratio BETWEEN 0.85 AND 1.15 THEN 0.15 WHEN ratio BETWEEN 0.5 AND 1.5 THEN 0.07 ELSE 0 END FROM t""")
 def q1_q6_q9_partial_tiers(spark, sf):
     """Three nulls, four duplicates and a row ratio outside the narrow band earn the partial weights."""
     c = ctx(spark, sf).base["customer"].select("c_custkey", "c_acctbal")

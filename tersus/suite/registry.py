@@ -165,12 +165,15 @@ def n4_fill_mode_string(spark, sf):
 
 @query("n5_fill_constant", with_views(
     f"SELECT txn_id, round(coalesce({k1('amount')}, 0.0), 6) AS amount, "
-    f"coalesce({k3('region')}, 'Unknown') AS region FROM stream_dirty", "stream_dirty"))
+    f"coalesce({k3('region')}, 'Unknown') AS region, CASE WHEN {k1('amount')} IS NOT NULL THEN amount ELSE 'Unknown' END AS mixed "
+    "FROM stream_dirty", "stream_dirty"))
 def n5_fill_constant(spark, sf):
-    s = ctx(spark, sf).stream
+    """Also a constant text on a mostly numeric column, some of whose values do not parse."""
+    s = ctx(spark, sf).stream.withColumn("mixed", F.col("amount"))
     s = fill_nulls(s, "amount", "constant", 0)
     s = fill_nulls(s, "region", "constant", "Unknown")
-    return s.select("txn_id", r6("amount").alias("amount"), "region")
+    s = fill_nulls(s, "mixed", "constant", "Unknown")
+    return s.select("txn_id", r6("amount").alias("amount"), "region", "mixed")
 
 
 @query("n6_forward_fill", with_views(

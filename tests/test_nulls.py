@@ -94,3 +94,29 @@ def test_leading_nulls_stay_null(spark):
 def test_drop_nulls_treats_nan_as_null(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, s string")
     assert drop_nulls(df, ["x"]).count() == 2
+
+
+def test_text_constant_replaces_all_that_is_no_number(spark):
+    df = spark.createDataFrame([("1",), ("2.50",), ("abc",), (None,), ("N/A",), ("3",)], "x string")
+    assert [r["x"] for r in fill_nulls(df, "x", "constant", "Unknown").collect()] == ["1", "2.50", "Unknown", "Unknown", "Unknown", "3"]
+    whole = spark.createDataFrame([(1,), (None,), (3,)], "x int")
+    assert [r["x"] for r in fill_nulls(whole, "x", "constant", "Unknown").collect()] == ["1", "Unknown", "3"]
+
+
+def test_modes_of_longs_stay_exact(spark):
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(big,), (big,), (big - 1,), (None,)], "x long")
+    assert sorted(r["x"] for r in fill_nulls(df, "x", "mode").collect()) == [big - 1, big, big, big]
+
+
+def test_int_cast_after_a_fill_refuses_what_no_int_can_hold(spark):
+    from tersus.plans.recipes import apply_steps
+    steps = [{"operation": "fill_nulls", "column": "x", "strategy": "median"}, {"operation": "cast_column", "column": "x", "dtype": "int"}]
+    for odd in ("inf", "-inf", "1e300", "9223372036854775808", "abc"):
+        df = spark.createDataFrame([("1",), ("2",), (odd,), (None,), ("4",)], "x string")
+        for batched in (True, False):
+            if odd == "abc":
+                assert [r["x"] for r in apply_steps({"main": df}, steps, batch_fits=batched)["main"].collect()] == [1, 2, 2, 2, 4]
+                continue
+            with pytest.raises(CleaningError):
+                apply_steps({"main": df}, steps, batch_fits=batched)

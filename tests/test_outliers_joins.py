@@ -138,3 +138,37 @@ def test_join_rejects_text_against_numeric_key(spark):
         merge_tables(left, right, "k")
     ints = spark.createDataFrame([(1,)], "k int")
     assert merge_tables(ints, right, "k").count() == 1  # int vs bigint widens
+
+
+def test_quantiles_over_all_magnitudes_and_infinities(spark):
+    import random
+    r = random.Random(8)
+    vals = [r.choice([-1, 1]) * 10 ** r.uniform(-320, 308) for _ in range(3000)] + [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308] * 9
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "x double").repartition(5)
+    want = sorted(vals)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    ranks = [p * (len(want) - 1) for p in probs]
+    got = quantiles(df, probs)
+    for g, at in zip(got, ranks):
+        assert want[int(at)] <= g <= want[-int(-at // 1)]
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,)], "x double")
+    assert quantiles(ends, [0.0, 0.5, 1.0]) == [float("-inf"), 1.0, float("inf")]
+
+
+def test_quantile_passes_narrow_large_ranges(spark, monkeypatch):
+    """Ranges of more values than a pass counts one by one are cut into parts first."""
+    from tersus.functions import stats
+    monkeypatch.setattr(stats, "BUCKETS", 8)
+    vals = [100 + (i * 7919 % 4000) / 1000 for i in range(4000)] + [101.5] * 700
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
+    assert np.allclose(quantiles(df, [0.01, 0.25, 0.5, 0.99]), np.quantile(vals, [0.01, 0.25, 0.5, 0.99]), rtol=0, atol=1e-9)
+
+
+def test_quantile_counts_come_with_the_passes(spark):
+    df = spark.createDataFrame([("1",), ("2",), ("x",), (None,), ("1e300",)], "x string")
+    b = FitBatch(df)
+    b.quantile("q", F.expr("try_cast(x AS double)"), [0.5], present=F.col("x"))
+    b.quantile("a", F.expr("try_cast(x AS double)"), [0.5], present=F.col("x"), approx=True)
+    res = b.run()
+    assert (res["q"], res["q.values"], res["q.present"], res["q.range"]) == ([2.0], 3, 4, (1.0, 1e300))
+    assert (res["a.values"], res["a.present"], res["a.range"]) == (3, 4, (1.0, 1e300))
