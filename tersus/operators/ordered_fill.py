@@ -2,15 +2,17 @@
 
 A window with no ``partitionBy`` moves every row into one task. Instead:
 
-1. rows are range-partitioned by the whole order key into buckets and written to the
-   scratch folder with their bucket number, so every later step sees the same buckets;
-2. one small aggregate per (group, bucket) keeps the last (first) non-null value;
-3. a window over that small summary carries values across buckets;
-4. the carried value is joined back on (group, bucket) and coalesced with an
-   in-bucket window partitioned by (group, bucket).
+1. the group keys, the order key and the column alone are range-partitioned by the whole order key into buckets and
+   written to the scratch folder with their bucket number, so every later step sees the same buckets;
+2. one small aggregate per (group, bucket) keeps the last (first) non-null value, and a window over that summary
+   carries values across buckets;
+3. a window inside each bucket and the carried value give the value of each key whose column is NULL;
+4. of the table itself only the rows to fill are joined with those, by their keys; the others are neither
+   shuffled nor written.
 
-The result does not depend on the number of buckets. NULL order keys come first, in
-the buckets as in the windows. The order key must be unique within a group.
+The result does not depend on the number of buckets. NULL order keys come first, in the buckets as in the windows. The
+order key should be unique within a group: rows that share it get one value, the largest that any of them would
+get. The table is read three times, so one that takes long to compute should be written before.
 """
 
 from __future__ import annotations
@@ -26,41 +28,46 @@ from tersus.session import scratch_dir
 def ordered_fill(df: DataFrame, column: str, order_by, partition_by, direction: str = "forward",
                  buckets: int | None = None) -> DataFrame:
     """``buckets``: the session's shuffle partitions if not given, small ones merged by AQE; one bucket's
-    rows are sorted by one task."""
+    keys are sorted by one task."""
     spark = df.sparkSession
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by)
     keys = list(partition_by)
     for c in order_cols + keys + [column]:
         require_column(df, c)
-    fwd = direction == "forward"
-    b = "__bucket"
-    order = [col(c).asc_nulls_first() for c in order_cols]
+    forward = direction == "forward"
+    group, places = [f"g{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order_cols))]
+    order = [F.col(c).asc_nulls_first() for c in places]
+    narrow = df.select(*[col(c).alias(n) for c, n in zip(keys + order_cols, group + places)], col(column).alias("v"))
     path = scratch_dir(spark, "ordered-fill")
-    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
-    bucketed = ranged.withColumn(b, F.spark_partition_id())
+    ranged = narrow.repartitionByRange(buckets, *order) if buckets else narrow.repartitionByRange(*order)
+    bucketed = ranged.withColumn("__bucket", F.spark_partition_id())
     bucketed.write.parquet(path)
     data = spark.read.schema(bucketed.schema).parquet(path)
-    group = [*keys, b]
 
-    in_bucket = Window.partitionBy(*[col(c) for c in group]).orderBy(*order)
-    if fwd:
-        local = F.last(col(column), ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
+    in_bucket = Window.partitionBy(*group, "__bucket").orderBy(*order)
+    if forward:
+        local = F.last("v", ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
     else:
-        local = F.first(col(column), ignorenulls=True).over(in_bucket.rowsBetween(0, Window.unboundedFollowing))
+        local = F.first("v", ignorenulls=True).over(in_bucket.rowsBetween(0, Window.unboundedFollowing))
 
     # one row per (group, bucket), also for buckets holding only nulls: the edge value nearest to
     # the next (previous) bucket. Struct order puts NULL fields first, as the windows do.
-    place = F.when(col(column).isNotNull(), F.struct(F.lit(0), *[col(c) for c in order_cols]))
-    pick = F.max_by if fwd else F.min_by
-    summary = data.groupBy(*[col(c) for c in group]).agg(pick(col(column), place).alias("__edge"))
-    across = Window.partitionBy(*[col(c) for c in keys]).orderBy(b)
-    if fwd:
-        carried = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    place = F.when(F.col("v").isNotNull(), F.struct(F.lit(0), *places))
+    pick = F.max_by if forward else F.min_by
+    summary = data.groupBy(*group, "__bucket").agg(pick("v", place).alias("edge"))
+    across = Window.partitionBy(*group).orderBy("__bucket")
+    if forward:
+        carried = F.last("edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        carried = F.first("__edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-    summary = summary.select(*[col(c).alias(f"__s{i}") for i, c in enumerate(group)], carried.alias("__carry"))
-    filled = data.withColumn(column, local)
+        carried = F.first("edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    summary = summary.select(*[F.col(c).alias(f"s{c}") for c in [*group, "__bucket"]], carried.alias("carry"))
     # null-safe: a NULL group key is one group for the window, so it must match here too
-    same = [col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(group)]
-    return filled.join(summary, same, "left").select(
-        *[(F.coalesce(col(c), F.col("__carry")).alias(c) if c == column else col(c)) for c in df.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in [*group, "__bucket"]]
+    gaps = data.withColumn("near", local).where("v IS NULL").join(summary, same, "left")
+    found = (gaps.select(*group, *places, F.coalesce("near", "carry").alias("v")).where("v IS NOT NULL")
+             .groupBy(*group, *places).agg(F.max("v").alias("v")))
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in [*group, *places, "v"]])
+    match = [col(c).eqNullSafe(F.col(f"__{n}")) for c, n in zip(keys + order_cols, group + places)]
+    filled = df.where(col(column).isNull()).join(found, match, "left").select(
+        *[F.col("__v").alias(c) if c == column else col(c) for c in df.columns])
+    return df.where(col(column).isNotNull()).unionByName(filled)
