@@ -4,8 +4,8 @@
   (``complete`` mode, one state row), so state does not grow with the stream.
 * ST4 running score: each micro-batch is cleaned, appended to the sink and counted.
   The score of everything accumulated comes from sums of those counts and, for the
-  outlier fences, from a value -> count table of the amounts that each batch brings
-  up to date; accumulated rows are not read again.
+  outlier fences, from value -> count tables of the amounts, merged level by level so
+  that n batches write n log n of them; accumulated rows are not read again.
 * ST6 drift: per-batch counts of null / unparseable values per arrival day
   (additive, so a day may span batches) against a baseline fitted on history;
   flags columns whose share moved by more than a tolerance.
@@ -84,14 +84,59 @@ def running_profile(stream: DataFrame, sink: str, checkpoint: str, columns=None,
     return sink
 
 
+def live_runs(batches: int) -> list[tuple[int, int]]:
+    """The runs [from, to) of batches whose value counts are kept after so many batches: one for each bit that is set,
+    the longest first."""
+    runs, start = [], 0
+    for bit in reversed(range(batches.bit_length())):
+        if batches >> bit & 1:
+            runs.append((start, start + (1 << bit)))
+            start += 1 << bit
+    return runs
+
+
+class ValueCounts:
+    """How often each value came so far, as runs of batches, each a table (v, n). Batch ``b`` writes one run: its own
+    counts merged with the runs that end a power of two with it. Each count is thus rewritten once for each doubling of
+    the stream, and at most one run for each bit of the batch number is live. What a retried batch merges is still
+    there: runs go only when the next batch begins."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
+
+    def _path(self, run: tuple[int, int]) -> str:
+        return os.path.join(self.root, f"run-{run[0]:010d}-{run[1]:010d}")
+
+    def read(self, batches: int) -> DataFrame:
+        """(v, n) of the first ``batches`` batches; a value has a row in each run that it is in."""
+        return self.spark.read.schema("v double, n long").parquet(*map(self._path, live_runs(batches)))
+
+    def add(self, batch_id: int, values: DataFrame) -> None:
+        """``values``: the batch's own (v, n)."""
+        before, after = live_runs(batch_id), live_runs(batch_id + 1)
+        self._keep_only(before)
+        merged = [self._path(r) for r in before if r not in after]
+        if merged:
+            values = values.unionByName(self.spark.read.schema("v double, n long").parquet(*merged))
+        values.groupBy("v").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(self._path(after[-1]))
+
+    def _keep_only(self, runs) -> None:
+        keep = {os.path.basename(self._path(r)) for r in runs}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(root) if files.exists(root) else []:
+            if status.getPath().getName() not in keep:
+                files.delete(status.getPath(), True)
+
+
 def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, checkpoint: str,
                   score_every: int = 1, amount: str = "amount", trigger: dict | None = None) -> str:
     """ST4: clean each micro-batch with a fitted recipe, append it to ``sink``, and after every
     ``score_every`` batches write the exact score of all batches so far to ``scores``.
 
-    Beside the scores lie the per-batch counts and, per batch, the amounts' value -> count table up to it."""
+    Beside the scores lie the per-batch counts and the amounts' ``ValueCounts``."""
     spark = stream.sparkSession
-    counts_path, values_path = scores + "-counts", scores + "-values"
+    counts_path, values = scores + "-counts", ValueCounts(stream.sparkSession, scores + "-values")
 
     def handle(batch: DataFrame, batch_id: int):
         clean = fitted_recipe.apply(batch)
@@ -99,19 +144,15 @@ def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, chec
         clean = spark.read.schema(clean.schema).parquet(os.path.join(sink, f"batch_id={batch_id}"))
         _write_batch(score_counts(clean, None, amount), counts_path, batch_id)
         num = to_double(amount, clean.schema[amount].dataType)
-        values = clean.select(num.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-        if batch_id > 0:
-            before = spark.read.schema("v double, n long").parquet(os.path.join(values_path, f"batch_id={batch_id - 1}"))
-            values = values.unionByName(before).groupBy("v").agg(F.sum("n").alias("n"))
-        _write_batch(values, values_path, batch_id)
+        values.add(batch_id, clean.select(num.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")))
         if batch_id % score_every:
             return
-        values = spark.read.schema("v double, n long").parquet(os.path.join(values_path, f"batch_id={batch_id}"))
-        bounds = iqr_bounds(exact_quantiles(values, [(F.col("v"), [0.25, 0.75])], weight=F.col("n"))[0])
+        seen = values.read(batch_id + 1)
+        bounds = iqr_bounds(exact_quantiles(seen, [(F.col("v"), [0.25, 0.75])], weight=F.col("n"))[0])
         outside = 0
         if bounds:
             far = (F.col("v") < F.lit(bounds[0])) | (F.col("v") > F.lit(bounds[1]))
-            outside = values.agg(F.sum(F.when(far, F.col("n")).otherwise(0))).first()[0] or 0
+            outside = seen.agg(F.sum(F.when(far, F.col("n")).otherwise(0))).first()[0] or 0
         counts = spark.read.parquet(counts_path).where(F.col("batch_id") <= batch_id)
         total = counts.agg(*[F.sum(c).alias(c) for c in SCORE_COUNTS]).withColumn("outside", F.lit(outside))
         numeric, typed = is_numeric(clean.schema[amount].dataType), is_temporal(clean.schema["event_ts"].dataType)

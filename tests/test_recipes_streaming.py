@@ -280,3 +280,23 @@ def test_r2_and_r3_raise_their_scorecards(spark):
     golden = rc.r5_golden_etl(base_orders, customers)
     assert ql.scorecard_etl({"orders": base_orders}, golden).first()["score"] == 0.05  # nothing merged yet
     assert ql.scorecard_etl({"merged": rc.r3_etl(base_orders, customers)}, golden).first()["score"] > 0.05
+
+
+def test_value_counts_are_merged_by_levels(spark):
+    """41 batches write n log n counts and keep a run for each bit; a retried batch gives the same counts."""
+    from tersus.streaming.monitor import ValueCounts, live_runs
+    assert live_runs(0) == [] and live_runs(6) == [(0, 4), (4, 6)] and live_runs(8) == [(0, 8)]
+    counts = ValueCounts(spark, os.path.join(tempfile.mkdtemp(prefix="tersus-test-"), "values"))
+    written, size, n = 0, 10, 41
+    for b in range(n):
+        values = spark.createDataFrame([(float(b * size + i), 1) for i in range(size)] + [(-1.0, 2)], "v double, n long").coalesce(1)
+        for _ in range(2 if b % 7 == 3 else 1):  # some are retried
+            counts.add(b, values)
+        start, end = live_runs(b + 1)[-1]
+        written += (end - start) * size + 1
+        folders = [f for f in os.listdir(counts.root) if f.startswith("run-")]
+        assert len(folders) <= 2 * n.bit_length()
+        if b in (0, 6, 7, 40):
+            got = {r["v"]: r["n"] for r in counts.read(b + 1).groupBy("v").agg(F.sum("n").alias("n")).collect()}
+            assert got == {**{float(i): 1 for i in range((b + 1) * size)}, -1.0: 2 * (b + 1)}
+    assert written <= n * (size + 1) * n.bit_length()
