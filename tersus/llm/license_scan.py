@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -203,6 +203,7 @@ class Match:
     matched: int
     first_word: int
     last_word: int
+    passages: int = 1
 
 
 def holds(template: list[str], pairs: list[tuple[int, int]], phrase: list[str]) -> bool:
@@ -212,17 +213,18 @@ def holds(template: list[str], pairs: list[tuple[int, int]], phrase: list[str])
                for i in range(len(template) - n + 1) if template[i:i + n] == phrase)
 
 
-def best_match(template: list[str], text: list[str], places: dict[str, list[int]], least: float,
-               phrases: tuple[str, ...] = ()) -> Match | None:
-    """The best passage of ``text`` (by words matched, then the first), if it covers ``least`` of the template (all
-    of a short one) and holds its ``phrases``. ``places``: where in the text each word lies."""
+def passages(template: list[str], text: list[str], places: dict[str, list[int]], least: float,
+             phrases: tuple[str, ...] = ()) -> list[Match]:
+    """All passages of ``text`` that cover ``least`` of the template (all of a short one) and hold its ``phrases``; they may
+    overlap. A passage is looked for in a window a quarter longer than the template on either side (four words at
+    least), round each place of the template's rarest words. ``places``: where in the text each word lies."""
     size, count = len(template), Counter(template)
     need = (least if size >= SHORT else 1.0) * size - 1e-9
     cut = [words_of(x) for x in phrases]
     if any(w not in places for phrase in cut for w in phrase):
-        return None
+        return []
     if sum(min(n, len(places.get(w, ()))) for w, n in count.items()) < need:
-        return None  # not even without regard to order
+        return []  # not even without regard to order
     marks, spare = [], 0
     for w in sorted(count, key=lambda w: (len(places.get(w, ())), w)):
         marks.append(w)
@@ -230,22 +232,39 @@ def best_match(template: list[str], text: list[str], places: dict[str, list[int]
         if spare > size - need:
             break
     slack = max(4, size // 4)
-    windows = sorted({(max(0, p - i - slack), p - i + size + slack)
-                      for i, w in enumerate(template) if w in marks for p in places.get(w, ())})
-    best = None
-    for a, b in windows:
-        part = text[a:b]
+    found: dict[tuple[int, int], int] = {}
+    for start in sorted({p - i for i, w in enumerate(template) if w in marks for p in places.get(w, ())}):
+        if start >= 0 and text[start:start + size] == template:  # a whole one, whatever stands beside it
+            found[start, start + size - 1] = size
+            continue
+        a = max(0, start - slack)
+        part = text[a:start + size + slack]
         if sum((Counter(part) & count).values()) < need:
             continue
         pairs = patience(template, part)
-        if len(pairs) >= need and (best is None or len(pairs) > best.matched) and all(holds(template, pairs, x) for x in cut):
-            best = Match(len(pairs), a + pairs[0][1], a + pairs[-1][1])
-            if len(pairs) == size:
-                break
-    return best
+        if len(pairs) >= need and all(holds(template, pairs, x) for x in cut):
+            span = a + pairs[0][1], a + pairs[-1][1]
+            found[span] = max(len(pairs), found.get(span, 0))
+    return [Match(n, *span) for span, n in found.items()]
+
+
+def apart(found: list[tuple[str, Match]], sizes: dict[str, int]) -> list[tuple[str, Match]]:
+    """Of passages that overlap, the one with more words matched (then the larger share, the name, the first)."""
+    out: list[tuple[str, Match]] = []
+    starts: list[int] = []
+    ends: list[int] = []  # of the passages taken, in order of their places
+    for name, m in sorted(found, key=lambda x: (-x[1].matched, -x[1].matched / sizes[x[0]], x[0], x[1].first_word)):
+        at = bisect_left(starts, m.first_word)
+        if (at == 0 or ends[at - 1] < m.first_word) and (at == len(starts) or starts[at] > m.last_word):
+            starts.insert(at, m.first_word)
+            ends.insert(at, m.last_word)
+            out.append((name, m))
+    return out
 
 
-def scan_text(text: str, templates: dict[str, list[str]], vocabulary: set[str], least: float) -> list[tuple[str, Match]]:
+def scan_text(text: str, templates: dict[str, list[str]], vocabulary: set[str], least: float,
+              phrases: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, Match]]:
+    """Each template's best passage of those that are left when overlaps are settled, and how many these are."""
     words = words_of(text)
     places: dict[str, list[int]] = {}
     if vocabulary.isdisjoint(words):
@@ -253,37 +272,41 @@ def scan_text(text: str, templates: dict[str, list[str]], vocabulary: set[str],
     for i, w in enumerate(words):
         if w in vocabulary:
             places.setdefault(w, []).append(i)
-    found = [(name, m) for name, t in templates.items() if (m := best_match(t, words, places, least, PHRASES.get(name, ())))]
-    out: list[tuple[str, Match]] = []  # of passages that overlap, the one with more words matched
-    for name, m in sorted(found, key=lambda x: (-x[1].matched, -x[1].matched / len(templates[x[0]]), x[0])):
-        if all(m.last_word < o.first_word or m.first_word > o.last_word for _, o in out):
-            out.append((name, m))
-    return sorted(out, key=lambda x: x[0])
+    phrases = PHRASES if phrases is None else phrases
+    found = [(name, m) for name, t in templates.items() for m in passages(t, words, places, least, phrases.get(name, ()))]
+    best: dict[str, Match] = {}
+    for name, m in apart(found, {name: len(t) for name, t in templates.items()}):  # the best of each come first
+        best[name] = replace(best[name], passages=best[name].passages + 1) if name in best else m
+    return sorted(best.items())
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row for each document and template that it holds with a coverage of at least ``least``: doc_id, license,
-    coverage, matched_words, template_words, first_word, last_word (places of the best passage, from 0).
-    Where the passages of two templates overlap, the one with more words matched is reported. Templates of fewer
-    than ``SHORT`` words must be covered whole, and the ``PHRASES`` of a template (by its name) must be among the
-    matched words.
+    coverage, matched_words, template_words, first_word, last_word (places of the best passage, from 0), passages (how
+    many there are). Of passages that overlap, the one with more words matched counts, wherever others stand. Templates
+    of fewer than ``SHORT`` words must be covered whole, and a template's ``phrases`` must be among the matched words
+    (``PHRASES``, for the own templates; none, unless given, for a caller's).
 
-    Null and empty texts hold nothing. Ties between passages go to the first. Repeated rows repeat, null ids
-    stay null; an empty table, or no template, gives no rows. Other columns are not read.
+    Null and empty texts hold nothing; a text is read whole, however long. Ties between passages go to the larger share
+    of a template, then to the name, then to the first. Repeated rows repeat, null ids stay null; an empty table, or no
+    template, gives no rows. Other columns are not read.
     """
+    if phrases is None:
+        phrases = PHRASES if templates is None else {}
     cut = {name: words_of(t) for name, t in sorted((TEMPLATES if templates is None else templates).items())}
     cut = {name: t for name, t in cut.items() if t}
     vocabulary = {w for t in cut.values() for w in t}
 
     def run(batches):
         for batch in by_size(batches):
-            rows = [(doc_id, name, m.matched / len(cut[name]), m.matched, len(cut[name]), m.first_word, m.last_word)
+            rows = [(doc_id, name, m.matched / len(cut[name]), m.matched, len(cut[name]), m.first_word, m.last_word, m.passages)
                     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-                    for name, m in scan_text(text, cut, vocabulary, least)]
+                    for name, m in scan_text(text, cut, vocabulary, least, phrases)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(
-                    (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))],
-                ["doc_id", "license", "coverage", "matched_words", "template_words", "first_word", "last_word"])
+                    (pa.int64(), pa.string(), pa.float64(), *[pa.int32()] * 5))],
+                ["doc_id", "license", "coverage", "matched_words", "template_words", "first_word", "last_word", "passages"])
     return texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, license string, coverage double, matched_words int, template_words int, first_word int, last_word int")
+        run, "doc_id long, license string, coverage double, matched_words int, template_words int, first_word int, last_word int, "
+             "passages int")

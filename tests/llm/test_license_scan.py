@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 from hypothesis import given, settings, strategies as st
 
@@ -72,6 +72,65 @@ def test_each_template_is_reported_as_itself_only():
     assert "MIT" not in found(grant)  # the license without its disclaimer is not whole
 
 
+NAMES = [n for n in scan.TEMPLATES if not n.startswith("CC-")]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(NAMES + ["CC-BY-4.0-line", "CC-BY-SA-4.0-line"]), min_size=2, max_size=4, unique=True), st.integers(0, 1000))
+def test_licenses_are_found_in_every_order(names, seed):
+    r = random.Random(seed)
+    for order in permutations(names):
+        text = " ".join(" ".join([scan.TEMPLATES[n], *(f"x{r.randrange(99)}" for _ in range(r.choice([40, 400])))]) for n in order)
+        assert set(found(text)) == set(names)
+
+
+def test_a_license_inside_another_does_not_hide_its_own_text():
+    filler = " ".join(f"x{i}" for i in range(400))
+    for a, b in [("BSD-3-Clause", "BSD-2-Clause"), ("Apache-2.0-header", "Apache-2.0-line")]:
+        for first, second in ((a, b), (b, a)):
+            got = found(f"{scan.TEMPLATES[first]} {filler} {scan.TEMPLATES[second]}")
+            assert {n: m.matched for n, m in got.items()} == {n: len(scan.words_of(scan.TEMPLATES[n])) for n in (a, b)}
+    assert found("Released under the MIT License. " * 7)["MIT-line"].passages == 7
+
+
+def plain_scan(words, templates, least):
+    """Every window of every length that a passage may have, then the same rule for overlaps."""
+    every = []
+    for name, t in templates.items():
+        need, slack = (least if len(t) >= scan.SHORT else 1.0) * len(t) - 1e-9, max(4, len(t) // 4)
+        for a in range(-slack, len(words)):
+            pairs = scan.patience(t, words[max(0, a):a + len(t) + 2 * slack])
+            if len(pairs) >= need:
+                every.append((name, scan.Match(len(pairs), max(0, a) + pairs[0][1], max(0, a) + pairs[-1][1])))
+    taken = []
+    for name, m in sorted(every, key=lambda x: (-x[1].matched, -x[1].matched / len(templates[x[0]]), x[0], x[1].first_word)):
+        if all(m.last_word < o.first_word or m.first_word > o.last_word for _, o in taken):
+            taken.append((name, m))
+    return {name: max(m.matched for n, m in taken if n == name) for name, _ in taken}
+
+
+def test_scan_equals_a_search_of_all_windows():
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    for _ in range(25):
+        templates = {f"t{k}": r.sample(words, r.choice([5, 12, 20])) for k in range(3)}
+        text = []
+        for _ in range(r.randint(2, 4)):
+            t = list(r.choice(list(templates.values())))
+            for _ in range(r.randint(0, 2)):
+                t.insert(r.randrange(len(t)), "y") if r.random() < 0.5 else t.pop(r.randrange(len(t)))
+            text += t + [f"x{i}" for i in range(r.randint(25, 40))]
+        got = scan.scan_text(" ".join(text), templates, set(words), 0.8, {})
+        assert {n: m.matched for n, m in got} == plain_scan(text, templates, 0.8)
+
+
+def test_phrases_are_of_the_own_templates_only(spark):
+    df = spark.createDataFrame([(1, "released under some mit terms here")], "doc_id long, text string")
+    own = {"MIT-line": "released under some mit terms"}
+    assert scan.scan_licenses(df, templates=own).count() == 1
+    assert scan.scan_licenses(df, templates=own, phrases={"MIT-line": ("mit license",)}).count() == 0
+
+
 def test_table_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "Released under the MIT License. " * 3), (1, "Released under the MIT License. " * 3), (2, None), (3, ""),
             (None, "licensed under cc by-nc 4.0"), (5, "mit license released the under"), (6, "the " * 50_000 + "Released under the MIT License.")]
