@@ -12,7 +12,7 @@ neighbours (raw counts after the start of a text), as the method asks.
 An n-gram's hash in a shard's sorted array is stored without its leading bits: an index by them tells where each of
 their values begins. Counts and totals take a byte, and larger ones a place in a short list.
 
-Scoring. A batch's distinct words and n-grams are looked up in hash order, so reads of a mapped array move
+Scoring. A batch's distinct words, and its n-grams, are looked up in hash order, so reads of a mapped array move
 forward. Two words whose 64-bit hashes agree would count as one; n-grams likewise (with 44 bits in a shard).
 """
 
@@ -40,6 +40,7 @@ BLOCK = "kind string, shard int, block binary"
 #: Of the n-grams that go on from a context: the sum of their counts, and how many have the count 1, 2, 3 or more.
 TOTALS = ["sum", "n1", "n2", "n3"]
 HELD = 6_000_000  # n-grams or words that a task holds before it sends blocks
+SCORED = 6 << 20  # bytes of text that are scored at once
 
 
 # ------------------------------------------------------------------ arrays in blocks and files
@@ -105,7 +106,7 @@ class HashArrays:
         if (shard, column) not in self.maps:
             path = mounted(f"{self.folder}/{self.name}-{shard:06d}.{column}")
             empty = not os.path.exists(path) or not os.path.getsize(path)  # a shard without keys has no file
-            self.maps[shard, column] = np.zeros(0, kind) if empty else np.memmap(path, kind, "r")
+            self.maps[shard, column] = np.zeros(0, kind) if empty else np.memmap(path, kind, "r").view(np.ndarray)
         return self.maps[shard, column]
 
     def counts(self, shard: int, column: str, places: np.ndarray) -> np.ndarray:
@@ -226,7 +227,7 @@ def tokens(batch_texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     plain = pc.replace_substring_regex(pc.ascii_lower(batch_texts), "[\t-\r]+", " ")
     cut = pc.split_pattern(plain, " ")
     coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
     which = coded.indices.to_numpy(zero_copy_only=False)
     counts = np.diff(cut.offsets.to_numpy().astype(np.int64))
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -235,7 +236,7 @@ def tokens(batch_texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         some = word[which]
         which, doc = (np.cumsum(word) - 1)[which[some]], doc[some]
         counts, words = np.bincount(doc, minlength=len(counts)), [w for w in words if w]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     ends = np.cumsum(counts)
     hashes = np.append(hashes, np.uint64(END))
     which = np.insert(which, ends, len(words))
@@ -377,8 +378,10 @@ class Model:
         for k in range(2, self.order + 1):
             own = columns[-k:]
             total, *n = self.context_totals(own[:-1], counts[-k:-1])
-            keys, back = np.unique(self.keys(own, counts[-2]), return_inverse=True)
-            seen = self.ngram_arrays[k].look_up(keys, ["count"])[0][back]
+            keys = self.keys(own, counts[-2])
+            order = np.argsort(keys)
+            seen = np.empty(len(keys), np.int64)
+            seen[order] = self.ngram_arrays[k].look_up(keys[order], ["count"])[0]
             rest = sum(d * x for d, x in zip(self.discounts[k], n))
             p = np.where(total > 0, (self.discounted(k, seen) + rest * p) / np.maximum(total, 1), p)
         return p
@@ -462,7 +465,9 @@ def count_ngrams(rows: DataFrame, model: Model) -> None:
         def count(batch):
             used, token, doc, sizes = tokens(batch.column("text"))
             ids, _ = model.number(used)
-            return ngrams(ids[token], doc, sizes, order, start), np.ones(len(token), np.uint64)
+            if model.unknown < 1 << 32:  # what a task holds takes half the room
+                ids = ids.astype(np.uint32)
+            return ngrams(ids[token], doc, sizes, order, start), np.ones(len(token), np.uint32)
 
         def send(columns, counts):
             return list(blocks(columns, [counts, *[np.zeros(len(counts), np.uint64)] * len(TOTALS)]))
@@ -551,7 +556,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_tokens, n_known, base_score, score (log10 probability) of every row."""
     def run(batches):
         keep_freed_memory()
-        for batch in by_size(batches):
+        for batch in by_size(batches, max_bytes=SCORED):
             if not batch.num_rows:
                 continue
             used, token, doc, sizes = tokens(batch.column("text"))
@@ -559,9 +564,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             base = np.log10((counts + 1) / (model.total + model.words + 1))
             columns = ngrams(ids[token], doc, sizes, model.order, model.start)
             uses = ngrams(counts[token], doc, sizes, model.order, model.documents)
-            # each distinct n-gram of the batch once
-            keys, first, back = np.unique(_hash(columns), return_index=True, return_inverse=True)
-            p = np.log10(model.probabilities([c[first] for c in columns], [c[first] for c in uses]))[back]
+            p = np.log10(model.probabilities(columns, uses))
             def summed(x):
                 return np.bincount(doc, x, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
