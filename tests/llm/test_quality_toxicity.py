@@ -104,7 +104,67 @@ def test_counts_features_and_scores(spark):
     kept = toxicity.keep_clean(df, labels)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in docs if i % 4]
     few, _ = toxicity.training_sample(df, labels, "toxic", 5, 20, "doc_id", "text")
-    assert 0 < few.count() < 80
+    assert sorted(r["label"] for r in few.collect()) == [0] * 20 + [1] * 20
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = [(i, f"text {i}") for i in range(100)] + [(7, "text 7")] * 500 + [(8, f"other {i}") for i in range(300)] + [(None, "x"), (9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    sample, sizes = toxicity.training_sample(df, labels, "toxic", 5, 30, "doc_id", "text")
+    train = {(i, t or "") for i, t in docs if i is not None and fold_of(i) != 0}
+    assert sizes == {c: sum(i % 2 == c for i, _ in train) for c in (0, 1)}
+    rows = [(r["doc_id"], r["text"]) for r in sample.collect()]
+    assert len(rows) == len(set(rows)) == 60 and set(rows) <= train
+    whole, _ = toxicity.training_sample(df, labels, "toxic", 5, 10_000, "doc_id", "text")
+    assert {(r["doc_id"], r["text"]) for r in whole.collect()} == train
+
+
+def plain_toxicity(train, texts, least_documents=2, least_ratio=6.0, penalty=1e-4, steps=400):
+    """Scores by dense arrays over every n-gram on its own."""
+    grams = [plain_ngrams(t) for t, _ in train]
+    y = np.array([label for _, label in train], float)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    def cell(k, n, share):
+        return (k * np.log(k / (n * share)) if k else 0) + ((n - k) * np.log((n - k) / (n * (1 - share))) if k < n else 0)
+    chosen, ratio = [], []
+    for g in sorted(set().union(*grams)):
+        k1, k0 = sum(g in d for d, label in zip(grams, y) if label), sum(g in d for d, label in zip(grams, y) if not label)
+        share = (k1 + k0) / (n1 + n0)
+        if least_documents <= k1 + k0 < n1 + n0 and 2 * (cell(k1, n1, share) + cell(k0, n0, share)) >= least_ratio:
+            chosen.append(g)
+            ratio.append(np.log(((k1 + 1) / (n1 + 2)) / ((k0 + 1) / (n0 + 2))))
+    x = np.array([[r * (g in d) for g, r in zip(chosen, ratio)] + [1.0] for d in grams])
+    rate = 1 / (0.25 * (x * x).sum(axis=1).max() + penalty)
+    w = v = np.zeros(len(chosen) + 1)
+    for step in range(1, steps + 1):
+        slope = x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(y) + penalty * np.append(v[:-1], 0)
+        before, w = w, v - rate * slope
+        v = w + (step - 1) / (step + 2) * (w - before)
+    scores = [w[-1] + sum(wi * r for g, r, wi in zip(chosen, ratio, w) if g in plain_ngrams(t)) for t in texts]
+    return len(chosen), 1 / (1 + np.exp(-np.array(scores)))
+
+
+def test_scores_equal_a_plain_classifier(spark, monkeypatch):
+    import random
+    r = random.Random(4)
+    plain, marked = "some words that are quite plain and long Enough".split(), "nasty vile Öde scum".split()
+    docs = [(i, " ".join(r.choices(plain, k=9) + (r.choices(marked, k=2) if i % 3 == 0 or r.random() < 0.1 else []))) for i in range(160)]
+    labels = {i: int(i % 3 == 0) for i, _ in docs}
+    df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(toxicity, "SLICE", 2000)
+    model = toxicity.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    chosen, want = plain_toxicity([(t, labels[i]) for i, t in docs if fold_of(i) != 0], [t for _, t in docs])
+    assert len(model.ngrams) == chosen > 20
+    assert model.scores(pa.array([t for _, t in docs])) == pytest.approx(want, rel=1e-6)
+
+
+def test_very_long_texts_are_read_whole(spark):
+    docs = [(i, f"plain words number {i}" + (" nasty insult" if i % 2 else "")) for i in range(100)]
+    long = [(1000, "plain words " * 200_000 + "nasty insult " * 20), (1001, "plain words " * 200_000), (1002, "w" * 2_000_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    rows = toxicity.toxicity_scores(spark.createDataFrame(docs + long, "doc_id long, text string"), labels).collect()
+    assert {r["doc_id"]: r["predicted"] for r in rows if r["doc_id"] >= 1000} == {1000: 1, 1001: 0, 1002: 0}
 
 
 def test_every_telling_word_of_a_large_vocabulary_counts(spark):
