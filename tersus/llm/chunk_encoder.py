@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import keep_freed_memory
+from .common import keep_freed_memory, return_freed_memory
 
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
@@ -153,10 +153,18 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, end_id: int, white_space_dropped: bool) -> ChunkEncoder:
-    """One encoder for each worker process, kept from task to task."""
+def chunk_encoder(path: str, end_id: int, white_space_dropped: bool, max_chunks: int = 700_000) -> ChunkEncoder:
+    """One encoder for each worker process, kept from task to task. What earlier operators left free goes back first."""
+    return_freed_memory()
     keep_freed_memory()
-    return ChunkEncoder(path, end_id, white_space_dropped)
+    return ChunkEncoder(path, end_id, white_space_dropped, max_chunks)
+
+
+def release_encoders() -> None:
+    """In a worker that goes on to an operator without tokens: let go of the dictionaries kept for the last one."""
+    if chunk_encoder.cache_info().currsize:
+        chunk_encoder.cache_clear()
+        return_freed_memory()
 
 
 def by_size(batches, text_column: str = "text", max_bytes: int = 8 << 20):

@@ -100,6 +100,13 @@ def keep_freed_memory(large: int = 64 << 20, kept: int = 96 << 20) -> None:
         mallopt(-1, kept)  # M_TRIM_THRESHOLD
 
 
+def return_freed_memory() -> None:
+    """In a worker: give freed memory back to the system. glibc only."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fold(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     c = col(id_col) if isinstance(id_col, str) else id_col

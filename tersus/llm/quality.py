@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_size
+from .chunk_encoder import by_size, release_encoders
 from .common import col, fold, texts, written
 
 STATISTICS = ("repeated_neighbour", "distinct", "frequent_word", "upper_words", "exclamation", "bars",
@@ -53,6 +53,7 @@ def statistics(text: str) -> list[float]:
 def statistics_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and x, the statistics of every row."""
     def run(batches):
+        release_encoders()
         for batch in by_size(batches, max_bytes=1 << 20):
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -144,6 +145,7 @@ def keep_good(df: DataFrame, labels: DataFrame, label_col: str = "quality", thre
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        release_encoders()
         batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
         x = [[statistics(t) for t in part.column("text").to_pylist()] for part in by_size([batch], max_bytes=1 << 20)]
         return pa.array(np.concatenate([model.scores(np.array(part)) for part in x] or [np.zeros(0)]))

@@ -16,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_size, ragged
+from .chunk_encoder import by_size, ragged, release_encoders
 from .common import col, fold, texts, written
 from .quality import labelled
 
 SIZES = (3, 4, 5, 6, 7)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts of about this size are in memory at once, with all their n-grams.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _distinct(features: np.ndarray, whose: np.ndarray, words: int, which: np.nda
 
 
 #: Cells of the table of documents and features that marks which features a document has.
-CELLS = 1 << 25
+CELLS = 1 << 24
 
 
 def _marked(doc: np.ndarray, index: np.ndarray, documents: int, size: int):
@@ -133,6 +133,12 @@ class LinearModel:
         self.first = np.searchsorted(place[self.by_place], np.arange((1 << 20) + 1)).astype(np.int32)
         self.seen = np.diff(self.first) > 0
 
+    def __getstate__(self):
+        return self.ngrams, self.weights, self.bias  # workers make the table themselves
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
     def find(self, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are n-grams of the model, and their indices."""
         own, at, end = self.ngrams[self.by_place], self.first[place], self.first[place + 1]
@@ -184,6 +190,7 @@ def ngram_counts(sample: DataFrame) -> DataFrame:
     """ngram (hash as a signed long), toxic, clean: in how many sampled documents of each class it occurs; together:
     the xor of their places, equal for n-grams of the same documents."""
     def run(batches):
+        release_encoders()
         for batch in by_size(batches, max_bytes=SLICE // 8):  # every n-gram of every document is held
             words, which, offsets = _documents(batch.column("text"))
             hashes, whose = word_ngrams(words)
@@ -240,6 +247,7 @@ def train(sample: DataFrame, sizes: dict[int, int], features: int | None, least_
     standing = LinearModel(ngrams[one[by_ngram]], np.zeros(len(one)), 0.0)
 
     def run(batches):
+        release_encoders()
         for batch in by_size(batches, max_bytes=SLICE):
             doc, index = standing.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
@@ -286,6 +294,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        release_encoders()
         batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
         return pa.array(np.concatenate([model.scores(x.column("text")) for x in by_size([batch], max_bytes=SLICE)] or [np.zeros(0)]))
     return df.filter(score(col(text_col).cast("string")) < threshold)
@@ -303,6 +312,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, label_col: str = "toxic",
     model = fit(df, labels, label_col, folds, id_col=id_col, text_col=text_col, **training)
 
     def run(batches):
+        release_encoders()
         for batch in by_size(batches, max_bytes=SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text")))],
                                              ["doc_id", "score"])
