@@ -24,6 +24,7 @@ from tersus.errors import CleaningError
 from tersus.functions.parse import DATE_FORMATS, col, to_timestamp
 from tersus.operators.casts import cast_column
 from tersus.operators.derive import add_derived_column
+from tersus.operators.mapping import map_values
 from tersus.operators.normalize import normalize_values
 from tersus.operators.nulls import drop_nulls
 from tersus.operators.outliers import filter_range
@@ -31,7 +32,7 @@ from tersus.session import let_workers_import
 from tersus.streaming.ingest import run_stream, state_on_disk
 
 STREAM_SAFE = {"fill_nulls", "cast_column", "normalize_values", "filter_outliers", "add_derived_column",
-               "drop_nulls", "filter_range"}
+               "drop_nulls", "filter_range", "map_values"}
 
 
 @dataclass
@@ -55,6 +56,9 @@ def _plain(df: DataFrame, st: dict) -> DataFrame:
         return cast_column(df, st["column"], st.get("dtype"), check="lazy", formats=st.get("formats") or DATE_FORMATS)
     if op == "normalize_values":
         return normalize_values(df, st["column"], st.get("method"), st.get("pattern"), st.get("replacement"))
+    if op == "map_values":
+        given = {n: st[n] for n in ("value", "canonical", "fold", "broadcast_bytes") if st.get(n) is not None}
+        return map_values(df, st["column"], st["mapping"], **given)
     if op == "add_derived_column":
         return add_derived_column(df, st["column_name"], st["source_column"], st.get("transform"),
                                   formats=st.get("formats") or DATE_FORMATS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tersus.errors import CleaningError
 from tersus.functions.parse import NULL_MARKERS, std_nulls, to_double, to_timestamp
 from tersus.functions.stats import FitBatch
-from tersus.operators import add_derived_column, cast_column, fill_nulls, merge_tables, normalize_values
+from tersus.operators import add_derived_column, cast_column, fill_nulls, merge_tables, normalize_values, unmapped_values
 from tersus.plans import profile as prof
 from tersus.plans import quality as ql
 from tersus.plans import recipes as rc
@@ -313,3 +313,49 @@ def r0_all_operations(spark, sf):
     c = ctx(spark, sf)
     out = rc.apply_steps({"orders": c.orders_base, "customers": c.customers}, rc.load_steps(_R0))["merged"]
     return out.withColumn("amount", r6("amount")).withColumn("amount_abs", r6("amount_abs"))
+
+
+_HOT = "CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN NULL ELSE user_id END"
+
+
+@query("j4_outer_hot_keys", f"SELECT coalesce(l.k, r.k) AS k, l.event_id, r.name FROM (SELECT event_id, {_HOT} AS k FROM events) l FULL OUTER JOIN "
+       "(SELECT CASE WHEN c_custkey = 2 THEN NULL ELSE c_custkey END AS k, c_name AS name FROM customer) r ON l.k IS NOT DISTINCT FROM r.k")
+def j4_outer_hot_keys(spark, sf):
+    """A quarter of the left rows each have a key with a partner, one without, and none (NULL, which has a partner)."""
+    base, key = ctx(spark, sf).base, F.col("event_id") % 4
+    left = base["events"].select(F.when(key == 0, 1).when(key == 1, -1).when(key == 3, F.col("user_id")).alias("k"), "event_id")
+    right = base["customer"].select(F.when(F.col("c_custkey") != 2, F.col("c_custkey")).alias("k"), F.col("c_name").alias("name"))
+    return merge_tables(left, right, "k", "outer")
+
+
+_SYNONYMS = ("SELECT c_custkey AS customer_id, CASE c_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN concat(' N', n_nationkey, ' ') "
+             "WHEN 3 THEN concat('n', n_nationkey) WHEN 4 THEN concat('other ', c_custkey % 7) END AS country, n_name AS golden "
+             "FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_KNOWN = "lower(trim(country)) IN (SELECT lower(n_name) FROM nation UNION SELECT concat('n', n_nationkey) FROM nation)"
+
+
+def _countries(spark, sf):
+    """Customers whose country is written in several ways, or unknown, or missing; and the mapping of names and codes."""
+    base = ctx(spark, sf).base
+    name, code, key = F.col("n_name"), F.col("n_nationkey").cast("string"), F.col("c_custkey")
+    written = (F.when(key % 6 == 0, name).when(key % 6 == 1, F.lower(name)).when(key % 6 == 2, F.concat(F.lit(" N"), code, F.lit(" ")))
+               .when(key % 6 == 3, F.concat(F.lit("n"), code)).when(key % 6 == 4, F.concat(F.lit("other "), (key % 7).cast("string"))))
+    rows = base["customer"].join(base["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("customer_id"), written.alias("country"))
+    names = base["nation"].select(F.explode(F.array(name, F.concat(F.lit("N"), code))).alias("seen"), name.alias("name"))
+    return rows, names
+
+
+@query("v7_map_values", f"SELECT customer_id, CASE WHEN country IS NULL THEN NULL WHEN {_KNOWN} THEN golden ELSE country END AS country FROM ({_SYNONYMS})")
+def v7_map_values(spark, sf):
+    """Synonyms mapped in a step list, after copies of the rows are dropped; the mapping is a table of the set."""
+    rows, names = _countries(spark, sf)
+    return rc.apply_steps({"main": rows.unionByName(rows), "names": names}, [
+        {"operation": "remove_duplicates", "table_name": "main"},
+        {"operation": "map_values", "column": "country", "mapping": "names", "value": "seen", "canonical": "name", "table_name": "main"}])["main"]
+
+
+@query("v7_unmapped_values", f"SELECT country AS value, count(*) AS n FROM ({_SYNONYMS}) WHERE country IS NOT NULL AND NOT {_KNOWN} GROUP BY 1")
+def v7_unmapped_values(spark, sf):
+    rows, names = _countries(spark, sf)
+    return unmapped_values(rows, "country", names, "seen", "name", broadcast_bytes=0)

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tersus.plans import duplicates as dup
 from tersus.plans import recipes as rc
-from tersus.streaming import (clean_to_sink, dedup_to_sink, drift_report, drift_to_sink, fit_drift_baseline,
-                              fit_recipe, read_deduplicated, read_stream, running_profile, running_score)
+from tersus.plans.profile import duplicate_count
+from tersus.streaming import (clean_to_sink, dedup_to_sink, drift_report, drift_to_sink, fit_drift_baseline, fit_recipe,
+                              forward_fill_to_sink, read_deduplicated, read_stream, running_profile, running_score)
 from tersus.streaming.monitor import new_paths
 from tersus.suite.registry import ctx, query, r6
-from tersus.suite.sql import k1, k2, with_views
+from tersus.suite.sql import k1, k2, k3, with_views
 from tersus.suite.staging import stage_batches, stage_in_order
 
 RAW_DAYS_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, "
@@ -162,3 +164,32 @@ def st4_running_score_frozen_final(spark, sf):
     running_score_frozen(_stream(spark, sf).drop("arrival_day"), fitted, fences, sink, ck)
     table = running_score_table(spark.read.parquet(sink))
     return table.orderBy(F.col("batch_id").desc()).limit(1).select("n_rows", "score")
+
+
+@query("n6_stream_forward_fill", with_views(
+    f"SELECT txn_id, customer_id, last_value({k3('category')} IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY CAST(substr(txn_id, 5) AS "
+    "BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS category FROM stream_dirty", "stream_dirty"))
+def n6_stream_forward_fill(spark, sf):
+    """Five micro-batches, days in order; each customer's last category is state."""
+    days = ctx(spark, sf).stream_days.withColumn("number", F.expr("CAST(substr(txn_id, 5) AS BIGINT)"))
+    ids = days.agg(F.min("number"), F.max("number")).first()
+    part = F.floor((F.col("number") - F.lit(ids[0])) * 5 / F.lit(ids[1] - ids[0] + 1))
+    src = stage_in_order(days, spark, part, 5)
+    sink, ck = new_paths(spark, "sink", "ckpt")
+    forward_fill_to_sink(read_stream(spark, src, RAW_DAYS_SCHEMA + ", number BIGINT"), "category", "customer_id", "number", sink, ck)
+    return _read_sink(spark, sink).select("txn_id", "customer_id", "category")
+
+
+@query("p3_duplicate_estimate", with_views(
+    "SELECT count(*) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty)) AS duplicates, "
+    "true AS inside_bound FROM orders_dirty", "orders_dirty"))
+def p3_duplicate_estimate(spark, sf):
+    """The duplicates of an accumulated stream by one sketch a micro-batch, held against the exact count."""
+    orders = ctx(spark, sf).orders
+    src = stage_batches(orders, spark, "order_date")
+    sink, ck = new_paths(spark, "sketches", "ckpt")
+    dup.sketch_to_sink(read_stream(spark, src, ", ".join(f"{c} {t}" for c, t in orders.dtypes)), sink, ck)
+    exact = duplicate_count(orders).first()["duplicate_count"]
+    return dup.duplicate_estimate(dup.read_sketches(spark, sink)).select(
+        F.col("rows").alias("n_rows"), F.lit(exact).cast("long").alias("duplicates"),
+        (F.abs(F.col("duplicate_estimate") - F.lit(exact)) <= F.col("error")).alias("inside_bound"))
