@@ -130,38 +130,56 @@ class Shard:
             setattr(self, name, np.frombuffer(data, np.dtype(kind), n, at))
             at += n * np.dtype(kind).itemsize
         self.alphabet = self.header["alphabet"]
-        # every rule's expansion in one table
+        self.doc_at = np.cumsum(self.doc_symbols) - self.doc_symbols
+
+    def lengths(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rules = symbols >= self.alphabet
+        out[rules] = self.expansion[symbols[rules] - self.alphabet]
+        return out
+
+    def decode(self) -> np.ndarray:
+        """Ids of all documents, one after the other, by a table of every rule's expansion."""
         lengths = np.concatenate([np.ones(self.alphabet, np.int64), self.expansion.astype(np.int64)])
-        self.starts = np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths) - lengths
         table = np.zeros(int(lengths.sum()), np.int32)
         table[:self.alphabet] = np.arange(self.alphabet)
         a, b = self.left.astype(np.int64), self.right.astype(np.int64)
-        parts, part_lengths = (np.stack([x[a], x[b]], 1).ravel() for x in (self.starts, lengths))
+        parts, part_lengths = (np.stack([x[a], x[b]], 1).ravel() for x in (starts, lengths))
         newest, at = np.maximum(a, b), 0
         while at < len(a):  # rules that need only symbols before them, at once
             later = newest[at:] >= self.alphabet + at
             end = at + int(later.argmax()) if later.any() else len(a)
-            first, stop = self.starts[self.alphabet + at], self.starts[self.alphabet + end - 1] + lengths[self.alphabet + end - 1]
+            first, stop = starts[self.alphabet + at], starts[self.alphabet + end - 1] + lengths[self.alphabet + end - 1]
             table[first:stop] = table[ragged(parts[2 * at:2 * end], part_lengths[2 * at:2 * end])]
             at = end
-        self.table, self.lengths = table, lengths
-        self.doc_at = np.cumsum(self.doc_symbols) - self.doc_symbols
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        return self.table[ragged(self.starts[symbols], self.lengths[symbols])]
-
-    def decode(self) -> np.ndarray:
-        """Ids of all documents, one after the other."""
-        return self._expand(self.sequence)
+        return table[ragged(starts[self.sequence], lengths[self.sequence])]
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of document ``i``; only the symbols that cover them are expanded."""
-        symbols = self.sequence[self.doc_at[i]:self.doc_at[i] + self.doc_symbols[i]]
+        """Ids ``start`` to ``stop`` of document ``i``. Rules are expanded one level at a time, and by their expansion
+        lengths only those that cover the range: the work follows the document's symbols and the ids asked for,
+        not the grammar."""
+        symbols = self.sequence[self.doc_at[i]:self.doc_at[i] + self.doc_symbols[i]].astype(np.int64)
         stop = int(self.doc_tokens[i]) if stop is None else stop
-        ends = np.cumsum(self.lengths[symbols])
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        skipped = int(ends[a - 1]) if a else 0
-        return self._expand(symbols[a:b])[start - skipped:stop - skipped]
+        before = 0  # ids of the document before the first symbol at hand
+        while len(symbols):
+            lengths = self.lengths(symbols)
+            ends = before + np.cumsum(lengths)
+            inside = np.flatnonzero((ends > start) & (ends - lengths < stop))
+            if not len(inside):
+                return np.zeros(0, np.int32)
+            before, symbols = int((ends - lengths)[inside[0]]), symbols[inside]
+            rules = symbols >= self.alphabet
+            if not rules.any():
+                break
+            wide = np.where(rules, 2, 1)
+            first = np.cumsum(wide) - wide
+            level = np.repeat(symbols, wide)
+            level[first[rules]] = self.left[symbols[rules] - self.alphabet]
+            level[first[rules] + 1] = self.right[symbols[rules] - self.alphabet]
+            symbols = level
+        return symbols.astype(np.int32)
 
 
 def shard_bytes(doc_ids: np.ndarray, null_id: np.ndarray, ids: np.ndarray, lengths: np.ndarray, alphabet: int) -> bytes:
@@ -241,7 +259,8 @@ def token_files(df: DataFrame, tokenizer_file: str, end_id: int, shard_tokens: i
     """Write the documents' ids and read them back: doc_id, start, n_tokens, ids_crc32.
 
     A null or empty text is the end id alone. Null ids come first. Rows that repeat an id follow each other,
-    by text hash. An empty table gives no rows. Other columns are not read. Files go to the shared folder.
+    by text hash. An empty table gives no rows. Other columns are not read. Files go to the shared folder. A very long
+    text is encoded whole and never cut: it closes the shard that it is in, which one task holds in memory.
     """
     folder = scratch_dir(df.sparkSession, "llm", "token-files")
     listing = f"{folder}/shards.parquet"

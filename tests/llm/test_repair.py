@@ -62,6 +62,28 @@ def test_repair_goes_on_until_no_pair_occurs_twice():
     assert (shard.decode() == ids).all() and (shard.document(7, 30, 500) == docs[7][30:500]).all()
 
 
+def test_a_document_is_read_without_the_rest_of_the_grammar(monkeypatch):
+    """Of 2,000 documents one's range looks up few symbols, however many rules there are."""
+    r = np.random.default_rng(3)
+    phrases = [r.integers(0, 5_000, 30) for _ in range(3_000)]
+    docs = [np.concatenate([phrases[i] for i in r.integers(0, 3_000, 12)]) for _ in range(2_000)]
+    ids, lengths = np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs], np.int64)
+    shard = repair.Shard(repair.shard_bytes(np.arange(2_000), np.zeros(2_000, bool), ids, lengths, 5_000))
+    looked_up, lengths_of = [], shard.lengths
+    monkeypatch.setattr(shard, "lengths", lambda symbols: (looked_up.append(len(symbols)), lengths_of(symbols))[1])
+    assert len(shard.left) > 50_000
+    for i, a, b in [(0, 0, None), (1999, 100, 101), (7, 359, 360), (9, 50, 50), (5, 400, 500), (3, 350, 900)]:
+        looked_up.clear()
+        assert shard.document(i, a, b).tolist() == docs[i][a:b].tolist()
+        assert sum(looked_up) <= 360 * 12
+
+
+def test_a_very_long_text_among_short_ones(spark):
+    docs = [(0, "a b"), (1, "some words again " * 60_000), (2, "x" * 200_000), (3, "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, repair.token_files(df, FILE, 1, shard_tokens=1000).collect())) == plain(docs)
+
+
 def test_rare_pairs_are_replaced():
     ids = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8], np.int32)
     left, _, _, seq, _ = repair.compress(ids, np.array([10]), 10)
