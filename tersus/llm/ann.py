@@ -52,8 +52,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of each row of ``query`` with the same row of ``x``, in double precision."""
-    return (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum(axis=1)))
+    """Of each row of ``query`` with the same row of ``x``, in double precision. Where squares leave the range of doubles
+    the components are scaled by powers of two first, which changes no cosine."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        own, other = (x * x).sum(axis=1), (query * query).sum(axis=1)
+        out = (x * query).sum(axis=1) / (np.sqrt(own) * np.sqrt(other))
+    small, large = 1e-250, 1e250
+    far = np.flatnonzero(~((own > small) & (own < large) & (other > small) & (other < large)))
+    if len(far):
+        a, b = (np.ldexp(v[far], -np.frexp(np.abs(v[far]).max(axis=1, keepdims=True))[1]) for v in (x, query))
+        out[far] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    return out
 
 
 def fit_index(rows: DataFrame, total: int, lists: int | None, sample_rows: int, rounds: int = 12, seed: int = 7) -> Index:

@@ -58,7 +58,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``df`` without the rows whose text another row keeps; all columns unchanged.
 
     Rows that repeat both id and text leave one row, the smallest by the other columns' hash; that choice
-    needs a shuffle of these rows only.
+    needs a shuffle of these rows only. A null text counts as empty; a null id is an id like any other, below all. Texts are
+    compared whole, however long. An empty table stays empty; no name of a column can clash.
     """
     digest, row_hash, key, sha, copies = unused(df, "digest", "row_hash", "key", "sha", "copies")
     kept = (exact_dedup(df, id_col, text_col, salts).filter("kept")

@@ -580,7 +580,8 @@ def held_out_scores(df: DataFrame, order: int = 2, folds: int = 7, held_out_fold
     Learns from every row outside ``held_out_fold`` (crc32 of the id as text, modulo ``folds``). Null texts
     count as empty: one end token. Repeated rows are counted and scored again each; null ids count as the
     empty text in the fold. Without training rows every word is unknown and alike. An empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read. A text is read whole, however long, its n-grams across all of it; equal texts score
+    alike, so there are no ties to settle.
     """
     rows = texts(df, id_col, text_col)
     model = train(rows.filter(fold("doc_id", folds) != held_out_fold), order)

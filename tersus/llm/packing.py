@@ -270,6 +270,6 @@ def pack_documents(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end
 
     A null or empty text is the end id alone. Repeated rows and null ids are packed like any others; with
     equal length, id, piece and ids either may take either place. An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. A very long text is encoded whole, by one task, and all its pieces are packed.
     """
     return pack_pieces(written(pieces(df, tokenizer_file, capacity, end_id, id_col, text_col), "pieces"), capacity, groups)

@@ -139,7 +139,9 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", folds: i
 def keep_good(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, folds: int = 5,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score at least ``threshold``, all columns unchanged. The labels meet the statistics,
-    not the texts; each row is then scored by its own text, so repeated and null ids need no care."""
+    not the texts; each row is then scored by its own text, so repeated and null ids need no care. A null text scores as
+    an empty one, a text is read whole, however long; equal texts score alike, so there are no ties to settle. An empty
+    table stays empty."""
     rows = written(statistics_table(df, id_col, text_col), "quality-statistics")
     model = fit(rows, labels, label_col, folds)
 
@@ -158,7 +160,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     Trained on all labelled rows outside fold 0 (crc32 of the id as text, modulo ``folds``). Null texts count
     as empty and are scored like any text. A null id counts as the empty text in the fold. Repeated rows
-    repeat; an empty table gives no rows; other columns of either table are not read.
+    repeat; an empty table gives no rows; other columns of either table are not read. A text is read whole, however long;
+    equal texts score alike, so there are no ties to settle.
     """
     rows = written(statistics_table(df, id_col, text_col), "quality-statistics")
     model = fit(rows, labels, label_col, folds)

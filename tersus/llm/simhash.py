@@ -156,7 +156,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                      max_bits: int = 2, blocks: int = 5, pairs_up_to: int = 32) -> DataFrame:
     """``df`` with one document of each component, all columns unchanged: the smallest id, then the smallest text
-    hash; null ids come last. Rows that repeat both id and text are one document and stay together."""
+    hash; null ids come last. Rows that repeat both id and text are one document and stay together. A null text counts as
+    empty, and empty texts are near copies of each other; a text is read whole, however long. An empty table stays empty."""
     rows = written(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
     rooted = rows.join(_components(rows, max_bits, blocks, pairs_up_to), "fp")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")

@@ -289,7 +289,9 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int =
 
 def keep_clean(df: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, folds: int = 5,
                id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """The rows of ``df`` that score under ``threshold``, all columns unchanged; each is scored by its own text."""
+    """The rows of ``df`` that score under ``threshold``, all columns unchanged; each is scored by its own text, which is read
+    whole, however long. A null text scores as an empty one; equal texts score alike, so there are no ties to settle. An
+    empty table stays empty."""
     model = fit(df, labels, label_col, folds, id_col=id_col, text_col=text_col, **training)
 
     @F.arrow_udf("double")

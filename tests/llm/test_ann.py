@@ -57,7 +57,11 @@ def test_few_rows_and_empty_table(spark):
     assert ann.nearest_neighbours(df.filter("vec_id = 0")).count() == 0
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
-    assert ann.nearest_neighbours(huge).count() == 1
+    found = ann.nearest_neighbours(huge).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in found] == [(0, 1)] and abs(found[0]["score"] - 0.5 ** 0.5) < 1e-15
+    far = np.array([[1e200, 3e200], [2.0, 1.0], [1e-320, 0.0], [1e-200, -1e-200]])
+    plain = np.array([[1.0, 3.0], [2.0, 1.0], [1.0, 0.0], [1.0, -1.0]])
+    assert np.allclose(ann.cosines(far, far[::-1].copy()), ann.cosines(plain, plain[::-1].copy()), rtol=1e-12)
 
 
 def test_scan_abandons_but_keeps_the_nearest():

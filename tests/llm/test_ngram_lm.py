@@ -134,3 +134,19 @@ def test_query_uses_the_trigram_model(spark):
         return sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in rows.collect())
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     assert scores(QUERIES["op7_kneser_ney_lm"](spark, sf)) == scores(ngram_lm.held_out_scores(documents, order=3))
+
+
+def test_very_long_texts_are_counted_and_scored_whole(spark):
+    """A text of 300,000 words and one of a single word of a megabyte, held out and not, repeated and beside a null id."""
+    many = " ".join(f"w{i % 997} w{i % 13}" for i in range(150_000))
+    texts = [(0, many), (2, many), (3, "x" * 1_000_000), (5, many + " tail"), (None, "w1 w1"), (7, None)]
+    got = {r["doc_id"]: r for r in ngram_lm.held_out_scores(spark.createDataFrame(texts, "doc_id long, text string"), 3).collect()}
+    train = [words(t) for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t in texts:
+        r, w = got[i], words(t)
+        base = math.fsum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0 and math.isfinite(r["score"])
+    assert math.isclose(got[0]["score"], got[2]["score"], rel_tol=1e-12)

@@ -1,7 +1,8 @@
 """Each stage of the pipeline against plain decisions on its own input."""
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tersus.llm.common import written
 from tersus.llm.suite import QUERIES
 
@@ -52,3 +53,40 @@ def test_run_and_empty_tables(spark, tmp_path):
         (table.limit(0) if t == "documents" else table).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stages_take_nulls_long_texts_repeats_and_clashing_columns(spark, tmp_path):
+    """Rows that no stage may lose or crash on, beside the documents that the classifiers learn from."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = next(r for r in docs.join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1 AND toxic = 0"), "doc_id")
+                .orderBy("doc_id").collect() if r["n_chars"] > 400)
+    long = " ".join([good["text"]] * (1_500_000 // len(good["text"])))
+    word = "w" * 1_000_000
+    odd = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, long), (10**9 + 3, long), (10**9 + 4, word), (None, good["text"] + " more"),
+           (10**9 + 5, long), (10**9 + 5, long)]
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    extra = {c: F.lit(None).cast(kinds[c]) for c in docs.columns if c not in ("doc_id", "text")}
+    table = docs.unionByName(more.withColumns(extra)).withColumns({c: F.lit(1) for c in ("key", "label", "score", "fp", "digest", "copies")})
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    sf, table = "/root/testdata/sf0.001", spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    def pairs(df):
+        assert df.columns == table.columns
+        return Counter((r["doc_id"], r["text"]) for r in df.collect())
+    raw = pairs(table)
+    for _, stage in corpus_pipeline.STAGES[:2]:  # equal texts are kept or dropped alike, null ones as empty ones
+        kept = pairs(stage(spark, table, sf))
+        by_text = defaultdict(set)
+        for x, n in raw.items():
+            by_text[x[1] or ""].add(kept[x] == n)
+            assert kept[x] in (0, n)
+        assert all(len(s) == 1 for s in by_text.values())
+    unique = written(corpus_pipeline.exact_dedup(spark, table, sf), "test-stage")
+    mine = sorted((i or 0, len(t or "")) for i, t in pairs(unique) if i is None or i >= 10**9)
+    assert mine == sorted([(0, len(good["text"]) + 5), (10**9 + 1, 0), (10**9 + 4, len(word)), (10**9 + 5, len(long))])
+    assert sum(pairs(unique).values()) == len({t or "" for _, t in raw})
+    apart = pairs(corpus_pipeline.near_dedup(spark, unique, sf))
+    assert set(apart) <= set(pairs(unique)) and (10**9 + 4, word) in apart
+    packed = corpus_pipeline.packing(spark, unique, sf).collect()
+    check_table(packed, [(r["doc_id"], r["text"]) for r in unique.collect()], 2048)
