@@ -54,11 +54,13 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
         none = np.iinfo(kind).max  # no pair: the highest symbol is never given
         live = np.flatnonzero(alive[:-1] & ~last[:-1])
         code = (seq[live] << kind(shift)) | seq[live + 1]
-        # a pair of old symbols never gets more frequent: one that is alone by hash is not looked at again
-        slot = _slot(code, max(10, len(live).bit_length() + 1))
-        some = np.bincount(slot)[slot] > 1
-        alive[live[~some]] = False
-        live, code = live[some], code[some]
+        # a pair of old symbols never gets more frequent: one that is alone by hash is not looked at again (in the first
+        # round hardly any is)
+        if done > 1:
+            slot = _slot(code, max(10, len(live).bit_length() + 1))
+            some = np.bincount(slot)[slot] > 1
+            alive[live[~some]] = False
+            live, code = live[some], code[some]
         # in a run of one symbol the pair overlaps itself: take every other place
         again = np.flatnonzero((code[1:] == code[:-1]) & (live[1:] == live[:-1] + 1)) + 1
         if len(again):
@@ -73,8 +75,9 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
         frequent = np.flatnonzero(counts >= least_count)
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
-        batch = max(pairs_a_round, int((2 * counts[frequent] >= counts[frequent[0]]).sum()))
+        # most frequent first; 16 bits, which numpy sorts by digits (beyond them the order does not matter)
+        frequent = frequent[np.argsort((0xFFFF - np.minimum(counts[frequent], 0xFFFF)).astype(np.uint16), kind="stable")]
+        batch = max(pairs_a_round, int((2 * counts[frequent] >= counts[frequent].max()).sum()))
         pair = ordered[edge[frequent[:min(batch, limit - top)]]]  # most frequent first
         # rank of each live pair: a table by hash, of which the most frequent pair of a slot is the entry
         bits = max(18, len(pair).bit_length() + 2)
