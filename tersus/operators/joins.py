@@ -8,8 +8,8 @@ lets Catalyst push ``IsNotNull`` into both scans.
 No join strategy is forced: the broadcast decision is Spark's, made against
 ``spark.sql.autoBroadcastJoinThreshold`` from plan statistics and again by AQE
 from the measured shuffle size; a skewed key is split by AQE skew-join
-handling (inner/left/right). AQE does not split the keys of a full outer join,
-so that one splits its hot keys itself (``hot_keys``); other joins do on request.
+handling (inner/left/right). A full outer join is Spark's own, one shuffle a
+side, and AQE does not split its keys; ``split_hot`` does (``hot_keys``), for any join.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ HOWS = ("inner", "left", "right", "outer")
 
 
 def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner", *,
-                 null_keys_match: bool = True, suffixes=("_x", "_y"), split_hot: bool | None = None,
+                 null_keys_match: bool = True, suffixes=("_x", "_y"), split_hot: bool = False,
                  left_name: str = "left", right_name: str = "right") -> DataFrame:
     """``null_keys_match`` (the default, as in pandas) joins every row without a key to every other one: with
     many of them on both sides that is their product, so drop or fill such keys first, or pass False.
 
-    ``split_hot`` deals the rows of hot keys over many tasks, which takes two jobs over the keys first; by default outer
-    joins do. The rows are the same. Streams are joined plainly: their keys cannot be counted first."""
+    ``split_hot`` deals the rows of hot keys over many tasks, full outer joins included, which takes two jobs over the keys
+    first. The rows are the same. Streams are joined plainly: their keys cannot be counted first."""
     how = how or "inner"
     if how not in HOWS:
         raise CleaningError(f"join type {how!r} is not one of {HOWS}")
@@ -51,7 +51,7 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     l2 = left.select(*[col(c).alias(lk if c == on else lnames[c]) for c in left.columns])
     r2 = right.select(*[col(c).alias(rk if c == on else rnames[c]) for c in right.columns])
     kind = "full_outer" if how == "outer" else how
-    if (how == "outer" if split_hot is None else split_hot) and not (left.isStreaming or right.isStreaming):
+    if split_hot and not (left.isStreaming or right.isStreaming):
         joined = join_split(l2, r2, lk, rk, kind, null_keys_match=null_keys_match)
     else:
         joined = l2.join(r2, l2[lk].eqNullSafe(r2[rk]) if null_keys_match else (l2[lk] == r2[rk]), kind)

@@ -325,7 +325,7 @@ def j4_outer_hot_keys(spark, sf):
     base, key = ctx(spark, sf).base, F.col("event_id") % 4
     left = base["events"].select(F.when(key == 0, 1).when(key == 1, -1).when(key == 3, F.col("user_id")).alias("k"), "event_id")
     right = base["customer"].select(F.when(F.col("c_custkey") != 2, F.col("c_custkey")).alias("k"), F.col("c_name").alias("name"))
-    return merge_tables(left, right, "k", "outer")
+    return merge_tables(left, right, "k", "outer", split_hot=True)
 
 
 _SYNONYMS = ("SELECT c_custkey AS customer_id, CASE c_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN concat(' N', n_nationkey, ' ') "
