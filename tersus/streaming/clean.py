@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructField, StructType
 
 from tersus.errors import CleaningError
@@ -89,35 +88,39 @@ def fit_recipe(history: DataFrame, steps) -> FittedRecipe:
     return FittedRecipe(record.get("history", []))
 
 
-class _FirstOfKey(StatefulProcessor):
-    """State of one key: whether a row of it has been kept. Of the rows that arrive together for a new key the first in
-    the order of their ``places`` (columns of the row, NULL last) is."""
+def _earliest(keys: list[str], order: list[str], apart: bool):
+    """Of the rows of one key the first by ``order`` (NULL last), among those of an Arrow batch (``apart``: so few rows of a
+    hot key are shuffled) or of a whole partition, of which one row for each key is held."""
+    place = "__place"
 
-    def __init__(self, places: list[int]):
-        self.places = places
+    def numbered(rows):
+        return rows.select(keys).append_column(place, pa.array(np.arange(rows.num_rows))).group_by(keys, use_threads=False)
 
-    def init(self, handle) -> None:
-        self.kept = handle.getValueState("kept", "kept boolean")
+    def first(rows):
+        groups = numbered(rows).aggregate([(place, "min"), (place, "count")])
+        alone = groups.filter(pc.equal(groups.column(place + "_count"), 1)).column(place + "_min").to_numpy()
+        if len(alone) == rows.num_rows:
+            return rows
+        more = np.ones(rows.num_rows, bool)
+        more[alone] = False
+        several = rows.filter(pa.array(more))
+        several = several.take(pc.sort_indices(several, [(c, "ascending") for c in order]))
+        several = several.take(numbered(several).aggregate([(place, "min")]).column(place + "_min"))
+        return pa.concat_tables([rows.take(pa.array(alone)), several])
 
-    def handleInputRows(self, key, rows, timerValues):
-        if self.kept.exists():
-            return
-        self.kept.update((True,))
-        yield min(rows, key=lambda r: [(r[i] is None, r[i]) for i in self.places])
-
-    def close(self) -> None:
-        pass
-
-
-def _earliest_here(keys: list[str], order: list[str]):
-    """Of the rows of one key in an Arrow batch the first by ``order``: so few rows of a hot key are shuffled."""
     def run(batches):
+        held, size = [], 0  # rows that came, after a table with one row for each key before
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order]))
-            place = "__place"
-            first = rows.append_column(place, pa.array(np.arange(rows.num_rows))).group_by(keys, use_threads=False).aggregate([(place, "min")])
-            yield from rows.take(first.column(place + "_min")).to_batches()
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if apart or size > max(1 << 17, 2 * held[0].num_rows):
+                held = [first(pa.concat_tables(held)).combine_chunks()]
+                size = held[0].num_rows
+            if apart:
+                yield from held.pop().to_batches()
+                size = 0
+        if held:
+            yield from first(pa.concat_tables(held)).to_batches()
     return run
 
 
@@ -126,11 +129,12 @@ def dedup_to_sink(stream: DataFrame, keys, sink: str, checkpoint: str, event_tim
     """ST3: append to ``sink`` the rows whose keys have not come before, however late they arrive.
 
     Of the rows of a new key in one micro-batch the earliest by ``event_time`` is kept (a time that does not parse comes
-    last; ties: the smallest by the other columns, as text, NULL last). The keys seen so far are the state of the
-    query: a RocksDB store on the executors' disks, partitioned by key and checkpointed by its changes. A batch looks up
-    its own keys there and nothing that earlier batches wrote is read again, so its cost follows the batch and not
-    the history. A key is kept for good, whatever its time; nothing is dropped for being late; a retried batch starts from
-    the same state and replaces its output. The number of state partitions is the session's shuffle partitions when
+    last; ties: the smallest by the other columns, as text, NULL last): a batch's rows are dealt by key, and a task holds
+    one row for each of its keys. The keys seen so far, without rows, are the state of the query, Spark's own
+    deduplication: a RocksDB store on the executors' disks, partitioned by key and checkpointed by its changes. A batch
+    looks up its own keys there and nothing that earlier batches wrote is read again, so its cost follows the batch and
+    not the history. A key is kept for good, whatever its time; nothing is dropped for being late; a retried batch starts
+    from the same state and replaces its output. The number of state partitions is the session's shuffle partitions when
     the query first starts, and stays.
     """
     spark, keys = stream.sparkSession, list(keys)
@@ -140,11 +144,11 @@ def dedup_to_sink(stream: DataFrame, keys, sink: str, checkpoint: str, event_tim
     order += [F.to_json(F.struct(col(c).alias("v"))) for c in others]
     names = [f"__order{i}" for i in range(len(order))]
     ordered = stream.withColumns(dict(zip(names, order)))
-    places = [ordered.columns.index(n) for n in names]
     schema = StructType([StructField(f.name, f.dataType, True) for f in ordered.schema])
     let_workers_import(spark)
-    few = ordered.mapInArrow(_earliest_here(keys, names), schema)
-    first = few.groupBy(*[col(k) for k in keys]).transformWithState(_FirstOfKey(places), schema, "append", "none").drop(*names)
+    few = ordered.mapInArrow(_earliest(keys, names, True), schema)
+    one = few.repartition(*[col(k) for k in keys]).mapInArrow(_earliest(keys, names, False), schema)
+    first = one.drop(*names).dropDuplicates(keys)
     with state_on_disk(spark):
         return run_stream(first.writeStream.outputMode("append").foreachBatch(
             lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")), checkpoint, trigger)

@@ -17,7 +17,7 @@ from tersus.streaming import (clean_to_sink, dedup_to_sink, drift_report, drift_
 from tersus.streaming.monitor import new_paths
 from tersus.suite.registry import ctx, query, r6
 from tersus.suite.sql import k1, k2, k3, with_views
-from tersus.suite.staging import stage_batches, stage_in_order
+from tersus.suite.staging import WRITE, stage_batches, stage_in_order
 
 RAW_DAYS_SCHEMA = ("txn_id STRING, customer_id BIGINT, amount STRING, category STRING, region STRING, "
                    "event_ts STRING, arrival_day DATE")
@@ -65,7 +65,7 @@ def st3_stream_dedup(spark, sf):
     number = F.expr("CAST(substr(txn_id, 5) AS BIGINT)")
     again = F.when(number % 9 == 3, "1999-12-31 00:00:00").when(number % 9 == 6, "unknown").otherwise(F.col("event_ts"))
     copies = days.where(number % 3 == 0).withColumn("event_ts", again)
-    copies.repartition(2).write.mode("append").parquet(src)
+    copies.repartition(2).write.mode("append").options(**WRITE).parquet(src)
     sink, ck = new_paths(spark, "sink", "ckpt")
     stream = _stream(spark, sf, src)
     dedup_to_sink(stream, ["txn_id"], sink, ck, "event_ts")

@@ -156,6 +156,36 @@ def test_stream_dedup_goes_on_after_a_restart_with_ties_and_a_hot_key(spark):
     assert got == {("hot", 1): "0000", ("tie", 1): "a", ("tie", 2): "z", (None, None): "n", ("new", 1): "y", ("tie", 3): "y"}
 
 
+def test_stream_dedup_looks_keys_up_in_sparks_own_state(spark):
+    """No call of Python for each key, and the earliest row among several Arrow batches of a task."""
+    from tersus.streaming import dedup_to_sink, read_deduplicated
+    rows = [(f"k{i % 40}", i % 2, f"2024-01-{28 - i // 40 % 28:02d}", None if i % 3 else str(i), i // 1200) for i in range(2400)]
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    stream = _dedup_stream(spark, rows, 2, root)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        query = dedup_to_sink(stream, ["k", "j"], os.path.join(root, "sink"), os.path.join(root, "ck"), "at")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [o.operatorName for o in query.recentProgress[-1].stateOperators] == ["dedupe"]
+    want = {}
+    for k, j, at, v, part in rows:
+        if part == 0:
+            want[k, j] = min(want.get((k, j), ("z",)), (at, f"v{v}" if v else "}"))
+    got = {(r["k"], r["j"]): (r["at"], f"v{r['v']}" if r["v"] else "}") for r in read_deduplicated(spark, os.path.join(root, "sink"), stream.schema).collect()}
+    assert got == want and len(got) == 40
+
+
+def test_staged_files_are_read_by_several_tasks(spark):
+    import pyarrow.parquet as pq
+    from tersus.suite.staging import stage_batches
+    path = stage_batches(spark.range(2_000_000).withColumn("b", F.lit(1)), spark, "b", 1)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in groups) == 2_000_000 and max(m.num_row_groups for m in groups) > 3
+
+
 def test_refit_policy_is_deterministic(spark):
     from tersus.streaming import clean_with_refit
     base, fx = _dirty(spark)
