@@ -8,8 +8,9 @@ and get grouped jobs, shared by all requests of the batch:
 * exact quantiles: selection by narrowing. A pass counts values by at most 65,536 ordered buckets
   (partial aggregation on the map side, so a hot value is one row); the bucket that holds a wanted
   rank is the range that the next pass looks at. First come logarithmic buckets, which cover all
-  doubles, then equal parts of the range, and single values once a range holds few. Nothing is written,
-  sorted or shuffled but bucket counts. Two passes are enough up to some millions of values, four for any input.
+  doubles, then equal parts of the range, and single values once a range holds few. Nothing is
+  sorted or shuffled but bucket counts. Two passes are enough up to some millions of values, four for any input. The
+  first works out the values (joins and parsing) and keeps them as numbers on the executors' disks for the others.
 * modes: ``groupBy(value).count()`` followed by a top-1 per request; no task
   ever holds all values.
 """
@@ -20,6 +21,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,15 +167,27 @@ def _pass(df: DataFrame, items: list) -> dict:
     return out
 
 
-def select_quantiles(df: DataFrame, requests, weight: Column | None = None, present=None) -> tuple[list, list]:
+def select_quantiles(df: DataFrame, requests, weight: Column | None = None, present=None, stored: bool = False) -> tuple[list, list]:
     """Exact linear-interpolated quantiles (as pandas and ``quantile_cont``) of several expressions over the same
     passes: ``requests`` is a list of (expression, probabilities); an expression without values gives a None for
     each probability, NaN counts as none. ``weight``: how many times each row counts. Also gives, for each request, the
-    number of values, the number of rows where its ``present`` expression is not NULL, and (least, largest) value."""
+    number of values, the number of rows where its ``present`` expression is not NULL, and (least, largest) value.
+    ``stored``: the values are as cheap to read again as to keep."""
     present = present or [None] * len(requests)
-    df = df.select(*[e.cast("double").alias(f"e{k}") for k, (e, _) in enumerate(requests)],
-                   *[p.isNotNull().alias(f"p{k}") for k, p in enumerate(present) if p is not None],
-                   (F.lit(1) if weight is None else weight).cast("long").alias("n"))
+    values = [e.cast("double").alias(f"e{k}") for k, (e, _) in enumerate(requests)]
+    values += [p.isNotNull().alias(f"p{k}") for k, p in enumerate(present) if p is not None]
+    df = df.select(*values, *([] if weight is None else [weight.cast("long").alias("n")]))
+    if stored:
+        return _select(df, requests, weight, present)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _select(df, requests, weight, present)
+    finally:
+        df.unpersist()
+
+
+def _select(df: DataFrame, requests, weight, present) -> tuple[list, list]:
+    df = df if weight is not None else df.withColumn("n", F.lit(1).cast("long"))
     exprs = [F.when(~F.isnan(f"e{k}"), F.col(f"e{k}")) for k in range(len(requests))]
     flags = [F.lit(False) if p is None else F.col(f"p{k}") for k, p in enumerate(present)]
     first = _pass(df, [(k, e, _log_bucket(e), p) for k, (e, p) in enumerate(zip(exprs, flags))])
@@ -214,6 +228,6 @@ def select_quantiles(df: DataFrame, requests, weight: Column | None = None, pres
     return out, [(total[k], first[k][3], spans[k]) for k in range(len(requests))]
 
 
-def exact_quantiles(df: DataFrame, requests, weight: Column | None = None) -> list:
+def exact_quantiles(df: DataFrame, requests, weight: Column | None = None, stored: bool = False) -> list:
     """``select_quantiles`` without the counts."""
-    return select_quantiles(df, requests, weight)[0]
+    return select_quantiles(df, requests, weight, stored=stored)[0]

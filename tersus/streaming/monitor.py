@@ -148,7 +148,7 @@ def running_score(stream: DataFrame, fitted_recipe, sink: str, scores: str, chec
         if batch_id % score_every:
             return
         seen = values.read(batch_id + 1)
-        bounds = iqr_bounds(exact_quantiles(seen, [(F.col("v"), [0.25, 0.75])], weight=F.col("n"))[0])
+        bounds = iqr_bounds(exact_quantiles(seen, [(F.col("v"), [0.25, 0.75])], weight=F.col("n"), stored=True)[0])
         outside = 0
         if bounds:
             far = (F.col("v") < F.lit(bounds[0])) | (F.col("v") > F.lit(bounds[1]))

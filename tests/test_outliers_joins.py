@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tersus.errors import CleaningError
@@ -172,3 +173,47 @@ def test_quantile_counts_come_with_the_passes(spark):
     res = b.run()
     assert (res["q"], res["q.values"], res["q.present"], res["q.range"]) == ([2.0], 3, 4, (1.0, 1e300))
     assert (res["a.values"], res["a.present"], res["a.range"]) == (3, 4, (1.0, 1e300))
+
+
+def test_quantile_passes_work_the_values_out_once(spark):
+    from tersus.functions.stats import FitBatch
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).mapInArrow(count, "x double")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    b = FitBatch(df)
+    b.quantile("q", F.col("x"), [0.25, 0.75])
+    assert np.allclose(b.run()["q"], np.quantile(x, [0.25, 0.75]))
+    assert seen.value == len(x)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept  # and lets them go
+
+
+def test_etl_scorecard_counts_the_golden_rows_once(spark):
+    from tersus.plans.quality import scorecard_etl
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = [(i, float(i % 97), i % 60, 2020 + i % 4) for i in range(1000)]
+    m = spark.createDataFrame(rows, "order_id long, amount double, age long, order_year int")
+    golden = m.where("order_id < 950").mapInArrow(count, m.schema)
+    card = scorecard_etl({"merged": m}, golden).first()
+    assert seen.value == 950 and card["row_count"] == 0.15 and card["outliers"] == 0.25
+
+
+def test_date_texts_are_the_formatters(spark):
+    from tersus.sources import fixtures as fx
+    days = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2024-01-05 03:04:09.5'), (timestamp_ntz'0031-12-31 23:00:00'), "
+                     "(timestamp_ntz'+12024-02-03 00:00:00'), (NULL) AS t(d)")
+    got = days.select(fx._ymd(F.col("d")), fx._ymd(F.col("d"), "/", day_first=True), fx._ymd_hms(F.col("d"))).collect()
+    want = days.selectExpr("format_string('%04d-%02d-%02d', year(d), month(d), day(d))", "format_string('%02d/%02d/%04d', day(d), month(d), year(d))",
+                           "format_string('%04d-%02d-%02d %02d:%02d:%02d', year(d), month(d), day(d), hour(d), minute(d), second(d))").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
