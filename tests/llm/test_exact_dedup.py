@@ -67,7 +67,7 @@ def test_drop_copies_leaves_one_of_repeated_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_queries_equal_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = con.execute(ORACLE[name])
     columns = [c[0] for c in got.description]
