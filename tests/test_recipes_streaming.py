@@ -186,6 +186,24 @@ def test_staged_files_are_read_by_several_tasks(spark):
     assert sum(m.num_rows for m in groups) == 2_000_000 and max(m.num_row_groups for m in groups) > 3
 
 
+def test_each_micro_batch_of_one_file_is_shared_by_tasks(spark):
+    from tersus.streaming.ingest import run_stream
+    from tersus.suite.staging import stage_in_order
+    root = tempfile.mkdtemp(prefix="tersus-test-")
+    src = stage_in_order(spark.range(1_600_000), spark, F.col("id") % 2, 2, os.path.join(root, "src"))
+    tasks = {}
+
+    def handle(batch, batch_id):
+        tasks[batch_id] = sorted(r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect())
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    try:
+        run_stream(read_stream(spark, src, "id LONG").writeStream.foreachBatch(handle), os.path.join(root, "ck"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert {b: sum(n) for b, n in tasks.items()} == {0: 800_000, 1: 800_000} and min(map(len, tasks.values())) > 1
+
+
 def test_refit_policy_is_deterministic(spark):
     from tersus.streaming import clean_with_refit
     base, fx = _dirty(spark)
