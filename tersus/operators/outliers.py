@@ -32,7 +32,7 @@ class FittedOutlierFilter:
         if self.method == "iqr":
             if self.a is None:
                 return F.lit(True)
-            return num.isNull() | num.between(F.lit(self.a), F.lit(self.b))
+            return F.coalesce(num.between(F.lit(self.a), F.lit(self.b)), F.lit(True))
         m = F.lit(self.a).cast("double")
         s = F.lit(self.b).cast("double")
         z = F.abs(F.try_divide(num - m, s))

@@ -50,3 +50,18 @@ def test_hex_guard_keeps_plain_zero(spark):
     df = spark.createDataFrame([("0",), ("0.5",), ("10",)], "s string")
     got = [r[0] for r in df.select(to_double(F.col("s"), df.schema["s"].dataType)).collect()]
     assert got == [0.0, 0.5, 10.0]
+
+
+def test_the_default_formats_are_cast_not_formatted(spark, capsys):
+    """A cast reads them several times as fast, and takes what the formatter takes, no more."""
+    good = {"2024-02-29 23:59:59": "2024-02-29 23:59:59", "2024/02/29": "2024-02-29 00:00:00", "29/02/2024": "2024-02-29 00:00:00",
+            "0000-01-01": "0000-01-01 00:00:00", "2024-01-01 10:00:00+02:00": "2024-01-01 08:00:00",
+            "2024-01-01T10:00:00.5-0330": "2024-01-01 13:30:00.5", "2024-01-01 10:00Z": "2024-01-01 10:00:00"}
+    bad = ["2023-02-29", "31/04/2024", "2024/13/01", "2024-01-01 24:00:00", "2024-01-01 23:59:60", "2024-1-1", "2024-01-01\n", " 2024-01-01",
+           "2024-01-01 10:00:00.1234567", "2024-01-01T10", "2024-01-01 10:00:00 UTC", "+2024-01-01", "unknown", ""]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
+    cast = df.select("t", to_timestamp("t", df.schema["t"].dataType).cast("string").alias("v"))
+    assert {r["t"]: r["v"] for r in cast.collect()} == {**good, **dict.fromkeys([*bad, None])}
+    capsys.readouterr()
+    cast.explain()
+    assert "gettimestamp" not in capsys.readouterr().out.lower()
