@@ -63,6 +63,11 @@ class ChunkEncoder:
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if white_space_dropped:  # and bytes of ASCII letters stand for themselves
+            self.ascii = Tokenizer.from_file(path)
+            self.ascii.encode_special_tokens = True
+            self.ascii.normalizer = None
+            self.ascii.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin (or, without spaces, end) a word
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.endswith(WORD_END) if white_space_dropped else token.startswith(SPACE)
@@ -77,11 +82,15 @@ class ChunkEncoder:
     def _ids(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, words: pa.Array, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words in one array, and how many each has; one call for all of them."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
-        ids = np.array(self.plain.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.int32)
+        ids = np.array(tokenizer.encode_batch_fast([one], add_special_tokens=False)[0].ids, np.int32)
         edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            raise AssertionError("the tokenizer does not keep chunks apart")
         return ids, np.diff(edges, prepend=-1) if self.dropped else np.diff(edges, append=len(ids))
 
     def _is_plain(self, chunks: pa.Array) -> pa.Array:
@@ -95,20 +104,22 @@ class ChunkEncoder:
         """The entry of each chunk; new ones are encoded."""
         place = pc.index_in(chunks, value_set=self.known)
         if place.null_count:
-            new = pc.unique(chunks.filter(pc.is_null(place)))
+            missing = chunks.filter(pc.is_null(place))
+            new = pc.unique(missing)
             plain = self._is_plain(new)
-            other, words = new.filter(pc.invert(plain)), new.filter(plain)
+            simple = pc.and_(plain, pc.string_is_ascii(new)) if self.dropped else pc.and_(plain, False)
+            other, words, simple = (new.filter(x) for x in (pc.invert(plain), pc.and_not(plain, simple), simple))
             rows = self._ids(other.to_pylist())
-            ids, lengths = self._joined(words) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            if len(lengths) != len(words):
-                raise AssertionError("the tokenizer does not keep chunks apart")
-            ids = np.concatenate([np.array([x for row in rows for x in row], np.int32), ids])
-            lengths = np.concatenate([np.fromiter(map(len, rows), np.int64, len(rows)), lengths])
+            parts = [(np.array([x for row in rows for x in row], np.int32), np.fromiter(map(len, rows), np.int64, len(rows))),
+                     self._joined(words, self.plain), self._joined(simple, self.ascii if self.dropped else self.plain)]
+            ids, lengths = (np.concatenate(x) for x in zip(*parts))
             starts = len(self.ids) + np.cumsum(lengths) - lengths
-            self.known = pa.concat_arrays([self.known, other, words])
+            added, before = pa.concat_arrays([other, words, simple]), len(self.known)
+            self.known = pa.concat_arrays([self.known, added])
             self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-            place = pc.index_in(chunks, value_set=self.known)
+            found = pc.add(pc.index_in(missing, value_set=added), pa.scalar(before, pa.int32()))
+            place = pc.replace_with_mask(place, pc.is_null(place), found)
         return place.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

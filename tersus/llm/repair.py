@@ -27,6 +27,8 @@ from .chunk_encoder import by_size, chunk_encoder, ragged
 from .common import mounted, shuffle_partitions, texts, write_atomically
 
 MAGIC = b"TRPG0001"
+#: Marks of a place in a shard's sequence: its pair may occur again; its document ends there.
+ALIVE, LAST = 1, 2
 ARRAYS = ("doc_ids", "doc_tokens", "doc_symbols", "left", "right", "expansion", "sequence")
 
 
@@ -39,10 +41,9 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
     more. Pairs are counted as 32-bit numbers while symbols fit two bytes, then as 64-bit numbers."""
     least_count = max(2, least_count)
     kind, shift, limit = np.uint32, 16, 0xFFFF
-    seq = ids.astype(kind)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_lengths)[doc_lengths > 0] - 1] = True
-    alive = np.ones(len(seq), bool)
+    seq = ids.astype(np.uint32)
+    flags = np.full(len(seq), ALIVE, np.uint8)
+    flags[np.cumsum(doc_lengths)[doc_lengths > 0] - 1] = ALIVE | LAST
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     expansion = np.ones(alphabet, np.int64)
     top, done = alphabet, 0
@@ -50,16 +51,16 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
         done += 1
         if shift == 16 and top + pairs_a_round > limit:
             kind, shift, limit = np.uint64, 32, 0xFFFFFFFF
-            seq = seq.astype(kind)
         none = np.iinfo(kind).max  # no pair: the highest symbol is never given
-        live = np.flatnonzero(alive[:-1] & ~last[:-1])
-        code = (seq[live] << kind(shift)) | seq[live + 1]
+        live = np.flatnonzero(flags[:-1] == ALIVE)
+        code = seq[live].astype(kind, copy=False) << kind(shift)
+        code |= seq[live + 1]
         # a pair of old symbols never gets more frequent: one that is alone by hash is not looked at again (in the first
-        # round hardly any is)
-        if done > 1:
+        # round hardly any is, and to look for them every other round is cheaper)
+        if done % 2 == 0:
             slot = _slot(code, max(10, len(live).bit_length() + 1))
             some = np.bincount(slot)[slot] > 1
-            alive[live[~some]] = False
+            flags[live[~some]] = 0
             live, code = live[some], code[some]
         # in a run of one symbol the pair overlaps itself: take every other place
         again = np.flatnonzero((code[1:] == code[:-1]) & (live[1:] == live[:-1] + 1)) + 1
@@ -84,30 +85,31 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, alphabet: int, pairs_a_ro
         table = np.full(1 << bits, len(pair), np.int32)
         table[_slot(pair, bits)[::-1]] = np.arange(len(pair) - 1, -1, -1, dtype=np.int32)
         own = table[_slot(code, bits)]
-        own[(np.append(pair, none)[own] != code) | (code == none)] = len(pair)
+        found = np.flatnonzero(own < len(pair))
+        found = found[pair[own[found]] == code[found]]
+        own, place = own[found], live[found]
         rank = np.full(len(seq) + 1, len(pair), np.int32)  # the last place stands for none, also before the first
-        rank[live] = own
-        at = live[(own < rank[live - 1]) & (own <= rank[live + 1]) & (own < len(pair))]  # never two neighbours
+        rank[place] = own
+        at = place[(own < rank[place - 1]) & (own <= rank[place + 1])]  # never two neighbours
         uses = np.bincount(rank[at], minlength=len(pair))
         at = at[uses[rank[at]] > 1]  # never empty: the most frequent pair has all its places
         if len(at) < least_gain * len(seq):
             break
         chosen = rank[at]
         used = np.flatnonzero(uses > 1)
-        symbol = np.zeros(len(pair), kind)
+        symbol = np.zeros(len(pair), np.uint32)
         symbol[used] = top + np.arange(len(used))
         left.append((pair[used] >> kind(shift)).astype(np.int64))
         right.append((pair[used] & kind((1 << shift) - 1)).astype(np.int64))
         expansion = np.append(expansion, expansion[left[-1]] + expansion[right[-1]])
         seq[at] = symbol[chosen]
-        last[at] = last[at + 1]
-        alive[at] = True  # new pairs: after a new symbol and before it
-        alive[at[at > 0] - 1] = True
+        flags[at] = flags[at + 1] | ALIVE  # new pairs: after a new symbol and before it
+        flags[at[at > 0] - 1] |= ALIVE
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last, alive = seq[keep], last[keep], alive[keep]
+        seq, flags = seq[keep], flags[keep]
         top += len(used)
-    ends = np.flatnonzero(last) + 1
+    ends = np.flatnonzero(flags & LAST) + 1
     symbols = np.zeros(len(doc_lengths), np.int64)
     symbols[doc_lengths > 0] = np.diff(ends, prepend=0)
     return np.concatenate(left), np.concatenate(right), expansion[alphabet:], seq, symbols

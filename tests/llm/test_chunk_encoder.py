@@ -25,3 +25,21 @@ def test_slices_hold_all_rows_in_order():
     parts = list(by_size([batch, batch.slice(0, 0)], max_bytes=4))
     assert [x for p in parts for x in p.column("text").to_pylist()] == batch.column("text").to_pylist()
     assert len(parts) > 1
+
+
+def test_new_chunks_are_looked_up_among_the_new_ones_alone(monkeypatch):
+    """The dictionary is searched once a call, however many chunks are new; ids are those of the whole texts."""
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+    from tersus.llm import chunk_encoder as ce
+    path = P.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), ce.ChunkEncoder(path, 1, True)
+    whole.encode_special_tokens = True
+    searched, index_in = [], pc.index_in
+    monkeypatch.setattr(ce.pc, "index_in", lambda x, value_set: (searched.append(len(value_set)), index_in(x, value_set=value_set))[1])
+    first = [" ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{i // 100 * 'x'}" for i in range(1000)), "Ünïcode naïve été 12-ab é"]
+    for texts in (first, ["naïve newcomer Newcomer newcömer, 77", first[0]]):
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == \
+            [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert searched[2] > 1000 and searched[3] < 10
