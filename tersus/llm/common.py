@@ -7,6 +7,7 @@ import os
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,8 @@ def keep_freed_memory(large: int = 64 << 20, kept: int = 96 << 20) -> None:
 
 
 def return_freed_memory() -> None:
-    """In a worker: give freed memory back to the system. glibc only."""
+    """In a worker: give freed memory back to the system, Arrow's and (glibc only) the C library's."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

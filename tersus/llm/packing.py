@@ -30,8 +30,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .chunk_encoder import by_size, chunk_encoder
 from .common import texts, written
 
-#: Chunks that a worker's dictionary holds before it is refilled, and bytes of text that it encodes at once.
-MAX_CHUNKS, SLICE = 500_000, 4 << 20
+#: Chunks that a worker's dictionary holds before it is refilled, bytes of text that it encodes at once, and bytes
+#: that it keeps free between slices. Arrays of a slice are many times its size, and every task of an executor has them.
+MAX_CHUNKS, SLICE, KEPT = 300_000, 2 << 20, 32 << 20
 
 
 @dataclass
@@ -211,7 +212,7 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut from its end into pieces of
     ``capacity`` if longer than that, so that only the first piece may be shorter."""
     def run(batches):
-        encoder = chunk_encoder(tokenizer_file, end_id, False, MAX_CHUNKS)
+        encoder = chunk_encoder(tokenizer_file, end_id, False, MAX_CHUNKS, KEPT)
         for batch in by_size(batches, max_bytes=SLICE):
             ids, at = encoder.encode(batch.column("text"))
             data, width = memoryview(ids.astype("<u4").tobytes()), 4

@@ -43,3 +43,42 @@ def test_new_chunks_are_looked_up_among_the_new_ones_alone(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == \
             [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert searched[2] > 1000 and searched[3] < 10
+
+
+def test_odd_chunks_are_those_with_white_space_at_an_edge():
+    from tersus.llm.chunk_encoder import _odd
+
+    def plain(chunk):
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        return chunk != "\n" and (not body or body[0].isspace() or body[-1].isspace())
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    chunks = [a + b + c for a in ["", " ", "x", *spaces] for b in ["", "x", *spaces, "​"] for c in ["", " ", "x", "\n"]]
+    assert _odd(pa.array(chunks)).tolist() == [plain(c) for c in chunks]
+
+
+def test_the_library_gets_bounded_lots(monkeypatch):
+    """Many new words, and many texts that are encoded whole, go to the tokenizer in lots; the ids stay the same."""
+    from tokenizers import Tokenizer
+    from tersus.llm import chunk_encoder as ce
+    monkeypatch.setattr(ce, "LOT_CHARACTERS", 200, raising=False)
+    monkeypatch.setattr(ce, "LOT_WORDS", 10, raising=False)
+    texts = [" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[j % 10]}{'uvwxyz'[j // 10]}" for j in range(60)) for i in range(10)]
+    texts += [f"white  space \t {i} x" for i in range(60)] + ["a very long  one " * 40, ""]
+    for path, end_id, dropped in ((P.path("byte_bpe_50k.json"), 0, False), (P.path("word_bpe_49k.json"), 1, True)):
+        whole, encoder, sizes = Tokenizer.from_file(path), ce.ChunkEncoder(path, end_id, dropped), []
+
+        class Noted:
+            def __init__(self, inner):
+                self.inner = inner
+
+            def encode_batch_fast(self, lot, **more):
+                sizes.append((sum(map(len, lot)), len(lot)))
+                return self.inner.encode_batch_fast(lot, **more)
+        for name in ("tokenizer", "plain", "ascii"):
+            if hasattr(encoder, name):
+                setattr(encoder, name, Noted(getattr(encoder, name)))
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == \
+            [whole.encode(t, add_special_tokens=False).ids + [end_id] for t in texts]
+        assert all(size <= 200 or many == 1 and size <= len(texts[-2]) for size, many in sizes)
+        assert sorted(s for s, _ in sizes)[-2] <= 200
